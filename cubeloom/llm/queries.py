@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from cubeloom.llm import decontam, hostrules
 from cubeloom.llm.langid import op1
+from cubeloom.llm.pii import op8
+from cubeloom.llm.secrets import op7
 from cubeloom.llm.toxicity import op9
 
 QUERIES = {
     "op1_language_id": op1,
+    "op6_host_rules": hostrules.op6,
+    "op7_secrets": op7,
+    "op8_pii": op8,
     "op9_toxicity": op9,
+    "op10_decontamination": decontam.op10,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op6_host_rules": hostrules.SQL, "op10_decontamination": decontam.SQL}
