@@ -34,7 +34,7 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | list]], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | list]], schema: str, most_bytes: int = 8_000_000) -> DataFrame:
     """``mapInArrow`` with state: ``make()`` runs once a task and returns the function of a batch.
 
     That function returns columns in the order of ``schema`` (lists or arrays), or None for no rows.
@@ -48,7 +48,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
         to = to_arrow_schema(fields)
         f = make()
         for batch in batches:
-            for piece in pieces(batch):
+            for piece in pieces(batch, most_bytes):
                 columns = f(piece)
                 if columns is not None:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, to, strict=True)], schema=to)

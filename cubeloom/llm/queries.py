@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from cubeloom.llm import decontam, hostrules
 from cubeloom.llm.html import op5
+from cubeloom.llm.jaccard import op2
 from cubeloom.llm.langid import op1
 from cubeloom.llm.packing import op4
 from cubeloom.llm.pii import op8
@@ -12,6 +13,7 @@ from cubeloom.llm.toxicity import op9
 
 QUERIES = {
     "op1_language_id": op1,
+    "op2_jaccard_join": op2,
     "op4_packing": op4,
     "op5_main_text": op5,
     "op6_host_rules": hostrules.op6,
