@@ -9,11 +9,13 @@ from cubeloom.llm.langid import op1
 from cubeloom.llm.packing import op4
 from cubeloom.llm.pii import op8
 from cubeloom.llm.secrets import op7
+from cubeloom.llm.substrings import op3
 from cubeloom.llm.toxicity import op9
 
 QUERIES = {
     "op1_language_id": op1,
     "op2_jaccard_join": op2,
+    "op3_substring_dedup": op3,
     "op4_packing": op4,
     "op5_main_text": op5,
     "op6_host_rules": hostrules.op6,
