@@ -21,7 +21,7 @@ import zstandard as zs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cubeloom.llm.common import Interner, crc_fold, map_batches, newton_logistic, read, sampled
+from cubeloom.llm.common import Interner, crc_fold, cut, map_batches, newton_logistic, read, sampled
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 #: Bytes that no text in UTF-8 has, so that the carrier never matches a word.
@@ -76,13 +76,17 @@ class Toxicity:
     weights: tuple | None
 
     @staticmethod
-    def fit(rows: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", fit_rows: int = 6000, calibration_rows: int = 3000, base_bytes: int = 16384, class_bytes: int = 8192, least_z: float = 4.0) -> Toxicity:
+    def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", fit_rows: int = 6000, calibration_rows: int = 3000, base_bytes: int = 16384, class_bytes: int = 8192, least_z: float = 4.0) -> Toxicity:
         """Learns from about ``fit_rows`` rows of each class and calibrates on about ``calibration_rows`` others
-        (documented bounds of a labelled sample; whole texts). Piece counts are summed before they reach the driver,
-        which gets the most distinctive ones."""
-        labelled = rows.select(F.col(key).alias("_k"), F.col(text).alias("_t"), F.col(label).cast("int").alias("_y")).filter(F.col("_y").isNotNull())
+        (documented bounds of a labelled sample; whole texts). The ids are drawn first, from the labels alone: they are
+        what is broadcast, so the bounds hold for it. Piece counts are summed before they reach the driver, which gets
+        the most distinctive ones."""
+        known = labels.select(F.col(key).alias("_k"), F.col(label).cast("int").alias("_y")).dropna().groupBy("_k").agg(F.max("_y").alias("_y"))
         side = F.pmod(F.xxhash64(F.lit(78), F.col("_k")), F.lit(10)) < 3
-        chosen = sampled(labelled.filter(~side), "_k", "_y", fit_rows, 3)
+        drawn = sampled(known.filter(~side), "_k", "_y", fit_rows, 3).withColumn("_fit", F.lit(True))
+        drawn = drawn.unionByName(sampled(known.filter(side), "_k", "_y", calibration_rows, 4).withColumn("_fit", F.lit(False)))
+        sample = cut(docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")).join(F.broadcast(drawn), "_k"))
+        chosen, held = sample.filter("_fit"), sample.filter("not _fit")
         sizes = {r["_y"]: r["n"] for r in chosen.groupBy("_y").agg(F.count("*").alias("n")).collect()}
         if not sizes.get(0) or not sizes.get(1):
             return Toxicity(CARRIER, CARRIER, None)
@@ -113,8 +117,7 @@ class Toxicity:
         words = counts.filter(F.col("p").endswith(" ")).orderBy(F.col("a").desc(), "p").limit(2000).collect()
         base = _section([r["p"] for r in words], base_bytes)
         out = Toxicity(base + plain + CARRIER, base + toxic + CARRIER, None)
-        held = sampled(labelled.filter(side), "_k", "_y", calibration_rows, 4)
-        shared = rows.sparkSession.sparkContext.broadcast((out.ordinary, out.toxic))
+        shared = docs.sparkSession.sparkContext.broadcast((out.ordinary, out.toxic))
 
         def measurer():
             gains = Gains(*shared.value)
@@ -122,8 +125,6 @@ class Toxicity:
 
         got = map_batches(held.select("_y", "_t"), measurer, "y int, f array<double>").toPandas().sort_values("y", kind="stable")
         if got["y"].nunique() == 2:
-            # the sample's classes stand in another proportion than the rows': weigh by repeating is avoided, the
-            # threshold of 0.7 refers to the sample
             out.weights = (np.array(sorted(map(tuple, np.c_[np.stack(got["f"]), got["y"]]))),)
         return out
 
@@ -156,15 +157,8 @@ def _section(pieces: list[str], size: int) -> bytes:
     return b"".join(p.encode("utf-8", "replace") for p in reversed(kept))[-size:]
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that have a label, with column ``toxic``."""
-    known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.select("doc_id", "text").join(known, "doc_id")
-
-
 def op9(spark, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     fold = crc_fold(F.col("doc_id"), 3)
-    learn = lambda t: t.filter(fold != 1)
-    model = Toxicity.fit(labelled(learn(docs), learn(read(spark, sf_dir, "labels"))))
+    model = Toxicity.fit(docs, read(spark, sf_dir, "labels").filter(fold != 1))
     return model.score(docs).withColumn("held_out", fold == 1).select("doc_id", "held_out", "score", "predicted")
