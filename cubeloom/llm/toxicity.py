@@ -147,6 +147,27 @@ class Toxicity:
         return map_batches(docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")), scorer, f"_k {kind}, score double, predicted int").withColumnRenamed("_k", key)
 
 
+    def keep(self, docs: DataFrame, text: str = "text", threshold: float = 0.7) -> DataFrame:
+        """The rows of ``docs``, all columns, whose score is under ``threshold``; null texts stay."""
+        names = docs.columns
+        shared = docs.sparkSession.sparkContext.broadcast((self.ordinary, self.toxic, self.weights))
+
+        def keeper():
+            ordinary, toxic, weights = shared.value
+            gains = Gains(ordinary, toxic)
+            p = newton_logistic(weights[0][:, :-1], weights[0][:, -1]) if weights else (lambda f: np.zeros(len(f)))
+
+            def keep(batch: pa.RecordBatch):
+                texts = batch.column(names.index(text)).to_pylist()
+                stay = (p(gains.features(texts)) < threshold) | np.array([t is None for t in texts])
+                kept = batch.filter(pa.array(stay))
+                return [kept.column(i) for i in range(len(names))] if kept.num_rows else None
+
+            return keep
+
+        return map_batches(docs, keeper, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
+
+
 def _section(pieces: list[str], size: int) -> bytes:
     """The pieces, the first last (nearest to the text), cut to ``size`` bytes; a piece that a longer one starts with
     is left out where that one is ranked before it."""
