@@ -21,6 +21,7 @@ row. Only id and text are read.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -146,8 +147,8 @@ def send_anchors(docs: DataFrame, ranges: int) -> DataFrame:
     return docs.mapInArrow(run, "range int, hashes binary, owners binary, ids binary")
 
 
-def _shared(table: pa.Table) -> pa.Table:
-    """The anchors of a range that several texts have, a row a document."""
+def _shared(table: pa.Table, hot: int) -> pa.Table:
+    """The anchors of a range that several texts have, a row a document; those of over ``hot`` texts apart."""
     hashes, docs = [], []
     inflate = zs.ZstdDecompressor().decompress
     for h, o, i in zip(*(table.column(c).to_pylist() for c in ("hashes", "owners", "ids")), strict=True):
@@ -158,13 +159,15 @@ def _shared(table: pa.Table) -> pa.Table:
     del hashes, docs
     by = np.argsort(h, kind="stable")
     h, d = h[by], d[by]
-    same = h[1:] == h[:-1]
-    several = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-    h, d = h[several], d[several]
-    by = np.lexsort((h, d))
-    h, d = h[by], d[by]
-    heads = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]])) if len(d) else np.zeros(0, np.int64)
-    return pa.table([pa.array(d[heads], pa.int64()), pa.array([x.tobytes() for x in np.split(h, heads[1:])] if len(d) else [], pa.binary())], names=["_k2", "hashes"])
+    heads = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    sizes = np.diff(np.append(heads, len(h)))
+    several = np.repeat(sizes > 1, sizes)
+    h, d, many = h[several], d[several], np.repeat(sizes > hot, sizes)[several]
+    by = np.lexsort((h, many, d))
+    h, d, many = h[by], d[by], many[by]
+    heads = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (many[1:] != many[:-1])])) if len(d) else np.zeros(0, np.int64)
+    parts = [x.tobytes() for x in np.split(h, heads[1:])] if len(d) else []
+    return pa.table([pa.array(d[heads], pa.int64()), pa.array(parts, pa.binary()), pa.array(many[heads], pa.bool_())], names=["_k2", "hashes", "hot"])
 
 
 def _contexts(raw: bytes, places: np.ndarray) -> list[bytes]:
@@ -185,63 +188,99 @@ def _wanted(raws: list[bytes], lists: list[list[bytes] | None]) -> tuple[np.ndar
     return text[keep], place[keep], h[keep]
 
 
-def send_contexts(rows: DataFrame) -> DataFrame:
-    """Of rows ``_k, _t, lists``: ``anchor, ctx, body, least, docs`` for each distinct context of a batch (the smallest
-    id and the number of its documents), and ``ctx, doc`` for each document that has it (``body`` is null there)."""
+def _inflated(column: pa.Array) -> list[bytes]:
+    inflate = zs.ZstdDecompressor().decompress
+    return [inflate(z) for z in column.to_pylist()]
+
+
+def send_bodies(rows: DataFrame, hot: bool, ranges: int) -> DataFrame:
+    """Of rows ``_k, _z, lists, hots``: ``part, body, least, docs`` for each distinct context of a batch: the context, the
+    smallest id that has it and the number of its documents. Contexts of an anchor share their part."""
+    source = "hots" if hot else "lists"
 
     def maker():
         def run(batch: pa.RecordBatch):
-            raws, ids = _raws(batch.column("_t")), batch.column("_k").to_pylist()
-            text, place, h = _wanted(raws, batch.column("lists").to_pylist())
-            least: dict[bytes, list] = {}
-            has: set[tuple[bytes, int]] = set()
+            lists = batch.column(source).to_pylist()
+            chosen = [i for i, x in enumerate(lists) if x]
+            if not chosen:
+                return None
+            raws = _inflated(batch.column("_z").take(pa.array(chosen)))
+            ids = batch.column("_k").take(pa.array(chosen)).to_pylist()
+            text, place, h = _wanted(raws, [lists[i] for i in chosen])
+            part = (((h >> np.uint64(16)) * np.uint64(ranges)) >> np.uint64(32)).tolist()
+            seen: dict[bytes, list] = {}
             bounds = np.searchsorted(text, np.arange(len(raws) + 1))
             for i, raw in enumerate(raws):
-                a, b = bounds[i], bounds[i + 1]
-                for body, anchor in zip(_contexts(raw, place[a:b]), h[a:b].tolist(), strict=True):
-                    digest = xxhash.xxh3_128_digest(body)
-                    known = least.setdefault(digest, [anchor, body, ids[i], 0])
-                    known[2] = min(known[2], ids[i])
-                    has.add((digest, ids[i]))
-            n, m = len(least), len(has)
-            for digest, _ in has:
-                least[digest][3] += 1
-            if not n:
-                return None
-            owners = sorted(has, key=lambda x: x[1])
-            return [
-                [v[0] for v in least.values()] + [None] * m, list(least) + [c for c, _ in owners], [v[1] for v in least.values()] + [None] * m,
-                [v[2] for v in least.values()] + [None] * m, [v[3] for v in least.values()] + [None] * m, [None] * n + [d for _, d in owners],
-            ]
+                for body, which in zip(set_of(raw, place[bounds[i] : bounds[i + 1]]), part[bounds[i] : bounds[i + 1]], strict=True):
+                    known = seen.setdefault(body, [which, ids[i], None, 0])
+                    known[1] = min(known[1], ids[i])
+                    if known[2] != i:
+                        known[2], known[3] = i, known[3] + 1
+            return [[v[0] for v in seen.values()], list(seen), [v[1] for v in seen.values()], [v[3] for v in seen.values()]] if seen else None
+
+        return run
+
+    set_of = _contexts
+    return map_batches(rows.select("_k", "_z", source), maker, "part int, body binary, least long, docs int", BATCH // 4)
+
+
+def send_owners(rows: DataFrame) -> DataFrame:
+    """``ctx, doc`` (a context's digest) for every shared context of every document."""
+
+    def maker():
+        def run(batch: pa.RecordBatch):
+            raws, ids = _inflated(batch.column("_z")), batch.column("_k").to_pylist()
+            lists = [(a or []) + (b or []) for a, b in zip(batch.column("lists").to_pylist(), batch.column("hots").to_pylist(), strict=True)]
+            text, place, _ = _wanted(raws, lists)
+            bounds = np.searchsorted(text, np.arange(len(raws) + 1))
+            ctx, doc = [], []
+            for i, raw in enumerate(raws):
+                own = {xxhash.xxh3_128_digest(b) for b in _contexts(raw, place[bounds[i] : bounds[i + 1]])}
+                ctx += own
+                doc += [ids[i]] * len(own)
+            return [ctx, doc] if ctx else None
 
         return run
 
-    return map_batches(rows, maker, "anchor long, ctx binary, body binary, least long, docs long, doc long", BATCH)
+    return map_batches(rows.select("_k", "_z", "lists", "hots"), maker, "ctx binary, doc long", BATCH // 4)
+
+
+def _runs(seen: np.ndarray) -> bytes:
+    """A row of smallest ids as runs: the value, then how often it repeats."""
+    heads = np.flatnonzero(np.concatenate([[True], seen[1:] != seen[:-1]]))
+    return np.stack([seen[heads], np.diff(np.append(heads, len(seen)))]).T.astype("<i8").tobytes()
 
 
 def _classed(table: pa.Table) -> pa.Table:
-    """For the contexts of some anchors: the smallest id that has each window, from 0 to LEFT bytes before the anchor."""
+    """For the contexts of some anchors: the smallest id that has each window, from 0 to LEFT bytes before the anchor.
+    Contexts that tell nobody anything are left out."""
     seen: dict[bytes, list] = {}
-    for ctx, anchor, body, least in zip(*(table.column(c).to_pylist() for c in ("ctx", "anchor", "body", "least")), strict=True):
-        known = seen.setdefault(ctx, [anchor, body, least, 0])
-        known[2] = min(known[2], least)
-    names, rows = list(seen), list(seen.values())
-    n = len(rows)
-    anchor, least = np.array([r[0] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
+    for body, least, docs in zip(*(table.column(c).to_pylist() for c in ("body", "least", "docs")), strict=True):
+        known = seen.setdefault(body, [least, 0])
+        known[0] = min(known[0], least)
+        known[1] += docs
+    bodies = list(seen)
+    n = len(bodies)
+    least, docs = (np.array([v[i] for v in seen.values()], np.int64) for i in (0, 1))
     right, left = np.zeros((n, LENGTH), np.uint8), np.zeros((n, LEFT), np.uint8)
     rights, lefts = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    for i, (_, body, _, _) in enumerate(rows):
+    for i, body in enumerate(bodies):
         k = body[0]
         lefts[i], rights[i] = k, len(body) - 1 - k
         left[i, :k] = np.frombuffer(body, np.uint8, k, 1)[::-1]
         right[i, : rights[i]] = np.frombuffer(body, np.uint8, rights[i], 1 + k)
+    # an anchor's gram starts the right side, so that the sort itself tells anchors apart
+    order, lcp = deep_shallow(right, rights, np.zeros(n, np.int64))
+    gram = np.empty(n, np.int64)
+    gram[order] = np.cumsum((lcp < GRAM) | (lcp < 0))
+    alone = np.bincount(gram, minlength=n + 1)[gram] == 1
     out = np.full((n, LEFT + 1), NO_ID, np.int64)
-    orders = [deep_shallow(right, rights, anchor), deep_shallow(left, lefts, anchor)]
+    orders = [(order, lcp), deep_shallow(left, lefts, gram)]
     for j in range(LEFT + 1):
         classes = []
-        for (order, lcp), need in zip(orders, (LENGTH - j, j), strict=True):
+        for (by, common), need in zip(orders, (LENGTH - j, j), strict=True):
             c = np.empty(n, np.int64)
-            c[order] = np.cumsum((lcp < need) | (lcp < 0))
+            c[by] = np.cumsum((common < need) | (common < 0))
             classes.append(c)
         fit = np.flatnonzero((rights >= LENGTH - j) & (lefts >= j))
         if len(fit):
@@ -249,17 +288,18 @@ def _classed(table: pa.Table) -> pa.Table:
             best = np.full(of.max() + 1, NO_ID, np.int64)
             np.minimum.at(best, of, least[fit])
             out[fit, j] = best[of]
-    return pa.table([pa.array(names, pa.binary()), pa.array([x.tobytes() for x in out], pa.binary())], names=["ctx", "seen"])
+    useful = np.flatnonzero((docs > 1) | (~alone & (out < least[:, None]).any(1)))
+    return pa.table([pa.array([xxhash.xxh3_128_digest(bodies[i]) for i in useful], pa.binary()), pa.array([_runs(out[i]) for i in useful], pa.binary())], names=["ctx", "seen"])
 
 
 def _hashed(bodies: DataFrame) -> DataFrame:
-    """The same as ``_classed`` by hashes of the windows, for anchors of too many contexts."""
+    """The same as ``_classed`` by hashes of the windows, for anchors that many texts have."""
 
     def maker():
         def run(batch: pa.RecordBatch):
             out = [[], [], [], []]
-            for ctx, body, least in zip(*(batch.column(c).to_pylist() for c in ("ctx", "body", "least")), strict=True):
-                k = body[0]
+            for body, least in zip(*(batch.column(c).to_pylist() for c in ("body", "least")), strict=True):
+                k, ctx = body[0], xxhash.xxh3_128_digest(body)
                 for j in range(k + 1):
                     if 1 + k - j + LENGTH <= len(body):
                         for c, v in zip(out, (ctx, j, xxhash.xxh3_128_digest(body[1 + k - j : 1 + k - j + LENGTH]), least), strict=True):
@@ -268,7 +308,7 @@ def _hashed(bodies: DataFrame) -> DataFrame:
 
         return run
 
-    w = map_batches(bodies.select("ctx", "body", "least"), maker, "ctx binary, j int, w binary, least long", BATCH // 4)
+    w = map_batches(bodies.select("body", "least"), maker, "ctx binary, j int, w binary, least long", BATCH // 4)
     best = w.groupBy("j", "w").agg(F.min("least").alias("m"))
     each = w.select("ctx", "j", "w").distinct().join(best, ["j", "w"]).groupBy("ctx").agg(F.map_from_entries(F.collect_list(F.struct("j", "m"))).alias("m"))
 
@@ -279,7 +319,7 @@ def _hashed(bodies: DataFrame) -> DataFrame:
                 row = np.full(LEFT + 1, NO_ID, np.int64)
                 for j, v in m:
                     row[j] = v
-                rows.append(row.tobytes())
+                rows.append(_runs(row))
             return [batch.column("ctx"), rows]
 
         return run
@@ -287,32 +327,51 @@ def _hashed(bodies: DataFrame) -> DataFrame:
     return map_batches(each, writer, "ctx binary, seen binary", BATCH)
 
 
-def remove(docs: DataFrame, text: str = "text", key: str = "doc_id", range_bytes: int = 16_000_000, most_contexts: int = 200_000) -> DataFrame:
+def send_texts(base: DataFrame) -> DataFrame:
+    """``_o, _k, _z, _h``: the texts compressed, as they are shuffled, and their digests."""
+
+    def maker():
+        def run(batch: pa.RecordBatch):
+            raws = _raws(batch.column("_t"))
+            c = zs.ZstdCompressor(level=3)
+            return [batch.column("_o"), batch.column("_k"), [c.compress(r) for r in raws], [hashlib.md5(r, usedforsecurity=False).digest() for r in raws]]
+
+        return run
+
+    kind = base.schema["_o"].dataType.simpleString()
+    return map_batches(base, maker, f"_o {kind}, _k long, _z binary, _h binary", BATCH)
+
+
+def remove(docs: DataFrame, text: str = "text", key: str = "doc_id", range_bytes: int = 16_000_000, hot: int = 50_000, most_copies: int = 1_000_000) -> DataFrame:
     """``key, n_bytes, n_removed, n_spans, kept`` (the remaining bytes) for every row of ``docs``."""
     base = docs.select(F.col(key).alias("_o"), F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("_k"), F.col(text).alias("_t"))
     size = base.agg(F.sum(F.octet_length("_t"))).first()[0] or 0
     ranges = int(size // range_bytes) + 1
 
-    lists = send_anchors(base.select("_k", "_t"), ranges).groupBy("range").applyInArrow(_shared, "_k2 long, hashes binary")
-    lists = lists.groupBy("_k2").agg(F.collect_list("hashes").alias("lists"))
-    rows = base.select("_k", "_t").join(lists, F.col("_k") == F.col("_k2")).select("_k", "_t", "lists")
-    sent = cut(send_contexts(rows))
+    # texts that a smaller id has too: they go whole and take no part in what follows
+    digest = F.unhex(F.md5(F.coalesce("_t", F.lit(""))))
+    narrow = base.select("_k", digest.alias("_h"), F.octet_length("_t").alias("_n")).filter(F.col("_n") >= LENGTH).select("_k", "_h")
+    first = narrow.groupBy("_h").agg(F.min("_k").alias("least"), F.max("_k").alias("most")).filter("least < most").drop("most")
+    copies = cut(narrow.join(first, "_h").filter("_k > least").select("_k", "_h").distinct())
+    small = copies.count() <= most_copies
+    reps = base.select("_k", "_t", digest.alias("_h")).join(F.broadcast(copies) if small else copies, ["_k", "_h"], "left_anti")
 
-    bodies = sent.filter(F.col("body").isNotNull())
-    counts = bodies.groupBy("anchor").agg(F.count("*").alias("c"), F.sum("docs").alias("d")).filter("d > 1").drop("d")
-    parted = bodies.join(counts, "anchor")
-    part = F.pmod(F.xxhash64("anchor"), F.lit(ranges))
-    seen = parted.filter(F.col("c") <= most_contexts).withColumn("part", part).select("part", "ctx", "anchor", "body", "least").groupBy("part").applyInArrow(_classed, "ctx binary, seen binary")
-    if not counts.filter(F.col("c") > most_contexts).isEmpty():
-        seen = seen.unionByName(_hashed(parted.filter(F.col("c") > most_contexts)))
+    found = send_anchors(reps.select("_k", "_t"), ranges).groupBy("range").applyInArrow(lambda t: _shared(t, hot), "_k2 long, hashes binary, hot boolean")
+    lists = found.groupBy("_k2").agg(F.collect_list(F.when(~F.col("hot"), F.col("hashes"))).alias("lists"), F.collect_list(F.when(F.col("hot"), F.col("hashes"))).alias("hots"))
+    texts = send_texts(base)
+    rows = texts.join(lists, F.col("_k") == F.col("_k2")).select("_k", "_z", "lists", "hots")
 
-    marks = sent.filter(F.col("doc").isNotNull()).select("ctx", "doc").join(seen, "ctx")
+    seen = send_bodies(rows, False, ranges).groupBy("part").applyInArrow(_classed, "ctx binary, seen binary")
+    seen = seen.unionByName(_hashed(send_bodies(rows, True, ranges)))
+    marks = send_owners(rows).join(seen, "ctx")
 
     def masker():
         def run(batch: pa.RecordBatch):
             if not batch.num_rows:
                 return None
-            seen = np.frombuffer(b"".join(batch.column("seen").to_pylist()), np.int64).reshape(batch.num_rows, LEFT + 1)
+            runs = [np.frombuffer(x, "<i8").reshape(-1, 2) for x in batch.column("seen").to_pylist()]
+            flat = np.concatenate(runs)
+            seen = np.repeat(flat[:, 0], flat[:, 1]).reshape(batch.num_rows, LEFT + 1)
             mask = ((seen < batch.column("doc").to_numpy()[:, None]) << np.arange(LEFT + 1)).sum(1)
             some = np.flatnonzero(mask)
             return [batch.column("doc").take(pa.array(some)), batch.column("ctx").take(pa.array(some)), mask[some]] if len(some) else None
@@ -321,17 +380,14 @@ def remove(docs: DataFrame, text: str = "text", key: str = "doc_id", range_bytes
 
     masks = map_batches(marks, masker, "doc long, ctx binary, mask long").groupBy("doc").agg(F.collect_list(F.struct("ctx", "mask")).alias("marks"))
 
-    # texts that a smaller id has too
-    narrow = base.select("_k", F.md5("_t").alias("_h"), F.octet_length("_t").alias("_n")).filter(F.col("_n") >= LENGTH)
-    first = narrow.groupBy("_h", "_n").agg(F.min("_k").alias("least"), F.max("_k").alias("most")).filter("least < most").drop("most")
-    copies = narrow.join(first, ["_h", "_n"]).filter("_k > least").select(F.col("_k").alias("doc"), "_h").distinct().groupBy("doc").agg(F.collect_list("_h").alias("copied"))
-    info = masks.join(copies, "doc", "full")
-    joined = base.join(info, F.col("_k") == F.col("doc"), "left").select("_o", "_t", F.coalesce(F.array_contains("copied", F.md5("_t")), F.lit(False)).alias("copy"), "marks")
+    gone = copies.groupBy(F.col("_k").alias("doc")).agg(F.collect_list("_h").alias("copied"))
+    info = masks.join(gone, "doc", "full")
+    joined = texts.join(info, F.col("_k") == F.col("doc"), "left").select("_o", "_z", F.coalesce(F.array_contains("copied", F.col("_h")), F.lit(False)).alias("copy"), "marks")
 
     def cutter():
         def run(batch: pa.RecordBatch):
             out = [[], [], [], []]
-            raws = _raws(batch.column("_t"))
+            raws = _inflated(batch.column("_z"))
             marks = [{m["ctx"]: m["mask"] for m in ms} if ms else None for ms in batch.column("marks").to_pylist()]
             chosen = [i for i, m in enumerate(marks) if m]
             places = dict.fromkeys(range(len(raws)))
@@ -360,7 +416,7 @@ def remove(docs: DataFrame, text: str = "text", key: str = "doc_id", range_bytes
         return run
 
     kind = docs.schema[key].dataType.simpleString()
-    return map_batches(joined, cutter, f"_o {kind}, n_bytes long, n_removed long, n_spans long, kept binary", BATCH).withColumnRenamed("_o", key)
+    return map_batches(joined, cutter, f"_o {kind}, n_bytes long, n_removed long, n_spans long, kept binary", BATCH // 4).withColumnRenamed("_o", key)
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
