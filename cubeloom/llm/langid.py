@@ -31,9 +31,10 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def _grams(words: list[str], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _grams(words: list[str], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For every character of each word and its closing space: hashes of the 0- to ``order``-grams that end there
-    (row n), how long a gram may be there, and the word's number. A word's history starts at the space before it."""
+    (row n), the same for the character before, how long a gram may be there, and the word's number. A word's history
+    starts at the space before it."""
     text = " " + " ".join(words) + " "
     code = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
     space = code == 32
@@ -50,7 +51,7 @@ def _grams(words: list[str], order: int) -> tuple[np.ndarray, np.ndarray, np.nda
     hashes = np.stack([_mixed(sums[k] + np.uint64(k * _SALT % _WORD)) for k in range(order + 1)])
     word = np.cumsum(space) - 1
     word = np.where(space, word - 1, word)
-    return hashes[:, 1:], room[1:], word[1:]
+    return hashes[:, 1:], hashes[:, :-1], room[1:], word[1:]
 
 
 @dataclass
@@ -65,9 +66,8 @@ class CharModel:
     contexts: list[np.ndarray]
     backs: list[np.ndarray]
 
-    def score(self, hashes: np.ndarray, room: np.ndarray) -> np.ndarray:
+    def score(self, hashes: np.ndarray, previous: np.ndarray, room: np.ndarray) -> np.ndarray:
         """The log-probability of each character."""
-        previous = np.concatenate([np.zeros((len(hashes), 1), np.uint64), hashes[:, :-1]], axis=1)
         out = np.full(hashes.shape[1], self.floor)
         for n in range(1, self.order + 1):
             at = np.flatnonzero(room >= n)
@@ -91,9 +91,8 @@ def _found(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default: fl
 def train(words: list[str], counts: np.ndarray, order: int = ORDER) -> CharModel:
     """Interpolated Kneser-Ney: raw counts at the longest grams and at those that start a word, elsewhere the number of
     different characters seen before."""
-    hashes, room, word = _grams(words, order)
+    hashes, previous, room, word = _grams(words, order)
     weight = counts[word].astype(float)
-    previous = np.concatenate([np.zeros((order + 1, 1), np.uint64), hashes[:, :-1]], axis=1)
     alphabet = max(2, len(np.unique(hashes[1])))
     floor = -np.log(alphabet)
     keys, logs = [np.zeros(0, np.uint64)] * (order + 1), [np.zeros(0)] * (order + 1)
@@ -160,10 +159,10 @@ class Scorer:
                 words.append(w)
         rows = np.zeros((len(tokens), len(self.names) + 1))
         if words:
-            hashes, room, word = _grams(words, ORDER)
+            hashes, previous, room, word = _grams(words, ORDER)
             of = np.array(owner)[word]
             for j, name in enumerate(self.names):
-                rows[:, j] = np.bincount(of, self.models[name].score(hashes, room), len(tokens))
+                rows[:, j] = np.bincount(of, self.models[name].score(hashes, previous, room), len(tokens))
             rows[:, -1] = np.bincount(of, minlength=len(tokens))
         self.table = np.concatenate([self.table, rows])
 
