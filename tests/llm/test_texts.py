@@ -42,7 +42,7 @@ def test_secret_scan_and_redaction(spark):
     long = "x" * 200_000 + " token = abcdef123456 " + "y" * 200_000
     df = spark.createDataFrame([(1, None), (2, ""), (3, "token: abcdef99 and token: abcdef99"), (4, long), (None, "secret=abcdefgh")], "doc_id long, text string").withColumn("found", F.lit("clash"))
     got = {r["doc_id"]: secrets.joined([(x["start"], secrets.KINDS.index(x["kind"]), x["stop"]) for x in r["found"]]) for r in secrets.scan(df).collect()}
-    assert got == {1: "", 2: "", 3: "assign:0:15,assign:20:35", 4: "assign:200001:221".replace("221", "200021"), None: "assign:0:15"}
+    assert got == {1: "", 2: "", 3: "assign:0:15,assign:20:35", 4: "assign:200001:200021", None: "assign:0:15"}
     clean = {r["doc_id"]: r["text"] for r in secrets.redact(df).collect()}
     assert clean[3] == "[SECRET] and [SECRET]" and clean[1] is None and clean[2] == "" and len(clean[4]) == len(long) - 20 + 8
     assert secrets.scan(df.filter("doc_id > 9")).isEmpty()
@@ -100,9 +100,8 @@ def test_character_model_sums_to_one():
     for history in ("", "a", "ab", "abb"):
         total = 0.0
         for c in ["a", "b", "c", " "]:
-            word = (history + c).strip(" ") if c == " " else history + c
-            hashes, room, _ = langid._grams([word], langid.ORDER)
-            total += np.exp(model.score(hashes, room)[len(history)])
+            hashes, previous, room, _ = langid._grams([history if c == " " else history + c], langid.ORDER)
+            total += np.exp(model.score(hashes, previous, room)[len(history)])
         assert total == pytest.approx(1, abs=1e-6)
 
 
