@@ -235,7 +235,7 @@ SQL = {
     "split_semi_join": q("SELECT r0, c0 FROM slide WHERE EXISTS (SELECT 1 FROM split WHERE split = 1 AND r0 < ci * 16 + 16 AND r0 + 16 > ci * 16 AND c0 < cj * 16 + 16 AND c0 + 16 > cj * 16)", f"{RATIO}, {SLIDE}"),
     "split_chip_jitter": q("""SELECT ci, cj, split, greatest(0, least(ci * 16 + CAST('0x' || substr(md5('r_' || ci || '_' || cj), 1, 6) AS BIGINT) % 8 - 4, height - 16)) AS r0,
       greatest(0, least(cj * 16 + CAST('0x' || substr(md5('c_' || ci || '_' || cj), 1, 6) AS BIGINT) % 8 - 4, 48)) AS c0 FROM split, hh""", RATIO),
-    "latitude_band_counts": q("SELECT CAST(r // (height // 20) AS INTEGER) AS band, split, count(*) AS n FROM pids, hh, split WHERE ci = r // 16 AND cj = c // 16 AND r // (height // 20) < 20 GROUP BY 1, 2", RATIO),
+    "latitude_band_counts": q("SELECT CAST(r // nullif(height // 20, 0) AS INTEGER) AS band, split, count(*) AS n FROM pids, hh, split WHERE ci = r // 16 AND cj = c // 16 AND r // nullif(height // 20, 0) < 20 GROUP BY 1, 2", RATIO),
     "hm_stats": q("SELECT round(avg(hm), 9) AS mean, round(stddev_pop(hm) + 1e-8, 9) AS std FROM pix"),
     "layer_stats": q("SELECT layer, round(mean, 6) AS mean, round(std, 6) AS std FROM stats"),
     "fallback_stats": q("SELECT coalesce(avg(hm), 0.0::DOUBLE) AS mean, coalesce(stddev_pop(hm), 1.0::DOUBLE) AS std FROM pix WHERE yr > 2020"),
