@@ -52,10 +52,27 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
                 columns = f(piece)
                 if columns is not None:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, to, strict=True)], schema=to)
+                    del columns
+            del batch
+        del f
+        released()
 
     return df.mapInArrow(run, fields)
 
 
+def released() -> None:
+    """Give freed memory back to the system: a worker that waits for its next task keeps none of the last one's."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 def pieces(batch: pa.RecordBatch, most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about ``most`` bytes (a row is never cut)."""
     n = batch.num_rows

@@ -11,7 +11,7 @@ sorted where a repeat is possible:
 3. Sorting. Contexts of an anchor are sorted to the right as suffixes and to the left reversed, by deep-shallow sorting.
    Cutting both orders at the prefix lengths j and 50 - j gives the classes of contexts that share the window starting
    j bytes before the anchor; the smallest id of a class tells which documents have seen that window before. Contexts of
-   an anchor that has too many for one task are classed by hashes of their windows instead, in DataFrame aggregates.
+   an anchor that very many texts have are classed by hashes of their windows instead, in DataFrame aggregates.
 4. Marks. Each context's smallest ids go back to its documents, which cover the windows and drop what is covered.
 
 Defined results: a null text is empty. A text equal to one of a smaller id goes whole if it has 50 bytes. Rows that share
@@ -31,7 +31,7 @@ import zstandard as zs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cubeloom.llm.common import cut, map_batches, pieces, read
+from cubeloom.llm.common import cut, map_batches, pieces, read, released
 from cubeloom.llm.shingles import mixed
 from cubeloom.llm.suffixes import deep_shallow
 from cubeloom.session import ship
@@ -40,7 +40,7 @@ LENGTH, GRAM = 50, 24
 LEFT = LENGTH - GRAM
 SPAN = LENGTH - GRAM + 1
 NO_ID = (1 << 63) - 1
-BATCH = 2_000_000
+BATCH = 800_000
 _rng = np.random.Generator(np.random.PCG64(99))
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = int(_rng.integers(1 << 40, 1 << 62)) * 2 + 1
@@ -69,11 +69,13 @@ def anchors(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     h = _BYTE[b]
     for n in (1, 2, 4):
         h = h[:-n] + h[n:] * _times(n)  # grams of 2, 4 and 8
-    h16 = h[:-8] + h[8:] * _times(8)
-    h = mixed(h16[: len(b) - GRAM + 1] + h[16 : 16 + len(b) - GRAM + 1] * _times(16))
+    wide = h[:-8] + h[8:] * _times(8)
+    h = mixed(wide[: len(b) - GRAM + 1] + h[16 : 16 + len(b) - GRAM + 1] * _times(16))
+    del wide
     least = _sliding(h, SPAN, np.minimum)
     room = np.repeat(ends, sizes)[: len(least)] - np.arange(len(least))
     least[room < LENGTH] = 0  # such a window leaves its text
+    del room
     # a gram is an anchor if it is the least of any window it is in; no such window has a larger least
     padded = np.concatenate([np.zeros(SPAN - 1, np.uint64), least, np.zeros(len(h) - len(least), np.uint64)])
     at = np.flatnonzero((_sliding(padded, SPAN, np.maximum) == h) & (h > 0))
@@ -126,7 +128,7 @@ def send_anchors(docs: DataFrame, ranges: int) -> DataFrame:
                     by = np.lexsort((h, text))
                     text, h = text[by], h[by]
                     once = np.concatenate([[True], (text[1:] != text[:-1]) | (h[1:] != h[:-1])])
-                    found.append((h[once], np.array(owner)[text[once]]))
+                    found.append((h[once], np.array(owner, np.uint32)[text[once]]))
         if not found:
             return
         h, owner = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
@@ -140,8 +142,10 @@ def send_anchors(docs: DataFrame, ranges: int) -> DataFrame:
             if cuts[r] < cuts[r + 1]:
                 texts, local = np.unique(owner[cuts[r] : cuts[r + 1]], return_inverse=True)
                 squeeze = zs.ZstdCompressor(level=1).compress
-                row = [[r], [_packed(h[cuts[r] : cuts[r + 1]])], [squeeze(np.ascontiguousarray(local.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())], [squeeze(all_ids[texts].tobytes())]]
+                row = [[r], [_packed(h[cuts[r] : cuts[r + 1]])], [squeeze(np.ascontiguousarray(local.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())], [_packed(all_ids[texts].view(np.uint64))]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(row, schema, strict=True)], names=names)
+        del h, owner, by, which
+        released()
 
     ship(docs.sparkSession)
     return docs.mapInArrow(run, "range int, hashes binary, owners binary, ids binary")
@@ -154,7 +158,7 @@ def _shared(table: pa.Table, hot: int) -> pa.Table:
     for h, o, i in zip(*(table.column(c).to_pylist() for c in ("hashes", "owners", "ids")), strict=True):
         hashes.append(_unpacked(h))
         local = np.ascontiguousarray(np.frombuffer(inflate(o), np.uint8).reshape(4, -1).T).view("<u4").ravel()
-        docs.append(np.frombuffer(inflate(i), np.int64)[local])
+        docs.append(_unpacked(i).view(np.int64)[local])
     h, d = np.concatenate(hashes), np.concatenate(docs)
     del hashes, docs
     by = np.argsort(h, kind="stable")
@@ -193,14 +197,12 @@ def _inflated(column: pa.Array) -> list[bytes]:
     return [inflate(z) for z in column.to_pylist()]
 
 
-def send_bodies(rows: DataFrame, hot: bool, ranges: int) -> DataFrame:
-    """Of rows ``_k, _z, lists, hots``: ``part, body, least, docs`` for each distinct context of a batch: the context, the
-    smallest id that has it and the number of its documents. Contexts of an anchor share their part."""
-    source = "hots" if hot else "lists"
-
+def send_bodies(rows: DataFrame, ranges: int) -> DataFrame:
+    """Of rows ``_k, _z, lists``: ``part, body, docs`` for each distinct context of a batch: the context and the
+    documents that have it. Contexts of an anchor share their part."""
     def maker():
         def run(batch: pa.RecordBatch):
-            lists = batch.column(source).to_pylist()
+            lists = batch.column("lists").to_pylist()
             chosen = [i for i, x in enumerate(lists) if x]
             if not chosen:
                 return None
@@ -208,60 +210,57 @@ def send_bodies(rows: DataFrame, hot: bool, ranges: int) -> DataFrame:
             ids = batch.column("_k").take(pa.array(chosen)).to_pylist()
             text, place, h = _wanted(raws, [lists[i] for i in chosen])
             part = (((h >> np.uint64(16)) * np.uint64(ranges)) >> np.uint64(32)).tolist()
-            seen: dict[bytes, list] = {}
+            seen: dict[bytes, tuple[int, list[int]]] = {}
             bounds = np.searchsorted(text, np.arange(len(raws) + 1))
             for i, raw in enumerate(raws):
-                for body, which in zip(set_of(raw, place[bounds[i] : bounds[i + 1]]), part[bounds[i] : bounds[i + 1]], strict=True):
-                    known = seen.setdefault(body, [which, ids[i], None, 0])
-                    known[1] = min(known[1], ids[i])
-                    if known[2] != i:
-                        known[2], known[3] = i, known[3] + 1
-            return [[v[0] for v in seen.values()], list(seen), [v[1] for v in seen.values()], [v[3] for v in seen.values()]] if seen else None
+                for body, which in zip(_contexts(raw, place[bounds[i] : bounds[i + 1]]), part[bounds[i] : bounds[i + 1]], strict=True):
+                    docs = seen.setdefault(body, (which, []))[1]
+                    if not docs or docs[-1] != ids[i]:
+                        docs.append(ids[i])
+            return [[v[0] for v in seen.values()], list(seen), [v[1] for v in seen.values()]] if seen else None
 
         return run
 
-    set_of = _contexts
-    return map_batches(rows.select("_k", "_z", source), maker, "part int, body binary, least long, docs int", BATCH // 4)
+    return map_batches(rows.select("_k", "_z", "lists"), maker, "part int, body binary, docs array<long>", BATCH // 2)
 
 
-def send_owners(rows: DataFrame) -> DataFrame:
-    """``ctx, doc`` (a context's digest) for every shared context of every document."""
+def send_windows(rows: DataFrame) -> DataFrame:
+    """``doc, ctx, j, w`` for the anchors that many texts have: a context's window from j bytes before its anchor."""
 
     def maker():
         def run(batch: pa.RecordBatch):
-            raws, ids = _inflated(batch.column("_z")), batch.column("_k").to_pylist()
-            lists = [(a or []) + (b or []) for a, b in zip(batch.column("lists").to_pylist(), batch.column("hots").to_pylist(), strict=True)]
-            text, place, _ = _wanted(raws, lists)
+            lists = batch.column("hots").to_pylist()
+            chosen = [i for i, x in enumerate(lists) if x]
+            if not chosen:
+                return None
+            raws = _inflated(batch.column("_z").take(pa.array(chosen)))
+            ids = batch.column("_k").take(pa.array(chosen)).to_pylist()
+            text, place, _ = _wanted(raws, [lists[i] for i in chosen])
             bounds = np.searchsorted(text, np.arange(len(raws) + 1))
-            ctx, doc = [], []
+            out: tuple[list, list, list, list] = ([], [], [], [])
             for i, raw in enumerate(raws):
-                own = {xxhash.xxh3_128_digest(b) for b in _contexts(raw, place[bounds[i] : bounds[i + 1]])}
-                ctx += own
-                doc += [ids[i]] * len(own)
-            return [ctx, doc] if ctx else None
+                for body in set(_contexts(raw, place[bounds[i] : bounds[i + 1]])):
+                    k, ctx = body[0], xxhash.xxh3_128_digest(body)
+                    for j in range(k + 1):
+                        if 1 + k - j + LENGTH <= len(body):
+                            for column, v in zip(out, (ids[i], ctx, j, xxhash.xxh3_128_digest(body[1 + k - j : 1 + k - j + LENGTH])), strict=True):
+                                column.append(v)
+            return out if out[0] else None
 
         return run
 
-    return map_batches(rows.select("_k", "_z", "lists", "hots"), maker, "ctx binary, doc long", BATCH // 4)
-
-
-def _runs(seen: np.ndarray) -> bytes:
-    """A row of smallest ids as runs: the value, then how often it repeats."""
-    heads = np.flatnonzero(np.concatenate([[True], seen[1:] != seen[:-1]]))
-    return np.stack([seen[heads], np.diff(np.append(heads, len(seen)))]).T.astype("<i8").tobytes()
+    return map_batches(rows.select("_k", "_z", "hots"), maker, "doc long, ctx binary, j int, w binary", BATCH // 2)
 
 
 def _classed(table: pa.Table) -> pa.Table:
-    """For the contexts of some anchors: the smallest id that has each window, from 0 to LEFT bytes before the anchor.
-    Contexts that tell nobody anything are left out."""
-    seen: dict[bytes, list] = {}
-    for body, least, docs in zip(*(table.column(c).to_pylist() for c in ("body", "least", "docs")), strict=True):
-        known = seen.setdefault(body, [least, 0])
-        known[0] = min(known[0], least)
-        known[1] += docs
+    """For the contexts of some anchors: each document that has one, and which of its windows, from 0 to LEFT bytes before
+    the anchor, a smaller id has too (as bits)."""
+    seen: dict[bytes, list[int]] = {}
+    for body, docs in zip(table.column("body").to_pylist(), table.column("docs").to_pylist(), strict=True):
+        seen.setdefault(body, []).extend(docs)
     bodies = list(seen)
     n = len(bodies)
-    least, docs = (np.array([v[i] for v in seen.values()], np.int64) for i in (0, 1))
+    least = np.array([min(v) for v in seen.values()], np.int64)
     right, left = np.zeros((n, LENGTH), np.uint8), np.zeros((n, LEFT), np.uint8)
     rights, lefts = np.zeros(n, np.int64), np.zeros(n, np.int64)
     for i, body in enumerate(bodies):
@@ -273,7 +272,6 @@ def _classed(table: pa.Table) -> pa.Table:
     order, lcp = deep_shallow(right, rights, np.zeros(n, np.int64))
     gram = np.empty(n, np.int64)
     gram[order] = np.cumsum((lcp < GRAM) | (lcp < 0))
-    alone = np.bincount(gram, minlength=n + 1)[gram] == 1
     out = np.full((n, LEFT + 1), NO_ID, np.int64)
     orders = [(order, lcp), deep_shallow(left, lefts, gram)]
     for j in range(LEFT + 1):
@@ -288,43 +286,19 @@ def _classed(table: pa.Table) -> pa.Table:
             best = np.full(of.max() + 1, NO_ID, np.int64)
             np.minimum.at(best, of, least[fit])
             out[fit, j] = best[of]
-    useful = np.flatnonzero((docs > 1) | (~alone & (out < least[:, None]).any(1)))
-    return pa.table([pa.array([xxhash.xxh3_128_digest(bodies[i]) for i in useful], pa.binary()), pa.array([_runs(out[i]) for i in useful], pa.binary())], names=["ctx", "seen"])
-
-
-def _hashed(bodies: DataFrame) -> DataFrame:
-    """The same as ``_classed`` by hashes of the windows, for anchors that many texts have."""
-
-    def maker():
-        def run(batch: pa.RecordBatch):
-            out = [[], [], [], []]
-            for body, least in zip(*(batch.column(c).to_pylist() for c in ("body", "least")), strict=True):
-                k, ctx = body[0], xxhash.xxh3_128_digest(body)
-                for j in range(k + 1):
-                    if 1 + k - j + LENGTH <= len(body):
-                        for c, v in zip(out, (ctx, j, xxhash.xxh3_128_digest(body[1 + k - j : 1 + k - j + LENGTH]), least), strict=True):
-                            c.append(v)
-            return out if out[0] else None
-
-        return run
-
-    w = map_batches(bodies.select("body", "least"), maker, "ctx binary, j int, w binary, least long", BATCH // 4)
-    best = w.groupBy("j", "w").agg(F.min("least").alias("m"))
-    each = w.select("ctx", "j", "w").distinct().join(best, ["j", "w"]).groupBy("ctx").agg(F.map_from_entries(F.collect_list(F.struct("j", "m"))).alias("m"))
-
-    def writer():
-        def run(batch: pa.RecordBatch):
-            rows = []
-            for m in batch.column("m").to_pylist():
-                row = np.full(LEFT + 1, NO_ID, np.int64)
-                for j, v in m:
-                    row[j] = v
-                rows.append(_runs(row))
-            return [batch.column("ctx"), rows]
+    of = np.repeat(np.arange(n), [len(v) for v in seen.values()])
+    doc = np.fromiter((d for v in seen.values() for d in v), np.int64, len(of))
+    mask = np.zeros(len(of), np.int64)
+    for j in range(LEFT + 1):
+        mask |= (out[of, j] < doc).astype(np.int64) << j
+    some = np.flatnonzero(mask)
+    digests = [xxhash.xxh3_128_digest(bodies[i]) for i in of[some]]
+    return pa.table([pa.array(doc[some], pa.int64()), pa.array(digests, pa.binary()), pa.array(mask[some], pa.int64())], names=["doc", "ctx", "mask"])
 
-        return run
 
-    return map_batches(each, writer, "ctx binary, seen binary", BATCH)
+def _then_released(table: pa.Table) -> pa.Table:
+    released()
+    return table
 
 
 def send_texts(base: DataFrame) -> DataFrame:
@@ -342,7 +316,7 @@ def send_texts(base: DataFrame) -> DataFrame:
     return map_batches(base, maker, f"_o {kind}, _k long, _z binary, _h binary", BATCH)
 
 
-def remove(docs: DataFrame, text: str = "text", key: str = "doc_id", range_bytes: int = 16_000_000, hot: int = 50_000, most_copies: int = 1_000_000) -> DataFrame:
+def remove(docs: DataFrame, text: str = "text", key: str = "doc_id", range_bytes: int = 8_000_000, hot: int = 50_000, most_copies: int = 1_000_000) -> DataFrame:
     """``key, n_bytes, n_removed, n_spans, kept`` (the remaining bytes) for every row of ``docs``."""
     base = docs.select(F.col(key).alias("_o"), F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("_k"), F.col(text).alias("_t"))
     size = base.agg(F.sum(F.octet_length("_t"))).first()[0] or 0
@@ -356,29 +330,17 @@ def remove(docs: DataFrame, text: str = "text", key: str = "doc_id", range_bytes
     small = copies.count() <= most_copies
     reps = base.select("_k", "_t", digest.alias("_h")).join(F.broadcast(copies) if small else copies, ["_k", "_h"], "left_anti")
 
-    found = send_anchors(reps.select("_k", "_t"), ranges).groupBy("range").applyInArrow(lambda t: _shared(t, hot), "_k2 long, hashes binary, hot boolean")
+    found = send_anchors(reps.select("_k", "_t"), ranges).groupBy("range").applyInArrow(lambda t: _then_released(_shared(t, hot)), "_k2 long, hashes binary, hot boolean")
     lists = found.groupBy("_k2").agg(F.collect_list(F.when(~F.col("hot"), F.col("hashes"))).alias("lists"), F.collect_list(F.when(F.col("hot"), F.col("hashes"))).alias("hots"))
     texts = send_texts(base)
     rows = texts.join(lists, F.col("_k") == F.col("_k2")).select("_k", "_z", "lists", "hots")
 
-    seen = send_bodies(rows, False, ranges).groupBy("part").applyInArrow(_classed, "ctx binary, seen binary")
-    seen = seen.unionByName(_hashed(send_bodies(rows, True, ranges)))
-    marks = send_owners(rows).join(seen, "ctx")
-
-    def masker():
-        def run(batch: pa.RecordBatch):
-            if not batch.num_rows:
-                return None
-            runs = [np.frombuffer(x, "<i8").reshape(-1, 2) for x in batch.column("seen").to_pylist()]
-            flat = np.concatenate(runs)
-            seen = np.repeat(flat[:, 0], flat[:, 1]).reshape(batch.num_rows, LEFT + 1)
-            mask = ((seen < batch.column("doc").to_numpy()[:, None]) << np.arange(LEFT + 1)).sum(1)
-            some = np.flatnonzero(mask)
-            return [batch.column("doc").take(pa.array(some)), batch.column("ctx").take(pa.array(some)), mask[some]] if len(some) else None
-
-        return run
-
-    masks = map_batches(marks, masker, "doc long, ctx binary, mask long").groupBy("doc").agg(F.collect_list(F.struct("ctx", "mask")).alias("marks"))
+    masks = send_bodies(rows, ranges).groupBy("part").applyInArrow(lambda t: _then_released(_classed(t)), "doc long, ctx binary, mask long")
+    many = send_windows(rows)
+    first_seen = many.groupBy("j", "w").agg(F.min("doc").alias("least"))
+    known = many.join(first_seen, ["j", "w"]).filter("least < doc")
+    masks = masks.unionByName(known.groupBy("doc", "ctx").agg(F.sum(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("j"))).alias("mask")))
+    masks = masks.groupBy("doc").agg(F.collect_list(F.struct("ctx", "mask")).alias("marks"))
 
     gone = copies.groupBy(F.col("_k").alias("doc")).agg(F.collect_list("_h").alias("copied"))
     info = masks.join(gone, "doc", "full")
@@ -416,7 +378,7 @@ def remove(docs: DataFrame, text: str = "text", key: str = "doc_id", range_bytes
         return run
 
     kind = docs.schema[key].dataType.simpleString()
-    return map_batches(joined, cutter, f"_o {kind}, n_bytes long, n_removed long, n_spans long, kept binary", BATCH // 4).withColumnRenamed("_o", key)
+    return map_batches(joined, cutter, f"_o {kind}, n_bytes long, n_removed long, n_spans long, kept binary", BATCH // 2).withColumnRenamed("_o", key)
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
