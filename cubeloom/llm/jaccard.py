@@ -8,13 +8,15 @@ similarity of 85 percent) and works on distinct sets:
    shingles before s is at distance i/n from the whole set, so a partner that has none of these i is at least that far
    away: the set is replicated to the regions of all its shingles with i/n <= e, and to no other. Two sets within e
    meet in the region of their first common shingle. Regions with one set, or with no two sizes within e, end here.
-2. Balls. Sets that share their home are dealt to groups of bounded size; in each, the first set is a pivot, sets within e
+2. Balls. Where many sets share their home, they are dealt to groups of bounded size; in each, the first set is a pivot, sets within e
    are linked to it and leave, and what is left recurs. Centres of a home that was dealt to several groups recur among
    themselves, until one group holds them.
 3. Windows between balls. In each region that still holds several balls, two balls whose members may be within e by size
    and place are compared by their centres: at most e apart, they are linked; farther apart than e and both radii, no
    members can be linked (triangle inequality); else the members in the window between, and they alone, are compared.
-   A region of too many balls recurs on the regions of its sets' next shingles.
+   Whether two members may be within e is asked of their profiles first, the counts of their shingles in hash buckets:
+   the sum of the smaller counts bounds what two sets share. A region of too many balls recurs on the regions of its
+   sets' next shingles.
 4. Linked balls are joined to components, by a distributed propagation of least labels with pointer jumping.
 
 Shingles are 64-bit hashes, sets are told apart by 64-bit hashes of these: two different ones agree with a chance of
@@ -40,7 +42,7 @@ from cubeloom.llm.common import cut, map_batches, pieces, read
 from cubeloom.llm.shingles import overlaps, shingle_sets
 from cubeloom.session import ship
 
-CELLS = 1 << 18
+CELLS = 1 << 20
 BATCH = 2_000_000
 
 
@@ -128,8 +130,86 @@ def ball_groups(rows: DataFrame, percent: int) -> DataFrame:
     return rows.groupBy("home", "part").applyInArrow(run, "sig long, centre long, inter long, uni long")
 
 
-def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The rows of ``pairs`` (with ``a, b``, two sets) with ``inter``, ``uni`` added."""
+def profile(s: np.ndarray) -> bytes:
+    """Counts of the set's hashes in as many buckets as a quarter to an eighth of its size, as bytes (255: or more)."""
+    buckets = 1 << max(3, (len(s) >> 2).bit_length() - 1)
+    return np.minimum(np.bincount((s >> np.uint64(40) & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets), 255).astype(np.uint8).tobytes()
+
+
+def meetings(rows: DataFrame, percent: int, parts: int) -> DataFrame:
+    """``sig1, l1, d1, sig2, l2, d2`` of members of two balls that meet in a region and may be within reach, by their
+    sizes, their places and their profiles. From rows ``r, sig, n, i, l, d, f``; a part holds many regions."""
+
+    def run(table: pa.Table) -> pa.Table:
+        r, sig, n, i, l = (table.column(c).to_numpy().astype(np.int64) for c in ("r", "sig", "n", "i", "l"))
+        d, f = table.column("d").to_numpy(), table.column("f").to_pylist()
+        by = np.lexsort((n, r))
+        r, sig, n, i, l, d = (x[by] for x in (r, sig, n, i, l, d))
+        profiles = [np.frombuffer(f[k], np.uint8) for k in by]
+        buckets = np.array([len(p) for p in profiles])
+        starts = np.concatenate([[0], np.cumsum(buckets)])
+        flat = np.concatenate(profiles).astype(np.int32) if profiles else np.zeros(0, np.int32)
+        live, step, found = np.arange(len(r)), 0, set()
+        while len(live):
+            step += 1
+            live = live[live + step < len(r)]
+            other = live + step
+            # sizes ascend within a region: once the other is too large, all that follow are
+            fit = (r[live] == r[other]) & (100 * n[live] >= percent * n[other])
+            live, other = live[fit], other[fit]
+            rest, most = np.minimum(n[live] - i[live], n[other] - i[other]), np.maximum(n[live] - i[live], n[other] - i[other])
+            some = (l[live] != l[other]) & (100 * rest >= percent * (i[live] + i[other] + most))
+            for m in np.unique(buckets[live[some]]):
+                a = live[some & (buckets[live] == m)]
+                for chunk in np.array_split(a, max(1, len(a) * int(m) // 4_000_000)):
+                    b = chunk + step
+                    for wide in np.unique(buckets[b]):  # the larger set may have twice the buckets, folded here
+                        x, y = chunk[buckets[b] == wide], b[buckets[b] == wide]
+                        if not len(x):
+                            continue
+                        px = flat[starts[x][:, None] + np.arange(m)]
+                        py = flat[starts[y][:, None] + np.arange(wide)]
+                        full = (px == 255).any(1) | (py == 255).any(1)
+                        if wide > m:
+                            py = py.reshape(len(y), -1, m).sum(1)
+                        share = np.where(full, n[x], np.minimum(px, py).sum(1))
+                        near = 100 * share >= percent * (n[x] + n[y] - share)
+                        found.update(zip(x[near].tolist(), y[near].tolist(), strict=True))
+        pairs: dict[tuple[int, int], tuple] = {}
+        for x, y in found:
+            if l[x] > l[y]:
+                x, y = y, x
+            pairs[int(sig[x]), int(sig[y])] = (int(sig[x]), int(l[x]), float(d[x]), int(sig[y]), int(l[y]), float(d[y]))
+        columns = list(zip(*pairs.values(), strict=True)) or [[]] * 6
+        kinds = (pa.int64(), pa.int64(), pa.float64()) * 2
+        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["sig1", "l1", "d1", "sig2", "l2", "d2"])
+
+    dealt = rows.withColumn("_part", F.pmod(F.xxhash64("r"), F.lit(parts)))
+    return dealt.groupBy("_part").applyInArrow(run, "sig1 long, l1 long, d1 double, sig2 long, l2 long, d2 double")
+
+
+def loaded(docs: DataFrame, wanted: DataFrame, words: int, profiles: bool, most_broadcast: int = 500_000) -> DataFrame:
+    """``sig`` and the set's hashes ``s``, or its profile ``f``, of the classes in ``wanted`` (``sig, rep``), from the text
+    of each class's first id in ``docs`` (``_k, _t``). Up to ``most_broadcast`` classes, by count, are sent to the scan;
+    more are joined by a shuffle of the texts."""
+    few = wanted.count() <= most_broadcast
+    source = docs.join(F.broadcast(wanted) if few else wanted, F.col("_k").eqNullSafe(F.col("rep"))).select("sig", "_t")
+    name = "f" if profiles else "s"
+
+    def maker():
+        def run(batch: pa.RecordBatch):
+            sets = shingle_sets(batch.column("_t").to_pylist(), words)
+            kept = [(g, profile(s) if profiles else s.tobytes()) for g, s in zip(batch.column("sig").to_pylist(), sets, strict=True) if _sig(s) == g]
+            return [list(c) for c in zip(*kept, strict=True)] if kept else None
+
+        return run
+
+    return map_batches(source, maker, f"sig long, {name} binary", BATCH).dropDuplicates(["sig"])
+
+
+def compare(pairs: DataFrame, load) -> DataFrame:
+    """The rows of ``pairs`` (with ``a, b``, two sets) with ``inter``, ``uni`` added. ``load`` gives sets for sigs."""
+    sets = load(pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct())
     whole = pairs.join(sets.select(F.col("sig").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("sig").alias("b"), F.col("s").alias("sb")), "b")
     names = [(f.name, f.dataType.simpleString()) for f in pairs.schema]
 
@@ -162,7 +242,7 @@ def components(edges: DataFrame) -> DataFrame:
             return state
 
 
-def refined(rows: DataFrame, labels: DataFrame, sets: DataFrame, heat, percent: int, most: int, depth: int = 3) -> DataFrame:
+def refined(rows: DataFrame, labels: DataFrame, load, heat, percent: int, most: int, depth: int = 3) -> DataFrame:
     """``r, sig, n, i, l`` of the regions that hold several balls, ``i`` being the shingles before r that are not shared.
 
     A region of over ``most`` balls recurs, ``depth`` times at most, on its sets' next shingles. A pair within reach meets
@@ -192,19 +272,20 @@ def refined(rows: DataFrame, labels: DataFrame, sets: DataFrame, heat, percent:
             return run
 
         chosen = large.filter("n >= 14")
-        onward = map_batches(sets.join(chosen.select("sig").distinct(), "sig").select("sig", "s"), maker, "sig long, r2 long, i2 int", BATCH)
+        onward = map_batches(load(chosen.select("sig").distinct()), maker, "sig long, r2 long, i2 int", BATCH)
         nxt = chosen.join(onward, "sig").filter(F.col("i2") > F.col("i") + level)
         now = nxt.select(F.xxhash64("r", "r2").alias("r"), "sig", "n", (F.col("i2") - (level + 1)).cast("int").alias("i"), "l")
 
 
-def join(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 4, percent: int = 85, group: int = 256, most_balls: int = 200) -> DataFrame:
+def join(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 4, percent: int = 85, group: int = 256, few: int = 16, most_balls: int = 4000, part_rows: int = 100_000) -> DataFrame:
     """``key, n_shingles, component_id`` for every row: two rows are linked when their sets' similarity is at least
     ``percent`` hundredths, and ``component_id`` is the smallest id reachable by links."""
     rows, sketch = class_rows(docs, text, key, words)
     classes = rows.filter("n > 0").groupBy("sig").agg(F.min("_k").alias("rep"), F.max("n").alias("n"))
 
     # 1. regions: sets that are alone, or alone in their size, end here
-    heat = np.log2(np.maximum(1, sketch / (2 * sketch.mean() + 16))).astype(np.int8)
+    # rare: no more than a cell's share of all sets and its noise
+    heat = np.log2(np.maximum(1, sketch / (sketch.mean() + 4 * np.sqrt(sketch.mean()) + 16))).astype(np.int8)
     heat = docs.sparkSession.sparkContext.broadcast(heat)  # one byte a cell
     in_region = Window.partitionBy("r").orderBy("n", "sig")
     fits = lambda small, large: 100 * small >= percent * large
@@ -214,26 +295,22 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int =
     alone = ~F.coalesce(fits(F.col("_before"), F.col("n")), F.lit(False)) & ~F.coalesce(fits(F.col("n"), F.col("_next")), F.lit(False))
     regions = cut(w.filter(~alone).select("r", "sig", "n", "i"))
 
-    # 2. the sets themselves, of those that are in some region, and their balls
-    wanted = regions.select("sig").distinct().join(classes, "sig").select("sig", "rep")
-    source = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")).join(wanted, F.col("_k").eqNullSafe(F.col("rep"))).select("sig", "_t")
+    # 2. profiles of the sets in regions, and balls; whole sets are read again where they are compared
+    keyed = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t"))
+    wanted = cut(regions.select("sig").distinct().join(classes, "sig").select("sig", "rep"))
+    profiles = cut(loaded(keyed, wanted, words, True))
 
-    def setter():
-        def run(batch: pa.RecordBatch):
-            sets = shingle_sets(batch.column("_t").to_pylist(), words)
-            kept = [(g, s.tobytes()) for g, s in zip(batch.column("sig").to_pylist(), sets, strict=True) if _sig(s) == g]
-            return [list(c) for c in zip(*kept, strict=True)] if kept else None
-
-        return run
+    def load(sigs: DataFrame) -> DataFrame:
+        return loaded(keyed, cut(wanted.join(sigs, "sig")), words, False)
 
-    sets = cut(map_batches(source, setter, "sig long, s binary", BATCH).dropDuplicates(["sig"]))
     homes = cut(regions.groupBy("sig").agg(F.min_by("r", "i").alias("home")))
     level, labels, links = homes, homes.select("sig", F.col("sig").alias("l"), F.lit(0.0).alias("d")), []
     while True:
-        size = level.groupBy("home").agg(F.count("*").alias("m")).filter("m > 1")
+        # the few sets of a small home meet in step 3 as well
+        size = level.groupBy("home").agg(F.count("*").alias("m")).filter(F.col("m") > few)
         dealt = level.join(size, "home").withColumn("parts", F.ceil(F.col("m") / group))
-        dealt = dealt.withColumn("part", F.pmod(F.xxhash64(F.lit(len(links)), F.col("sig")), F.col("parts")))
-        balls = cut(ball_groups(dealt.select("home", "part", "sig").join(sets, "sig"), percent).join(dealt.select("sig", "home", "parts"), "sig"))
+        dealt = cut(dealt.withColumn("part", F.pmod(F.xxhash64(F.lit(len(links)), F.col("sig")), F.col("parts"))))
+        balls = cut(ball_groups(dealt.select("home", "part", "sig").join(load(dealt.select("sig")), "sig"), percent).join(dealt.select("sig", "home", "parts"), "sig"))
         links.append(balls.filter("sig <> centre").select(F.col("sig").alias("a"), F.col("centre").alias("b")))
         up = balls.select(F.col("sig").alias("l"), "centre", (1 - F.col("inter") / F.col("uni")).alias("step"))
         labels = cut(labels.join(up, "l", "left").select("sig", F.coalesce("centre", "l").alias("l"), (F.col("d") + F.coalesce("step", F.lit(0.0))).alias("d")))
@@ -243,14 +320,12 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int =
             break
 
     # 3. balls that meet in a region
-    met = refined(regions, labels.select("sig", "l"), sets, heat, percent, most_balls).join(labels.select("sig", "d"), "sig")
-    x = met.select("r", *[F.col(c).alias(c + "1") for c in ("sig", "n", "i", "l", "d")])
-    y = met.select("r", *[F.col(c).alias(c + "2") for c in ("sig", "n", "i", "l", "d")])
-    rest1, rest2 = F.col("n1") - F.col("i1"), F.col("n2") - F.col("i2")
-    bound = 100 * F.least(rest1, rest2) >= percent * (F.col("i1") + F.col("i2") + F.greatest(rest1, rest2))
-    meet = x.join(y, "r").filter((F.col("l1") < F.col("l2")) & bound)
-    pairs = meet.groupBy(F.col("l1").alias("a"), F.col("l2").alias("b")).agg(F.max("d1").alias("ra"), F.max("d2").alias("rb"))
-    measured = cut(compare(pairs, sets))
+    met = refined(regions, labels.select("sig", "l"), load, heat, percent, most_balls).join(labels.select("sig", "d"), "sig")
+    met = met.join(profiles, "sig")
+    parts = max(1, -(-regions.count() // part_rows))
+    meet = cut(meetings(met, percent, parts))
+    pairs = cut(meet.groupBy(F.col("l1").alias("a"), F.col("l2").alias("b")).agg(F.max("d1").alias("ra"), F.max("d2").alias("rb")))
+    measured = cut(compare(pairs, load))
     apart = 1 - F.col("inter") / F.col("uni")
     linked = _close(F.col("inter"), F.col("uni"), percent)
     links.append(measured.filter(linked).select("a", "b"))
@@ -258,8 +333,8 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int =
     open_pairs = measured.filter(~linked & (apart <= limit + F.col("ra") + F.col("rb"))).select(F.col("a").alias("l1"), F.col("b").alias("l2"), apart.alias("apart"))
     if not open_pairs.isEmpty():
         within = F.col("d1") + F.col("d2") >= F.col("apart") - limit
-        inner = meet.join(open_pairs, ["l1", "l2"]).filter(within).select(F.col("sig1").alias("a"), F.col("sig2").alias("b")).distinct()
-        links.append(cut(compare(inner, sets)).filter(linked).select("a", "b"))
+        inner = cut(meet.join(open_pairs, ["l1", "l2"]).filter(within).select(F.col("sig1").alias("a"), F.col("sig2").alias("b")).distinct())
+        links.append(cut(compare(inner, load)).filter(linked).select("a", "b"))
 
     # 4. components of sets, and their smallest ids
     edges = links[0]
