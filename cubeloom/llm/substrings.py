@@ -80,7 +80,8 @@ def anchors(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     padded = np.concatenate([np.zeros(SPAN - 1, np.uint64), least, np.zeros(len(h) - len(least), np.uint64)])
     at = np.flatnonzero((_sliding(padded, SPAN, np.maximum) == h) & (h > 0))
     text = np.searchsorted(ends, at, side="right")
-    return text, at - (ends - sizes)[text], h[at]
+    # least hashes are small ones; mixed again, they are spread evenly over the ranges
+    return text, at - (ends - sizes)[text], mixed(h[at])
 
 
 def _packed(x: np.ndarray) -> bytes:
