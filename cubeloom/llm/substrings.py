@@ -340,7 +340,7 @@ def remove(docs: DataFrame, text: str = "text", key: str = "doc_id", range_bytes
     many = send_windows(rows)
     first_seen = many.groupBy("j", "w").agg(F.min("doc").alias("least"))
     known = many.join(first_seen, ["j", "w"]).filter("least < doc")
-    masks = masks.unionByName(known.groupBy("doc", "ctx").agg(F.sum(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("j"))).alias("mask")))
+    masks = masks.unionByName(known.groupBy("doc", "ctx").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("j"))).alias("mask")))
     masks = masks.groupBy("doc").agg(F.collect_list(F.struct("ctx", "mask")).alias("marks"))
 
     gone = copies.groupBy(F.col("_k").alias("doc")).agg(F.collect_list("_h").alias("copied"))

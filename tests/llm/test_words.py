@@ -100,6 +100,14 @@ def test_substrings_of_repeated_and_null_ids_and_nothing(spark):
     assert substrings.remove(frame(spark, rows).filter("doc_id > 9")).isEmpty()
 
 
+def test_substrings_of_repeated_and_null_ids_by_window_hashes(spark):
+    text = "".join(random.Random(5).choice("abcdef ") for _ in range(200))
+    rows = [(1, text, "s"), (2, "head" + text, "s"), (2, "head" + text, "s"), (None, text + "tail", "s"), (None, "tail" + text, "s")]
+    got = [sorted(tuple(map(str, r)) for r in substrings.remove(frame(spark, rows), hot=hot).collect()) for hot in (1, 50_000)]
+    assert got[0] == got[1]
+    assert sorted((r[0], r[2]) for r in got[0]) == [("1", "0"), ("2", "200"), ("2", "200"), ("None", "200"), ("None", "200")]
+
+
 def test_host_statistics(spark):
     rows = corpus(3)
     got = {r["doc_id"]: r for r in hostrules.judge(frame(spark, rows)).collect()}
