@@ -3,7 +3,9 @@
 Base kinds, leftmost and non-overlapping each for itself: ``assign``, ``access`` and ``hex``. The method adds ``novel``:
 a candidate (a run of credential characters that mixes letters and digits, shortly after a word such as *key* or
 *bearer*) is compressed after its surrounding text with a dictionary of common identifiers and of that surrounding text;
-if nearly all of its bytes are marginal, nothing there predicts it, and it is reported unless a base span overlaps it.
+if its marginal bytes come near those of a random string of its alphabet and length (or of its own length, if that is
+less), nothing there predicts it, and it is reported unless a base span overlaps it. Copies of it that stand in a
+sensitive context or a base span don't count as surroundings; copies elsewhere do.
 
 Defined results: a null or empty text has no span. Repeated rows are scanned each for itself; only the id and the text
 are read.
@@ -12,7 +14,10 @@ are read.
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import string
+from bisect import bisect_left
 
 import pyarrow as pa
 import zstandard as zs
@@ -40,6 +45,14 @@ IDENTIFIERS = (
     "application/json charset=utf-8 https://www. .example.com /usr/local/bin /etc/ssl/certs abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ "
     "0123456789 1234567890 xxxxxxxxxxxxxxxx 0000000000000000 XXXXXXXXXXXXXXXX ---------------- ================ deadbeefdeadbeef changeme placeholder"
 )
+#: What a candidate may be drawn from, the first that holds all its characters.
+_ALPHABETS = tuple(map(frozenset, ("0123456789abcdef", "0123456789ABCDEF", string.digits + string.ascii_lowercase, string.digits + string.ascii_uppercase, string.digits + string.ascii_letters, string.digits + string.ascii_letters + "+/_=-")))
+
+
+def alike(it: str) -> str:
+    """A random string of a candidate's alphabet and length, the same one each time."""
+    alphabet = next(a for a in _ALPHABETS if a.issuperset(it))
+    return "".join(random.Random(len(it)).choices(sorted(alphabet), k=len(it)))
 
 
 def base_spans(text: str) -> list[Span]:
@@ -60,20 +73,25 @@ class Novelty:
     def __init__(self, least: float = 0.8, context: int = 512, near: int = 48):
         self.least, self.context, self.near = least, context, near
 
-    def share(self, text: str, start: int, end: int) -> float:
-        """The candidate's marginal compressed bytes a byte, after its surroundings."""
-        left, right = text[max(0, start - self.context) : start], text[end : end + self.context]
+    def share(self, text: str, start: int, end: int, copies: list[tuple[int, int]]) -> float:
+        """The candidate's marginal compressed bytes after its surroundings without ``copies`` (sorted spans), by those of a
+        random string or by its length, whichever are fewer."""
+        left, right = _without(text, max(0, start - self.context), start, copies), _without(text, end, min(len(text), end + self.context), copies)
         known = zs.ZstdCompressionDict(f"{IDENTIFIERS} {right} {left}".encode("utf-8", "replace"), dict_type=zs.DICT_TYPE_RAWCONTENT)
         c = zs.ZstdCompressor(dict_data=known, level=12, write_content_size=False, write_dict_id=False)
         # an unseen tail closes both inputs, since matches are not looked for in the last bytes of an input
-        head, it, tail = left[-24:].encode("utf-8", "replace"), text[start:end].encode("utf-8", "replace"), bytes(range(240, 248)) * 2
-        return (len(c.compress(head + it + tail)) - len(c.compress(head + tail))) / len(it)
+        head, tail = left[-24:].encode("utf-8", "replace"), bytes(range(240, 248)) * 2
+        none = len(c.compress(head + tail))
+        more = lambda it: len(c.compress(head + it.encode() + tail)) - none
+        it = text[start:end]
+        got = more(it)
+        return got / len(it) if got >= self.least * len(it) else got / min(len(it), more(alike(it)))
 
     def spans(self, text: str, base: list[Span]) -> list[Span]:
         lower = text.lower()
         if not any(w in lower for w in _SENSITIVE_WORDS):
             return []
-        out, seen_to = [], -1
+        found, seen_to = [], -1
         for word in _SENSITIVE.finditer(text):
             for m in _CANDIDATE.finditer(text, max(word.end(), seen_to)):
                 if m.start() > word.end() + self.near:
@@ -83,11 +101,28 @@ class Novelty:
                 digits = sum(c.isdigit() for c in it)
                 if not 2 <= digits <= len(it) - 4 or any(s < m.end() and m.start() < e for s, _, e in base):
                     continue
-                if self.share(text, m.start(), m.end()) >= self.least:
-                    out.append((m.start(), 3, m.end()))
+                found.append((m.start(), m.end(), it))
+        same: dict[str, list[tuple[int, int]]] = {}
+        for s, e, it in found:
+            same.setdefault(it, []).append((s, e))
+        out = []
+        for start, end, it in found:
+            low, high = start - self.context, end + self.context
+            near = same[it][max(0, bisect_left(same[it], (low,)) - 1) : bisect_left(same[it], (high,))] + [(s, e) for s, _, e in base if s < high and e > low and it in text[s:e]]
+            if self.share(text, start, end, sorted(near)) >= self.least:
+                out.append((start, 3, end))
         return out
 
 
+def _without(text: str, start: int, end: int, spans: list[tuple[int, int]]) -> str:
+    out = []
+    for s, e in spans:
+        if s < end and e > start:
+            out.append(text[start : max(start, s)])
+            start = max(start, e)
+    return "".join([*out, text[start:end]])
+
+
 def joined(spans: list[Span], kinds: tuple[str, ...] = KINDS) -> str:
     return ",".join(f"{kinds[k]}:{s}:{e}" for s, k, e in sorted(spans))
 

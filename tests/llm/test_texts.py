@@ -38,6 +38,23 @@ def test_novel_secrets():
     assert n.spans(again, []) == []  # its surroundings know it
 
 
+def test_novel_secrets_of_any_length_alphabet_and_number():
+    n, rng = secrets.Novelty(), random.Random(8)
+    for alphabet in ("0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"):
+        for size in (48, 96, 128, 256, 512, 2000):
+            for _ in range(5):
+                t = "My private key is " + "".join(rng.choices(alphabet, k=size)) + " and no other"
+                assert n.spans(t, []) == [(18, 3, 18 + size)], t
+    it = "Zx9Kq2LmP4vT7wYbN3"
+    twice = f"The key is {it} and again: the key {it}"
+    assert n.spans(twice, []) == [(11, 3, 29), (twice.rindex(it), 3, len(twice))]
+    t = f"token={it} as said, the private key {it}"
+    assert [(s, k) for s, k, _ in n.spans(t, secrets.base_spans(t))] == [(t.rindex(it), 3)]
+    words = "the-private-keys-of-a-house-are-kept-in-2-or-3-places-that-only-its-people-know-and-some-of-them-are-given-to-friends-who-live-near-it-since-doors-fall-shut-"
+    for t in (words * 3, words, "0" * 60 + "abcd" * 9, "deadbeef" * 12 + "00"):
+        assert n.spans("private key: " + t.strip("-"), []) == [], t
+
+
 def test_secret_scan_and_redaction(spark):
     long = "x" * 200_000 + " token = abcdef123456 " + "y" * 200_000
     df = spark.createDataFrame([(1, None), (2, ""), (3, "token: abcdef99 and token: abcdef99"), (4, long), (None, "secret=abcdefgh")], "doc_id long, text string").withColumn("found", F.lit("clash"))
