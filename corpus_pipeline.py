@@ -49,7 +49,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of at most 2048 tokens."""
-    return packing.pack_documents(docs, *packing.public_tokenizer())
+    return packing.pack_documents(docs, *packing.public_tokenizer(), added=packing.public_added())
 
 
 STAGES = [

@@ -13,7 +13,9 @@ go by id, then by tokens. An empty table gives no sequence. A document longer th
 from __future__ import annotations
 
 import base64
+import json
 import os
+import re
 import zlib
 
 import numpy as np
@@ -31,15 +33,18 @@ class PieceTokenizer:
     """Byte-level BPE ids as bytes (16-bit, little-endian), with a bounded memory of the pieces between spaces.
 
     Pre-tokens never span from a visible character to white space, so a text is the sum of its pieces at single spaces;
-    a text with any other white space next to a space is encoded as a whole.
+    a text with any other white space next to a space is encoded as a whole. ``added`` tokens (their ids by content) are
+    split off first, wherever they stand; without them, their strings are ordinary text.
     """
 
-    def __init__(self, path: str, pattern: str, most: int = 400_000):
+    def __init__(self, path: str, pattern: str, most: int = 400_000, added: dict[str, int] | None = None):
         import tiktoken
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        if max(ranks.values()) >= 1 << 16:
+        self.added = {a: np.uint16(i).tobytes() for a, i in (added or {}).items()}
+        self.splitter = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True))))
+        if max([*ranks.values(), *(added or {}).values()]) >= 1 << 16:
             raise ValueError("ids of over 16 bits are not supported")
         self.encoding = tiktoken.Encoding(os.path.basename(path), pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.most = most
@@ -52,6 +57,17 @@ class PieceTokenizer:
         return np.array(self.encoding.encode_ordinary(text), np.uint16).tobytes()
 
     def __call__(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        if not any(a in text for a in self.added):
+            return self._plain(text)
+        out, at = [], 0
+        for m in self.splitter.finditer(text):
+            out += [self._plain(text[at : m.start()]), self.added[m.group()]]
+            at = m.end()
+        return b"".join([*out, self._plain(text[at:])])
+
+    def _plain(self, text: str) -> bytes:
         if not text:
             return b""
         if len(self.later) + len(self.first) > self.most:
@@ -168,14 +184,14 @@ def pack(docs: list[np.ndarray], window: int = WINDOW) -> list[tuple[int, int, i
     return out
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, pattern: str, text: str = "text", key: str = "doc_id", shard_docs: int = 512, end: int = END) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, pattern: str, text: str = "text", key: str = "doc_id", shard_docs: int = 512, end: int = END, added: dict[str, int] | None = None) -> DataFrame:
     """``key`` and the columns of SCHEMA, a row a piece."""
     kind = docs.schema[key].dataType.simpleString()
     shards = max(1, -(-docs.select(key).count() // shard_docs))
     spread = F.pmod(F.xxhash64(F.col(key), F.col(text)), F.lit(shards))
 
     def encoder():
-        encode = PieceTokenizer(tokenizer, pattern)
+        encode = PieceTokenizer(tokenizer, pattern, added=added)
         last = np.uint16(end).tobytes()
         return lambda batch: [batch.column("_k"), batch.column("shard"), [encode(t) + last for t in batch.column("_t").to_pylist()]]
 
@@ -201,5 +217,16 @@ def public_tokenizer() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def public_added() -> dict[str, int]:
+    """The added tokens of its tokenizers file: their ids by content."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        tokens = json.load(f)["added_tokens"]
+    if any(t[k] for t in tokens for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("added tokens that take spaces, whole words or normalised text are not supported")
+    return {t["content"]: t["id"] for t in tokens}
+
+
 def op4(spark, sf_dir: str) -> DataFrame:
-    return pack_documents(read(spark, sf_dir, "documents"), *public_tokenizer())
+    return pack_documents(read(spark, sf_dir, "documents"), *public_tokenizer(), added=public_added())

@@ -218,6 +218,21 @@ def test_tokens_and_packed_documents(spark):
     assert packing.pack_documents(spark.createDataFrame([], "doc_id long, text string"), *packing.public_tokenizer()).isEmpty()
 
 
+def test_added_tokens(spark, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    own = packing.PieceTokenizer(*packing.public_tokenizer(), added=packing.public_added())
+    texts = ["abc <|endoftext|> def", *fragments(9, ["a", " ", "\n", "é", "<|endoftext|>", "<|endof", "text|>", "The"], 500, 12)]
+    ids = [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    assert ids[0] == [39305, 220, 50256, 825]
+    assert [np.frombuffer(own(x), np.uint16).tolist() for x in texts] == ids
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["doc_tokens"] for r in packing.op4(spark, str(tmp_path)).collect()}
+    assert [got[i] for i in range(len(texts))] == [len(x) + 1 for x in ids]
+
+
 def test_deep_shallow_sort():
     rng = random.Random(2)
     for _ in range(150):
