@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from cubeloom.session import ship
+from cubeloom.session import cut, ship  # noqa: F401
 
 #: The only characters that separate words in the word contracts.
 SPACES = "\\x20\\x09-\\x0D"
@@ -22,18 +21,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back, so that lost executors can't undo it.
-
-    The folder is the one the session names in ``spark.checkpoint.dir``; only where that is unset (as in tests on one
-    machine) a temporary one is set.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
-
-
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | list]], schema: str, most_bytes: int = 8_000_000) -> DataFrame:
     """``mapInArrow`` with state: ``make()`` runs once a task and returns the function of a batch.
 

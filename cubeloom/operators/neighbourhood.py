@@ -63,9 +63,10 @@ def mask_downsample(df: DataFrame, tile: list[str], mask: str = "m") -> DataFram
     return df.groupBy(*tile, half("r"), half("c")).agg((F.sum(F.col(mask).cast("int")) > 2).alias(mask))
 
 
-def pyramid_loss(df: DataFrame, tile: list[str], size: int, levels: int = 3) -> DataFrame:
+def pyramid_loss(df: DataFrame, tile: list[str], size: int, levels: int = 3, by: tuple[str, ...] = ()) -> DataFrame:
     """``level, loss`` of masked mean absolute differences of two images' Laplacian bands (columns ``p, t, m``) in square
-    tiles; the last level is the coarsest image itself. Levels without a valid cell lose 0."""
+    tiles; the last level is the coarsest image itself. Levels without a valid cell lose 0. ``by``: columns of ``tile`` whose
+    values are scored apart."""
     images, masks = [df.select(*tile, "r", "c", "p", "t")], [df.select(*tile, "r", "c", "m")]
     for _ in range(levels - 1):
         images.append(downsample(blur(images[-1], ["p", "t"], tile), ["p", "t"], tile))
@@ -76,9 +77,9 @@ def pyramid_loss(df: DataFrame, tile: list[str], size: int, levels: int = 3) ->
         if i < levels - 1:
             up = upsample(images[i + 1], ["p", "t"], tile, size >> (i + 1), size >> i).withColumnsRenamed({"p": "up", "ut": "ut", "t": "ut"})
             band = band.join(up, [*tile, "r", "c"]).select(*tile, "r", "c", (F.col("p") - F.col("up")).alias("p"), (F.col("t") - F.col("ut")).alias("t"))
-        part = band.join(masks[i], [*tile, "r", "c"]).agg(F.coalesce(F.avg(F.when(F.col("m"), F.abs(F.col("p") - F.col("t")))), F.lit(0.0)).alias("loss")).withColumn("level", F.lit(i))
+        part = band.join(masks[i], [*tile, "r", "c"]).groupBy(*by).agg(F.coalesce(F.avg(F.when(F.col("m"), F.abs(F.col("p") - F.col("t")))), F.lit(0.0)).alias("loss")).withColumn("level", F.lit(i))
         out = part if out is None else out.unionByName(part)
-    return out.select("level", "loss")
+    return out.select(*by, "level", "loss")
 
 
 def ssim(df: DataFrame, tile: list[str], size: int, kernel: int = 11, sigma: float = 1.5, data_range: float = 1.0) -> DataFrame:

@@ -11,6 +11,7 @@ from cubeloom.functions import encoders
 from cubeloom.functions.histogram import CHANGE_EDGES, REPORT_EDGES, bin_of
 from cubeloom.operators import convlstm, metrics, neighbourhood, pixel, tiles
 from cubeloom.plans.cube import CHIP, WIDTH, YEARS, cube, height, horizons, images, long_layers, placed, scored, statics, table, wide
+from cubeloom.session import cut
 
 col = F.col
 X0, Y0, DX = -180.0, 90.0, 360.0 / WIDTH
@@ -372,9 +373,26 @@ def macro_average_losses(s, d):
     return rounded(metrics.macro(horizon_losses(s, d), 4, ["mse", "mae", "pin_l", "pin_u"]), "mse", "mae", "pin_l", "pin_u")
 
 
+def spatial_losses(s, d):
+    """``h, ssim, lap``: losses of the whole chips that have a scored cell, with 0 where a horizon has none."""
+    x = changes(s, d).select("h", "ci", "cj", (col("r") % CHIP).alias("r"), (col("c") % CHIP).alias("c"), col("pred").alias("p"), col("target").alias("t"), F.lit(True).alias("m"))
+    side = F.sequence(F.lit(0).cast("long"), F.lit(CHIP - 1).cast("long"))
+    cells = x.select("h", "ci", "cj").distinct().withColumn("r", F.explode(side)).withColumn("c", F.explode(side))
+    # cut, as ten branches read it and each would plan all layers anew
+    dense = cut(cells.join(x, ["h", "ci", "cj", "r", "c"], "left").fillna(0.0, ["p", "t"]).fillna(False, ["m"]))
+    chip = ["h", "ci", "cj"]
+    alike = neighbourhood.ssim(dense, chip, CHIP).groupBy("h").agg((1 - F.avg("ssim")).alias("ssim"))
+    return alike.join(neighbourhood.pyramid_loss(dense, chip, CHIP, by=("h",)).groupBy("h").agg(F.avg("loss").alias("lap")), "h")
+
+
+def weighted_losses(s, d):
+    """The losses of each horizon, and ``spatial``: SSIM, Laplacian and histogram losses by the reference's weights."""
+    spatial = 2.0 * col("ssim") + 1.0 * col("lap") + 0.67 * col("w2")
+    return horizon_losses(s, d).join(wasserstein_histogram(s, d), "h").join(spatial_losses(s, d), "h").withColumn("spatial", spatial)
+
+
 def composite_loss(s, d):
-    w2 = wasserstein_histogram(s, d)
-    return horizon_losses(s, d).join(w2, "h").select("h", F.round(col("mse") + col("pin_l") + col("pin_u") + 0.67 * col("w2"), 7).alias("total"))
+    return weighted_losses(s, d).select("h", F.round(col("mse") + col("pin_l") + col("pin_u") + col("spatial"), 7).alias("total"))
 
 
 def full_val_metrics(s, d):
@@ -402,8 +420,7 @@ def pixel_weighted_metric(s, d):
 
 
 def sweep_objective(s, d):
-    w2 = wasserstein_histogram(s, d)
-    return horizon_losses(s, d).join(w2, "h").agg(F.round(F.avg(col("mse") + 0.67 * col("w2")), 7).alias("objective"))
+    return weighted_losses(s, d).agg(F.round(F.avg(col("mse") + col("spatial")), 7).alias("objective"))
 
 
 def hexbin_density(s, d):

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from cubeloom.functions import encoders
 from cubeloom.functions.histogram import bin_of, midpoints, widths
 from cubeloom.operators import convlstm, metrics, neighbourhood, pixel, tiles
+from cubeloom.plans import queries
 from cubeloom.sources import catalog, layers, regions
 from cubeloom.streaming import incremental
 
@@ -172,3 +173,52 @@ def test_layers_window_and_stream(spark, tmp_path):
     got = incremental.finished(spark.read.parquet(out)).first()
     values = np.array([i for i in range(64) if i != 9], float)
     assert got["mean"] == pytest.approx(values.mean()) and got["std"] == pytest.approx(values.std(), abs=1e-6)
+
+
+def test_losses_hold_all_terms(spark):
+    """The registered totals against SSIM and Laplacian terms computed with numpy, on tables that have whole chips."""
+    sf = "/root/testdata/sf0.01"
+    x, height = queries.scored(spark, sf).toPandas(), queries.height(spark, sf).first()[0]
+    x = x[x["r"] < height // 16 * 16]
+
+    def filtered(a, size, sigma):
+        g, h = np.exp(-((np.arange(size) - size // 2) ** 2) / (2 * sigma**2)), size // 2
+        b = np.pad(a, h)
+        b = sum(w * b[i : i + len(a)] for i, w in enumerate(g / g.sum()))
+        return sum(w * b[:, i : i + len(a)] for i, w in enumerate(g / g.sum()))
+
+    def half(a, f=np.mean):
+        return f(a.reshape(len(a) // 2, 2, len(a) // 2, 2), axis=(1, 3))
+
+    def twice(a):
+        at = np.clip((np.arange(2 * len(a)) + 0.5) / 2 - 0.5, 0, None)
+        low = at.astype(int)
+        m = np.zeros((len(at), len(a)))
+        np.add.at(m, (range(len(at)), low), 1 - at + low)
+        np.add.at(m, (range(len(at)), np.minimum(low + 1, len(a) - 1)), at - low)
+        return m @ a @ m.T
+
+    spatial = {}
+    for h, rows in x.groupby("h"):
+        scores, bands = [], ([], [], [])
+        for _, chip in rows.groupby([rows["r"] // 16, rows["c"] // 16]):
+            p, t, m = np.zeros((16, 16)), np.zeros((16, 16)), np.zeros((16, 16))
+            for a, v in ((p, chip["pred"]), (t, chip["target"]), (m, 1)):
+                a[chip["r"] % 16, chip["c"] % 16] = v
+            mp, mt, pp, tt, pt = (filtered(a, 11, 1.5) for a in (p, t, p * p, t * t, p * t))
+            score = (2 * mp * mt + 1e-4) * (2 * (pt - mp * mt) + 9e-4) / ((mp**2 + mt**2 + 1e-4) * (pp - mp**2 + tt - mt**2 + 9e-4))
+            scores.append(score[5:-5, 5:-5].mean())
+            for level in range(3):
+                p2, t2 = half(filtered(p, 5, 1)), half(filtered(t, 5, 1))
+                gap = p - t if level == 2 else p - twice(p2) - (t - twice(t2))
+                bands[level].append(np.abs(gap)[m > 0])
+                p, t, m = p2, t2, half(m, np.sum) > 2
+        lap = np.mean([np.concatenate(b).mean() if len(np.concatenate(b)) else 0 for b in bands])
+        spatial[h] = 2 * (1 - np.mean(scores)) + lap
+    w2 = {r["h"]: r["w2"] for r in queries.wasserstein_histogram(spark, sf).collect()}
+    each = {r["h"]: r for r in queries.horizon_losses(spark, sf).collect()}
+    got = {r["h"]: r["total"] for r in queries.composite_loss(spark, sf).collect()}
+    assert set(got) == set(spatial) and min(spatial.values()) > 1e-3
+    for h in got:
+        assert got[h] == pytest.approx(each[h]["mse"] + each[h]["pin_l"] + each[h]["pin_u"] + 0.67 * w2[h] + spatial[h], abs=1e-6)
+    assert queries.sweep_objective(spark, sf).first()[0] == pytest.approx(np.mean([each[h]["mse"] + 0.67 * w2[h] + spatial[h] for h in got]), abs=1e-6)
