@@ -7,8 +7,9 @@ sidebars, notices, adverts, forms, scripts and reader comments go, and lines wit
 stay, even if a neighbour repeats them (a site may publish an article twice). Where a page has such an element, nothing
 outside it stays.
 
-A host of over ``bucket_pages`` pages is dealt by the hash of the path to buckets of about that many pages, and neighbours
-are taken within a bucket, so that no host has to fit one task; the dealing depends on the tables only.
+A host of over ``bucket_pages`` pages is dealt to ranges of the sorted paths, cut at sampled paths so that each has about
+that many pages and no host has to fit one task. The first and the last page of a range are also sent to the range before
+and after, so that neighbours are the same at every size.
 
 Defined results: null or empty html gives an empty text. A null url counts as a host of its own, ''. Pages that are alone
 in their host have no partner. Repeated rows are extracted each for itself; rows are told apart by id, url and html.
@@ -18,7 +19,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 import xxhash
@@ -129,7 +130,7 @@ def text_of(found: list[tuple[int, str]], shared: set[int]) -> str:
 
 
 def _nearest(pages: list[tuple]) -> list[tuple]:
-    """For each page of a bucket, (page, lines deleted). A page: (path, key..., lines)."""
+    """For each page of a bucket, (page, lines deleted). A page: (path, key..., lines, whether it is another bucket's)."""
     pages = sorted(pages, key=lambda p: (p[0], str(p[1]), p[2]))
 
     def alike(a: str, b: str) -> int:
@@ -143,7 +144,7 @@ def _nearest(pages: list[tuple]) -> list[tuple]:
     out = []
     for i, p in enumerate(pages):
         near = [pages[j] for j in (i - 1, i + 1) if 0 <= j < len(pages)]
-        if near and len(p[3]):
+        if near and len(p[3]) and not p[4]:
             partner = max(near, key=lambda q: alike(p[0], q[0]))
             if shared := common(p[3], partner[3]):
                 out.append((p, sorted(shared)))
@@ -159,22 +160,41 @@ def extract(pages: DataFrame, page: str = "html", url: str = "url", key: str = "
     host = F.lower(F.regexp_extract(address, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1))
     path = F.regexp_extract(address, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)", 1)
 
+    keyed = rows.select("_k", "_x", host.alias("host"), path.alias("path"), "_h")
+    large = keyed.groupBy("host").agg(F.count("*").alias("n")).filter(F.col("n") > bucket_pages).select("host")
+    # broadcast only as long as its counted size allows, so that a hot host isn't dealt to one task for this
+    large = cut(large)
+    every = max(1, bucket_pages // 16)
+    sampled = keyed.filter(F.pmod(F.xxhash64("path"), F.lit(every)) == 0).select("host", "path").distinct()
+    starts: dict[str, list[str]] = {}
+    for r in sampled.join(F.broadcast(large) if large.count() <= most_hosts else large, "host", "left_semi").collect():
+        starts.setdefault(r["host"], []).append(r["path"])
+    starts = {h: sorted(paths)[bucket_pages // every :: bucket_pages // every] for h, paths in starts.items()}
+
     def hasher():
         def run(batch: pa.RecordBatch):
             hashed = [[xxhash.xxh3_64_intdigest(t) - (1 << 63) for _, t in lines(h)] for h in batch.column("_h").to_pylist()]
-            return [batch.column(c) for c in ("_k", "_x", "host", "path")] + [hashed]
+            bucket = [bisect_right(starts.get(h, ()), p) for h, p in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True)]
+            last = [len(starts.get(h, ())) for h in batch.column("host").to_pylist()]
+            return [batch.column(c) for c in ("_k", "_x", "host", "path")] + [hashed, bucket, last]
 
         return run
 
-    keyed = rows.select("_k", "_x", host.alias("host"), path.alias("path"), "_h")
-    hashed = map_batches(keyed, hasher, f"_k {kind}, _x long, host string, path string, l array<long>")
-    large = keyed.groupBy("host").agg(F.count("*").alias("n")).filter(F.col("n") > bucket_pages).select("host", F.ceil(F.col("n") / bucket_pages).alias("parts"))
-    # broadcast only as long as its counted size allows, so that a hot host isn't dealt to one task for this
-    large = cut(large)
-    dealt = hashed.join(F.broadcast(large) if large.count() <= most_hosts else large, "host", "left").withColumn("bucket", F.pmod(F.xxhash64("path"), F.coalesce("parts", F.lit(1)))).drop("parts")
+    hashed = map_batches(keyed, hasher, f"_k {kind}, _x long, host string, path string, l array<long>, bucket long, last long")
+    if any(starts.values()):
+        hashed = cut(hashed)
+    # the pages at the ends of ranges, for the ranges next to theirs; a range after the first holds the path that starts it
+    place = F.struct("path", F.coalesce(F.col("_k").cast("string"), F.lit("None")), "_x")
+    page_of = F.struct("_k", "_x", "path", "l")
+    ends = hashed.filter("last > 0").groupBy("host", "bucket").agg(F.max("last").alias("last"), F.min_by(page_of, place).alias("low"), F.max_by(page_of, place).alias("high"))
+    sent = ends.select("host", F.explode(F.array(F.struct((F.col("bucket") - 1).alias("bucket"), F.col("low").alias("p")), F.struct((F.col("bucket") + 1).alias("bucket"), F.col("high").alias("p")))).alias("to"), "last")
+    guests = sent.filter("to.bucket between 0 and last").select("to.p._k", "to.p._x", "host", "to.p.path", "to.p.l", "to.bucket", F.lit(True).alias("guest"))
+    dealt = hashed.drop("last").withColumn("guest", F.lit(False))
+    if any(starts.values()):
+        dealt = dealt.unionByName(guests)
 
     def pair(table: pa.Table) -> pa.Table:
-        group = [table.column(c).to_pylist() for c in ("path", "_k", "_x", "l")]
+        group = [table.column(c).to_pylist() for c in ("path", "_k", "_x", "l", "guest")]
         found = _nearest(list(zip(*group, strict=True)))
         columns = [[p[1] for p, _ in found], [p[2] for p, _ in found], [s for _, s in found]]
         return pa.table([pa.array(c, t) for c, t in zip(columns, (table.schema.field("_k").type, pa.int64(), pa.list_(pa.int32())), strict=True)], names=["_k2", "_x2", "shared"])

@@ -174,6 +174,18 @@ def test_page_differencing(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).isEmpty()
 
 
+def test_neighbours_of_a_large_host(spark):
+    page = lambda i: f"<p>Site</p><p>Section {i // 3}</p><p>Story {i}</p>"
+    rows = [(i, f"http://h.example/{i // 3:03}/{i % 3}", page(i)) for i in range(150)] + [(None, "http://h.example/000/0", page(0)), (200, "http://h.example/000/0", page(0))]
+    df = spark.createDataFrame(rows[:150], "page_id long, url string, html string")
+    for size in (1000, 32, 7, 1):
+        got = {r["page_id"]: r["text"] for r in html.extract(df, bucket_pages=size).collect()}
+        assert got == {i: f"Story {i}" for i in range(150)}, size
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    few, many = (sorted(map(str, html.extract(df, bucket_pages=size).collect())) for size in (1000, 7))
+    assert few == many
+
+
 def check_pieces(docs, pieces):
     covered = [np.zeros(len(d), int) for d in docs]
     sequences = {}
