@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from cubeloom.session import cut, ship  # noqa: F401
+from cubeloom.session import cut, ship, stored  # noqa: F401
 
 #: The only characters that separate words in the word contracts.
 SPACES = "\\x20\\x09-\\x0D"
@@ -47,6 +47,48 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
     return df.mapInArrow(run, fields)
 
 
+def by_group(df: DataFrame, make: Callable[[], Callable[..., list | None]], schema: str) -> DataFrame:
+    """Groups of rows with an equal first column (a long), each given to a function as columns: arrays of numbers, lists of
+    anything else. Rows are sorted and groups stream by, so that a task holds one group at a time."""
+    ship(df.sparkSession)
+    fields, first = StructType.fromDDL(schema), df.columns[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        to, f = to_arrow_schema(fields), make()
+        held: list[list] = []
+
+        def done() -> list | None:
+            columns = [c[0] if len(c) == 1 else np.concatenate(c) if isinstance(c[0], np.ndarray) else [x for part in c for x in part] for c in zip(*held, strict=True)]
+            held.clear()
+            return f(*columns)
+
+        def out(found: list[list]) -> Iterator[pa.RecordBatch]:
+            if found:
+                parts = [[pa.array(c, t.type) for c, t in zip(columns, to, strict=True)] for columns in found]
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*parts, strict=True)], schema=to)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [c.to_numpy() if pa.types.is_integer(c.type) and not c.null_count else c.to_pylist() for c in batch.columns]
+            found, keys = [], columns[0]
+            ends = np.concatenate([np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]]).tolist()
+            start = 0
+            for end in ends:
+                if held and held[0][0][0] != keys[start] and (got := done()) is not None:
+                    found.append(got)
+                held.append([c[start:end] for c in columns])
+                start = end
+            yield from out(found)
+        if held and (got := done()) is not None:
+            yield from out([got])
+        released()
+
+    return df.repartition(first).sortWithinPartitions(first).mapInArrow(run, fields)
+
+
 def released() -> None:
     """Give freed memory back to the system: a worker that waits for its next task keeps none of the last one's."""
     import ctypes

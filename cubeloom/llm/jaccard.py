@@ -3,28 +3,29 @@
 The Jaccard distance of shingle sets is a metric. The join keeps to distances of at most ``e`` (15 hundredths for a
 similarity of 85 percent) and works on distinct sets:
 
-1. Pivots and regions. Every shingle is the pivot ``{s}`` of a region. All shingles have one order, the rarer first by a
-   count sketch over all documents, then by hash. A set's home is the region of its first shingle. A set without the i
-   shingles before s is at distance i/n from the whole set, so a partner that has none of these i is at least that far
-   away: the set is replicated to the regions of all its shingles with i/n <= e, and to no other. Two sets within e
-   meet in the region of their first common shingle. Regions with one set, or with no two sizes within e, end here.
-2. Balls. Where many sets share their home, they are dealt to groups of bounded size; in each, the first set is a pivot, sets within e
-   are linked to it and leave, and what is left recurs. Centres of a home that was dealt to several groups recur among
-   themselves, until one group holds them.
-3. Windows between balls. In each region that still holds several balls, two balls whose members may be within e by size
-   and place are compared by their centres: at most e apart, they are linked; farther apart than e and both radii, no
-   members can be linked (triangle inequality); else the members in the window between, and they alone, are compared.
-   Whether two members may be within e is asked of their profiles first, the counts of their shingles in hash buckets:
-   the sum of the smaller counts bounds what two sets share. A region of too many balls recurs on the regions of its
-   sets' next shingles.
-4. Linked balls are joined to components, by a distributed propagation of least labels with pointer jumping.
+1. Pivots. Shingles have one order, the rarer first by a count sketch over all documents, then by hash. A set without its
+   first i shingles is i/n away from the whole, so a set within e has one of the first ``e n + 1``: these are the set's
+   window of shingles. Of the sets that share a shingle of their windows, and are not alone there by size, the one of the
+   least hash is the shingle's pivot document.
+2. Cells. Each pivot document has a cell, and a set is replicated to the cells of all pivots of its window. Sets with a
+   pivot in no window are farther than e from it, and two sets within e meet in the cell of a shingle that both windows
+   have, whichever side of it they are on. In a cell, sketches come first: the parities of counts in buckets, which
+   differ in no more places than two sets do (Hamming distance). They part the cell into groups of sets that may be close.
+3. Regions. The sets of a group are sent to one task, which joins them by recursion over Voronoi regions with
+   triangle-inequality windows (``cells.Cell``). A set that is linked to a pivot's group is not compared within it, so a group
+   of near copies gives a link a member. Groups and cells too large for a task are dealt to tiles, every two blocks in one.
+4. Linked sets are joined to components, by a distributed propagation of least labels with pointer jumping.
+
+Pivots that are documents alone, without step 1, would not do: nearly all texts are at distance 1 from any document, so
+each would be in every window.
 
 Shingles are 64-bit hashes, sets are told apart by 64-bit hashes of these: two different ones agree with a chance of
 about 2^-64 a pair.
 
-Defined results: a null text, or one without words, has no shingles and is linked with nothing. Rows with equal sets are
-one class. Repeated rows each get their own row. A null id never names a component unless all its members' ids are null.
-An empty table gives no row. Columns other than id and text are not read.
+Defined results: a null text, or one without words, has no shingles and is linked with nothing. A very long text is one
+set, however many shingles it has; no part of it is left out. Rows with equal sets are one class. Repeated rows each get
+their own row. Ties: of equal sets and in a component, the smallest id names it. A null id never names a component unless
+all its members' ids are null. An empty table gives no row. Columns other than id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,8 +39,9 @@ import zstandard as zs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cubeloom.llm.common import cut, map_batches, pieces, read
-from cubeloom.llm.shingles import overlaps, shingle_sets
+from cubeloom.llm.cells import Cell, Sketches, sketch
+from cubeloom.llm.common import by_group, map_batches, pieces, read, stored
+from cubeloom.llm.shingles import shingle_sets
 from cubeloom.session import ship
 
 CELLS = 1 << 20
@@ -50,34 +52,32 @@ def _sig(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
-def _close(inter, union, percent: int):
-    return 100 * inter >= percent * union
-
-
 def class_rows(docs: DataFrame, text: str, key: str, k: int) -> tuple[DataFrame, np.ndarray]:
-    """``_k, n, sig`` of every row (written to the checkpoint folder), and the sketch: in how many sets the shingles of
-    each cell are. Sketches are summed pairwise in tasks; their size is fixed."""
+    """``_k, n, sig, th, f`` of every row: the set's size, its hash, the text's hash and the set's sketch; and a count
+    sketch: in how many sets the shingles of each cell are. Count sketches are summed pairwise in tasks; their size is fixed."""
     kind = docs.schema[key].dataType.simpleString()
-    arrow = pa.int64()
+    arrow, raw = pa.int64(), pa.binary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, schema = np.zeros(CELLS, np.int64), None
         for batch in batches:
-            schema = pa.schema([("_k", batch.schema.field("_k").type), ("n", arrow), ("sig", arrow), ("cells", pa.binary())])
+            schema = pa.schema([("_k", batch.schema.field("_k").type), ("n", arrow), ("sig", arrow), ("th", arrow), ("f", raw)])
             for b in pieces(batch, BATCH):
                 sets = shingle_sets(b.column("_t").to_pylist(), k)
                 cells += np.bincount((np.concatenate(sets) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
-                yield pa.RecordBatch.from_arrays([b.column("_k"), pa.array([len(s) for s in sets], arrow), pa.array([_sig(s) for s in sets], arrow), pa.nulls(len(sets), pa.binary())], schema=schema)
+                columns = [[len(s) for s in sets], [_sig(s) for s in sets], b.column("th"), [sketch(s) if len(s) else None for s in sets]]
+                yield pa.RecordBatch.from_arrays([b.column("_k"), *[c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:], strict=True)]], schema=schema)
         if schema is not None:
             packed = zs.ZstdCompressor(level=3).compress(cells.astype(np.uint32).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, schema.field("_k").type), pa.array([-1], arrow), pa.array([0], arrow), pa.array([packed], pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, schema.field("_k").type), pa.array([-1], arrow), pa.array([0], arrow), pa.array([0], arrow), pa.array([packed], raw)], schema=schema)
 
     ship(docs.sparkSession)
-    both = cut(docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")).mapInArrow(run, f"_k {kind}, n long, sig long, cells binary"))
+    source = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t"), F.xxhash64(F.col(text)).alias("th"))
+    both = stored(source.mapInArrow(run, f"_k {kind}, n long, sig long, th long, f binary"))
     unpack = lambda r: np.frombuffer(zs.ZstdDecompressor().decompress(r[0]), np.uint32).astype(np.int64)
-    sketches = both.filter(F.col("n") == -1).select("cells").rdd.map(unpack)
+    sketches = both.filter(F.col("n") == -1).select("f").rdd.map(unpack)
     total = sketches.treeReduce(np.add, depth=3) if not both.isEmpty() else np.zeros(CELLS, np.int64)
-    return both.filter(F.col("n") >= 0).drop("cells"), total
+    return both.filter(F.col("n") >= 0), total
 
 
 def ordered(s: np.ndarray, heat: np.ndarray) -> np.ndarray:
@@ -86,9 +86,9 @@ def ordered(s: np.ndarray, heat: np.ndarray) -> np.ndarray:
     return s[np.lexsort((s, h))]
 
 
-def windows(docs: DataFrame, heat, text: str, k: int, percent: int) -> DataFrame:
-    """``r`` (region), ``sig, n, i``: every distinct set in its home and in all regions within the window. Copies within
-    a task are left out here, so that a group of copies sends a row a task and region."""
+def windows(docs: DataFrame, heat, text: str, k: int, percent: int, hot: int) -> DataFrame:
+    """``r, sig, n, hot``: the shingles of every distinct set's window, those of heat ``hot`` or more marked. Copies within
+    a task are left out here, so that a group of copies sends a row a task and shingle."""
 
     def maker():
         seen: set[int] = set()
@@ -101,247 +101,151 @@ def windows(docs: DataFrame, heat, text: str, k: int, percent: int) -> DataFrame
                     continue
                 seen.add(sig)
                 near = ordered(s, heat.value)[: len(s) * (100 - percent) // 100 + 1]
-                out.append((near, np.full(len(near), sig), np.full(len(near), len(s)), np.arange(len(near))))
-            return [np.concatenate([o[0] for o in out]).view(np.int64), *[np.concatenate([o[c] for o in out]) for c in (1, 2, 3)]] if out else None
+                out.append((near, np.full(len(near), sig), np.full(len(near), len(s))))
+            if not out:
+                return None
+            r = np.concatenate([o[0] for o in out])
+            marked = heat.value[(r & np.uint64(CELLS - 1)).astype(np.int64)] >= hot
+            return [r.view(np.int64), *[np.concatenate([o[c] for o in out]) for c in (1, 2)], marked]
 
         return run
 
-    return map_batches(docs.select(F.col(text).alias("_t")), maker, "r long, sig long, n int, i int", BATCH)
-
-
-def ball_groups(rows: DataFrame, percent: int) -> DataFrame:
-    """``sig, centre, inter, uni`` from rows ``home, part, sig, s`` (the set's hashes as bytes), group by group."""
-
-    def run(table: pa.Table) -> pa.Table:
-        got = sorted(zip(table.column("sig").to_pylist(), table.column("s").to_pylist(), strict=True), key=lambda x: (-len(x[1]), x[0]))
-        sets = [np.frombuffer(x, np.uint64) for _, x in got]
-        left, out = np.arange(len(got)), []
-        sizes = np.array([len(s) for s in sets])
-        while len(left):
-            p = left[0]
-            flat = np.concatenate([sets[j] for j in left])
-            inter = overlaps(sets[p], flat, np.concatenate([[0], np.cumsum(sizes[left])]))
-            union = sizes[p] + sizes[left] - inter
-            near = _close(inter, union, percent)
-            out += [(got[j][0], got[p][0], int(a), int(u)) for j, a, u in zip(left[near], inter[near], union[near], strict=True)]
-            left = left[~near]
-        return pa.table([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["sig", "centre", "inter", "uni"])
-
-    return rows.groupBy("home", "part").applyInArrow(run, "sig long, centre long, inter long, uni long")
-
-
-def profile(s: np.ndarray) -> bytes:
-    """Counts of the set's hashes in as many buckets as a quarter to an eighth of its size, as bytes (255: or more)."""
-    buckets = 1 << max(3, (len(s) >> 2).bit_length() - 1)
-    return np.minimum(np.bincount((s >> np.uint64(40) & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets), 255).astype(np.uint8).tobytes()
-
-
-def meetings(rows: DataFrame, percent: int, parts: int) -> DataFrame:
-    """``sig1, l1, d1, sig2, l2, d2`` of members of two balls that meet in a region and may be within reach, by their
-    sizes, their places and their profiles. From rows ``r, sig, n, i, l, d, f``; a part holds many regions."""
-
-    def run(table: pa.Table) -> pa.Table:
-        r, sig, n, i, l = (table.column(c).to_numpy().astype(np.int64) for c in ("r", "sig", "n", "i", "l"))
-        d, f = table.column("d").to_numpy(), table.column("f").to_pylist()
-        by = np.lexsort((n, r))
-        r, sig, n, i, l, d = (x[by] for x in (r, sig, n, i, l, d))
-        profiles = [np.frombuffer(f[k], np.uint8) for k in by]
-        buckets = np.array([len(p) for p in profiles])
-        starts = np.concatenate([[0], np.cumsum(buckets)])
-        flat = np.concatenate(profiles).astype(np.int32) if profiles else np.zeros(0, np.int32)
-        live, step, found = np.arange(len(r)), 0, set()
-        while len(live):
-            step += 1
-            live = live[live + step < len(r)]
-            other = live + step
-            # sizes ascend within a region: once the other is too large, all that follow are
-            fit = (r[live] == r[other]) & (100 * n[live] >= percent * n[other])
-            live, other = live[fit], other[fit]
-            rest, most = np.minimum(n[live] - i[live], n[other] - i[other]), np.maximum(n[live] - i[live], n[other] - i[other])
-            some = (l[live] != l[other]) & (100 * rest >= percent * (i[live] + i[other] + most))
-            for m in np.unique(buckets[live[some]]):
-                a = live[some & (buckets[live] == m)]
-                for chunk in np.array_split(a, max(1, len(a) * int(m) // 4_000_000)):
-                    b = chunk + step
-                    for wide in np.unique(buckets[b]):  # the larger set may have twice the buckets, folded here
-                        x, y = chunk[buckets[b] == wide], b[buckets[b] == wide]
-                        if not len(x):
-                            continue
-                        px = flat[starts[x][:, None] + np.arange(m)]
-                        py = flat[starts[y][:, None] + np.arange(wide)]
-                        full = (px == 255).any(1) | (py == 255).any(1)
-                        if wide > m:
-                            py = py.reshape(len(y), -1, m).sum(1)
-                        share = np.where(full, n[x], np.minimum(px, py).sum(1))
-                        near = 100 * share >= percent * (n[x] + n[y] - share)
-                        found.update(zip(x[near].tolist(), y[near].tolist(), strict=True))
-        pairs: dict[tuple[int, int], tuple] = {}
-        for x, y in found:
-            if l[x] > l[y]:
-                x, y = y, x
-            pairs[int(sig[x]), int(sig[y])] = (int(sig[x]), int(l[x]), float(d[x]), int(sig[y]), int(l[y]), float(d[y]))
-        columns = list(zip(*pairs.values(), strict=True)) or [[]] * 6
-        kinds = (pa.int64(), pa.int64(), pa.float64()) * 2
-        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["sig1", "l1", "d1", "sig2", "l2", "d2"])
-
-    dealt = rows.withColumn("_part", F.pmod(F.xxhash64("r"), F.lit(parts)))
-    return dealt.groupBy("_part").applyInArrow(run, "sig1 long, l1 long, d1 double, sig2 long, l2 long, d2 double")
-
-
-def loaded(docs: DataFrame, wanted: DataFrame, words: int, profiles: bool, most_broadcast: int = 500_000) -> DataFrame:
-    """``sig`` and the set's hashes ``s``, or its profile ``f``, of the classes in ``wanted`` (``sig, rep``), from the text
-    of each class's first id in ``docs`` (``_k, _t``). Up to ``most_broadcast`` classes, by count, are sent to the scan;
-    more are joined by a shuffle of the texts."""
-    few = wanted.count() <= most_broadcast
-    source = docs.join(F.broadcast(wanted) if few else wanted, F.col("_k").eqNullSafe(F.col("rep"))).select("sig", "_t")
-    name = "f" if profiles else "s"
+    return map_batches(docs.select(F.col(text).alias("_t")), maker, "r long, sig long, n int, hot boolean", BATCH)
+
+
+def cells(w: DataFrame, percent: int, any_hot: bool) -> DataFrame:
+    """``cell, sig``: every set that is not alone by size with one of its window's shingles, in the cells of these shingles'
+    pivots, a pivot being named by its hash.
+
+    A shingle that very many sets may have is not dealt to one task: its pivot comes from an aggregation with partial sums."""
+    fits = lambda small, large: F.coalesce(100 * small >= percent * large, F.lit(False))
+    by_size = Window.partitionBy("r").orderBy("n", "sig")
+    cold = (w.filter(~F.col("hot")) if any_hot else w).select("r", "sig", "n").withColumn("_was", F.lag("sig").over(by_size))
+    cold = cold.filter(F.col("_was").isNull() | (F.col("_was") != F.col("sig")))  # else a copy from another task
+    cold = cold.withColumns({"_before": F.lag("n").over(by_size), "_next": F.lead("n").over(by_size)})
+    cold = cold.filter(fits(F.col("_before"), F.col("n")) | fits(F.col("n"), F.col("_next")))
+    # sets of far sizes are apart: a pivot serves those around its size
+    cold = cold.withColumn("_gap", F.when(fits(F.col("_before"), F.col("n")), 0).otherwise(1))
+    cold = cold.withColumn("_run", F.sum("_gap").over(by_size.rowsBetween(Window.unboundedPreceding, 0)))
+    cold = cold.withColumn("cell", F.min("sig").over(Window.partitionBy("r", "_run"))).select("cell", "sig")
+    if any_hot:
+        hot = stored(w.filter("hot").select("r", "sig").distinct())
+        pivots = hot.groupBy("r").agg(F.min("sig").alias("cell"))
+        cold = cold.unionByName(hot.join(pivots, "r").select("cell", "sig"))
+    others = stored(cold.filter("cell <> sig").distinct())
+    return others.unionByName(others.select("cell", F.col("cell").alias("sig")).distinct())
+
+
+def tiled(rows: DataFrame, weight, most: int) -> DataFrame:
+    """Rows with ``cell, sig``; a cell of more than ``most`` weight is dealt to blocks by hash, and every two blocks of it
+    are a cell of their own (the row in as many cells as there are blocks), so that each pair of rows still meets."""
+    large = stored(rows.groupBy("cell").agg(F.sum(weight).alias("_w")).filter(F.col("_w") > most))
+    if large.isEmpty():
+        return rows
+    blocks = F.ceil(F.col("_w") * 2 / most)
+    split = rows.join(large, "cell").withColumn("_b", F.pmod(F.xxhash64(F.lit(5), F.col("sig")), blocks))
+    split = split.withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    split = split.withColumn("cell", F.xxhash64("cell", F.least("_b", "_j"), F.greatest("_b", "_j")))
+    return rows.join(large, "cell", "left_anti").unionByName(split.select(*rows.columns))
+
+
+def close_groups(rows: DataFrame, percent: int) -> DataFrame:
+    """``cell, sig`` from rows ``cell, sig, n, f``: groups of sets whose sketches don't tell them apart, named by their
+    smallest member, so that a group found in several cells is one."""
 
     def maker():
-        def run(batch: pa.RecordBatch):
-            sets = shingle_sets(batch.column("_t").to_pylist(), words)
-            kept = [(g, profile(s) if profiles else s.tobytes()) for g, s in zip(batch.column("sig").to_pylist(), sets, strict=True) if _sig(s) == g]
-            return [list(c) for c in zip(*kept, strict=True)] if kept else None
+        def run(_, sig, n, f):
+            sig, at = np.unique(sig, return_index=True)
+            if len(sig) < 2:
+                return None
+            found = Sketches(n[at], [f[k] for k in at], percent).clusters()
+            if not found:
+                return None
+            return [np.concatenate([np.full(len(g), sig[g].min()) for g in found]), np.concatenate([sig[g] for g in found])]
 
         return run
 
-    return map_batches(source, maker, f"sig long, {name} binary", BATCH).dropDuplicates(["sig"])
+    return by_group(rows.select("cell", "sig", "n", "f"), maker, "cell long, sig long")
 
 
-def compare(pairs: DataFrame, load) -> DataFrame:
-    """The rows of ``pairs`` (with ``a, b``, two sets) with ``inter``, ``uni`` added. ``load`` gives sets for sigs."""
-    sets = load(pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct())
-    whole = pairs.join(sets.select(F.col("sig").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("sig").alias("b"), F.col("s").alias("sb")), "b")
-    names = [(f.name, f.dataType.simpleString()) for f in pairs.schema]
+def group_links(docs: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
+    """``a, b``: every set that is linked, and the smallest one of its linked group within a cell. ``members``: ``cell, sig,
+    th``, the text's hash by which a set's text is found in ``docs`` (``_t``)."""
+    wanted = stored(members.groupBy("th", "sig").agg(F.collect_set("cell").alias("in")))
+    # its size is known: the optimizer sends it to the scan if it is small, else both sides are shuffled
+    source = docs.withColumn("_h", F.xxhash64("_t")).join(wanted, F.col("_h") == F.col("th")).select("sig", "_t", "in")
+
+    def loader():
+        seen: set[int] = set()
 
-    def maker():
         def run(batch: pa.RecordBatch):
-            inter, uni = [], []
-            for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                n = int(overlaps(x, y, np.array([0, len(y)]))[0])
-                inter.append(n)
-                uni.append(len(x) + len(y) - n)
-            return [*[batch.column(c) for c, _ in names], inter, uni]
+            out = ([], [], [])
+            sets = shingle_sets(batch.column("_t").to_pylist(), words)
+            for g, s, places in zip(batch.column("sig").to_pylist(), sets, batch.column("in").to_pylist(), strict=True):
+                if g not in seen and _sig(s) == g:
+                    seen.add(g)
+                    raw = s.tobytes()
+                    for c in places:
+                        for column, v in zip(out, (c, g, raw), strict=True):
+                            column.append(v)
+            return out if out[0] else None
 
         return run
 
-    return map_batches(whole, maker, ", ".join(f"{c} {t}" for c, t in names) + ", inter long, uni long")
+    def solver():
+        def run(_, sig, raw):
+            sig, at = np.unique(sig, return_index=True)
+            if len(sig) < 2:
+                return None
+            root = Cell([np.frombuffer(raw[k], np.uint64) for k in at], percent).solve()
+            some = np.flatnonzero(root != np.arange(len(sig)))
+            return [sig[some], sig[root[some]]] if len(some) else None
+
+        return run
+
+    return by_group(map_batches(source, loader, "cell long, sig long, s binary", BATCH), solver, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``v, c``: of every vertex of the edges ``a, b``, the least vertex that it reaches."""
-    both = cut(edges.select("a", "b").union(edges.select("b", "a")).filter(F.col("a") != F.col("b")).distinct())
-    state = cut(both.groupBy(F.col("a").alias("v")).agg(F.least("v", F.min("b")).alias("c")))
+    both = stored(edges.select("a", "b").union(edges.select("b", "a")).filter(F.col("a") != F.col("b")).distinct())
+    state = stored(both.groupBy(F.col("a").alias("v")).agg(F.least("v", F.min("b")).alias("c")))
     while True:
         near = both.join(state.select(F.col("v").alias("b"), F.col("c").alias("d")), "b").groupBy(F.col("a").alias("v")).agg(F.min("d").alias("d"))
-        step = cut(state.join(near, "v").select("v", F.col("c").alias("old"), F.least("c", "d").alias("c")))
+        step = stored(state.join(near, "v").select("v", F.col("c").alias("old"), F.least("c", "d").alias("c")))
         jump = step.select(F.col("v").alias("c"), F.col("c").alias("to"))
-        nxt = cut(step.join(jump, "c", "left").select("v", "old", F.least("c", "to").alias("c")))
+        nxt = stored(step.join(jump, "c", "left").select("v", "old", F.least("c", "to").alias("c")))
         state = nxt.select("v", "c")
         if nxt.filter(F.col("c") != F.col("old")).isEmpty():
             return state
 
 
-def refined(rows: DataFrame, labels: DataFrame, load, heat, percent: int, most: int, depth: int = 3) -> DataFrame:
-    """``r, sig, n, i, l`` of the regions that hold several balls, ``i`` being the shingles before r that are not shared.
-
-    A region of over ``most`` balls recurs, ``depth`` times at most, on its sets' next shingles. A pair within reach meets
-    again at its next common shingle, which is one place farther at most for every shingle that it has shared; sets that
-    may share too few shingles for that stay in the region too."""
-    now = rows.join(labels, "sig")
-    done = None
-    for level in range(depth + 1):
-        counted = now.select("r", "l").distinct().groupBy("r").agg(F.count("*").alias("balls")).filter(F.col("balls") > 1)
-        several = cut(now.join(counted, "r"))
-        large = several.filter(F.col("balls") > most)
-        last = level == depth or large.isEmpty()
-        part = (several if last else several.filter((F.col("balls") <= most) | (F.col("n") < 17))).drop("balls")
-        done = part if done is None else done.unionByName(part)
-        if last:
-            return done
-
-        def maker(level=level):
-            def run(batch: pa.RecordBatch):
-                out = []
-                for sig, raw in zip(batch.column("sig").to_pylist(), batch.column("s").to_pylist(), strict=True):
-                    s = np.frombuffer(raw, np.uint64)
-                    near = ordered(s, heat.value)[: len(s) * (100 - percent) // 100 + 2 + level]
-                    out.append((np.full(len(near), sig), near, np.arange(len(near))))
-                return [np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out]).view(np.int64), np.concatenate([o[2] for o in out])] if out else None
-
-            return run
-
-        chosen = large.filter("n >= 14")
-        onward = map_batches(load(chosen.select("sig").distinct()), maker, "sig long, r2 long, i2 int", BATCH)
-        nxt = chosen.join(onward, "sig").filter(F.col("i2") > F.col("i") + level)
-        now = nxt.select(F.xxhash64("r", "r2").alias("r"), "sig", "n", (F.col("i2") - (level + 1)).cast("int").alias("i"), "l")
-
-
-def join(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 4, percent: int = 85, group: int = 256, few: int = 16, most_balls: int = 4000, part_rows: int = 100_000) -> DataFrame:
+def join(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 4, percent: int = 85, cell_sets: int = 8192, group_shingles: int = 4_000_000, hot_sets: int = 200_000) -> DataFrame:
     """``key, n_shingles, component_id`` for every row: two rows are linked when their sets' similarity is at least
-    ``percent`` hundredths, and ``component_id`` is the smallest id reachable by links."""
-    rows, sketch = class_rows(docs, text, key, words)
-    classes = rows.filter("n > 0").groupBy("sig").agg(F.min("_k").alias("rep"), F.max("n").alias("n"))
-
-    # 1. regions: sets that are alone, or alone in their size, end here
-    # rare: no more than a cell's share of all sets and its noise
-    heat = np.log2(np.maximum(1, sketch / (sketch.mean() + 4 * np.sqrt(sketch.mean()) + 16))).astype(np.int8)
+    ``percent`` hundredths, and ``component_id`` is the smallest id reachable by links. The sizes bound what one task
+    holds; they don't change results."""
+    rows, counts = class_rows(docs, text, key, words)
+    classes = rows.filter("n > 0").groupBy("sig").agg(F.min("_k").alias("rep"), F.max("n").alias("n"), F.min("th").alias("th"))
+
+    # 1. pivots and cells. Rare: no more than a cell's share of all sets and its noise
+    usual = counts.mean() + 4 * np.sqrt(counts.mean()) + 16
+    heat = np.log2(np.maximum(1, counts / usual)).astype(np.int8)
+    hot = int(np.ceil(np.log2(max(2, hot_sets / usual))))
+    any_hot = bool((heat >= hot).any())
     heat = docs.sparkSession.sparkContext.broadcast(heat)  # one byte a cell
-    in_region = Window.partitionBy("r").orderBy("n", "sig")
-    fits = lambda small, large: 100 * small >= percent * large
-    w = windows(docs, heat, text, words, percent).withColumn("_was", F.lag("sig").over(in_region))
-    w = w.filter(F.col("_was").isNull() | (F.col("_was") != F.col("sig")))  # else a copy from another task
-    w = w.withColumns({"_before": F.lag("n").over(in_region), "_next": F.lead("n").over(in_region)})
-    alone = ~F.coalesce(fits(F.col("_before"), F.col("n")), F.lit(False)) & ~F.coalesce(fits(F.col("n"), F.col("_next")), F.lit(False))
-    regions = cut(w.filter(~alone).select("r", "sig", "n", "i"))
-
-    # 2. profiles of the sets in regions, and balls; whole sets are read again where they are compared
-    keyed = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t"))
-    wanted = cut(regions.select("sig").distinct().join(classes, "sig").select("sig", "rep"))
-    profiles = cut(loaded(keyed, wanted, words, True))
-
-    def load(sigs: DataFrame) -> DataFrame:
-        return loaded(keyed, cut(wanted.join(sigs, "sig")), words, False)
-
-    homes = cut(regions.groupBy("sig").agg(F.min_by("r", "i").alias("home")))
-    level, labels, links = homes, homes.select("sig", F.col("sig").alias("l"), F.lit(0.0).alias("d")), []
-    while True:
-        # the few sets of a small home meet in step 3 as well
-        size = level.groupBy("home").agg(F.count("*").alias("m")).filter(F.col("m") > few)
-        dealt = level.join(size, "home").withColumn("parts", F.ceil(F.col("m") / group))
-        dealt = cut(dealt.withColumn("part", F.pmod(F.xxhash64(F.lit(len(links)), F.col("sig")), F.col("parts"))))
-        balls = cut(ball_groups(dealt.select("home", "part", "sig").join(load(dealt.select("sig")), "sig"), percent).join(dealt.select("sig", "home", "parts"), "sig"))
-        links.append(balls.filter("sig <> centre").select(F.col("sig").alias("a"), F.col("centre").alias("b")))
-        up = balls.select(F.col("sig").alias("l"), "centre", (1 - F.col("inter") / F.col("uni")).alias("step"))
-        labels = cut(labels.join(up, "l", "left").select("sig", F.coalesce("centre", "l").alias("l"), (F.col("d") + F.coalesce("step", F.lit(0.0))).alias("d")))
-        level = balls.filter("sig = centre and parts > 1").select("sig", "home")
-        # centres that no longer fall together are left to step 3
-        if 2 * level.count() > balls.filter("parts > 1").count() or level.isEmpty():
-            break
-
-    # 3. balls that meet in a region
-    met = refined(regions, labels.select("sig", "l"), load, heat, percent, most_balls).join(labels.select("sig", "d"), "sig")
-    met = met.join(profiles, "sig")
-    parts = max(1, -(-regions.count() // part_rows))
-    meet = cut(meetings(met, percent, parts))
-    pairs = cut(meet.groupBy(F.col("l1").alias("a"), F.col("l2").alias("b")).agg(F.max("d1").alias("ra"), F.max("d2").alias("rb")))
-    measured = cut(compare(pairs, load))
-    apart = 1 - F.col("inter") / F.col("uni")
-    linked = _close(F.col("inter"), F.col("uni"), percent)
-    links.append(measured.filter(linked).select("a", "b"))
-    limit = (100 - percent) / 100 + 1e-9
-    open_pairs = measured.filter(~linked & (apart <= limit + F.col("ra") + F.col("rb"))).select(F.col("a").alias("l1"), F.col("b").alias("l2"), apart.alias("apart"))
-    if not open_pairs.isEmpty():
-        within = F.col("d1") + F.col("d2") >= F.col("apart") - limit
-        inner = cut(meet.join(open_pairs, ["l1", "l2"]).filter(within).select(F.col("sig1").alias("a"), F.col("sig2").alias("b")).distinct())
-        links.append(cut(compare(inner, load)).filter(linked).select("a", "b"))
+    members = cells(windows(docs, heat, text, words, percent, hot), percent, any_hot)
+
+    # 2. groups by sketches
+    kept = stored(classes.join(members.select("sig").distinct(), "sig"))
+    sketches = rows.join(kept.select("sig", "th"), ["sig", "th"]).select("sig", "n", "f").dropDuplicates(["sig"])
+    groups = stored(close_groups(tiled(members.join(sketches, "sig"), F.lit(1), cell_sets), percent).distinct())
+
+    # 3. links within groups
+    sized = groups.join(kept.select("sig", "th", "n"), "sig")
+    edges = group_links(docs.select(F.col(text).alias("_t")), tiled(sized, F.col("n"), group_shingles), words, percent)
 
     # 4. components of sets, and their smallest ids
-    edges = links[0]
-    for more in links[1:]:
-        edges = edges.unionByName(more)
-    groups = components(edges)
-    named = groups.join(classes.select(F.col("sig").alias("v"), "rep"), "v")
+    named = components(edges).join(classes.select(F.col("sig").alias("v"), "rep"), "v")
     least = named.groupBy("c").agg(F.min("rep").alias("least"))
     ids = named.join(least, "c").select(F.col("v").alias("sig"), "least")
     home_ids = classes.select("sig", "rep").join(ids, "sig", "left").select("sig", F.coalesce("least", "rep").alias("component_id"))
@@ -351,4 +255,3 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int =
 
 def op2(spark, sf_dir: str) -> DataFrame:
     return join(read(spark, sf_dir, "documents"))
-

@@ -53,7 +53,7 @@ def components(rows, k, percent):
     return {i: (len(s), least[g]) for s, g, (i, _, _) in zip(sets, group, rows, strict=True)}
 
 
-@pytest.mark.parametrize(("k", "percent", "options"), [(4, 85, {}), (2, 80, {"group": 4, "few": 1, "most_balls": 2, "part_rows": 50})])
+@pytest.mark.parametrize(("k", "percent", "options"), [(4, 85, {}), (2, 80, {"cell_sets": 6, "group_shingles": 300, "hot_sets": 20})])
 def test_jaccard_join(spark, k, percent, options):
     rows = corpus()
     got = jaccard.join(frame(spark, rows), words=k, percent=percent, **options).collect()
