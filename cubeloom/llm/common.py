@@ -117,16 +117,18 @@ def crc_fold(doc_id, n: int):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def sampled(df: DataFrame, key: str, group: str, rows: int, seed: int) -> DataFrame:
+def sampled(df: DataFrame, key: str, group: str, rows: int, seed: int, most_groups: int = 10_000) -> DataFrame:
     """About ``rows`` rows of each group, chosen by the hash of ``key``: the same rows at every layout.
 
-    Each group's share comes from a count over all rows; a group with fewer rows is taken whole.
+    Each group's share comes from a count over all rows; a group with fewer rows is taken whole. Groups are classes to
+    learn: over ``most_groups`` of them are an error.
     """
     counts = df.groupBy(group).agg(F.count("*").alias("_n"))
     share = counts.select(F.col(group).alias("_g"), (F.lit(float(rows)) / F.col("_n")).alias("_share"))
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    # groups are classes to learn: a handful, counted here
-    known = [(r["_g"], r["_share"]) for r in share.filter(F.col("_g").isNotNull()).limit(10_000).collect()]
+    known = [(r["_g"], r["_share"]) for r in share.filter(F.col("_g").isNotNull()).limit(most_groups + 1).collect()]
+    if len(known) > most_groups:
+        raise ValueError(f"{group} has over {most_groups} values: too many classes to learn")
     keep = F.lit(False)
     for g, s in known:
         keep = keep | ((F.col(group) == F.lit(g)) & (draw < F.lit(s)))

@@ -4,14 +4,16 @@ One model a language, trained on a bounded sample of labelled rows; each distinc
 binary search in the arrays, and a text's languages are compared by their cross-entropy a character. A logistic
 calibration turns the lead of the best language into a probability, by which a text can be rejected.
 
-Defined results: a null text, or one without a letter, is ``und`` with score 0. Equal cross-entropies go to the language
-first in order. No labelled row at all: every text is ``und``. Repeated rows are predicted each for itself; columns other
-than the id and the text are not read.
+Defined results: a null or empty text, or one without a letter (Unicode category L), is ``und`` with score 0. A very long
+text is scored whole, word by word. Ties: equal cross-entropies go to the language first in order. No labelled row at all:
+every text is ``und``. An empty table gives no row. Repeated rows are predicted each for itself; columns other than the id
+and the text are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +24,15 @@ from pyspark.sql import functions as F
 from cubeloom.llm.common import Interner, crc_fold, map_batches, newton_logistic, read, sampled
 
 ORDER = 5
-_LETTERS = re.compile(r"[^\W\d_]+")
+_LETTERS = re.compile(r"[^\W\d_]+")  # letters, and numbers that are no decimal digits
+
+
+def words_of(token: str) -> list[str]:
+    """The runs of letters."""
+    found = _LETTERS.findall(token)
+    return found if all(map(str.isalpha, found)) else [w for f in found for w in "".join(c if c.isalpha() else " " for c in f).split()]
+
+
 _STEP, _SALT, _WORD = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 1 << 64
 
 
@@ -124,13 +134,61 @@ def train(words: list[str], counts: np.ndarray, order: int = ORDER) -> CharModel
     return CharModel(order, floor, keys, logs, contexts, backs)
 
 
+class Merged:
+    """The models of several languages in one sorted hash array an order: a row of values a gram, a column a language."""
+
+    def __init__(self, models: dict[str, CharModel]):
+        self.names = sorted(models)
+        own = [models[k] for k in self.names]
+        self.order, self.floor = own[0].order, np.array([m.floor for m in own])
+        self.grams = [_merged([m.keys[n] for m in own], [m.logs[n] for m in own], np.nan) for n in range(self.order + 1)]
+        self.contexts = [_merged([m.contexts[n] for m in own], [m.backs[n] for m in own], 0.0) for n in range(self.order)]
+
+    def score(self, hashes: np.ndarray, previous: np.ndarray, room: np.ndarray) -> np.ndarray:
+        """The log-probability of each character in each language."""
+        out = np.repeat(self.floor[None], hashes.shape[1], axis=0)
+        for n in range(1, self.order + 1):
+            at = np.flatnonzero(room >= n)
+            below = out[at] + (self.contexts[0][1][0] if n == 1 else _rows(self.contexts[n - 1], previous[n - 1, at]))
+            seen = _rows(self.grams[n], hashes[n, at])
+            out[at] = np.where(np.isnan(seen), below, seen)
+        return out
+
+
+def _merged(keys: list[np.ndarray], values: list[np.ndarray], default: float) -> tuple[np.ndarray, np.ndarray]:
+    """All keys in order, and a row of values for each and one for any other."""
+    names = np.unique(np.concatenate(keys))
+    table = np.full((len(names) + 1, len(keys)), default)
+    for j, (k, v) in enumerate(zip(keys, values, strict=True)):
+        table[np.searchsorted(names, k), j] = v
+    return names, table
+
+
+def _rows(array: tuple[np.ndarray, np.ndarray], wanted: np.ndarray) -> np.ndarray:
+    keys, table = array
+    if not len(keys):
+        return np.repeat(table, len(wanted), axis=0)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return table[np.where(keys[at] == wanted, at, len(keys))]
+
+
 class Scorer:
     """Cross-entropies of texts, one column a language, with a bounded memory of words."""
 
+    kept: tuple | None = None  # a worker's last one: its tasks share the memory of words
+
     def __init__(self, models: dict[str, CharModel], most_words: int = 400_000):
-        self.names, self.models, self.most = sorted(models), models, most_words
+        self.models, self.most = Merged(models), most_words
+        self.names = self.models.names
         self._clear()
 
+    @classmethod
+    def of(cls, shared, models: dict[str, CharModel]) -> Scorer:
+        """The scorer of a broadcast's models."""
+        if cls.kept is None or cls.kept[0] != shared:
+            cls.kept = (shared, cls(models))
+        return cls.kept[1]
+
     def _clear(self) -> None:
         self.ids, self.table = Interner(), np.zeros((0, len(self.names) + 1))
 
@@ -154,15 +212,16 @@ class Scorer:
     def _learn(self, tokens: list[str]) -> None:
         owner, words = [], []
         for i, token in enumerate(tokens):
-            for w in (token,) if token.isalpha() else _LETTERS.findall(token):
+            for w in (token,) if token.isalpha() else words_of(token):
                 owner.append(i)
                 words.append(w)
         rows = np.zeros((len(tokens), len(self.names) + 1))
         if words:
             hashes, previous, room, word = _grams(words, ORDER)
             of = np.array(owner)[word]
-            for j, name in enumerate(self.names):
-                rows[:, j] = np.bincount(of, self.models[name].score(hashes, previous, room), len(tokens))
+            scores = self.models.score(hashes, previous, room)
+            for j in range(len(self.names)):
+                rows[:, j] = np.bincount(of, scores[:, j], len(tokens))
             rows[:, -1] = np.bincount(of, minlength=len(tokens))
         self.table = np.concatenate([self.table, rows])
 
@@ -195,7 +254,7 @@ class LanguageId:
             def count(batch: pa.RecordBatch):
                 seen: dict[str, Counter] = {}
                 for language, t in zip(batch.column("_l").to_pylist(), batch.column("_t").to_pylist(), strict=True):
-                    seen.setdefault(language, Counter()).update(_LETTERS.findall(t.lower()))
+                    seen.setdefault(language, Counter()).update(words_of(t.lower()))
                 flat = [(a, w, n) for a, c in seen.items() for w, n in c.items()]
                 return [list(x) for x in zip(*flat, strict=True)] if flat else None
 
@@ -209,9 +268,10 @@ class LanguageId:
         held = sampled(labelled.filter(side), "_k", "_l", calibration_rows, 2)
         names = sorted(models)
         sc = rows.sparkSession.sparkContext.broadcast(models)
+        name = uuid.uuid4().hex
 
         def measurer():
-            scorer = Scorer(sc.value)
+            scorer = Scorer.of(name, sc.value)
 
             def measure(batch: pa.RecordBatch):
                 e, n = scorer(batch.column("_t").to_pylist())
@@ -232,10 +292,11 @@ class LanguageId:
     def predict(self, docs: DataFrame, text: str = "text", key: str = "doc_id", reject_below: float | None = None) -> DataFrame:
         """``key, lang_pred, score, accepted``. With ``reject_below``, a text of a lower score is ``und`` too."""
         shared = docs.sparkSession.sparkContext.broadcast((self.models, self.weights))
+        name = uuid.uuid4().hex
 
         def predictor():
             models, weights = shared.value
-            scorer = Scorer(models)
+            scorer = Scorer.of(name, models) if models else None
             calibrated = newton_logistic(*weights) if weights else None
 
             def predict(batch: pa.RecordBatch):
