@@ -3,44 +3,44 @@
 A document loses each byte that a 50-byte string covers which also starts in a document of a smaller id. Suffixes are
 sorted where a repeat is possible:
 
-1. Anchors. Of each 50-byte window, the 24-byte gram of the least hash is an anchor; equal windows have the same anchor
-   at the same place. Each task sends its distinct anchors, packed by ranges of their hashes; a range finds those that
-   several texts have, and tells the documents.
-2. Contexts. Around each of its shared anchors, a document sends the 26 bytes before and the 50 bytes from it, equal
-   contexts of a batch once with their smallest id.
-3. Sorting. Contexts of an anchor are sorted to the right as suffixes and to the left reversed, by deep-shallow sorting.
+1. Groups. Texts are dealt by hash to groups of some megabytes, once, compressed; exact copies of a text of a smaller id are
+   not among them (they go whole), nor texts of under 50 bytes (they stay). All that follows is summed up in a group
+   before it is sent, so that a passage in very many texts sends a row a group.
+2. Anchors. Of each 50-byte window, the 24-byte gram of the least hash is an anchor; equal windows have the same anchor
+   at the same place. A group sends its distinct anchors to ranges of their hashes; a range finds those that several texts
+   have, and tells the groups.
+3. Contexts. Around each of its shared anchors, a group sends the 26 bytes before and the 50 bytes from it, equal
+   contexts once with their smallest id.
+4. Sorting. Contexts of an anchor are sorted to the right as suffixes and to the left reversed, by deep-shallow sorting.
    Cutting both orders at the prefix lengths j and 50 - j gives the classes of contexts that share the window starting
-   j bytes before the anchor; the smallest id of a class tells which documents have seen that window before. Contexts of
-   an anchor that very many texts have are classed by hashes of their windows instead, in DataFrame aggregates.
-4. Marks. Each context's smallest ids go back to its documents, which cover the windows and drop what is covered.
-
-Defined results: a null text is empty. A text equal to one of a smaller id goes whole if it has 50 bytes. Rows that share
-their id don't delete each other. A null id counts as larger than all others. Ids are integers. An empty table gives no
-row. Only id and text are read.
+   j bytes before the anchor; the smallest id of each class goes back to the groups that sent the context.
+5. Marks. A group's places of a context, which it sent to itself, are compared with these ids; where a smaller id has the
+   window, it is covered, and what is covered is dropped.
+
+Defined results: a null or empty text keeps its nothing. A text equal to one of a smaller id goes whole if it has 50 bytes.
+Rows that share their id don't delete each other. A null id counts as larger than all others. Ids are integers; another
+type of id is refused. A very long text is worked on in overlapping parts, with the same result. Ties: equal windows have
+one smallest id. An empty table gives no row. Only id and text are read, whatever other columns are named.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard as zs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from cubeloom.llm.common import cut, map_batches, pieces, read, released
+from cubeloom.llm.common import map_batches, read, released, stored
 from cubeloom.llm.shingles import mixed
 from cubeloom.llm.suffixes import deep_shallow
-from cubeloom.session import ship
 
 LENGTH, GRAM = 50, 24
 LEFT = LENGTH - GRAM
 SPAN = LENGTH - GRAM + 1
 NO_ID = (1 << 63) - 1
-BATCH = 800_000
+BATCH = 1_000_000
 _rng = np.random.Generator(np.random.PCG64(99))
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = int(_rng.integers(1 << 40, 1 << 62)) * 2 + 1
@@ -95,180 +95,176 @@ def _unpacked(raw: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
 
 
-def _raws(column: pa.Array) -> list[bytes]:
-    return [(t or "").encode("utf-8", "surrogatepass") for t in column.to_pylist()]
-
-
-def send_anchors(docs: DataFrame, ranges: int) -> DataFrame:
-    """``range`` and packed ``hashes, owners, ids``: a task's distinct anchors of each range of hashes, the number of the
-    text that has each, and the texts' smallest ids."""
-    names = ["range", "hashes", "owners", "ids"]
-    schema = pa.schema([("range", pa.int32()), ("hashes", pa.binary()), ("owners", pa.binary()), ("ids", pa.binary())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers: dict[bytes, int] = {}
-        ids: list[int] = []
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        for batch in batches:
-            for part in pieces(batch, BATCH):
-                fresh, owner = [], []
-                for i, raw in zip(part.column("_k").to_pylist(), _raws(part.column("_t")), strict=True):
-                    if len(raw) < LENGTH:
-                        continue
-                    digest = xxhash.xxh3_128_digest(raw)
-                    if digest in numbers:
-                        ids[numbers[digest]] = min(i, ids[numbers[digest]])
-                        continue
-                    numbers[digest] = len(ids)
-                    owner.append(len(ids))
-                    ids.append(i)
-                    fresh.append(raw)
-                if fresh:
-                    text, _, h = anchors(fresh)
-                    h = h >> np.uint64(16)
-                    by = np.lexsort((h, text))
-                    text, h = text[by], h[by]
-                    once = np.concatenate([[True], (text[1:] != text[:-1]) | (h[1:] != h[:-1])])
-                    found.append((h[once], np.array(owner, np.uint32)[text[once]]))
-        if not found:
-            return
-        h, owner = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-        del found
-        by = np.argsort(h, kind="stable")
-        h, owner = h[by], owner[by]
-        which = ((h >> np.uint64(16)) * np.uint64(ranges)) >> np.uint64(32)
-        cuts = np.searchsorted(which, np.arange(ranges + 1))
-        all_ids = np.array(ids, np.int64)
-        for r in range(ranges):
-            if cuts[r] < cuts[r + 1]:
-                texts, local = np.unique(owner[cuts[r] : cuts[r + 1]], return_inverse=True)
-                squeeze = zs.ZstdCompressor(level=1).compress
-                row = [[r], [_packed(h[cuts[r] : cuts[r + 1]])], [squeeze(np.ascontiguousarray(local.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())], [_packed(all_ids[texts].view(np.uint64))]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(row, schema, strict=True)], names=names)
-        del h, owner, by, which
-        released()
-
-    ship(docs.sparkSession)
-    return docs.mapInArrow(run, "range int, hashes binary, owners binary, ids binary")
-
-
-def _shared(table: pa.Table, hot: int) -> pa.Table:
-    """The anchors of a range that several texts have, a row a document; those of over ``hot`` texts apart."""
-    hashes, docs = [], []
-    inflate = zs.ZstdDecompressor().decompress
-    for h, o, i in zip(*(table.column(c).to_pylist() for c in ("hashes", "owners", "ids")), strict=True):
-        hashes.append(_unpacked(h))
-        local = np.ascontiguousarray(np.frombuffer(inflate(o), np.uint8).reshape(4, -1).T).view("<u4").ravel()
-        docs.append(_unpacked(i).view(np.int64)[local])
-    h, d = np.concatenate(hashes), np.concatenate(docs)
-    del hashes, docs
-    by = np.argsort(h, kind="stable")
-    h, d = h[by], d[by]
-    heads = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    sizes = np.diff(np.append(heads, len(h)))
-    several = np.repeat(sizes > 1, sizes)
-    h, d, many = h[several], d[several], np.repeat(sizes > hot, sizes)[several]
-    by = np.lexsort((h, many, d))
-    h, d, many = h[by], d[by], many[by]
-    heads = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (many[1:] != many[:-1])])) if len(d) else np.zeros(0, np.int64)
-    parts = [x.tobytes() for x in np.split(h, heads[1:])] if len(d) else []
-    return pa.table([pa.array(d[heads], pa.int64()), pa.array(parts, pa.binary()), pa.array(many[heads], pa.bool_())], names=["_k2", "hashes", "hot"])
-
-
-def _contexts(raw: bytes, places: np.ndarray) -> list[bytes]:
-    """The length of what stands before each anchor (one byte), these bytes, and the bytes from the anchor."""
-    return [bytes((min(p, LEFT),)) + raw[max(0, p - LEFT) : p + LENGTH] for p in places.tolist()]
-
-
-def _wanted(raws: list[bytes], lists: list[list[bytes] | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The anchors of each text that are in its list of shared ones (hashes of 48 bits)."""
-    text, place, h = anchors(raws)
-    h = h >> np.uint64(16)
-    keep = np.zeros(len(h), bool)
-    bounds = np.searchsorted(text, np.arange(len(raws) + 1))
-    for i, parts in enumerate(lists):
-        if parts:
-            a, b = bounds[i], bounds[i + 1]
-            keep[a:b] = np.isin(h[a:b], np.frombuffer(b"".join(parts), np.uint64))
-    return text[keep], place[keep], h[keep]
-
+def _text_anchors(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``anchors`` of texts of any length, hashes cut to 48 bits, in the order of texts and places. Long texts are cut
+    to parts that share 49 bytes, so that each window is in one."""
+    parts, sizes, out = [], 0, []
 
-def _inflated(column: pa.Array) -> list[bytes]:
-    inflate = zs.ZstdDecompressor().decompress
-    return [inflate(z) for z in column.to_pylist()]
+    def done() -> None:
+        nonlocal parts, sizes
+        if parts:
+            part, place, h = anchors([raw for _, _, raw in parts])
+            of = np.array([(t, s) for t, s, _ in parts], np.int64)
+            out.append((of[part, 0], of[part, 1] + place, h >> np.uint64(16)))
+        parts, sizes = [], 0
+
+    for t, raw in enumerate(raws):
+        for s in range(0, max(1, len(raw) - LENGTH + 1), BATCH):
+            parts.append((t, s, raw[s : s + BATCH + LENGTH - 1]))
+            sizes += len(parts[-1][2])
+            if sizes >= BATCH:
+                done()
+    done()
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    text, place, h = (np.concatenate(c) for c in zip(*out, strict=True))
+    by = np.lexsort((place, text))
+    text, place, h = text[by], place[by], h[by]
+    once = np.concatenate([[True], (text[1:] != text[:-1]) | (place[1:] != place[:-1])]) if len(text) else np.zeros(0, bool)
+    return text[once], place[once], h[once]
+
+
+def _squeezed(x: np.ndarray) -> bytes:
+    """Numbers as zstandard over their byte planes."""
+    x = np.ascontiguousarray(x)
+    return zs.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()) if x.size else b""
+
+
+def _grown(raw: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(zs.ZstdDecompressor().decompress(raw), np.uint8).reshape(size, -1) if raw else np.zeros((size, 0), np.uint8)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def _table(rows: list[list], names: str, kinds: list) -> pa.Table:
+    columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
+    released()
+    return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names.split())
 
 
-def send_bodies(rows: DataFrame, ranges: int) -> DataFrame:
-    """Of rows ``_k, _z, lists``: ``part, body, docs`` for each distinct context of a batch: the context and the
-    documents that have it. Contexts of an anchor share their part."""
-    def maker():
-        def run(batch: pa.RecordBatch):
-            lists = batch.column("lists").to_pylist()
-            chosen = [i for i, x in enumerate(lists) if x]
-            if not chosen:
-                return None
-            raws = _inflated(batch.column("_z").take(pa.array(chosen)))
-            ids = batch.column("_k").take(pa.array(chosen)).to_pylist()
-            text, place, h = _wanted(raws, [lists[i] for i in chosen])
-            part = (((h >> np.uint64(16)) * np.uint64(ranges)) >> np.uint64(32)).tolist()
-            seen: dict[bytes, tuple[int, list[int]]] = {}
-            bounds = np.searchsorted(text, np.arange(len(raws) + 1))
-            for i, raw in enumerate(raws):
-                for body, which in zip(_contexts(raw, place[bounds[i] : bounds[i + 1]]), part[bounds[i] : bounds[i + 1]], strict=True):
-                    docs = seen.setdefault(body, (which, []))[1]
-                    if not docs or docs[-1] != ids[i]:
-                        docs.append(ids[i])
-            return [[v[0] for v in seen.values()], list(seen), [v[1] for v in seen.values()]] if seen else None
+def _ranged(h: np.ndarray, ranges: int) -> np.ndarray:
+    return (((h >> np.uint64(16)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
 
-        return run
 
-    return map_batches(rows.select("_k", "_z", "lists"), maker, "part int, body binary, docs array<long>", BATCH // 2)
+def _runs(x: np.ndarray) -> list[tuple[int, int]]:
+    """Starts and ends of the runs of equal values."""
+    heads = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+    return list(zip(heads.tolist(), [*heads[1:].tolist(), len(x)], strict=True)) if len(x) else []
 
 
-def send_windows(rows: DataFrame) -> DataFrame:
-    """``doc, ctx, j, w`` for the anchors that many texts have: a context's window from j bytes before its anchor."""
+def send_texts(base: DataFrame, groups: int) -> DataFrame:
+    """``pid, _o, _k, _z``: the texts compressed, as they are shuffled, and the group that each is dealt to. Rows of equal id
+    and text are spread by the part of the input that they are in."""
 
     def maker():
         def run(batch: pa.RecordBatch):
-            lists = batch.column("hots").to_pylist()
-            chosen = [i for i, x in enumerate(lists) if x]
-            if not chosen:
-                return None
-            raws = _inflated(batch.column("_z").take(pa.array(chosen)))
-            ids = batch.column("_k").take(pa.array(chosen)).to_pylist()
-            text, place, _ = _wanted(raws, [lists[i] for i in chosen])
-            bounds = np.searchsorted(text, np.arange(len(raws) + 1))
-            out: tuple[list, list, list, list] = ([], [], [], [])
-            for i, raw in enumerate(raws):
-                for body in set(_contexts(raw, place[bounds[i] : bounds[i + 1]])):
-                    k, ctx = body[0], xxhash.xxh3_128_digest(body)
-                    for j in range(k + 1):
-                        if 1 + k - j + LENGTH <= len(body):
-                            for column, v in zip(out, (ids[i], ctx, j, xxhash.xxh3_128_digest(body[1 + k - j : 1 + k - j + LENGTH])), strict=True):
-                                column.append(v)
-            return out if out[0] else None
+            c = zs.ZstdCompressor(level=2)
+            return [batch.column("pid"), batch.column("_o"), batch.column("_k"), [c.compress(t.encode("utf-8", "surrogatepass")) for t in batch.column("_t").to_pylist()]]
 
         return run
 
-    return map_batches(rows.select("_k", "_z", "hots"), maker, "doc long, ctx binary, j int, w binary", BATCH // 2)
-
-
-def _classed(table: pa.Table) -> pa.Table:
-    """For the contexts of some anchors: each document that has one, and which of its windows, from 0 to LEFT bytes before
-    the anchor, a smaller id has too (as bits)."""
-    seen: dict[bytes, list[int]] = {}
-    for body, docs in zip(table.column("body").to_pylist(), table.column("docs").to_pylist(), strict=True):
-        seen.setdefault(body, []).extend(docs)
-    bodies = list(seen)
-    n = len(bodies)
-    least = np.array([min(v) for v in seen.values()], np.int64)
-    right, left = np.zeros((n, LENGTH), np.uint8), np.zeros((n, LEFT), np.uint8)
-    rights, lefts = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    for i, body in enumerate(bodies):
-        k = body[0]
-        lefts[i], rights[i] = k, len(body) - 1 - k
-        left[i, :k] = np.frombuffer(body, np.uint8, k, 1)[::-1]
-        right[i, : rights[i]] = np.frombuffer(body, np.uint8, rights[i], 1 + k)
+    kind = base.schema["_o"].dataType.simpleString()
+    pid = F.pmod(F.xxhash64("_k", "_t", F.pmod(F.spark_partition_id(), F.lit(64))), F.lit(groups))
+    return map_batches(base.select(pid.alias("pid"), "_o", "_k", "_t"), maker, f"pid long, _o {kind}, _k long, _z binary", BATCH)
+
+
+def _texts(table: pa.Table) -> tuple[list[int], np.ndarray, list[bytes]]:
+    """The rows of a group in an order of their own, their ids and their texts."""
+    k, z = table.column("_k").to_pylist(), table.column("_z").to_pylist()
+    order = sorted(range(len(k)), key=lambda i: (k[i], z[i]))
+    inflate = zs.ZstdDecompressor().decompress
+    return order, np.array([k[i] for i in order], np.int64), [inflate(z[i]) for i in order]
+
+
+def group_anchors(table: pa.Table, ranges: int) -> pa.Table:
+    """``range, pid, hashes, several``: a group's distinct anchors, and whether several of its texts have each."""
+    _, _, raws = _texts(table)
+    text, _, h = _text_anchors(raws)
+    by = np.lexsort((text, h))
+    text, h = text[by], h[by]
+    new = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
+    at = np.flatnonzero(new)
+    several = np.maximum.reduceat(np.concatenate([[False], (text[1:] != text[:-1])]) & ~new, at) if len(h) else new
+    h = h[at]
+    pid = table.column("pid")[0].as_py()
+    which = _ranged(h, ranges)
+    rows = [[int(which[a]), pid, _packed(h[a:b]), np.packbits(several[a:b]).tobytes()] for a, b in _runs(which)]
+    return _table(rows, "range pid hashes several", [pa.int64(), pa.int64(), pa.binary(), pa.binary()])
+
+
+def shared_anchors(table: pa.Table) -> pa.Table:
+    """``pid, hashes``: the anchors of a range that several texts have, for each group that has them."""
+    columns = (table.column(c).to_pylist() for c in ("pid", "hashes", "several"))
+    parts = [(p, _unpacked(h), s) for p, h, s in zip(*columns, strict=True)]
+    several = [np.unpackbits(np.frombuffer(s, np.uint8), count=len(h)).astype(bool) for _, h, s in parts]
+    names, of = np.unique(np.concatenate([h for _, h, _ in parts]), return_inverse=True)
+    count = np.bincount(of, minlength=len(names)) + np.bincount(of, np.concatenate(several), len(names))
+    rows, at = [], 0
+    for p, h, _ in parts:
+        keep = count[of[at : at + len(h)]] > 1
+        at += len(h)
+        if keep.any():
+            rows.append([p, _packed(h[keep])])
+    return _table(rows, "pid hashes", [pa.int64(), pa.binary()])
+
+
+def _first_of_equal(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of distinct rows of bytes, and which of them each row equals."""
+    n, width = rows.shape
+    keys = np.zeros((n, -(-width // 8) * 8), np.uint8)
+    keys[:, :width] = rows
+    h = np.zeros(n, np.uint64)
+    for word in keys.view(np.uint64).T:
+        h = mixed(h * np.uint64(_STEP) + word)
+    _, first, of = np.unique(h, return_index=True, return_inverse=True)
+    if not np.array_equal(rows[first][of], rows):  # two rows of one hash
+        _, first, of = np.unique(rows, axis=0, return_index=True, return_inverse=True)
+    return first, of.ravel()
+
+
+CONTEXT = LEFT + LENGTH
+
+
+def group_contexts(table: pa.Table, lists: pa.Table, ranges: int) -> pa.Table:
+    """``part, pid, kind, a, b, c``. Of kind 0: a group's distinct contexts of a range of anchors, their numbers and smallest
+    ids. Of kind 1, which the group sends to itself: each context's places, as its number, the text's number and the place."""
+    if not lists.num_rows or not table.num_rows:
+        return _table([], "part pid kind a b c", _SENT)
+    _, ids, raws = _texts(table)
+    shared = np.sort(np.concatenate([_unpacked(x) for x in lists.column("hashes").to_pylist()]))
+    sizes = np.array([len(r) for r in raws])
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    text, place, h = _text_anchors(raws)
+    keep = shared[np.minimum(np.searchsorted(shared, h), len(shared) - 1)] == h
+    text, place, h = text[keep], place[keep], h[keep]
+    flat = np.frombuffer(b"\0" * LEFT + b"".join(raws) + b"\0" * LENGTH, np.uint8)
+    around = np.lib.stride_tricks.sliding_window_view(flat, CONTEXT)[starts[text] + place]  # a copy, of these places only
+    lefts, rights = np.minimum(place, LEFT), np.minimum(sizes[text] - place, LENGTH)
+    side = np.arange(CONTEXT) - LEFT
+    around[(side < -lefts[:, None]) | (side >= rights[:, None])] = 0
+    whole = np.concatenate([around, lefts[:, None].astype(np.uint8), rights[:, None].astype(np.uint8)], axis=1)
+    first, of = _first_of_equal(whole)
+    least = np.full(len(first), NO_ID, np.int64)
+    np.minimum.at(least, of, ids[text])
+    which = _ranged(h[first], ranges)
+    by = np.lexsort((first, which))
+    pid = table.column("pid")[0].as_py()
+    rows = []
+    for a, b in _runs(which[by]):
+        at = by[a:b]
+        rows.append([int(which[at[0]]), pid, 0, zs.ZstdCompressor(level=2).compress(whole[first[at]].tobytes()), _squeezed(at.astype("<u4")), _squeezed(least[at])])
+    if len(of):
+        rows.append([-1 - pid, pid, 1, _squeezed(of.astype("<u4")), _squeezed(text.astype("<u4")), _squeezed(place)])
+    return _table(rows, "part pid kind a b c", _SENT)
+
+
+_SENT = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+
+
+def _classes(body: np.ndarray, lefts: np.ndarray, rights: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """For contexts and j from 0 to LEFT: the smallest id that has the context's window from j bytes before its anchor."""
+    n = len(body)
+    right, left = np.ascontiguousarray(body[:, LEFT:]), np.ascontiguousarray(body[:, :LEFT][:, ::-1])
     # an anchor's gram starts the right side, so that the sort itself tells anchors apart
     order, lcp = deep_shallow(right, rights, np.zeros(n, np.int64))
     gram = np.empty(n, np.int64)
@@ -287,99 +283,104 @@ def _classed(table: pa.Table) -> pa.Table:
             best = np.full(of.max() + 1, NO_ID, np.int64)
             np.minimum.at(best, of, least[fit])
             out[fit, j] = best[of]
-    of = np.repeat(np.arange(n), [len(v) for v in seen.values()])
-    doc = np.fromiter((d for v in seen.values() for d in v), np.int64, len(of))
-    mask = np.zeros(len(of), np.int64)
-    for j in range(LEFT + 1):
-        mask |= (out[of, j] < doc).astype(np.int64) << j
-    some = np.flatnonzero(mask)
-    digests = [xxhash.xxh3_128_digest(bodies[i]) for i in of[some]]
-    return pa.table([pa.array(doc[some], pa.int64()), pa.array(digests, pa.binary()), pa.array(mask[some], pa.int64())], names=["doc", "ctx", "mask"])
+    return out
 
 
-def _then_released(table: pa.Table) -> pa.Table:
-    released()
-    return table
-
-
-def send_texts(base: DataFrame) -> DataFrame:
-    """``_o, _k, _z, _h``: the texts compressed, as they are shuffled, and their digests."""
-
-    def maker():
-        def run(batch: pa.RecordBatch):
-            raws = _raws(batch.column("_t"))
-            c = zs.ZstdCompressor(level=3)
-            return [batch.column("_o"), batch.column("_k"), [c.compress(r) for r in raws], [hashlib.md5(r, usedforsecurity=False).digest() for r in raws]]
-
-        return run
-
-    kind = base.schema["_o"].dataType.simpleString()
-    return map_batches(base, maker, f"_o {kind}, _k long, _z binary, _h binary", BATCH)
-
-
-def remove(docs: DataFrame, text: str = "text", key: str = "doc_id", range_bytes: int = 8_000_000, hot: int = 50_000, most_copies: int = 1_000_000) -> DataFrame:
-    """``key, n_bytes, n_removed, n_spans, kept`` (the remaining bytes) for every row of ``docs``."""
-    base = docs.select(F.col(key).alias("_o"), F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("_k"), F.col(text).alias("_t"))
-    size = base.agg(F.sum(F.octet_length("_t"))).first()[0] or 0
-    ranges = int(size // range_bytes) + 1
+def sorted_contexts(table: pa.Table) -> pa.Table:
+    """``pid, kind, a, b, c``. Of kind 0: contexts' numbers in their group, and the smallest ids of their windows. Of kind 1:
+    as it came."""
+    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    columns = {c: table.column(c).to_pylist() for c in ("pid", "kind", "a", "b", "c")}
+    if columns["kind"][0] == 1:
+        return _table(list(zip(*(columns[c] for c in ("pid", "kind", "a", "b", "c")), strict=True)), "pid kind a b c", kinds)
+    inflate = zs.ZstdDecompressor().decompress
+    bodies = [np.frombuffer(inflate(x), np.uint8).reshape(-1, CONTEXT + 2) for x in columns["a"]]
+    sizes = [len(x) for x in bodies]
+    whole, ids = np.concatenate(bodies), np.concatenate([_grown(x, "<i8") for x in columns["c"]])
+    del bodies
+    first, of = _first_of_equal(whole)
+    least = np.full(len(first), NO_ID, np.int64)
+    np.minimum.at(least, of, ids)
+    some = whole[first]
+    found = _classes(some[:, :CONTEXT], some[:, CONTEXT].astype(np.int64), some[:, CONTEXT + 1].astype(np.int64), least)
+    rows, at = [], 0
+    for pid, numbers, n in zip(columns["pid"], columns["b"], sizes, strict=True):
+        own = of[at : at + n]
+        at += n
+        rows.append([pid, 0, numbers, _squeezed(found[own].T.ravel()), b""])
+    return _table(rows, "pid kind a b c", kinds)
+
+
+def cut_out(table: pa.Table, marks: pa.Table, kind: pa.DataType) -> pa.Table:
+    """``_o, n_bytes, n_removed, n_spans, kept`` of a group's texts."""
+    names = "_o n_bytes n_removed n_spans kept"
+    kinds = [kind, pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    if not table.num_rows:
+        return _table([], names, kinds)
+    order, ids, raws = _texts(table)
+    sizes = np.array([len(r) for r in raws])
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    drop = np.zeros(starts[-1] + 1, np.int32)
+    columns = list(zip(*(marks.column(c).to_pylist() for c in ("kind", "a", "b", "c")), strict=True))
+    told = [(_grown(a, "<u4"), _grown(b, "<i8").reshape(LEFT + 1, -1)) for k, a, b, _ in columns if k == 0]
+    for k, a, b, c in columns:
+        if k == 0:
+            continue
+        number, text, place = _grown(a, "<u4").astype(np.int64), _grown(b, "<u4").astype(np.int64), _grown(c, "<i8")
+        least = np.full((LEFT + 1, int(number.max()) + 1), NO_ID, np.int64)
+        for numbers, found in told:
+            least[:, numbers] = found
+        for s in range(0, len(number), 200_000):
+            n, t, p = number[s : s + 200_000], text[s : s + 200_000], place[s : s + 200_000]
+            seen = least[:, n] < ids[t]
+            some = np.flatnonzero(seen.any(0))
+            low, high = seen[:, some].argmax(0), LEFT - seen[::-1, some].argmax(0)
+            # windows that start within 26 bytes of each other cover all between
+            at = starts[t[some]] + p[some]
+            np.add.at(drop, at - high, 1)
+            np.add.at(drop, at - low + LENGTH, -1)
+    gone = np.cumsum(drop[:-1]) > 0
+    lead = np.concatenate([[False], gone[:-1]])
+    lead[starts[:-1]] = False
+    flat = np.frombuffer(b"".join(raws), np.uint8)
+    removed = np.add.reduceat(gone, starts[:-1], dtype=np.int64)
+    spans = np.add.reduceat(gone & ~lead, starts[:-1], dtype=np.int64)
+    kept = flat[~gone].tobytes()
+    ends = np.concatenate([[0], np.cumsum(sizes - removed)])
+    o = table.column("_o").to_pylist()
+    rows = [[o[i], int(sizes[j]), int(removed[j]), int(spans[j]), kept[ends[j] : ends[j + 1]]] for j, i in enumerate(order)]
+    return _table(rows, names, kinds)
+
+
+def remove(docs: DataFrame, text: str = "text", key: str = "doc_id", range_bytes: int = 8_000_000, group_bytes: int = 12_000_000) -> DataFrame:
+    """``key, n_bytes, n_removed, n_spans, kept`` (the remaining bytes) for every row of ``docs``. ``range_bytes`` and
+    ``group_bytes`` say for how much text there is a range of anchors and a group; they don't change results."""
+    if not isinstance(docs.schema[key].dataType, IntegralType):
+        raise TypeError(f"ids must be integers: {key} is {docs.schema[key].dataType.simpleString()}")
+    base = docs.select(F.col(key).alias("_o"), F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("_k"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
+    base = base.withColumn("_n", F.octet_length("_t").cast("long"))
+    size = base.agg(F.sum("_n")).first()[0] or 0
+    ranges, groups = int(size // range_bytes) + 1, int(size // group_bytes) + 1
 
     # texts that a smaller id has too: they go whole and take no part in what follows
-    digest = F.unhex(F.md5(F.coalesce("_t", F.lit(""))))
-    narrow = base.select("_k", digest.alias("_h"), F.octet_length("_t").alias("_n")).filter(F.col("_n") >= LENGTH).select("_k", "_h")
+    long = base.filter(F.col("_n") >= LENGTH).withColumn("_h", F.unhex(F.md5("_t")))
+    narrow = long.select("_k", "_h")
     first = narrow.groupBy("_h").agg(F.min("_k").alias("least"), F.max("_k").alias("most")).filter("least < most").drop("most")
-    copies = cut(narrow.join(first, "_h").filter("_k > least").select("_k", "_h").distinct())
-    small = copies.count() <= most_copies
-    reps = base.select("_k", "_t", digest.alias("_h")).join(F.broadcast(copies) if small else copies, ["_k", "_h"], "left_anti")
-
-    found = send_anchors(reps.select("_k", "_t"), ranges).groupBy("range").applyInArrow(lambda t: _then_released(_shared(t, hot)), "_k2 long, hashes binary, hot boolean")
-    lists = found.groupBy("_k2").agg(F.collect_list(F.when(~F.col("hot"), F.col("hashes"))).alias("lists"), F.collect_list(F.when(F.col("hot"), F.col("hashes"))).alias("hots"))
-    texts = send_texts(base)
-    rows = texts.join(lists, F.col("_k") == F.col("_k2")).select("_k", "_z", "lists", "hots")
-
-    masks = send_bodies(rows, ranges).groupBy("part").applyInArrow(lambda t: _then_released(_classed(t)), "doc long, ctx binary, mask long")
-    many = send_windows(rows)
-    first_seen = many.groupBy("j", "w").agg(F.min("doc").alias("least"))
-    known = many.join(first_seen, ["j", "w"]).filter("least < doc")
-    masks = masks.unionByName(known.groupBy("doc", "ctx").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("j"))).alias("mask")))
-    masks = masks.groupBy("doc").agg(F.collect_list(F.struct("ctx", "mask")).alias("marks"))
-
-    gone = copies.groupBy(F.col("_k").alias("doc")).agg(F.collect_list("_h").alias("copied"))
-    info = masks.join(gone, "doc", "full")
-    joined = texts.join(info, F.col("_k") == F.col("doc"), "left").select("_o", "_z", F.coalesce(F.array_contains("copied", F.col("_h")), F.lit(False)).alias("copy"), "marks")
-
-    def cutter():
-        def run(batch: pa.RecordBatch):
-            out = [[], [], [], []]
-            raws = _inflated(batch.column("_z"))
-            marks = [{m["ctx"]: m["mask"] for m in ms} if ms else None for ms in batch.column("marks").to_pylist()]
-            chosen = [i for i, m in enumerate(marks) if m]
-            places = dict.fromkeys(range(len(raws)))
-            if chosen:
-                text, place, _ = anchors([raws[i] for i in chosen])
-                places.update(zip(chosen, np.split(place, np.searchsorted(text, np.arange(1, len(chosen)))), strict=True))
-            for i, (raw, copy) in enumerate(zip(raws, batch.column("copy").to_pylist(), strict=True)):
-                drop = np.zeros(len(raw) + 1, np.int32)
-                if copy:
-                    drop[0] = 1
-                elif marks[i]:
-                    for p, body in zip(places[i].tolist(), _contexts(raw, places[i]), strict=True):
-                        mask = marks[i].get(xxhash.xxh3_128_digest(body), 0)
-                        while mask:
-                            j = (mask & -mask).bit_length() - 1
-                            mask &= mask - 1
-                            drop[p - j] += 1
-                            drop[p - j + LENGTH] -= 1
-                gone = np.cumsum(drop[:-1]) > 0
-                out[0].append(len(raw))
-                out[1].append(int(gone.sum()))
-                out[2].append(int((gone & ~np.concatenate([[False], gone[:-1]])).sum()) if len(raw) else 0)
-                out[3].append(np.frombuffer(raw, np.uint8)[~gone].tobytes() if out[1][-1] else raw)
-            return [batch.column("_o"), *out]
-
-        return run
-
-    kind = docs.schema[key].dataType.simpleString()
-    return map_batches(joined, cutter, f"_o {kind}, n_bytes long, n_removed long, n_spans long, kept binary", BATCH // 2).withColumnRenamed("_o", key)
+    copies = stored(narrow.join(first, "_h").filter("_k > least").select("_k", "_h").distinct())
+    texts = send_texts(long.join(copies, ["_k", "_h"], "left_anti"), groups)
+
+    kind = texts.schema["_o"].dataType.simpleString()
+    dealt = lambda: texts.groupBy("pid")
+    found = dealt().applyInArrow(lambda t: group_anchors(t, ranges), "range long, pid long, hashes binary, several binary")
+    lists = found.groupBy("range").applyInArrow(shared_anchors, "pid long, hashes binary")
+    sent = dealt().cogroup(lists.groupBy("pid")).applyInArrow(lambda t, x: group_contexts(t, x, ranges), "part long, pid long, kind int, a binary, b binary, c binary")
+    marks = sent.groupBy("part").applyInArrow(sorted_contexts, "pid long, kind int, a binary, b binary, c binary")
+    arrow = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.int16() if kind == "smallint" else pa.int8()
+    done = dealt().cogroup(marks.groupBy("pid")).applyInArrow(lambda t, m: cut_out(t, m, arrow), f"_o {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+
+    whole = long.join(copies, ["_k", "_h"], "left_semi").select("_o", F.col("_n").alias("n_bytes"), F.col("_n").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(b"").alias("kept"))
+    short = base.filter(F.col("_n") < LENGTH).select("_o", F.col("_n").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("_t").cast("binary").alias("kept"))
+    return done.unionByName(whole).unionByName(short).withColumnRenamed("_o", key)
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

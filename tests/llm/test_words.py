@@ -84,7 +84,7 @@ def removed(rows, n=50):
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"hot": 2, "range_bytes": 3000, "most_copies": 0}])
+@pytest.mark.parametrize("options", [{}, {"range_bytes": 3000, "group_bytes": 2000}])
 def test_substrings(spark, options):
     rows = corpus(2)
     got = substrings.remove(frame(spark, rows), **options).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("h")).collect()
@@ -100,14 +100,24 @@ def test_substrings_of_repeated_and_null_ids_and_nothing(spark):
     assert substrings.remove(frame(spark, rows).filter("doc_id > 9")).isEmpty()
 
 
-def test_substrings_of_repeated_and_null_ids_by_window_hashes(spark):
+def test_substrings_of_repeated_and_null_ids_in_any_groups(spark):
     text = "".join(random.Random(5).choice("abcdef ") for _ in range(200))
     rows = [(1, text, "s"), (2, "head" + text, "s"), (2, "head" + text, "s"), (None, text + "tail", "s"), (None, "tail" + text, "s")]
-    got = [sorted(tuple(map(str, r)) for r in substrings.remove(frame(spark, rows), hot=hot).collect()) for hot in (1, 50_000)]
+    got = [sorted(tuple(map(str, r)) for r in substrings.remove(frame(spark, rows), group_bytes=size).collect()) for size in (100, 12_000_000)]
     assert got[0] == got[1]
     assert sorted((r[0], r[2]) for r in got[0]) == [("1", "0"), ("2", "200"), ("2", "200"), ("None", "200"), ("None", "200")]
 
 
+def test_substrings_of_long_texts_in_parts(spark, monkeypatch):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(700)) for _ in range(4)]
+    raws = [t.encode() for t in texts + [texts[0][100:400] + texts[1][:333]]]
+    whole = substrings._text_anchors(raws)
+    monkeypatch.setattr(substrings, "BATCH", 64)
+    parts = substrings._text_anchors(raws)
+    assert all((a == b).all() for a, b in zip(whole, parts, strict=True))
+
+
 def test_host_statistics(spark):
     rows = corpus(3)
     got = {r["doc_id"]: r for r in hostrules.judge(frame(spark, rows)).collect()}
