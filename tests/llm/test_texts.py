@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -145,15 +146,28 @@ def test_compression_windows():
 def test_page_lines():
     page = """<html><head><title>x</title><script>var t="</p>";</script></head><body><nav><ul><li><a href=/a>menu</a></ul></nav><!-- c --><div class="ad">buy</div>
     <article><h1>A &amp; B</h1><p><b>one<br>two <p>three &lt;x&gt;</p><div class='user comments'><p>me too</div><p class="cookie-notice">ok<p>four</article><footer>&copy;</footer>"""
-    assert html.text_of(html.lines(page), set()) == "A & B\none two\nthree <x>\nfour"
-    assert html.text_of(html.lines("<div>a<p>b</div><aside>no</aside>c"), {1}) == "a\nc"
-    assert html.lines(None) == [] and html.text_of([], set()) == ""
+    assert html.text_of(html.lines(page), set(), set()) == "A & B\none two\nthree <x>\nfour"
+    assert html.text_of(html.lines("<div>a<p>b</div><aside>no</aside>c"), set(), {1}) == "a\nc"
+    assert html.lines(None) == [] and html.text_of([], set(), set()) == ""
+
+
+def test_odd_tags_and_long_pages():
+    kept = lambda page: [t for _, t in html.lines(page)]
+    assert kept("a<img alt='<p>'>b <i title=\"x>y\">c</i><p class='>'>d") == ["ab c", "d"]
+    assert kept("1 < 2 <b>and <a 'x") == ["1 < 2 and <a 'x"]
+    start = time.perf_counter()
+    for page in ("<a '" * 250_000, "<script" * 150_000, "<!" * 500_000, "<div>" * 200_000, "</p>" * 250_000, "<p>line " * 120_000, "<p>" + "word " * 200_000, "<a \"'>" * 160_000):
+        html.lines(page)
+    assert time.perf_counter() - start < 8
+    start = time.perf_counter()
+    assert len(html.common([1] * 40_000, [1, 2] * 20_000)) == 20_000
+    assert time.perf_counter() - start < 8
 
 
 def test_longest_common_subsequence():
     rng = random.Random(3)
-    for _ in range(200):
-        a, b = ([rng.randrange(5) for _ in range(rng.randint(0, 12))] for _ in range(2))
+    for _ in range(400):
+        a, b = ([rng.randrange(5) for _ in range(rng.choice([rng.randint(0, 12), 40]))] for _ in range(2))
         best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
         for i, x in enumerate(a):
             for j, y in enumerate(b):
@@ -168,7 +182,7 @@ def test_page_differencing(spark):
     body = lambda i: f"<body><p>Site name</p><p>Story {i} only here</p><p>All rights</p></body>"
     rows = [(i, f"http://h.example/a/{i}", body(i)) for i in range(30)] + [(50, "http://alone.example/", body(50)), (51, None, None), (52, "http://h.example/z", "")]
     for size in (1000, 8):
-        got = {r["page_id"]: r for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit(1)), bucket_pages=size).collect()}
+        got = {r["page_id"]: r for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit(1)), range_pages=size).collect()}
         assert all(got[i]["text"] == f"Story {i} only here" for i in range(30))
         assert got[50]["text"] == "Site name\nStory 50 only here\nAll rights" and got[51]["text"] == "" and got[52]["n_chars"] == 0
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).isEmpty()
@@ -179,13 +193,23 @@ def test_neighbours_of_a_large_host(spark):
     rows = [(i, f"http://h.example/{i // 3:03}/{i % 3}", page(i)) for i in range(150)] + [(None, "http://h.example/000/0", page(0)), (200, "http://h.example/000/0", page(0))]
     df = spark.createDataFrame(rows[:150], "page_id long, url string, html string")
     for size in (1000, 32, 7, 1):
-        got = {r["page_id"]: r["text"] for r in html.extract(df, bucket_pages=size).collect()}
+        got = {r["page_id"]: r["text"] for r in html.extract(df, range_pages=size).collect()}
         assert got == {i: f"Story {i}" for i in range(150)}, size
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
-    few, many = (sorted(map(str, html.extract(df, bucket_pages=size).collect())) for size in (1000, 7))
+    few, many = (sorted(map(str, html.extract(df, range_pages=size).collect())) for size in (1000, 7))
     assert few == many
 
 
+def test_differencing_decides_within_articles(spark):
+    page = lambda i, more: f"<nav>x</nav><article><h1>Title {i}</h1><p>Subscribe to our letter</p><p>Body {i}</p>{more}</article><p>Read more</p>"
+    quote = "<p>A quoted paragraph</p>"
+    rows = [(i, f"http://h.example/{i:02}?q={i}", page(i, quote if i in (3, 4) else "")) for i in range(10)]
+    rows += [(20, "http://h.example/05?again", page(5, "")), (21, "http://h.example/055", page(5, "")), (22, rows[5][1], rows[5][2]), (22, rows[5][1], rows[5][2])]
+    got = sorted((r["page_id"], r["text"]) for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    want = [(i, f"Title {i}\nBody {i}" + ("\nA quoted paragraph" if i in (3, 4) else "")) for i in range(10)]
+    assert got == sorted(want + [(20, want[5][1]), (21, want[5][1]), (22, want[5][1]), (22, want[5][1])])
+
+
 def check_pieces(docs, pieces):
     covered = [np.zeros(len(d), int) for d in docs]
     sequences = {}
