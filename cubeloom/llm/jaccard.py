@@ -168,30 +168,44 @@ def close_groups(rows: DataFrame, percent: int) -> DataFrame:
     return by_group(rows.select("cell", "sig", "n", "f"), maker, "cell long, sig long")
 
 
-def group_links(docs: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
+def marked(values: DataFrame, bits: int) -> np.ndarray:
+    """A bit map of fixed size with the low bits of the numbers of a column, joined pairwise in tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(bits, bool)
+        for batch in batches:
+            out[batch.column(0).to_numpy() & (bits - 1)] = True
+        yield pa.RecordBatch.from_arrays([pa.array([zs.ZstdCompressor(level=1).compress(np.packbits(out).tobytes())], pa.binary())], names=["m"])
+
+    unpack = lambda r: np.frombuffer(zs.ZstdDecompressor().decompress(r[0]), np.uint8)
+    maps = values.mapInArrow(run, "m binary").rdd.map(unpack)
+    return maps.treeReduce(np.bitwise_or, depth=3) if not values.isEmpty() else np.zeros(bits // 8, np.uint8)
+
+
+def group_links(docs: DataFrame, members: DataFrame, words: int, percent: int, bits: int = 1 << 24) -> DataFrame:
     """``a, b``: every set that is linked, and the smallest one of its linked group within a cell. ``members``: ``cell, sig,
-    th``, the text's hash by which a set's text is found in ``docs`` (``_t``)."""
-    wanted = stored(members.groupBy("th", "sig").agg(F.collect_set("cell").alias("in")))
-    # its size is known: the optimizer sends it to the scan if it is small, else both sides are shuffled
-    source = docs.withColumn("_h", F.xxhash64("_t")).join(wanted, F.col("_h") == F.col("th")).select("sig", "_t", "in")
+    th``, the text's hash by which a set's text is found in ``docs`` (``_t``). Texts that a bit map of these hashes rules out
+    are not read on; the map has one size at all scales, and a full one rules out nothing."""
+    wanted = stored(members.groupBy("sig", "th").agg(F.collect_set("cell").alias("in")))
+    some = docs.sparkSession.sparkContext.broadcast(marked(wanted.select("th"), bits))
 
     def loader():
         seen: set[int] = set()
 
         def run(batch: pa.RecordBatch):
-            out = ([], [], [])
-            sets = shingle_sets(batch.column("_t").to_pylist(), words)
-            for g, s, places in zip(batch.column("sig").to_pylist(), sets, batch.column("in").to_pylist(), strict=True):
-                if g not in seen and _sig(s) == g:
-                    seen.add(g)
-                    raw = s.tobytes()
-                    for c in places:
-                        for column, v in zip(out, (c, g, raw), strict=True):
-                            column.append(v)
-            return out if out[0] else None
+            at = batch.column("_h").to_numpy() & (bits - 1)
+            batch = batch.filter(pa.array((some.value[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)))
+            sets = [(_sig(s), s) for s in shingle_sets(batch.column("_t").to_pylist(), words) if len(s)]
+            fresh = {g: s.tobytes() for g, s in sets if g not in seen}
+            seen.update(fresh)
+            return [list(fresh), list(fresh.values())] if fresh else None
 
         return run
 
+    source = docs.select("_t", F.xxhash64("_t").alias("_h")).filter(F.col("_t").isNotNull())
+    sets = map_batches(source, loader, "sig long, s binary", BATCH).join(wanted.select("sig", "in").hint("merge"), "sig")
+    sets = sets.select(F.explode("in").alias("cell"), "sig", "s")
+
     def solver():
         def run(_, sig, raw):
             sig, at = np.unique(sig, return_index=True)
@@ -203,7 +217,7 @@ def group_links(docs: DataFrame, members: DataFrame, words: int, percent: int) -
 
         return run
 
-    return by_group(map_batches(source, loader, "cell long, sig long, s binary", BATCH), solver, "a long, b long")
+    return by_group(sets, solver, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -237,7 +251,7 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int =
 
     # 2. groups by sketches
     kept = stored(classes.join(members.select("sig").distinct(), "sig"))
-    sketches = rows.join(kept.select("sig", "th"), ["sig", "th"]).select("sig", "n", "f").dropDuplicates(["sig"])
+    sketches = rows.join(kept.select("sig", "th").hint("merge"), ["sig", "th"]).select("sig", "n", "f").dropDuplicates(["sig"])
     groups = stored(close_groups(tiled(members.join(sketches, "sig"), F.lit(1), cell_sets), percent).distinct())
 
     # 3. links within groups
