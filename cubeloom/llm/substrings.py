@@ -25,6 +25,8 @@ one smallest id. An empty table gives no row. Only id and text are read, whateve
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import zstandard as zs
@@ -32,9 +34,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from cubeloom.llm.common import map_batches, read, released, stored
+from cubeloom.llm.common import pieces, read, released, stored
 from cubeloom.llm.shingles import mixed
 from cubeloom.llm.suffixes import deep_shallow
+from cubeloom.session import ship
 
 LENGTH, GRAM = 50, 24
 LEFT = LENGTH - GRAM
@@ -152,34 +155,66 @@ def _runs(x: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(heads.tolist(), [*heads[1:].tolist(), len(x)], strict=True)) if len(x) else []
 
 
-def send_texts(base: DataFrame, groups: int) -> DataFrame:
-    """``pid, _o, _k, _z``: the texts compressed, as they are shuffled, and the group that each is dealt to. Rows of equal id
-    and text are spread by the part of the input that they are in."""
+def send_texts(base: DataFrame) -> DataFrame:
+    """``pid, _o, _k, _h, _z, times``: the texts compressed, as they are shuffled, from rows ``pid, _o, _k, _h, _t``. What a
+    task has more of a row of one id and text follows at its end as a number of times, without the text."""
+    kind = base.schema["_o"].dataType.simpleString()
 
-    def maker():
-        def run(batch: pa.RecordBatch):
-            c = zs.ZstdCompressor(level=2)
-            return [batch.column("pid"), batch.column("_o"), batch.column("_k"), [c.compress(t.encode("utf-8", "surrogatepass")) for t in batch.column("_t").to_pylist()]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c, seen, more = zs.ZstdCompressor(level=2), set(), {}
+        schema = None
+
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+        for batch in batches:
+            schema = pa.schema([pa.field("pid", pa.int64()), batch.schema.field("_o"), pa.field("_k", pa.int64()), pa.field("_h", pa.binary()), pa.field("_z", pa.binary()), pa.field("times", pa.int64())])
+            for part in pieces(batch, BATCH):
+                rows = []
+                for pid, o, k, h, t in zip(*(part.column(x).to_pylist() for x in ("pid", "_o", "_k", "_h", "_t")), strict=True):
+                    if (k, h) in seen:
+                        more[pid, o, k, h] = more.get((pid, o, k, h), 0) + 1
+                    else:
+                        seen.add((k, h))
+                        rows.append((pid, o, k, h, c.compress(t.encode("utf-8", "surrogatepass")), 1))
+                if rows:
+                    yield out(rows)
+        if more:
+            yield out([(*key, None, n) for key, n in more.items()])
+        released()
+
+    ship(base.sparkSession)
+    return base.mapInArrow(run, f"pid long, _o {kind}, _k long, _h binary, _z binary, times long")
+
+
+def _texts(table: pa.Table, copies: list[bytes]) -> tuple[list[tuple], np.ndarray, list[bytes]]:
+    """The distinct texts of a group by id and digest: (row's id, times, whether it is a copy), their ids, and those texts
+    themselves that are no copies, which come first."""
+    found: dict[tuple, list] = {}
+    for o, k, h, z, n in zip(*(table.column(c).to_pylist() for c in ("_o", "_k", "_h", "_z", "times")), strict=True):
+        row = found.setdefault((k, h), [o, 0, None])
+        row[1] += n
+        row[2] = row[2] or z
+    gone = {raw[i : i + 24] for raw in copies for i in range(0, len(raw), 24)}
+    order = sorted(((k.to_bytes(8, "big", signed=True) + h in gone, k, h) for k, h in found))
+    inflate = zs.ZstdDecompressor().decompress
+    rows = [(found[k, h][0], found[k, h][1], copy, found[k, h][2]) for copy, k, h in order]
+    return rows, np.array([k for _, k, _ in order], np.int64), [inflate(z) for _, _, copy, z in rows if not copy]
 
-        return run
 
-    kind = base.schema["_o"].dataType.simpleString()
-    pid = F.pmod(F.xxhash64("_k", "_t", F.pmod(F.spark_partition_id(), F.lit(64))), F.lit(groups))
-    return map_batches(base.select(pid.alias("pid"), "_o", "_k", "_t"), maker, f"pid long, _o {kind}, _k long, _z binary", BATCH)
+def _of_kind(table: pa.Table, column: str, kind: int) -> list[bytes]:
+    return [x for k, x in zip(table.column("kind").to_pylist(), table.column(column).to_pylist(), strict=True) if k == kind]
 
 
-def _texts(table: pa.Table) -> tuple[list[int], np.ndarray, list[bytes]]:
-    """The rows of a group in an order of their own, their ids and their texts."""
-    k, z = table.column("_k").to_pylist(), table.column("_z").to_pylist()
-    order = sorted(range(len(k)), key=lambda i: (k[i], z[i]))
-    inflate = zs.ZstdDecompressor().decompress
-    return order, np.array([k[i] for i in order], np.int64), [inflate(z[i]) for i in order]
+COPIES = 2
 
 
-def group_anchors(table: pa.Table, ranges: int) -> pa.Table:
+def group_anchors(table: pa.Table, copies: pa.Table, ranges: int) -> pa.Table:
     """``range, pid, hashes, several``: a group's distinct anchors, and whether several of its texts have each."""
-    _, _, raws = _texts(table)
+    _, _, raws = _texts(table, _of_kind(copies, "a", COPIES))
     text, _, h = _text_anchors(raws)
+    if not len(h):
+        return _table([], "range pid hashes several", [pa.int64(), pa.int64(), pa.binary(), pa.binary()])
     by = np.lexsort((text, h))
     text, h = text[by], h[by]
     new = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
@@ -193,7 +228,7 @@ def group_anchors(table: pa.Table, ranges: int) -> pa.Table:
 
 
 def shared_anchors(table: pa.Table) -> pa.Table:
-    """``pid, hashes``: the anchors of a range that several texts have, for each group that has them."""
+    """``pid, kind, a``: the anchors of a range that several texts have, for each group that has them."""
     columns = (table.column(c).to_pylist() for c in ("pid", "hashes", "several"))
     parts = [(p, _unpacked(h), s) for p, h, s in zip(*columns, strict=True)]
     several = [np.unpackbits(np.frombuffer(s, np.uint8), count=len(h)).astype(bool) for _, h, s in parts]
@@ -204,8 +239,8 @@ def shared_anchors(table: pa.Table) -> pa.Table:
         keep = count[of[at : at + len(h)]] > 1
         at += len(h)
         if keep.any():
-            rows.append([p, _packed(h[keep])])
-    return _table(rows, "pid hashes", [pa.int64(), pa.binary()])
+            rows.append([p, 0, _packed(h[keep])])
+    return _table(rows, "pid kind a", [pa.int64(), pa.int32(), pa.binary()])
 
 
 def _first_of_equal(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -228,10 +263,11 @@ CONTEXT = LEFT + LENGTH
 def group_contexts(table: pa.Table, lists: pa.Table, ranges: int) -> pa.Table:
     """``part, pid, kind, a, b, c``. Of kind 0: a group's distinct contexts of a range of anchors, their numbers and smallest
     ids. Of kind 1, which the group sends to itself: each context's places, as its number, the text's number and the place."""
-    if not lists.num_rows or not table.num_rows:
+    known = _of_kind(lists, "a", 0)
+    if not known or not table.num_rows:
         return _table([], "part pid kind a b c", _SENT)
-    _, ids, raws = _texts(table)
-    shared = np.sort(np.concatenate([_unpacked(x) for x in lists.column("hashes").to_pylist()]))
+    _, ids, raws = _texts(table, _of_kind(lists, "a", COPIES))
+    shared = np.sort(np.concatenate([_unpacked(x) for x in known]))
     sizes = np.array([len(r) for r in raws])
     starts = np.concatenate([[0], np.cumsum(sizes)])
     text, place, h = _text_anchors(raws)
@@ -317,14 +353,14 @@ def cut_out(table: pa.Table, marks: pa.Table, kind: pa.DataType) -> pa.Table:
     kinds = [kind, pa.int64(), pa.int64(), pa.int64(), pa.binary()]
     if not table.num_rows:
         return _table([], names, kinds)
-    order, ids, raws = _texts(table)
-    sizes = np.array([len(r) for r in raws])
+    texts, ids, raws = _texts(table, _of_kind(marks, "a", COPIES))
+    sizes = np.array([len(r) for r in raws], np.int64)
     starts = np.concatenate([[0], np.cumsum(sizes)])
     drop = np.zeros(starts[-1] + 1, np.int32)
     columns = list(zip(*(marks.column(c).to_pylist() for c in ("kind", "a", "b", "c")), strict=True))
     told = [(_grown(a, "<u4"), _grown(b, "<i8").reshape(LEFT + 1, -1)) for k, a, b, _ in columns if k == 0]
     for k, a, b, c in columns:
-        if k == 0:
+        if k != 1:
             continue
         number, text, place = _grown(a, "<u4").astype(np.int64), _grown(b, "<u4").astype(np.int64), _grown(c, "<i8")
         least = np.full((LEFT + 1, int(number.max()) + 1), NO_ID, np.int64)
@@ -343,12 +379,15 @@ def cut_out(table: pa.Table, marks: pa.Table, kind: pa.DataType) -> pa.Table:
     lead = np.concatenate([[False], gone[:-1]])
     lead[starts[:-1]] = False
     flat = np.frombuffer(b"".join(raws), np.uint8)
-    removed = np.add.reduceat(gone, starts[:-1], dtype=np.int64)
-    spans = np.add.reduceat(gone & ~lead, starts[:-1], dtype=np.int64)
+    removed = np.add.reduceat(gone, starts[:-1], dtype=np.int64) if raws else sizes
+    spans = np.add.reduceat(gone & ~lead, starts[:-1], dtype=np.int64) if raws else sizes
     kept = flat[~gone].tobytes()
     ends = np.concatenate([[0], np.cumsum(sizes - removed)])
-    o = table.column("_o").to_pylist()
-    rows = [[o[i], int(sizes[j]), int(removed[j]), int(spans[j]), kept[ends[j] : ends[j + 1]]] for j, i in enumerate(order)]
+    rows = []
+    for j, (o, times, copy, z) in enumerate(texts):
+        size = zs.frame_content_size(z) if copy else 0
+        row = [o, size, size, 1, b""] if copy else [o, int(sizes[j]), int(removed[j]), int(spans[j]), kept[ends[j] : ends[j + 1]]]
+        rows += [row] * times
     return _table(rows, names, kinds)
 
 
@@ -364,23 +403,30 @@ def remove(docs: DataFrame, text: str = "text", key: str = "doc_id", range_bytes
 
     # texts that a smaller id has too: they go whole and take no part in what follows
     long = base.filter(F.col("_n") >= LENGTH).withColumn("_h", F.unhex(F.md5("_t")))
-    narrow = long.select("_k", "_h")
+    long = long.withColumn("pid", F.pmod(F.xxhash64("_k", "_h"), F.lit(groups)))
+    narrow = long.select("pid", "_k", "_h")
     first = narrow.groupBy("_h").agg(F.min("_k").alias("least"), F.max("_k").alias("most")).filter("least < most").drop("most")
-    copies = stored(narrow.join(first, "_h").filter("_k > least").select("_k", "_h").distinct())
-    texts = send_texts(long.join(copies, ["_k", "_h"], "left_anti"), groups)
+    copies = narrow.join(first, "_h").filter("_k > least").select("pid", "_k", "_h").distinct()
+    name = F.concat(F.unhex(F.lpad(F.hex("_k"), 16, "0")), "_h")
+    copies = stored(copies.select("pid", name.alias("a")))
+
+    def packed(table: pa.Table) -> pa.Table:
+        return _table([[table.column("pid")[0].as_py(), COPIES, b"".join(table.column("a").to_pylist())]], "pid kind a", [pa.int64(), pa.int32(), pa.binary()])
 
+    texts = send_texts(long.select("pid", "_o", "_k", "_h", "_t"))
+    copies = stored(copies.groupBy("pid").applyInArrow(packed, "pid long, kind int, a binary"))
     kind = texts.schema["_o"].dataType.simpleString()
     dealt = lambda: texts.groupBy("pid")
-    found = dealt().applyInArrow(lambda t: group_anchors(t, ranges), "range long, pid long, hashes binary, several binary")
-    lists = found.groupBy("range").applyInArrow(shared_anchors, "pid long, hashes binary")
+    found = dealt().cogroup(copies.groupBy("pid")).applyInArrow(lambda t, c: group_anchors(t, c, ranges), "range long, pid long, hashes binary, several binary")
+    lists = found.groupBy("range").applyInArrow(shared_anchors, "pid long, kind int, a binary").unionByName(copies)
     sent = dealt().cogroup(lists.groupBy("pid")).applyInArrow(lambda t, x: group_contexts(t, x, ranges), "part long, pid long, kind int, a binary, b binary, c binary")
     marks = sent.groupBy("part").applyInArrow(sorted_contexts, "pid long, kind int, a binary, b binary, c binary")
+    marks = marks.unionByName(copies, allowMissingColumns=True)
     arrow = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.int16() if kind == "smallint" else pa.int8()
     done = dealt().cogroup(marks.groupBy("pid")).applyInArrow(lambda t, m: cut_out(t, m, arrow), f"_o {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
 
-    whole = long.join(copies, ["_k", "_h"], "left_semi").select("_o", F.col("_n").alias("n_bytes"), F.col("_n").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(b"").alias("kept"))
     short = base.filter(F.col("_n") < LENGTH).select("_o", F.col("_n").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("_t").cast("binary").alias("kept"))
-    return done.unionByName(whole).unionByName(short).withColumnRenamed("_o", key)
+    return done.unionByName(short).withColumnRenamed("_o", key)
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
