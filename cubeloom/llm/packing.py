@@ -1,13 +1,17 @@
 """Lexical retrieval packing: documents that share rare terms fill windows together.
 
-Documents are tokenized where they are read, dealt by hash to shards of about ``shard_docs`` documents, and each shard
-builds a BM25 inverted index of its documents. A window starts with a seed (what is left of a cut document, else the next
-unused one); the seed's terms query the index, and its unused neighbours fill the window in the order of their scores,
-the last one cut where the window ends. What a shard has left at its end is cut into sequences of powers of two, which
-need no padding; all other sequences are full.
+Documents are tokenized where they are read and dealt to shards by lexical affinity: each term draws a weight by hash, in
+favour of rare terms, and a document's key is the terms of its least draws, so that two documents have the same key as often
+as their rare terms overlap. Sorted by these keys, neighbours in the corpus are neighbours in the order, and each
+``shard_docs`` documents in a row are a shard; a key that very many documents have, as a group of copies, fills as many
+shards as it takes. Each shard builds a BM25 inverted index of its documents. A window starts with a seed (what is left of
+a cut document, else the next unused one); the seed's terms query the index, and its unused neighbours fill the window in
+the order of their scores, the last one cut where the window ends. What a shard has left at its end is cut into sequences
+of powers of two, which need no padding; all other sequences are full.
 
 Defined results: a null or empty text is a document of the end token alone. Repeated rows are packed each for itself; ties
-go by id, then by tokens. An empty table gives no sequence. A document longer than a window fills windows by itself first.
+go by id, then by tokens. An empty table gives no sequence. A document longer than a window, however long, fills windows by
+itself first. Only id and text are read, whatever other columns are named.
 """
 
 from __future__ import annotations
@@ -17,13 +21,14 @@ import json
 import os
 import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cubeloom.llm.common import map_batches, read
+from cubeloom.llm.common import map_batches, read, released
 
 WINDOW, END = 2048, 1
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -50,6 +55,15 @@ class PieceTokenizer:
         self.most = most
         self._clear()
 
+    kept: tuple | None = None  # a worker's last one: its tasks share the memory of pieces
+
+    @classmethod
+    def of(cls, path: str, pattern: str, added: dict[str, int] | None) -> PieceTokenizer:
+        name = (path, pattern, tuple(sorted((added or {}).items())))
+        if cls.kept is None or cls.kept[0] != name:
+            cls.kept = (name, cls(path, pattern, added=added))
+        return cls.kept[1]
+
     def _clear(self) -> None:
         self.first, self.later = _Pieces(self, ""), _Pieces(self, " ")
 
@@ -184,30 +198,80 @@ def pack(docs: list[np.ndarray], window: int = WINDOW) -> list[tuple[int, int, i
     return out
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, pattern: str, text: str = "text", key: str = "doc_id", shard_docs: int = 512, end: int = END, added: dict[str, int] | None = None) -> DataFrame:
-    """``key`` and the columns of SCHEMA, a row a piece."""
+KEYS = 3
+VOCABULARY = 1 << 16
+
+
+def draws(seed: int = 11) -> np.ndarray:
+    """A draw for each term, the less the rarer: exponential, at a rate of the term's number, since merges of byte pairs
+    are numbered from the most frequent on."""
+    u = np.random.Generator(np.random.PCG64(seed)).random(VOCABULARY)
+    return -np.log1p(-u) / (1 + np.arange(VOCABULARY))
+
+
+def affinity(ids: np.ndarray, draw: np.ndarray) -> list[int]:
+    """The terms of a document's least draws in order (-1 where it has no more)."""
+    terms = np.unique(ids)
+    best = terms[np.argsort(draw[terms], kind="stable")[:KEYS]].tolist() if len(terms) <= 64 else _least(terms, draw)
+    return best + [-1] * (KEYS - len(best))
+
+
+def _least(terms: np.ndarray, draw: np.ndarray) -> list[int]:
+    w = draw[terms]
+    some = np.argpartition(w, KEYS)[:KEYS]
+    return terms[some[np.argsort(w[some], kind="stable")]].tolist()
+
+
+def pack_documents(docs: DataFrame, tokenizer: str, pattern: str, text: str = "text", key: str = "doc_id", shard_docs: int = 512, end: int = END, added: dict[str, int] | None = None, salt_docs: int = 1_000_000) -> DataFrame:
+    """``key`` and the columns of SCHEMA, a row a piece. A task streams shards of ``shard_docs`` documents; keys are dealt to
+    one set of tasks for every ``salt_docs`` documents, so that no key has to go through one task."""
     kind = docs.schema[key].dataType.simpleString()
-    shards = max(1, -(-docs.select(key).count() // shard_docs))
-    spread = F.pmod(F.xxhash64(F.col(key), F.col(text)), F.lit(shards))
+    salts = docs.select(key).count() // salt_docs + 1
+    salt = F.pmod(F.xxhash64(F.col(key), F.col(text)), F.lit(salts))
 
     def encoder():
-        encode = PieceTokenizer(tokenizer, pattern, added=added)
-        last = np.uint16(end).tobytes()
-        return lambda batch: [batch.column("_k"), batch.column("shard"), [encode(t) + last for t in batch.column("_t").to_pylist()]]
-
-    ids = map_batches(docs.select(F.col(key).alias("_k"), spread.alias("shard"), F.col(text).alias("_t")), encoder, f"_k {kind}, shard long, ids binary")
-
-    def shard(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(table.column("_k").to_pylist(), table.column("ids").to_pylist(), strict=True), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
-        number = table.column("shard")[0].as_py()
-        arrays = [np.frombuffer(x, np.uint16) for _, x in rows]
-        pieces = pack(arrays)
-        crc = [zlib.crc32(arrays[d][s : s + n].astype("<u4").tobytes()) for d, s, n, _, _ in pieces]
-        d, s, n, q, o = zip(*pieces, strict=True)
-        columns = [[rows[i][0] for i in d], s, n, crc, [len(arrays[i]) for i in d], [(number << 32) + x for x in q], o]
-        return pa.table([pa.array(c, t) for c, t in zip(columns, [table.schema.field("_k").type] + [pa.int64()] * 6, strict=True)], names=["_k", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-
-    return ids.groupBy("shard").applyInArrow(shard, f"_k {kind}, {SCHEMA}").withColumnRenamed("_k", key)
+        encode = PieceTokenizer.of(tokenizer, pattern, added)
+        last, draw = np.uint16(end).tobytes(), draws()
+
+        def run(batch: pa.RecordBatch):
+            ids = [encode(t) + last for t in batch.column("_t").to_pylist()]
+            keys = np.array([affinity(np.frombuffer(x, np.uint16), draw) for x in ids], np.int32).reshape(-1, KEYS)
+            return [batch.column("_k"), batch.column("salt"), *keys.T, ids]
+
+        return run
+
+    places = [f"_a{i}" for i in range(KEYS)]
+    ids = map_batches(docs.select(F.col(key).alias("_k"), salt.alias("salt"), F.col(text).alias("_t")), encoder, f"_k {kind}, salt long, {', '.join(f'{c} int' for c in places)}, ids binary")
+    dealt = ids.repartition("salt", places[0]).sortWithinPartitions("salt", *places, "_k", F.crc32("ids")).select("_k", "ids")
+
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 20
+        held: list[tuple] = []
+
+        def packed(rows: list[tuple]) -> pa.RecordBatch:
+            rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+            arrays = [np.frombuffer(x, np.uint16) for _, x in rows]
+            pieces = pack(arrays)
+            crc = [zlib.crc32(arrays[d][s : s + n].astype("<u4").tobytes()) for d, s, n, _, _ in pieces]
+            d, s, n, q, o = zip(*pieces, strict=True)
+            columns = [[rows[i][0] for i in d], s, n, crc, [len(arrays[i]) for i in d], [(number << 20) + x for x in q], o]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [kind_of] + [pa.int64()] * 6, strict=True)], names=["_k", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+
+        for batch in batches:
+            kind_of = batch.schema.field("_k").type
+            held += zip(batch.column("_k").to_pylist(), batch.column("ids").to_pylist(), strict=True)
+            while len(held) >= 2 * shard_docs:
+                yield packed(held[:shard_docs])
+                held, number = held[shard_docs:], number + 1
+        while held:
+            size = len(held) if len(held) <= shard_docs + shard_docs // 2 else shard_docs
+            yield packed(held[:size])
+            held, number = held[size:], number + 1
+        released()
+
+    return dealt.mapInArrow(shards, f"_k {kind}, {SCHEMA}").withColumnRenamed("_k", key)
 
 
 def public_tokenizer() -> tuple[str, str]:
