@@ -7,8 +7,9 @@ if its marginal bytes come near those of a random string of its alphabet and len
 less), nothing there predicts it, and it is reported unless a base span overlaps it. Copies of it that stand in a
 sensitive context or a base span don't count as surroundings; copies elsewhere do.
 
-Defined results: a null or empty text has no span. Repeated rows are scanned each for itself; only the id and the text
-are read.
+Defined results: a null or empty text has no span, an empty table no row. Very long texts are scanned whole, in time that
+grows with their length. Spans of different kinds may overlap; ties, spans of one start, are in the order of kinds.
+Repeated rows are scanned each for itself; only the id and the text are read, whatever other columns are named.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import hashlib
 import random
 import re
 import string
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 import zstandard as zs
@@ -91,16 +92,13 @@ class Novelty:
         lower = text.lower()
         if not any(w in lower for w in _SENSITIVE_WORDS):
             return []
-        found, seen_to = [], -1
-        for word in _SENSITIVE.finditer(text):
-            for m in _CANDIDATE.finditer(text, max(word.end(), seen_to)):
-                if m.start() > word.end() + self.near:
-                    break
-                seen_to = m.end()
-                it = m.group()
-                digits = sum(c.isdigit() for c in it)
-                if not 2 <= digits <= len(it) - 4 or any(s < m.end() and m.start() < e for s, _, e in base):
-                    continue
+        ends = [word.end() for word in _SENSITIVE.finditer(text)]
+        covered = union(base)
+        found = []
+        for m in _CANDIDATE.finditer(text):
+            k = bisect_right(ends, m.start())
+            it = m.group()
+            if k and m.start() <= ends[k - 1] + self.near and 2 <= sum(c in string.digits for c in it) <= len(it) - 4 and not meeting(covered, m.start(), m.end()):
                 found.append((m.start(), m.end(), it))
         same: dict[str, list[tuple[int, int]]] = {}
         for s, e, it in found:
@@ -108,12 +106,30 @@ class Novelty:
         out = []
         for start, end, it in found:
             low, high = start - self.context, end + self.context
-            near = same[it][max(0, bisect_left(same[it], (low,)) - 1) : bisect_left(same[it], (high,))] + [(s, e) for s, _, e in base if s < high and e > low and it in text[s:e]]
+            near = same[it][max(0, bisect_left(same[it], (low,)) - 1) : bisect_left(same[it], (high,))] + [(s, e) for s, e in meeting(covered, low, high) if it in text[max(s, low - len(it)) : min(e, high + len(it))]]
             if self.share(text, start, end, sorted(near)) >= self.least:
                 out.append((start, 3, end))
         return out
 
 
+def union(spans: list[Span]) -> list[tuple[int, int]]:
+    """What the spans cover, as disjoint spans in order."""
+    out: list[tuple[int, int]] = []
+    for s, _, e in sorted(spans):
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
+def meeting(spans: list[tuple[int, int]], low: int, high: int) -> list[tuple[int, int]]:
+    """Those of disjoint spans in order that share a place with ``low`` to ``high``."""
+    k = bisect_right(spans, (low, -1))
+    k -= bool(k and spans[k - 1][1] > low)
+    return spans[k : bisect_left(spans, (high,))]
+
+
 def _without(text: str, start: int, end: int, spans: list[tuple[int, int]]) -> str:
     out = []
     for s, e in spans:
