@@ -135,20 +135,27 @@ def sampled(df: DataFrame, key: str, group: str, rows: int, seed: int, most_grou
     return df.filter(keep)
 
 
-def newton_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 60) -> Callable[[np.ndarray], np.ndarray]:
-    """A ridge-regularised logistic regression; returns the function of its probabilities."""
-    mean, scale = x.mean(0), x.std(0) + 1e-9
-    design = lambda v: np.c_[np.ones(len(v)), (v - mean) / scale]
-    z, w = design(x), np.zeros(x.shape[1] + 1)
-    penalty = ridge * len(y) * np.eye(len(w)) + 1e-6 * np.eye(len(w))
+def fit_logistic(x: np.ndarray, y: np.ndarray, counts: np.ndarray | None = None, ridge: float = 1e-3, steps: int = 60) -> tuple[np.ndarray, float]:
+    """Weights and bias of a ridge-regularised logistic regression; ``counts`` says how often each row was seen."""
+    n = np.ones(len(y)) if counts is None else counts
+    mean = np.average(x, axis=0, weights=n)
+    scale = np.sqrt(np.average((x - mean) ** 2, axis=0, weights=n)) + 1e-9
+    z, w = np.c_[np.ones(len(x)), (x - mean) / scale], np.zeros(x.shape[1] + 1)
+    penalty = ridge * n.sum() * np.eye(len(w)) + 1e-6 * np.eye(len(w))
     penalty[0, 0] = 1e-6
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -35, 35)))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + penalty, z.T @ (y - p) - penalty @ w)
+        step = np.linalg.solve((z * (n * p * (1 - p))[:, None]).T @ z + penalty, z.T @ (n * (y - p)) - penalty @ w)
         w += step
         if np.abs(step).max() < 1e-9:
             break
-    return lambda v: 1 / (1 + np.exp(-np.clip(design(v) @ w, -35, 35)))
+    return w[1:] / scale, float(w[0] - (w[1:] / scale) @ mean)
+
+
+def newton_logistic(x: np.ndarray, y: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """The function of the probabilities of ``fit_logistic``."""
+    w, bias = fit_logistic(x, y)
+    return lambda v: 1 / (1 + np.exp(-np.clip(v @ w + bias, -35, 35)))
 
 
 class Interner(dict):

@@ -4,28 +4,32 @@ Base kinds, leftmost and non-overlapping each for itself: ``email``, ``ip``, ``c
 patterns propose candidates (``iban``, ``ssn``, ``local_phone``, ``masked_email``, ``person``), and labelers of three sorts
 vote on every candidate and base span: patterns with checks, gazetteers and context words. Votes are counted by pattern
 of votes over the whole corpus; expectation-maximisation over these counts estimates each labeler's reliability and each
-kind's share of true spans; a span classifier, trained on the resulting probabilities, then decides which candidates are
-added. Base spans always stay.
+kind's share of true spans. The resulting probabilities train a final span classifier, which also sees what no labeler
+does: the span's shape and the words on both sides, hashed. It decides which candidates are added; base spans always stay.
 
-Defined results: a null or empty text has no span. Repeated rows are scanned each for itself; only the id and the text
-are read. An empty table trains no classifier and has no rows.
+Defined results: a null or empty text has no span. Very long texts are scanned whole, in time that grows with their
+length. Ties: spans of one start are in the order of kinds; of overlapping candidates the first in order is kept. Repeated
+rows are scanned each for itself, and counted each. Only the id and the text are read, whatever other columns are named.
+An empty table trains no classifier and has no rows.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cubeloom.llm.common import cut, map_batches, newton_logistic, read
-from cubeloom.llm.secrets import counted, digest
+from cubeloom.llm.common import cut, fit_logistic, map_batches, read, stored
+from cubeloom.llm.secrets import counted, digest, meeting, union
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("iban", "ssn", "local_phone", "masked_email", "person")
 KINDS = BASE + ADDED
+BUCKETS = 32
 LABELERS = ("pattern", "check", "gazetteer", "context", "border", "contrary")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -38,6 +42,8 @@ _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+(-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])")
 _MASKED = re.compile(r"[A-Za-z0-9._%+-]{1,64}\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:[\[(](?:dot|DOT)[\])]|\.)\x20?[A-Za-z0-9-]{1,63})+")
 _PERSON = re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof)\.?\x20[A-Z][a-z]+(?:\x20[A-Z][a-z]+)?")
+_RUNS = re.compile(r"[0-9]+|[^\W\d_]+")
+_LAST, _FIRST = re.compile(r"[^\W\d_]+(?=[\W\d_]*\Z)"), re.compile(r"[^\W\d_]+")
 _CLASS = bytes(48 if 48 <= i < 58 else i if i in b"+.@([" else 32 for i in range(256))
 
 #: Fixed word lists of the gazetteer and context labelers.
@@ -94,14 +100,23 @@ def candidates(text: str, base: list[tuple[int, str, int]]) -> list[tuple[int, s
     for kind, pattern, ask in (("iban", _IBAN, digits), ("ssn", _SSN, digits and "-" in text), ("local_phone", _LOCAL_PHONE, digits), ("masked_email", _MASKED, "at" in text.lower() and ("(" in text or "[" in text)), ("person", _PERSON, any(x in text for x in ("Mr", "Ms", "Dr", "Prof")))):
         if ask:
             found += [(m.start(), kind, m.end()) for m in pattern.finditer(text)]
-    out, taken = [], sorted((s, e) for s, _, e in base)
+    out, end, covered = [], 0, union([(s, 0, e) for s, _, e in base])
     for s, k, e in sorted(found):
-        if all(e <= a or b <= s for a, b in taken):
+        if s >= end and not meeting(covered, s, e):
             out.append((s, k, e))
-            taken.append((s, e))
+            end = e
     return out
 
 
+def surroundings(text: str, start: int, end: int) -> list[int]:
+    """Buckets of the span's shape (runs of letters and of digits, other characters as they are) and of the words before
+    and after it."""
+    shape = _RUNS.sub(lambda m: "A" if m[0].isupper() else "a" if m[0].isalpha() else "9", text[start:end])
+    before, after = _LAST.search(text[max(0, start - 32) : start]), _FIRST.search(text[end : end + 32])
+    words = ("<" + before[0].lower() if before else "", ">" + after[0].lower() if after else "")
+    return [zlib.crc32(x.encode("utf-8", "surrogatepass")) % BUCKETS for x in (shape, *words)]
+
+
 def votes(text: str, start: int, kind: str, end: int) -> list[int]:
     """Each labeler's vote: 1 for, -1 against, 0 none."""
     it, before, after = text[start:end], text[max(0, start - 40) : start], text[end : end + 1]
@@ -164,12 +179,14 @@ def aggregate(patterns: np.ndarray, kinds: np.ndarray, counts: np.ndarray, round
     return p, rates
 
 
-def _features(patterns: np.ndarray, kinds: np.ndarray) -> np.ndarray:
-    return np.c_[patterns, np.array([[k == x for x in KINDS] for k in kinds], float)]
+def _features(patterns: np.ndarray, kinds: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """Votes, the kind, and the buckets of shape and words: a column each."""
+    hot = [near[:, [j]] == np.arange(BUCKETS) for j in range(near.shape[1])]
+    return np.concatenate([patterns, np.array([[k == x for x in KINDS] for k in kinds]), *hot], axis=1).astype(float)
 
 
 def propose(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``key, found``: every row's base spans and candidates with their votes."""
+    """``key, found``: every row's base spans and candidates with their votes and surroundings."""
 
     def proposer():
         def run(batch: pa.RecordBatch):
@@ -178,31 +195,46 @@ def propose(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
                 t = t or ""
                 base = base_spans(t)
                 spans = sorted(base + candidates(t, base), key=lambda x: (x[0], KINDS.index(x[1])))
-                found.append([{"kind": k, "start": s, "stop": e, "votes": votes(t, s, k, e)} for s, k, e in spans])
+                found.append([{"kind": k, "start": s, "stop": e, "votes": votes(t, s, k, e), "near": surroundings(t, s, e)} for s, k, e in spans])
             return [batch.column("_k"), found]
 
         return run
 
     kind = docs.schema[key].dataType.simpleString()
-    return map_batches(docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")), proposer, f"_k {kind}, found array<struct<kind:string,start:long,stop:long,votes:array<int>>>").withColumnRenamed("_k", key)
+    return map_batches(docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")), proposer, f"_k {kind}, found array<struct<kind:string,start:long,stop:long,votes:array<int>,near:array<int>>>").withColumnRenamed("_k", key)
 
 
-def detect(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = 0.8) -> DataFrame:
-    """``key, found``: base spans and the candidates that the classifier accepts, an array of ``kind, start, stop``."""
+def detect(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = 0.8, fit_patterns: int = 100_000) -> DataFrame:
+    """``key, found``: base spans and the candidates that the classifier accepts, an array of ``kind, start, stop``. The
+    classifier is fitted on about ``fit_patterns`` of the distinct patterns of votes and surroundings, drawn by hash and
+    weighted by their counts: a documented bound of its sample. Expectation-maximisation counts all spans."""
     proposed = cut(propose(docs, text, key))
-    # at most kinds x 3^labelers rows
-    counts = proposed.select(F.explode("found").alias("x")).groupBy("x.kind", "x.votes").agg(F.count("*").alias("n")).orderBy("kind", "votes").toPandas()
-    accepted: list[tuple[str, tuple[int, ...]]] = []
-    if len(counts):
-        patterns, kinds, n = np.array(counts["votes"].tolist(), float), counts["kind"].to_numpy(), counts["n"].to_numpy(float)
-        truth, _ = aggregate(patterns, kinds, n)
-        x = _features(patterns, kinds)
-        repeat = np.repeat(np.arange(len(x)), np.minimum(20, np.ceil(np.log2(n + 1))).astype(int))
-        p = newton_logistic(x[repeat], truth[repeat])(x)
-        accepted = [(k, tuple(int(v) for v in row)) for k, row, a in zip(kinds, patterns, p, strict=True) if a >= threshold and k in ADDED]
-    keep = F.array(*[F.lit(k + ":" + ",".join(map(str, v))) for k, v in accepted]) if accepted else F.array().cast("array<string>")
-    name = lambda x: F.concat(x["kind"], F.lit(":"), F.array_join(F.transform(x["votes"], lambda v: v.cast("string")), ","))
-    return proposed.select(key, F.filter("found", lambda x: x["kind"].isin(*BASE) | F.array_contains(keep, name(x))).alias("found"))
+    seen = stored(proposed.select(F.explode("found").alias("x")).groupBy("x.kind", "x.votes", "x.near").agg(F.count("*").alias("n")))
+    # at most kinds x 3^labelers rows, whatever the corpus
+    voted = seen.groupBy("kind", "votes").agg(F.sum("n").alias("n")).orderBy("kind", "votes").toPandas()
+    if len(voted):
+        patterns, kinds = np.array(voted["votes"].tolist(), float), voted["kind"].to_numpy()
+        probability, _ = aggregate(patterns, kinds, voted["n"].to_numpy(float))
+        known = {(k, tuple(v)): p for k, v, p in zip(kinds, patterns.astype(int).tolist(), probability, strict=True)}
+        draw = F.pmod(F.xxhash64("kind", "votes", "near"), F.lit(1 << 30))
+        some = seen.filter(draw < int(min(1.0, fit_patterns / seen.count()) * (1 << 30))).orderBy("kind", "votes", "near").toPandas()
+        patterns, kinds, near = np.array(some["votes"].tolist(), float), some["kind"].to_numpy(), np.array(some["near"].tolist())
+        truth = np.array([known[k, tuple(v)] for k, v in zip(kinds, patterns.astype(int).tolist(), strict=True)])
+        weights, bias = fit_logistic(_features(patterns, kinds, near), truth, some["n"].to_numpy(float))
+        own = dict(zip(KINDS, weights[len(LABELERS) :].tolist(), strict=False))
+        votes_at, near_at = weights[: len(LABELERS)].tolist(), weights[len(LABELERS) + len(KINDS) :].reshape(-1, BUCKETS).tolist()
+
+        def odds(x):
+            total = F.lit(float(bias)) + F.element_at(F.create_map(*[F.lit(v) for kind in own.items() for v in kind]), x["kind"])
+            for j, w in enumerate(votes_at):
+                total = total + F.lit(w) * F.element_at(x["votes"], j + 1)
+            for j, ws in enumerate(near_at):
+                total = total + F.element_at(F.array(*[F.lit(w) for w in ws]), F.element_at(x["near"], j + 1) + 1)
+            return total
+
+        least = float(np.log(threshold / (1 - threshold)))
+        return proposed.select(key, F.filter("found", lambda x: x["kind"].isin(*BASE) | (odds(x) >= least)).alias("found"))
+    return proposed
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

@@ -56,6 +56,17 @@ def test_novel_secrets_of_any_length_alphabet_and_number():
         assert n.spans("private key: " + t.strip("-"), []) == [], t
 
 
+def test_secret_scan_of_long_texts():
+    n, rng = secrets.Novelty(), random.Random(4)
+    many = " ".join(f"key {''.join(rng.choices('abcdefghijkmnpqrstuvwxyz23456789', k=20))}" for _ in range(1000))
+    start = time.perf_counter()
+    for t in ("key " * 250_000, "key" * 300_000, "A1b2" * 250_000, "token=abcdef " * 80_000, "key " + "a1B2c3D4" * 2 + " " + "deadbeef" * 100_000):
+        base = secrets.base_spans(t)
+        n.spans(t, base)
+    assert time.perf_counter() - start < 6
+    assert len(n.spans(many, [])) > 900
+
+
 def test_secret_scan_and_redaction(spark):
     long = "x" * 200_000 + " token = abcdef123456 " + "y" * 200_000
     df = spark.createDataFrame([(1, None), (2, ""), (3, "token: abcdef99 and token: abcdef99"), (4, long), (None, "secret=abcdefgh")], "doc_id long, text string").withColumn("found", F.lit("clash"))
@@ -242,13 +253,12 @@ def test_tokens_and_packed_documents(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    own = packing.PieceTokenizer(*packing.public_tokenizer())
+    own = packing.PieceTokenizer(*packing.public_tokenizer(), added=packing.public_added())
     texts = fragments(4, ["a", " ", "  ", "\n", " \n", "\t", "é", "的", "1", "23", "'s", "!?", "\x1c", "\x85", "<|endoftext|>", "The", "😀"], 1500, 15)
     for text, e in zip(texts, t.encode_batch(texts, add_special_tokens=False), strict=True):
         assert np.frombuffer(own(text), np.uint16).tolist() == e.ids
     rows = [(i, x) for i, x in enumerate(texts[:300])] + [(400, None), (401, "word " * 30_000), (401, "word " * 30_000), (None, "x")]
-    got = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string").withColumn("shard", F.lit(1)), *packing.public_tokenizer(), shard_docs=50).toPandas()
+    got = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string").withColumn("shard", F.lit(1)), *packing.public_tokenizer(), shard_docs=50, added=packing.public_added(), salt_docs=100).toPandas()
     assert got.groupby("doc_id", dropna=False)["length"].sum()[401.0] == 2 * (len(own("word " * 30_000)) // 2 + 1)
     assert got["length"].sum() == sum(len(own(x)) // 2 + 1 for _, x in rows)
     assert packing.pack_documents(spark.createDataFrame([], "doc_id long, text string"), *packing.public_tokenizer()).isEmpty()
@@ -269,6 +279,16 @@ def test_added_tokens(spark, tmp_path):
     assert [got[i] for i in range(len(texts))] == [len(x) + 1 for x in ids]
 
 
+def test_neighbours_of_shards(spark):
+    rng = random.Random(3)
+    topics = [[f"{c}{k}zq{k * 7}" for k in range(12)] for c in "abcdefghij"]
+    rows = [(i, " ".join(rng.choice(topics[i % 10]) if rng.random() < 0.7 else rng.choice(["the", "of", "and", "to"]) for _ in range(120))) for i in range(600)]
+    got = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), *packing.public_tokenizer(), shard_docs=60).toPandas()
+    assert sorted(got.groupby("doc_id")["length"].sum()) == sorted(got.drop_duplicates("doc_id")["doc_tokens"])
+    mates = got.groupby("sequence_id")["doc_id"].agg(lambda x: max((x % 10).value_counts()) / len(x))
+    assert mates.mean() > 0.5  # a tenth by chance
+
+
 def test_deep_shallow_sort():
     rng = random.Random(2)
     for _ in range(150):
