@@ -110,12 +110,13 @@ def edge_distance(df: DataFrame, tile: list[str], size: int, valid: str = "m") -
 
 
 def hexagon(x, y, size: float):
-    """Axial coordinates of the hexagon of ``size`` that holds a point (the centre nearest to it)."""
-    # rounded, so that points on an edge fall to the same side on every engine
+    """Axial coordinates of the hexagon of ``size`` that holds a point (the centre nearest to it). Of the three rounded
+    cube coordinates, the one moved farthest is replaced; of equal moves, the third is, then the second."""
+    # coordinates and moves are rounded, so that points on an edge fall to the same side on every engine
     q, r = F.round((x * (math.sqrt(3) / 3) - y / 3.0) / size, 6), F.round(y * (2.0 / 3.0) / size, 6)
     s = -q - r
     near = lambda v: F.floor(v + 0.5)
-    dq, dr, ds = F.abs(near(q) - q), F.abs(near(r) - r), F.abs(near(s) - s)
+    dq, dr, ds = (F.round(F.abs(near(v) - v), 6) for v in (q, r, s))
     hq = F.when((dq > dr) & (dq > ds), -near(r) - near(s)).otherwise(near(q))
     hr = F.when((dq > dr) & (dq > ds), near(r)).when(dr > ds, -near(q) - near(s)).otherwise(near(r))
     return hq.cast("long"), hr.cast("long")

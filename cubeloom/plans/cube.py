@@ -73,12 +73,24 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def height(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row: the grid's height."""
-    return cube(spark, sf_dir).agg((F.max(F.expr("pid div 64")) + 1).alias("height"))
+    # the largest key alone: no pixel has to be built for it
+    return table(spark, sf_dir, "lineitem").agg((F.expr("max(l_orderkey) div 4 div 64") + 1).alias("height"))
+
+
+def tensor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``tile, p, t``: an embedding, and the one after it where there is one, as arrays."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("tile"), F.col("embedding").alias("p"))
+    return e.join(e.select((F.col("tile") - 1).alias("tile"), F.col("p").alias("t")), "tile", "left")
 
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Eight by eight tiles ``tile, r, c, p, t``: an embedding and the one after it."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("pos", "v"))
-    e = e.select(F.col("vec_id").alias("tile"), F.expr("cast(pos div 8 as bigint)").alias("r"), (F.col("pos") % 8).cast("long").alias("c"), F.col("v").cast("double").alias("p"))
-    nxt = e.select((F.col("tile") - 1).alias("tile"), "r", "c", F.col("p").alias("t"))
-    return e.join(nxt, ["tile", "r", "c"])
+    """Eight by eight tiles ``tile, r, c, p, t``: an embedding and the one after it. Arrays are joined, then opened."""
+    e = tensor(spark, sf_dir).filter(F.col("t").isNotNull()).select("tile", F.posexplode(F.arrays_zip("p", "t")).alias("pos", "v"))
+    place = (F.expr("cast(pos div 8 as bigint)").alias("r"), (F.col("pos") % 8).cast("long").alias("c"))
+    return e.select("tile", *place, F.col("v.p").cast("double").alias("p"), F.col("v.t").cast("double").alias("t"))
+
+
+def single_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``tile, r, c, p`` of every embedding."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("tile"), F.posexplode("embedding").alias("pos", "v"))
+    return e.select("tile", F.expr("cast(pos div 8 as bigint)").alias("r"), (F.col("pos") % 8).cast("long").alias("c"), F.col("v").cast("double").alias("p"))

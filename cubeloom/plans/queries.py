@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cubeloom.functions import encoders
 from cubeloom.functions.histogram import CHANGE_EDGES, REPORT_EDGES, bin_of
 from cubeloom.operators import convlstm, metrics, neighbourhood, pixel, tiles
-from cubeloom.plans.cube import CHIP, WIDTH, YEARS, cube, height, horizons, images, long_layers, placed, scored, statics, table, wide
+from cubeloom.plans.cube import CHIP, WIDTH, YEARS, cube, height, horizons, images, long_layers, placed, scored, single_images, statics, table, wide
 from cubeloom.session import cut
 
 col = F.col
@@ -277,7 +277,7 @@ def split_semi_join(s, d):
     cell = F.explode(F.sequence(F.floor(col("r0") / CHIP), F.floor((col("r0") + CHIP - 1) / CHIP))).alias("ci")
     x = sliding_chips(s, d).select("r0", "c0", cell)
     x = x.withColumn("cj", F.explode(F.sequence(F.floor(col("c0") / CHIP), F.floor((col("c0") + CHIP - 1) / CHIP))))
-    return x.join(F.broadcast(split_chips(s, d).filter("split = 1").select("ci", "cj")), ["ci", "cj"], "left_semi").select("r0", "c0").distinct()
+    return x.join(split_chips(s, d).filter("split = 1").select("ci", "cj"), ["ci", "cj"], "left_semi").select("r0", "c0").distinct()
 
 
 def split_chip_jitter(s, d):
@@ -290,7 +290,7 @@ def split_chip_jitter(s, d):
 def latitude_band_counts(s, d):
     h = F.broadcast(height(s, d))
     p = placed(cube(s, d).select("pid").distinct()).crossJoin(h).withColumns({"ci": F.floor(col("r") / CHIP), "cj": F.floor(col("c") / CHIP), "band": F.floor(col("r") / F.floor(col("height") / 20)).cast("int")})
-    return p.filter("band < 20").join(F.broadcast(split_chips(s, d).select("ci", "cj", "split")), ["ci", "cj"]).groupBy("band", "split").agg(F.count("*").alias("n"))
+    return p.filter("band < 20").join(split_chips(s, d).select("ci", "cj", "split"), ["ci", "cj"]).groupBy("band", "split").agg(F.count("*").alias("n"))
 
 
 # statistics and metrics
@@ -340,12 +340,17 @@ def rarity_weights(s, d):
     return rounded(metrics.rarity(metrics.histogram(all_changes(s, d), col("dt"), ["h"]), ["h"]).drop("n"), "weight")
 
 
-def wasserstein_histogram(s, d):
+def chip_wasserstein(s, d):
+    """``ci, cj, h, w2``: the distance of each chip's two histograms of changes."""
     keys, x = ["ci", "cj", "h"], changes(s, d)
     seen = metrics.proportions(metrics.histogram(x, col("dt"), keys), keys)
     pred = metrics.proportions(metrics.histogram(x, col("dp"), keys), keys)
     weights = F.broadcast(metrics.rarity(metrics.histogram(all_changes(s, d), col("dt"), ["h"]), ["h"]).select("h", "bin", "weight"))
-    return metrics.wasserstein(seen, pred, keys, weights, ["h"]).groupBy("h").agg(F.round(F.avg("w2"), 8).alias("w2"))
+    return metrics.wasserstein(seen, pred, keys, weights, ["h"])
+
+
+def wasserstein_histogram(s, d):
+    return chip_wasserstein(s, d).groupBy("h").agg(F.round(F.avg("w2"), 8).alias("w2"))
 
 
 def masked_mse(s, d):
@@ -415,8 +420,9 @@ def baseline_linear(s, d):
 
 
 def pixel_weighted_metric(s, d):
-    chip = changes(s, d).groupBy("ci", "cj", "h").agg(metrics.mse(col("pred"), col("target")).alias("v"), F.count("*").alias("n"))
-    return chip.groupBy("h").agg(r9(F.sum(col("v") * col("n")) / F.sum("n")).alias("mse"))
+    """The histogram distance of batches (here: chips), each counted by its pixels."""
+    n = changes(s, d).groupBy("ci", "cj", "h").agg(F.count("*").alias("n"))
+    return chip_wasserstein(s, d).join(n, ["ci", "cj", "h"]).groupBy("h").agg(F.round(F.sum(col("w2") * col("n")) / F.sum("n"), 8).alias("w2"))
 
 
 def sweep_objective(s, d):
@@ -465,15 +471,15 @@ def linear_head(s, d):
 # neighbourhoods
 
 def gaussian_blur(s, d):
-    return rounded(neighbourhood.blur(images(s, d).select("tile", "r", "c", "p"), ["p"], ["tile"]), "p")
+    return rounded(neighbourhood.blur(single_images(s, d), ["p"], ["tile"]), "p")
 
 
 def downsample2x(s, d):
-    return rounded(neighbourhood.downsample(images(s, d), ["p"], ["tile"]), "p")
+    return rounded(neighbourhood.downsample(single_images(s, d), ["p"], ["tile"]), "p")
 
 
 def upsample_bilinear(s, d):
-    return rounded(neighbourhood.upsample(neighbourhood.downsample(images(s, d), ["p"], ["tile"]), ["p"], ["tile"], 4, 8), "p")
+    return rounded(neighbourhood.upsample(neighbourhood.downsample(single_images(s, d), ["p"], ["tile"]), ["p"], ["tile"], 4, 8), "p")
 
 
 def mask_downsample(s, d):
@@ -494,7 +500,7 @@ def dense_chips(s, d):
 
 
 def ssim(s, d):
-    return F.broadcast(neighbourhood.ssim(dense_chips(s, d), ["ci", "cj"], CHIP)).select("ci", "cj", F.round("ssim", 8).alias("ssim"))
+    return neighbourhood.ssim(dense_chips(s, d), ["ci", "cj"], CHIP).select("ci", "cj", F.round("ssim", 8).alias("ssim"))
 
 
 def edt_weights(s, d):
@@ -502,20 +508,25 @@ def edt_weights(s, d):
 
 
 def tile_weights(s, d):
-    """Overlapping tiles of the region with the distance weights of their cells: at the edge 1, inwards more."""
-    x = tiles.explode_tiles(wide(s, d).select("pid", "r", "c", col("y2020").alias("v")), TILE, STRIDE)
-    i, j = col("r") - col("ti"), col("c") - col("tj")
-    w = F.least(i, j, TILE - 1 - i, TILE - 1 - j).cast("double")
-    return x.withColumn("w", F.when(col("v").isNotNull(), w).otherwise(0.0))
+    """Overlapping tiles with the exact distance of their valid cells to the nearest invalid or border cell: at a border 0,
+    inwards more. A cell is valid if its first and its last year are."""
+    x = tiles.explode_tiles(wide(s, d).select("pid", "r", "c", "y1990", "y2020"), TILE, STRIDE)
+    side = F.sequence(F.lit(0).cast("long"), F.lit(TILE - 1).cast("long"))
+    cells = x.select("ti", "tj").distinct().withColumn("r", F.explode(side)).withColumn("c", F.explode(side))
+    own = x.select("pid", "ti", "tj", (col("r") - col("ti")).alias("r"), (col("c") - col("tj")).alias("c"), col("y2020").alias("v"), pixel.all_finite([col("y1990"), col("y2020")]).alias("m"))
+    dense = cells.join(own, ["ti", "tj", "r", "c"], "left").fillna(False, ["m"])
+    return neighbourhood.edge_distance(dense, ["ti", "tj"], TILE).filter(col("pid").isNotNull()).withColumnRenamed("weight", "w")
 
 
 def weighted_blend(s, d):
-    x = tile_weights(s, d).withColumn("v", F.coalesce("v", F.lit(0.0)) + col("ti") * 0.001)
-    return rounded(metrics.blend(x, ["pid"]), "v").withColumnRenamed("w", "weight")
+    """The twelve outputs of a stand-in model (three quantiles of four horizons, each tile its own), blended by the weight
+    that all of them share."""
+    outputs = F.posexplode(F.array(*[col("v") + k * 0.2 + h * 0.01 + col("ti") * 0.001 for h in range(4) for k in range(3)])).alias("channel", "v")
+    return rounded(metrics.blend(tile_weights(s, d).select("pid", "w", outputs), ["pid", "channel"]), "v", "w").withColumnRenamed("w", "weight")
 
 
 def blend_coverage(s, d):
-    b = metrics.blend(tile_weights(s, d), ["pid"])
+    b = tile_weights(s, d).groupBy("pid").agg(F.sum("w").alias("w"))
     n = F.sum((col("w") > 0).cast("long"))
     return b.agg(n.alias("n"), r9(100.0 * n / F.count("*")).alias("percent"))
 
@@ -533,15 +544,16 @@ def nearest_downsample(s, d):
 # sets
 
 def valid_intersect(s, d):
-    return wide(s, d).filter("y2000 is not null").select("pid").intersect(wide(s, d).filter("y2020 is not null").select("pid"))
+    # both sides are predicates on the same row: no set operation, one scan
+    return wide(s, d).filter("y2000 is not null and y2020 is not null").select("pid")
 
 
 def invalid_except(s, d):
-    return wide(s, d).select("pid").exceptAll(wide(s, d).filter("y2020 is not null").select("pid"))
+    return wide(s, d).filter("y2020 is null").select("pid")
 
 
 def mask_union(s, d):
-    return wide(s, d).filter("y2000 is null").select("pid").union(wide(s, d).filter("y2020 is null").select("pid")).distinct()
+    return wide(s, d).filter("y2000 is null or y2020 is null").select("pid")
 
 
 def union_all_batches(s, d):

@@ -182,8 +182,23 @@ w2 AS (SELECT h, round(avg(w2), 8) AS w2 FROM w2c GROUP BY h)"""
 LOSS = """loss AS (SELECT h, avg((pred - target) * (pred - target)) AS mse, avg(abs(pred - target)) AS mae,
 avg(CASE WHEN target >= lower THEN 0.025::DOUBLE * (target - lower) ELSE -0.975::DOUBLE * (target - lower) END) AS pin_l,
 avg(CASE WHEN target >= upper THEN 0.975::DOUBLE * (target - upper) ELSE -0.025::DOUBLE * (target - upper) END) AS pin_u FROM sc GROUP BY h)"""
+SPATIAL = f"""dk AS (SELECT DISTINCT h, ci, cj FROM cc),
+dn AS (SELECT dk.h, dk.ci, dk.cj, a.v AS r, b.v AS c, coalesce(x.pred, 0) AS p, coalesce(x.target, 0) AS t, x.pid IS NOT NULL AS m FROM dk CROSS JOIN (SELECT unnest(range(16)) AS v) a CROSS JOIN (SELECT unnest(range(16)) AS v) b
+  LEFT JOIN cc x ON x.h = dk.h AND x.ci = dk.ci AND x.cj = dk.cj AND x.r % 16 = a.v AND x.c % 16 = b.v),
+mo AS (SELECT h, ci, cj, r, c, p, t, p * p AS pp, t * t AS tt, p * t AS pt FROM dn), sb AS ({blurred("mo", ["p", "t", "pp", "tt", "pt"], "h, ci, cj", 11, 1.5)}),
+ss AS (SELECT h, ci, cj, avg((2 * p * t + 0.0001::DOUBLE) * (2 * (pt - p * t) + 0.0009::DOUBLE) / ((p * p + t * t + 0.0001::DOUBLE) * (pp - p * p + tt - t * t + 0.0009::DOUBLE))) AS ssim FROM sb WHERE r BETWEEN 5 AND 10 AND c BETWEEN 5 AND 10 GROUP BY ALL),
+sl AS (SELECT h, 1 - avg(ssim) AS ssim FROM ss GROUP BY h),
+g1b AS ({blurred("dn", ["p", "t"], "h, ci, cj")}), g1 AS ({halved("g1b", ["p", "t"], "h, ci, cj")}), g2b AS ({blurred("g1", ["p", "t"], "h, ci, cj")}), g2 AS ({halved("g2b", ["p", "t"], "h, ci, cj")}),
+u0 AS ({enlarged("g1", ["p", "t"], "h, ci, cj", 8, 16)}), u1 AS ({enlarged("g2", ["p", "t"], "h, ci, cj", 4, 8)}),
+m1 AS (SELECT h, ci, cj, r // 2 AS r, c // 2 AS c, count(*) FILTER (m) >= 3 AS m FROM dn GROUP BY ALL), m2 AS (SELECT h, ci, cj, r // 2 AS r, c // 2 AS c, count(*) FILTER (m) >= 3 AS m FROM m1 GROUP BY ALL),
+lv AS (SELECT h, avg(abs(dn.p - u0.p - (dn.t - u0.t))) FILTER (m) AS x FROM dn JOIN u0 USING (h, ci, cj, r, c) GROUP BY h UNION ALL
+SELECT h, avg(abs(g1.p - u1.p - (g1.t - u1.t))) FILTER (m) FROM g1 JOIN u1 USING (h, ci, cj, r, c) JOIN m1 USING (h, ci, cj, r, c) GROUP BY h UNION ALL SELECT h, avg(abs(p - t)) FILTER (m) FROM g2 JOIN m2 USING (h, ci, cj, r, c) GROUP BY h),
+lp AS (SELECT h, sum(coalesce(x, 0)) / 3 AS lap FROM lv GROUP BY h)"""
 LOGITS = "lg AS (SELECT vec_id, CAST(label AS INTEGER) AS label, [CAST(v AS DOUBLE) FOR v IN embedding[1:10]] AS z FROM embeddings WHERE label IS NOT NULL)"
-TW = tiled("(SELECT pid, r, c, y2020 AS v FROM wide)", 8, 4, "t0") + ", tw AS (SELECT *, CASE WHEN v IS NULL THEN 0.0::DOUBLE ELSE CAST(least(r - ti, c - tj, 7 - r + ti, 7 - c + tj) AS DOUBLE) END AS w FROM t0)"
+BLEND = f"""{tiled("wide", 8, 4, "t0")}, tl AS (SELECT d.ti, d.tj, i.v AS r, j.v AS c FROM (SELECT DISTINCT ti, tj FROM t0) d, (SELECT unnest(range(8)) AS v) i, (SELECT unnest(range(8)) AS v) j),
+tm AS (SELECT tl.*, pid, y2020, y1990 IS NOT NULL AND y2020 IS NOT NULL AS m FROM tl LEFT JOIN wide ON wide.r = ti + tl.r AND wide.c = tj + tl.c),
+ew AS (SELECT d.ti, d.tj, d.r, d.c, any_value(d.pid) AS pid, any_value(d.y2020) AS y2020, CASE WHEN any_value(d.m) THEN min(sqrt(((d.r - e.r) ** 2 + (d.c - e.c) ** 2)::DOUBLE)) ELSE 0.0::DOUBLE END AS w
+  FROM tm d JOIN tm e ON d.ti = e.ti AND d.tj = e.tj AND (NOT e.m OR e.r IN (0, 7) OR e.c IN (0, 7)) WHERE d.pid IS NOT NULL GROUP BY d.ti, d.tj, d.r, d.c)"""
 
 SQL = {
     "validity_mask": q("SELECT pid, coalesce(tas >= 0, false) AS valid FROM st"),
@@ -250,15 +265,15 @@ SQL = {
     "pinball_loss": q('SELECT h, round(pin_l, 9) AS "lower", round(pin_u, 9) AS "upper" FROM loss', LOSS),
     "interval_coverage": q("SELECT h, round(100.0::DOUBLE * count(*) FILTER (round(target, 6) BETWEEN round(lower, 6) AND round(upper, 6)) / count(*), 9) AS coverage, count(*) AS n FROM sc GROUP BY h"),
     "macro_average_losses": q("SELECT round(sum(mse) / 4, 9) AS mse, round(sum(mae) / 4, 9) AS mae, round(sum(pin_l) / 4, 9) AS pin_l, round(sum(pin_u) / 4, 9) AS pin_u FROM loss", LOSS),
-    "composite_loss": q("SELECT h, round(mse + pin_l + pin_u + 0.67::DOUBLE * w2, 7) AS total FROM loss JOIN w2 USING (h)", f"{LOSS}, {W2}"),
+    "composite_loss": q("SELECT h, round(mse + pin_l + pin_u + 2 * ssim + lap + 0.67::DOUBLE * w2, 7) AS total FROM loss JOIN w2 USING (h) JOIN sl USING (h) JOIN lp USING (h)", f"{LOSS}, {W2}, {SPATIAL}"),
     "full_val_metrics": q("""SELECT h, count(*) AS n, round(avg((pred - target) ** 2), 9) AS mse, round(avg(abs(pred - target)), 9) AS mae, round(avg(abs(last - target)), 9) AS mae_no_change,
       round(avg((last - target) ** 2), 9) AS mse_no_change, round(avg(abs(last + (last - prev) * h - target)), 9) AS mae_linear FROM sc GROUP BY h"""),
     "baseline_no_change": q("SELECT 2000 + 5 * h AS target_year, count(*) AS n, round(avg(abs(last - target)), 9) AS mae_no_change FROM sc GROUP BY h"),
     "baseline_linear": q("SELECT 2000 + 5 * h AS target_year, count(*) AS n, round(avg(abs(last - target)), 9) AS mae_no_change, round(avg(abs(last + (last - prev) * h - target)), 9) AS mae_linear FROM sc GROUP BY h"),
-    "pixel_weighted_metric": q("SELECT h, round(avg((pred - target) ** 2), 9) AS mse FROM cc GROUP BY h", CHIPPED),
-    "sweep_objective": q("SELECT round(avg(mse + 0.67::DOUBLE * w2), 7) AS objective FROM loss JOIN w2 USING (h)", f"{LOSS}, {W2}"),
+    "pixel_weighted_metric": q("SELECT h, round(sum(w2 * n) / sum(n), 8) AS w2 FROM w2c JOIN (SELECT ci, cj, h, count(*) AS n FROM cc GROUP BY ALL) USING (ci, cj, h) GROUP BY h", W2),
+    "sweep_objective": q("SELECT round(avg(mse + 2 * ssim + lap + 0.67::DOUBLE * w2), 7) AS objective FROM loss JOIN w2 USING (h) JOIN sl USING (h) JOIN lp USING (h)", f"{LOSS}, {W2}, {SPATIAL}"),
     "hexbin_density": q("""SELECT CAST(CASE WHEN dq > dr AND dq > ds THEN -rr - rs ELSE rq END AS BIGINT) AS q, CAST(CASE WHEN dq > dr AND dq > ds THEN rr WHEN dr > ds THEN -rq - rs ELSE rr END AS BIGINT) AS hr, count(*) AS n
-      FROM (SELECT *, abs(rq - q) AS dq, abs(rr - r) AS dr, abs(rs + q + r) AS ds FROM (SELECT *, floor(q + 0.5) AS rq, floor(r + 0.5) AS rr, floor(-q - r + 0.5) AS rs FROM (
+      FROM (SELECT *, round(abs(rq - q), 6) AS dq, round(abs(rr - r), 6) AS dr, round(abs(rs + q + r), 6) AS ds FROM (SELECT *, floor(q + 0.5) AS rq, floor(r + 0.5) AS rr, floor(-q - r + 0.5) AS rs FROM (
       SELECT round((dt * (sqrt(3.0::DOUBLE) / 3) - dp / 3.0::DOUBLE) / (0.21::DOUBLE / 80), 6) AS q, round(dp * (2.0::DOUBLE / 3.0::DOUBLE) / (0.21::DOUBLE / 80), 6) AS r FROM ch WHERE dp BETWEEN -0.01 AND 0.2 AND dt BETWEEN -0.01 AND 0.2))) GROUP BY 1, 2"""),
     "best_checkpoint": "SELECT o_custkey AS best, round(loss, 6) AS loss FROM (SELECT o_custkey, min(o_totalprice) AS loss FROM orders GROUP BY o_custkey) ORDER BY loss, o_custkey LIMIT 1",
     "classification_metrics": q("SELECT (SELECT round(avg(CAST(label = guess AS INTEGER)), 9) FROM g) AS accuracy, (SELECT round(avg(j), 9) FROM (SELECT k, count(*) FILTER (label = k AND guess = k) / count(*)::DOUBLE AS j FROM g, (SELECT label AS k FROM g UNION SELECT guess FROM g) WHERE label = k OR guess = k GROUP BY k)) AS jaccard",
@@ -266,9 +281,9 @@ SQL = {
     "topk_accuracy": q("SELECT round(avg(CAST(above < 1 AS INTEGER)), 9) AS top1, round(avg(CAST(above < 3 AS INTEGER)), 9) AS top3 FROM (SELECT len([v FOR v IN z IF v > z[label + 1]]) AS above FROM lg)", LOGITS),
     "cross_entropy": q("SELECT round(avg(ln(list_sum([exp(v) FOR v IN z])) - z[label + 1]), 9) AS loss FROM lg", LOGITS),
     "linear_head": f"SELECT vec_id, {fix('0.5::DOUBLE + sum(CAST(v AS DOUBLE) * (i % 7 - 3) / 10.0::DOUBLE)')} AS y FROM (SELECT vec_id, unnest(embedding) AS v, unnest(range(64)) AS i FROM embeddings) GROUP BY vec_id",
-    "gaussian_blur": f"WITH {IMAGES}, b AS ({blurred('im', ['p'], 'tile')}) SELECT tile, r, c, {fix('p')} AS p FROM b",
-    "downsample2x": f"WITH {IMAGES}, b AS ({halved('im', ['p'], 'tile')}) SELECT tile, r, c, {fix('p')} AS p FROM b",
-    "upsample_bilinear": f"WITH {IMAGES}, b AS ({halved('im', ['p'], 'tile')}), u AS ({enlarged('b', ['p'], 'tile', 4, 8)}) SELECT tile, r, c, {fix('p')} AS p FROM u",
+    "gaussian_blur": f"WITH {IMAGES}, i1 AS (SELECT tile, r, c, v AS p FROM a0), b AS ({blurred('i1', ['p'], 'tile')}) SELECT tile, r, c, {fix('p')} AS p FROM b",
+    "downsample2x": f"WITH {IMAGES}, i1 AS (SELECT tile, r, c, v AS p FROM a0), b AS ({halved('i1', ['p'], 'tile')}) SELECT tile, r, c, {fix('p')} AS p FROM b",
+    "upsample_bilinear": f"WITH {IMAGES}, i1 AS (SELECT tile, r, c, v AS p FROM a0), b AS ({halved('i1', ['p'], 'tile')}), u AS ({enlarged('b', ['p'], 'tile', 4, 8)}) SELECT tile, r, c, {fix('p')} AS p FROM u",
     "mask_downsample": f"WITH {IMAGES} SELECT tile, r // 2 AS r, c // 2 AS c, count(*) FILTER (p > 0) >= 3 AS m FROM im GROUP BY ALL",
     "laplacian_pyramid": f"""WITH {IMAGES}, g1b AS ({blurred('im', ['p', 't'], 'tile')}), g1 AS ({halved('g1b', ['p', 't'], 'tile')}), g2b AS ({blurred('g1', ['p', 't'], 'tile')}), g2 AS ({halved('g2b', ['p', 't'], 'tile')}),
       u0 AS ({enlarged('g1', ['p', 't'], 'tile', 4, 8)}), u1 AS ({enlarged('g2', ['p', 't'], 'tile', 2, 4)}), m0 AS (SELECT tile, r, c, p + t > -0.1 AS m FROM im),
@@ -280,8 +295,8 @@ SQL = {
       FROM b WHERE r BETWEEN 5 AND 10 AND c BETWEEN 5 AND 10 GROUP BY ci, cj""", f"{DENSE}, mo AS (SELECT ci, cj, r, c, p, t, p * p AS pp, t * t AS tt, p * t AS pt FROM dense), b AS ({blurred('mo', ['p', 't', 'pp', 'tt', 'pt'], 'ci, cj', 11, 1.5)})"),
     "edt_weights": q("""SELECT d.ci, d.cj, d.r, d.c, CASE WHEN d.m THEN round(min(sqrt(((d.r - e.r) ** 2 + (d.c - e.c) ** 2)::DOUBLE)), 9) ELSE 0.0::DOUBLE END AS weight
       FROM dense d JOIN dense e ON d.ci = e.ci AND d.cj = e.cj AND (NOT e.m OR e.r IN (0, 15) OR e.c IN (0, 15)) GROUP BY d.ci, d.cj, d.r, d.c, d.m""", DENSE),
-    "weighted_blend": q("SELECT pid, CASE WHEN sum(w) > 0 THEN round(sum((coalesce(v, 0) + ti * 0.001::DOUBLE) * w) / sum(w), 9) END AS v, sum(w) AS weight FROM tw GROUP BY pid", TW),
-    "blend_coverage": q("SELECT count(*) FILTER (w > 0) AS n, round(100.0::DOUBLE * count(*) FILTER (w > 0) / count(*), 9) AS percent FROM (SELECT pid, sum(w) AS w FROM tw GROUP BY pid)", TW),
+    "weighted_blend": q("SELECT pid, channel, CASE WHEN sum(w) > 0 THEN round(sum(v * w) / sum(w), 9) END AS v, round(sum(w), 9) AS weight FROM bl GROUP BY ALL", f"""{BLEND}, bl AS (SELECT pid, CAST(h * 3 + k AS INTEGER) AS channel, y2020 + k * 0.2::DOUBLE + h * 0.01::DOUBLE + ti * 0.001::DOUBLE AS v, w FROM ew, (SELECT unnest(range(4)) AS h), (SELECT unnest(range(3)) AS k))"""),
+    "blend_coverage": q("SELECT count(*) FILTER (w > 0) AS n, round(100.0::DOUBLE * count(*) FILTER (w > 0) / count(*), 9) AS percent FROM (SELECT pid, sum(w) AS w FROM ew GROUP BY pid)", BLEND),
     "temporal_lag": q("SELECT pid, yr, round(hm, 9) AS hm, round(lag(hm) OVER w, 9) AS last, round(lag(hm, 2) OVER w, 9) AS second_last FROM pix WINDOW w AS (PARTITION BY pid ORDER BY yr)"),
     "nearest_downsample": q("SELECT r // 4 AS r, c // 4 AS c, round(y2020, 9) AS v FROM wide WHERE r % 4 = 0 AND c % 4 = 0"),
     "valid_intersect": q("SELECT pid FROM pix WHERE yr = 2000 INTERSECT SELECT pid FROM pix WHERE yr = 2020"),
