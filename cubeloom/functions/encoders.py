@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -16,6 +17,12 @@ def frequencies(n: int, low: float, high: float) -> list[float]:
     return [1.0 / (low * math.exp(k * math.log(high / low) / (n - 1))) for k in range(n)]
 
 
+def random_frequencies(n: int, high: float, seed: int = 0) -> list[float]:
+    """``n`` frequencies drawn evenly from 0 to ``high``."""
+    rng = random.Random(seed)
+    return [rng.random() * high for _ in range(n)]
+
+
 def direct(lon: Column, lat: Column) -> list[Column]:
     return [F.radians(lon) - math.pi, F.radians(lat) - math.pi]
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cubeloom.session import stored
+
 #: Shares of the four splits in order; the last takes the rest.
 SPLITS = ((1, 0.7), (2, 0.1), (3, 0.1), (4, None))
 
@@ -37,10 +39,14 @@ def pad(tiles: DataFrame, values: DataFrame, size: int) -> DataFrame:
 
 
 def assign_splits(chips: DataFrame, order: list[Column]) -> DataFrame:
-    """``split`` of each chip: shares by position in ``order``. There is a row a chip, thousands of pixels each, so one
-    ordered pass over the chips is what the definition of a global position costs."""
-    n = Window.partitionBy(F.lit(1))
-    placed = chips.withColumn("_n", F.count("*").over(n)).withColumn("_p", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order)))
+    """``split`` of each chip: shares by position in ``order``. Chips are dealt to ranges of that order; a position is the
+    place in the range and the sizes of the ranges before, so that no task has to order all chips."""
+    names = [f"_o{i}" for i in range(len(order))]
+    ranged = stored(chips.withColumns(dict(zip(names, order, strict=True))).repartitionByRange(*names).withColumn("_part", F.spark_partition_id()))
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_size"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"), F.sum("_size").over(Window.partitionBy(F.lit(1))).alias("_n"))
+    placed = ranged.join(F.broadcast(offsets), "_part").withColumn("_p", F.col("_before") + F.row_number().over(Window.partitionBy("_part").orderBy(*names)))
     split, until = None, F.lit(0)
     for value, share in SPLITS:
         if share is None:
@@ -48,4 +54,4 @@ def assign_splits(chips: DataFrame, order: list[Column]) -> DataFrame:
         else:
             until = until + F.floor(F.col("_n") * share)
             split = (F if split is None else split).when(F.col("_p") <= until, value)
-    return placed.withColumn("split", split.cast("int")).drop("_n", "_p")
+    return placed.withColumn("split", split.cast("int")).drop("_n", "_p", "_part", "_before", *names)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
 
@@ -11,9 +12,9 @@ from pyspark.sql import functions as F
 
 from cubeloom.functions import encoders
 from cubeloom.functions.histogram import bin_of, midpoints, widths
-from cubeloom.operators import convlstm, metrics, neighbourhood, pixel, tiles
+from cubeloom.operators import convlstm, metrics, neighbourhood, networks, pixel, predictor, tiles
 from cubeloom.plans import queries
-from cubeloom.sources import catalog, layers, regions
+from cubeloom.sources import catalog, layers, options, regions, weights
 from cubeloom.streaming import incremental
 
 
@@ -100,7 +101,12 @@ def test_encoders(spark):
     y = one.select(F.array(*encoders.harmonics(F.col("lon"), F.col("lat"), 2)).alias("v")).first()["v"]
     assert y[0] == pytest.approx(0.28209479) and len(y) == 4
     t = one.select(F.array(*encoders.theory(F.col("lon"), F.col("lat"), [1.0, 0.5, 0.25])).alias("v")).first()["v"]
-    assert t[9] == pytest.approx(math.sin(-0.5 * 90 * 0.5)) or len(t) == 18  # the second half starts with a sine again
+    angle = -0.5 * 90 * 0.5  # the second direction at the second frequency
+    # nine values a half: the first half ends with a sine, and the second starts with one
+    assert len(t) == 18 and t[0] == pytest.approx(math.sin(90)) and t[1] == pytest.approx(math.cos(90))
+    assert t[8] == pytest.approx(math.sin(angle)) and t[9] == pytest.approx(math.sin(angle)) and t[10] == pytest.approx(math.cos(angle))
+    r = encoders.random_frequencies(5, 3.0, 1)
+    assert len(set(r)) == 5 and all(0 <= f < 3 for f in r) and r == encoders.random_frequencies(5, 3.0, 1)
     with pytest.raises(ValueError):
         encoders.encoder("none")
 
@@ -167,14 +173,98 @@ def test_layers_window_and_stream(spark, tmp_path):
     src, out = tmp_path / "in", str(tmp_path / "sums")
     df.drop("year").limit(32).coalesce(1).write.parquet(str(src / "a"))
     stream = lambda: spark.readStream.schema("layer string, row int, col int, value double").parquet(str(src / "*"))
-    incremental.keep_layer_sums(stream(), out, str(tmp_path / "cp")).awaitTermination()
+    incremental.keep_layer_moments(stream(), out, str(tmp_path / "cp")).awaitTermination()
     df.drop("year").filter("row >= 4").coalesce(1).write.parquet(str(src / "b"))
-    incremental.keep_layer_sums(stream(), out, str(tmp_path / "cp")).awaitTermination()
-    got = incremental.finished(spark.read.parquet(out)).first()
+    incremental.keep_layer_moments(stream(), out, str(tmp_path / "cp")).awaitTermination()
+    got = incremental.finished(incremental.latest(spark, out)).first()
     values = np.array([i for i in range(64) if i != 9], float)
     assert got["mean"] == pytest.approx(values.mean()) and got["std"] == pytest.approx(values.std(), abs=1e-6)
 
 
+def test_moments_of_large_values_and_blend_state(spark, tmp_path):
+    big = [1e9 + x for x in (1.0, 2.0, 3.0, 4.0)]
+    parts = [spark.createDataFrame([("a", v) for v in vs], "layer string, value double") for vs in (big[:1], big[1:], [])]
+    moments = [incremental.layer_moments(p) for p in parts]
+    one = incremental.finished(moments[0].unionByName(moments[1]).unionByName(moments[2])).first()
+    assert one["std"] == pytest.approx(np.std(big), abs=1e-6)
+    none = incremental.finished(incremental.layer_moments(spark.createDataFrame([("b", None)], "layer string, value double"))).first()
+    assert (none["mean"], none["std"]) == (0.0, 1.0)
+    src, out = tmp_path / "parts", str(tmp_path / "state")
+    schema = "row int, col int, v double, w double"
+    stream = lambda: spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(str(src))
+    for k, rows in enumerate(([(0, 0, 1.0, 1.0), (0, 1, 5.0, 0.0)], [(0, 0, 4.0, 2.0)], [(0, 0, 1.0, 3.0)], [(1, 1, 2.0, 1.0)])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(src / str(k)))
+        incremental.keep_blend_sums(stream(), out, str(tmp_path / "cp2")).awaitTermination()
+    got = {(r["row"], r["col"]): r["v"] for r in incremental.blended(incremental.latest(spark, out)).collect()}
+    assert got == {(0, 0): pytest.approx(12 / 6), (0, 1): None, (1, 1): 2.0}
+    assert len([p for p in (tmp_path / "state").iterdir() if p.name.startswith("version=")]) == 2
+
+
+def test_split_positions(spark):
+    chips = spark.range(1000).withColumn("k", F.md5(F.col("id").cast("string")))
+    got = {r["id"]: r["split"] for r in tiles.assign_splits(chips, [F.col("k"), F.col("id")]).collect()}
+    want = sorted(range(1000), key=lambda i: (hashlib.md5(str(i).encode()).hexdigest(), i))
+    assert [got[i] for i in want] == [1] * 700 + [2] * 100 + [3] * 100 + [4] * 100
+    assert tiles.assign_splits(chips.filter("id < 0"), [F.col("k")]).isEmpty()
+
+
+def test_sinks_and_progress(spark, tmp_path):
+    pred = spark.createDataFrame([(0, 0, 0.5, 2005, "central"), (0, 8, None, 2005, "lower"), (8, 8, 0.1, 2010, "central")], "ti int, tj int, pred double, target_year int, quantile string")
+    seen, progress = layers.observed(pred)
+    layers.write_predictions(seen, str(tmp_path / "p"))
+    assert progress.get == {"tiles": 3, "pixels": 3, "valid_pixels": 2}
+    assert spark.read.parquet(str(tmp_path / "p")).filter("target_year = 2005 and quantile = 'lower'").count() == 1
+    per = spark.createDataFrame([(1, 0.5, 0.2), (4, 1.5, 0.4)], "h int, mae double, mse double")
+    rows = layers.full_validation_rows(per, 3, ["mae", "mse"])
+    layers.write_metrics(rows, str(tmp_path / "m"))
+    steps = spark.createDataFrame([(0, 8, 1.0), (0, 2, 2.0)], "epoch int, batch_size int, loss double")
+    layers.write_metrics(layers.step_rows(steps, "train", ["loss"]), str(tmp_path / "m"))
+    got = {(r["phase"], r["horizon"], r["metric"]): r["value"] for r in spark.read.parquet(str(tmp_path / "m")).collect()}
+    assert got["val_full", 5, "mae"] == 0.5 and got["val_full", 20, "mse"] == 0.4 and got["val_full", 0, "mae_avg"] == pytest.approx(1.0)
+    assert got["train", 0, "loss"] == pytest.approx(1.2)
+
+
+def test_options():
+    config = {"batch_size": 4, "inference": {"region_geojson": "a.json"}}
+    got = options.Options.parsed(["--region", "b.json", "--use_location_encoder", "FALSE", "--epochs", "3"], config)
+    assert (got.region, got.batch_size, got.use_location_encoder, got.epochs) == ("b.json", 4, False, 3)
+    assert options.Options.parsed([], config).region == "a.json"
+    assert options.Options.parsed([], None) == options.Options() and options.Options.parsed([], {"inference": 3}).region is None
+
+
+def test_networks_and_weights(spark, tmp_path):
+    with pytest.raises(ValueError):
+        networks.network("none")
+    for name in ("linear", "siren", "fcnet"):
+        w = networks.initial(name, 2, 6, 3, seed=1)
+        x = np.random.default_rng(0).normal(size=(7, 2))
+        assert networks.network(name)(x, w).shape == (7, 3)
+        weights.save(spark, w, str(tmp_path / name))
+        back = weights.load(spark, weights.resolved(spark, None, str(tmp_path / "none"), str(tmp_path / name)))
+        assert all(np.array_equal(back[k], w[k]) for k in w)
+    assert weights.resolved(spark, None, str(tmp_path / "none")) is None
+    w = networks.initial("fcnet", 2, 6, 3)
+    inner = np.maximum(x @ w["w_in"].T + w["b_in"], 0)
+    for k in range(4):
+        inner = inner + np.maximum(np.maximum(inner @ w[f"u{k}"].T + w[f"ub{k}"], 0) @ w[f"v{k}"].T + w[f"vb{k}"], 0)
+    assert networks.fcnet(x, w) == pytest.approx(inner @ w["w_out"].T)
+
+
+def test_predictor_layers_and_heads():
+    w = predictor.drawn(1, channels=3, hidden=4, layers=2)
+    x = np.random.default_rng(2).normal(size=(3, 3, 8, 8))
+    out = predictor.forward(x, w)
+    assert out.shape == (12, 8, 8)
+    single = convlstm.Weights(w["gates0"], w["gates0_bias"], np.eye(4)[:, :, None, None] * 1.0, np.zeros(4))
+    first = {k: v for k, v in w.items() if not k.startswith("gates1")}
+    one = predictor.forward(x, first)
+    hidden = convlstm.forward(x, single)  # the last hidden state itself
+    inner = np.maximum(convlstm.conv(hidden, w["upper2_a"], w["upper2_a_bias"]), 0)
+    assert one[2 * 3 + 2] == pytest.approx(convlstm.conv(inner, w["upper2_b"], w["upper2_b_bias"])[0])
+    assert w["central0_a"].shape == (4, 4, 3, 3) and w["lower0_a"].shape == (2, 4, 3, 3)
+    assert not np.allclose(one, out)
+
+
 def test_losses_hold_all_terms(spark):
     """The registered totals against SSIM and Laplacian terms computed with numpy, on tables that have whole chips."""
     sf = "/root/testdata/sf0.01"
