@@ -11,7 +11,8 @@ joins run as shuffles, which adaptive execution splits by itself where they are
 
 Defined results: null texts have no words, neither as documents nor as items; an item without words has no window. Items
 that share their id count once. Repeated documents are reported each for itself (rows are told apart by id and text). An
-empty benchmark hits nothing. Clashing columns do no harm: only id and text are read.
+empty benchmark hits nothing, and no documents give no row. A very long text is one row's words, searched whole. Ties: of
+equally rare shingles a window's first is its prefix. Clashing columns do no harm: only id and text are read.
 """
 
 from __future__ import annotations

@@ -6,8 +6,9 @@ prior whose strength the method of moments takes from the spread of the hosts' r
 reaches ``host_limit`` is rejected with all its documents. Verdicts go back to the documents by a salted join.
 
 Defined results: a null or empty text has no word and fails the base rule. A null host counts as the host ''. With fewer
-than two hosts, or hosts of equal rates, the prior is as strong as it may be. Repeated rows count each for itself. An
-empty table gives no row.
+than two hosts, or hosts of equal rates, the prior is as strong as it may be. Repeated rows count each for itself. A very
+long text is one row's arrays, and nothing of it is left out. Ties: a host whose rate equals the limit is rejected. An
+empty table gives no row. Columns whose names clash with the statistics' give way to them; others are passed on.
 """
 
 from __future__ import annotations

@@ -1,13 +1,17 @@
 """Toxicity by compression distance: two zstandard dictionaries, one from toxic and one from ordinary text.
 
-Both dictionaries hold the same sample of ordinary text; each then holds the pieces of words by which its own class stands
-out among the labelled rows. A window is one word within a fixed carrier that both dictionaries hold, since zstandard
-stores a shorter input as it is. The bytes that the ordinary dictionary needs more than the toxic one are the window's
+Both dictionaries hold the same sample of ordinary words; each then holds the pieces of words by which its own class stands
+out among the labelled rows, the most distinctive nearest to the text, as many as its size holds. Dictionaries that
+zstandard's own trainer builds from a class's text were tried (README): they hold what is frequent there, which is mostly
+what is frequent anywhere, and miss more. A window is one word within a fixed carrier that both dictionaries hold, since
+zstandard stores a shorter input as it is. The bytes that the ordinary dictionary needs more than the toxic one are the window's
 gain; the gains of all windows of a text, calibrated on other labelled rows, give its score.
 
-Defined results: a null text or one without a letter has no window; its score is the calibrated one of no window at all.
-Without labels of both classes every score is 0. Repeated rows are scored each for itself; labels are joined by id after
-repeated ids among them are reduced to their largest label. Columns other than the id and the text are not read.
+Defined results: a null or empty text, or one without a letter, has no window; its score is the calibrated one of no
+window at all. A very long text is scored by all its words. Without labels of both classes every score is 0. Repeated rows
+are scored each for itself; labels are joined by id after repeated ids among them are reduced to their largest label. Ties:
+pieces of one distinctiveness go by their letters. An empty table gives no row. Columns other than the id and the text are
+not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ CARRIER = bytes(0xF8 + (i * i // 3 + i) % 8 for i in range(48))
 
 
 def word_pieces(word: str) -> list[str]:
-    """The starts of a word of four letters up, and the word itself, each after a space."""
+    """The starts of a word of four letters up, and any word itself, each after a space."""
     return [f" {word[:k]}" for k in range(3, min(len(word), 12))] + [f" {word} "]
 
 
@@ -97,7 +101,7 @@ class Toxicity:
             def count(batch: pa.RecordBatch):
                 seen = (Counter(), Counter())
                 for y, t in zip(batch.column("_y").to_pylist(), batch.column("_t").to_pylist(), strict=True):
-                    seen[y > 0].update({p for w in set(_LETTERS.findall((t or "").lower())) if len(w) >= 3 for p in word_pieces(w)})
+                    seen[y > 0].update({p for w in set(_LETTERS.findall((t or "").lower())) for p in word_pieces(w)})
                 flat = sorted(seen[0].keys() | seen[1].keys())
                 return [flat, [seen[0][p] for p in flat], [seen[1][p] for p in flat]] if flat else None
 
@@ -108,13 +112,14 @@ class Toxicity:
         mean = (F.col("a") + F.col("b")) / (n0 + n1)
         z = (F.col("b") / n1 - F.col("a") / n0) / F.sqrt(mean * (1 - mean) * (1 / n0 + 1 / n1) + 1e-9)
         ranked = counts.filter(F.col("a") + F.col("b") >= 4).withColumn("z", z)
-        best = lambda way: [r["p"] for r in ranked.filter(F.col("z") * way > least_z).orderBy(F.col("z") * -way, "p").limit(2000).collect()]
+        # a piece has three bytes at least, so that none is left out that a dictionary has room for
+        best = lambda way: [r["p"] for r in ranked.filter(F.col("z") * way > least_z).orderBy(F.col("z") * -way, "p").limit(class_bytes // 3).collect()]
         toxic, plain = _section(best(1), class_bytes), _section(best(-1), class_bytes)
         # the sections are equally long, so that what stands before them is equally far for both
         size = max(len(toxic), len(plain))
         filler = bytes(0xF8 + (i * 7 + i // 11) % 8 for i in range(size))
         toxic, plain = filler[: size - len(toxic)] + toxic, filler[: size - len(plain)] + plain
-        words = counts.filter(F.col("p").endswith(" ")).orderBy(F.col("a").desc(), "p").limit(2000).collect()
+        words = counts.filter(F.col("p").endswith(" ") & (F.col("a") > 0) & (z <= least_z)).orderBy(F.col("a").desc(), "p").limit(base_bytes // 3).collect()
         base = _section([r["p"] for r in words], base_bytes)
         out = Toxicity(base + plain + CARRIER, base + toxic + CARRIER, None)
         shared = docs.sparkSession.sparkContext.broadcast((out.ordinary, out.toxic))
@@ -169,13 +174,18 @@ class Toxicity:
 
 
 def _section(pieces: list[str], size: int) -> bytes:
-    """The pieces, the first last (nearest to the text), cut to ``size`` bytes; a piece that a longer one starts with
-    is left out where that one is ranked before it."""
-    kept: list[str] = []
+    """The pieces, the first last (nearest to the text), as many whole ones as ``size`` bytes hold; a piece that a longer one
+    starts with is left out where that one is ranked before it."""
+    kept: list[bytes] = []
+    starts: set[str] = set()
     for p in pieces:
-        if not any(k.startswith(p) for k in kept):
-            kept.append(p)
-    return b"".join(p.encode("utf-8", "replace") for p in reversed(kept))[-size:]
+        raw = p.encode("utf-8", "replace")
+        if p in starts or len(raw) > size:
+            continue
+        kept.append(raw)
+        size -= len(raw)
+        starts.update(p[:k] for k in range(1, len(p) + 1))
+    return b"".join(reversed(kept))
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
