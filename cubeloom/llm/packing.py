@@ -222,7 +222,7 @@ def _least(terms: np.ndarray, draw: np.ndarray) -> list[int]:
     return terms[some[np.argsort(w[some], kind="stable")]].tolist()
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, pattern: str, text: str = "text", key: str = "doc_id", shard_docs: int = 512, end: int = END, added: dict[str, int] | None = None, salt_docs: int = 1_000_000) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, pattern: str, text: str = "text", key: str = "doc_id", shard_docs: int = 512, end: int = END, added: dict[str, int] | None = None, salt_docs: int = 250_000) -> DataFrame:
     """``key`` and the columns of SCHEMA, a row a piece. A task streams shards of ``shard_docs`` documents; keys are dealt to
     one set of tasks for every ``salt_docs`` documents, so that no key has to go through one task."""
     kind = docs.schema[key].dataType.simpleString()
