@@ -12,7 +12,7 @@ from cubeloom.functions.histogram import CHANGE_EDGES
 from cubeloom.functions.encoders import encoder
 from cubeloom.operators import metrics, networks, pixel, predictor, tiles
 from cubeloom.plans import queries as base
-from cubeloom.plans.cube import CHIP, WIDTH, cube, height, horizons, long_layers, placed, scored, statics, wide
+from cubeloom.plans.cube import CHIP, WIDTH, cube, height, horizons, long_layers, scored, statics, wide
 from cubeloom.sources import weights as stored_weights
 from cubeloom.session import shared_folder
 

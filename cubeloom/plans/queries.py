@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cubeloom.functions import encoders
-from cubeloom.functions.histogram import CHANGE_EDGES, REPORT_EDGES, bin_of
+from cubeloom.functions.histogram import REPORT_EDGES
 from cubeloom.operators import convlstm, metrics, neighbourhood, pixel, tiles
 from cubeloom.plans.cube import CHIP, WIDTH, YEARS, cube, height, horizons, images, long_layers, placed, scored, single_images, statics, table, wide
 from cubeloom.session import cut

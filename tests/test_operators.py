@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+import struct
 
 import numpy as np
 import pytest
@@ -14,7 +15,7 @@ from cubeloom.functions import encoders
 from cubeloom.functions.histogram import bin_of, midpoints, widths
 from cubeloom.operators import convlstm, metrics, neighbourhood, networks, pixel, predictor, tiles
 from cubeloom.plans import queries
-from cubeloom.sources import catalog, layers, options, regions, weights
+from cubeloom.sources import catalog, layers, options, raster, regions, weights
 from cubeloom.streaming import incremental
 
 
@@ -224,6 +225,36 @@ def test_sinks_and_progress(spark, tmp_path):
     assert got["train", 0, "loss"] == pytest.approx(1.2)
 
 
+def test_rasters(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    image = rng.integers(0, 250, (21, 13))
+    image[3, 4] = 255
+    rows = [(r, c, int(image[r, c]) if (r, c) != (3, 4) else None) for r in range(21) for c in range(13)]
+    df = spark.createDataFrame(rows, "r long, c long, v int")
+    raster.write(df, str(tmp_path / "a"), 21, 13, "u1", (0.5, -0.25), (-180.0, 90.0), 255, band_rows=8)
+    got = {(r["r"], r["c"]): r["v"] for r in raster.read(spark, str(tmp_path / "a")).collect()}
+    assert got == {(r, c): None if v is None else float(v) for r, c, v in rows}
+    window = raster.read(spark, str(tmp_path / "a"), (6, 10), (2, 5), 8)
+    assert {(r["r"], r["c"]): r["v"] for r in window.collect()} == {(r, c): float(image[r, c]) for r in range(6, 10) for c in range(2, 5)}
+    assert "PartitionFilters: [isnotnull(band" in window._jdf.queryExecution().toString()
+    m = raster.metadata(spark, str(tmp_path / "a")).first()
+    assert (m["height"], m["width"], m["dtype"], m["dx"], m["dy"], m["x0"], m["y0"], m["nodata"], m["y1"]) == (21, 13, "u1", 0.5, -0.25, -180.0, 90.0, 255.0, 90 - 21 * 0.25)
+    # a file of another writer: big-endian, strips of five rows
+    floats, strips = image.astype(">f4"), [(s, min(21, s + 5)) for s in range(0, 21, 5)]
+    body, offsets = b"", []
+    for s, e in strips:
+        offsets.append(8 + len(body))
+        body += floats[s:e].tobytes()
+    tags = [(256, 3, 1, struct.pack(">HH", 13, 0)), (257, 3, 1, struct.pack(">HH", 21, 0)), (258, 3, 1, struct.pack(">HH", 32, 0)), (273, 4, 5, struct.pack(">I", 8 + len(body))), (278, 3, 1, struct.pack(">HH", 5, 0)), (339, 3, 1, struct.pack(">HH", 3, 0))]
+    at = 8 + len(body) + 20
+    raw = b"MM\0*" + struct.pack(">I", at) + body + struct.pack(">5I", *offsets) + struct.pack(">H", len(tags)) + b"".join(struct.pack(">HHI", *t[:3]) + t[3] for t in tags) + bytes(4)
+    (tmp_path / "b.tif").write_bytes(raw)
+    other = raster.read(spark, str(tmp_path / "b.tif"), (4, 11), (0, 2))
+    assert {(r["r"], r["c"]): r["v"] for r in other.collect()} == {(r, c): float(image[r, c]) for r in range(4, 11) for c in range(2)}
+    with pytest.raises(ValueError):
+        raster.header(b"something else")
+
+
 def test_options():
     config = {"batch_size": 4, "inference": {"region_geojson": "a.json"}}
     got = options.Options.parsed(["--region", "b.json", "--use_location_encoder", "FALSE", "--epochs", "3"], config)
