@@ -49,6 +49,25 @@ def rarity(hist: DataFrame, keys: list[str]) -> DataFrame:
 def wasserstein(observed: DataFrame, predicted: DataFrame, keys: list[str], weights: DataFrame | None = None, weight_keys: list[str] | None = None) -> DataFrame:
     """``w2``: the squared distance of cumulated proportions a key, weighted by the distances of the bins' middles."""
     both = observed.select(*keys, "bin", F.col("p").alias("a")).join(predicted.select(*keys, "bin", F.col("p").alias("b")), [*keys, "bin"])
+    return wasserstein_of(both, keys, weights, weight_keys)
+
+
+def paired_proportions(df: DataFrame, a: Column, b: Column, keys: list[str], edges=CHANGE_EDGES) -> DataFrame:
+    """``keys, bin, a, b``: two values' proportions in every bin of every key, from one pass over the rows."""
+    bins = range(len(edges) - 1)
+    both = df.withColumns({"_a": bin_of(a, edges), "_b": bin_of(b, edges)})
+    counts = both.groupBy(*keys).agg(*[F.array(*[F.sum(F.when(F.col(c) == k, 1).otherwise(0)) for k in bins]).alias(c) for c in ("_a", "_b")])
+
+    def parts(c):
+        total = F.aggregate(c, F.lit(0).cast("long"), lambda x, y: x + y)
+        return F.transform(c, lambda n: F.when(total == 0, 1.0 / len(bins)).otherwise(n / total))
+
+    each = F.posexplode(F.arrays_zip(parts("_a").alias("a"), parts("_b").alias("b"))).alias("bin", "x")
+    return counts.select(*keys, each).select(*keys, "bin", F.col("x.a").alias("a"), F.col("x.b").alias("b"))
+
+
+def wasserstein_of(both: DataFrame, keys: list[str], weights: DataFrame | None = None, weight_keys: list[str] | None = None) -> DataFrame:
+    """``w2`` of rows ``keys, bin, a, b``."""
     w = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     both = both.withColumn("d", F.sum(F.col("a") - F.col("b")).over(w))
     step = F.element_at(F.array(*[F.lit(x) for x in widths()]), F.col("bin") + 1)

@@ -342,11 +342,10 @@ def rarity_weights(s, d):
 
 def chip_wasserstein(s, d):
     """``ci, cj, h, w2``: the distance of each chip's two histograms of changes."""
-    keys, x = ["ci", "cj", "h"], changes(s, d)
-    seen = metrics.proportions(metrics.histogram(x, col("dt"), keys), keys)
-    pred = metrics.proportions(metrics.histogram(x, col("dp"), keys), keys)
+    keys = ["ci", "cj", "h"]
+    both = metrics.paired_proportions(changes(s, d), col("dt"), col("dp"), keys)
     weights = F.broadcast(metrics.rarity(metrics.histogram(all_changes(s, d), col("dt"), ["h"]), ["h"]).select("h", "bin", "weight"))
-    return metrics.wasserstein(seen, pred, keys, weights, ["h"])
+    return metrics.wasserstein_of(both, keys, weights, ["h"])
 
 
 def wasserstein_histogram(s, d):
