@@ -239,7 +239,7 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int =
     ``percent`` hundredths, and ``component_id`` is the smallest id reachable by links. The sizes bound what one task
     holds; they don't change results."""
     rows, counts = class_rows(docs, text, key, words)
-    classes = rows.filter("n > 0").groupBy("sig").agg(F.min("_k").alias("rep"), F.max("n").alias("n"), F.min("th").alias("th"))
+    classes = rows.filter("n > 0").groupBy("sig").agg(F.min("_k").alias("rep"), F.max("n").alias("n"), F.min("th").alias("th"), F.count("*").alias("rows"))
 
     # 1. pivots and cells. Rare: no more than a cell's share of all sets and its noise
     usual = counts.mean() + 4 * np.sqrt(counts.mean()) + 16
@@ -262,8 +262,9 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int =
     named = components(edges).join(classes.select(F.col("sig").alias("v"), "rep"), "v")
     least = named.groupBy("c").agg(F.min("rep").alias("least"))
     ids = named.join(least, "c").select(F.col("v").alias("sig"), "least")
-    home_ids = classes.select("sig", "rep").join(ids, "sig", "left").select("sig", F.coalesce("least", "rep").alias("component_id"))
-    out = rows.withColumn("sig", F.when(F.col("n") > 0, F.col("sig"))).join(home_ids, "sig", "left")
+    # rows that are alone name themselves; the others' names are stored, so that the join can split a group of many copies
+    names = classes.join(ids, "sig", "left").filter("rows > 1 or least is not null").select("sig", F.coalesce("least", "rep").alias("component_id"))
+    out = rows.withColumn("sig", F.when(F.col("n") > 0, F.col("sig"))).join(stored(names), "sig", "left")
     return out.select(F.col("_k").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "_k").alias("component_id"))
 
 

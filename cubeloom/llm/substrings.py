@@ -406,7 +406,8 @@ def remove(docs: DataFrame, text: str = "text", key: str = "doc_id", range_bytes
     long = long.withColumn("pid", F.pmod(F.xxhash64("_k", "_h"), F.lit(groups)))
     narrow = long.select("pid", "_k", "_h")
     first = narrow.groupBy("_h").agg(F.min("_k").alias("least"), F.max("_k").alias("most")).filter("least < most").drop("most")
-    copies = narrow.join(first, "_h").filter("_k > least").select("pid", "_k", "_h").distinct()
+    # stored, so that the join can split a group of very many copies
+    copies = narrow.join(stored(first), "_h").filter("_k > least").select("pid", "_k", "_h").distinct()
     name = F.concat(F.unhex(F.lpad(F.hex("_k"), 16, "0")), "_h")
     copies = stored(copies.select("pid", name.alias("a")))
 
