@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cubeloom.llm import decontam, hostrules
+from cubeloom.llm import decontam, hostrules, licenses
 from cubeloom.llm.html import op5
 from cubeloom.llm.jaccard import op2
 from cubeloom.llm.langid import op1
@@ -23,6 +23,7 @@ QUERIES = {
     "op8_pii": op8,
     "op9_toxicity": op9,
     "op10_decontamination": decontam.op10,
+    "op11_license_scan": licenses.op11,
 }
 
-ORACLE_SQL = {"op6_host_rules": hostrules.SQL, "op10_decontamination": decontam.SQL}
+ORACLE_SQL = {"op6_host_rules": hostrules.SQL, "op10_decontamination": decontam.SQL, "op11_license_scan": licenses.SQL}
