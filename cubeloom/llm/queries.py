@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from cubeloom.llm import decontam, hostrules, licenses
+from cubeloom.llm.alignment import op12
 from cubeloom.llm.html import op5
 from cubeloom.llm.jaccard import op2
 from cubeloom.llm.langid import op1
@@ -24,6 +25,7 @@ QUERIES = {
     "op9_toxicity": op9,
     "op10_decontamination": decontam.op10,
     "op11_license_scan": licenses.op11,
+    "op12_token_alignment": op12,
 }
 
 ORACLE_SQL = {"op6_host_rules": hostrules.SQL, "op10_decontamination": decontam.SQL, "op11_license_scan": licenses.SQL}
