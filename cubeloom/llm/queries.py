@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cubeloom.llm import decontam, hostrules, licenses
+from cubeloom.llm import decontam, hostrules, licenses, negatives
 from cubeloom.llm.alignment import op12
 from cubeloom.llm.html import op5
 from cubeloom.llm.jaccard import op2
@@ -26,6 +26,7 @@ QUERIES = {
     "op10_decontamination": decontam.op10,
     "op11_license_scan": licenses.op11,
     "op12_token_alignment": op12,
+    "op13_hard_negatives": negatives.op13,
 }
 
-ORACLE_SQL = {"op6_host_rules": hostrules.SQL, "op10_decontamination": decontam.SQL, "op11_license_scan": licenses.SQL}
+ORACLE_SQL = {"op6_host_rules": hostrules.SQL, "op10_decontamination": decontam.SQL, "op11_license_scan": licenses.SQL, "op13_hard_negatives": negatives.SQL}
