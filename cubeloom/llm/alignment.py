@@ -63,7 +63,7 @@ class Aligner:
 
     kept: tuple | None = None  # a worker's last one: its tasks share the memory of segments
 
-    def __init__(self, path_a: str, pattern: str, path_b: str, most: int = 500_000):
+    def __init__(self, path_a: str, pattern: str, path_b: str, most: int = 300_000):
         import tiktoken
         from sentencepiece import SentencePieceProcessor
 
@@ -232,7 +232,7 @@ def align(docs: DataFrame, path_a: str, pattern: str, path_b: str, text: str = "
         return lambda batch: [batch.column(0), *aligner(batch.column(1).to_pylist())]
 
     lists = "pairs array<long>, times array<long>"
-    rows = stored(map_batches(docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")), aligned, f"_k {kind}, {SUMS}, {lists}", 4_000_000))
+    rows = stored(map_batches(docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")), aligned, f"_k {kind}, {SUMS}, {lists}", 2_000_000))
     counts = pair_counts(rows)
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     is_hot = F.col("n") * most_hot > total

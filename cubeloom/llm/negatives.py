@@ -35,7 +35,9 @@ from cubeloom.llm.common import map_batches, read, released, ship, stored
 #: What rounding of distances may add up to, at the least and by share.
 SLACK = 1e-6
 #: Rows of a leaf of a group's tree, whose scores are computed together.
-BUCKET = 32
+BUCKET = 256
+#: Below this squared length sums of products are whole numbers in double precision.
+EXACT = 1 << 52
 NO_ID = (1 << 63) - 1
 
 
@@ -113,8 +115,9 @@ class Tree:
                 node = (a, b, [], point)
                 todo += [(a, a + m, (at, d[0], d[m - 1])), (a + m, b, (at, d[m], d[-1]))]
             self.nodes.append(node)
-        self.ids, self.labels, self.v, self.r2 = [ids[i] for i in order], labels[order], v[order].astype(np.int64), r2
-        self.points = {i: v[n[3]].astype(np.int64) for i, n in enumerate(self.nodes) if n[3] is not None}
+        self.kind = np.float64 if r2 < EXACT else np.int64
+        self.ids, self.labels, self.v, self.r2 = [ids[i] for i in order], labels[order], v[order].astype(self.kind), r2
+        self.points = {i: v[n[3]].astype(self.kind) for i, n in enumerate(self.nodes) if n[3] is not None}
         self.slack = SLACK * (1 + float(np.sqrt(r2)))
 
     def query(self, q: np.ndarray) -> Query:
@@ -125,7 +128,7 @@ class Query:
     """One query's scores and distances in a tree, computed where the traversal comes."""
 
     def __init__(self, tree: Tree, q: np.ndarray):
-        self.tree, self.q = tree, q.astype(np.int64)
+        self.tree, self.q = tree, q.astype(tree.kind)
         self.base = int(self.q @ self.q) + tree.r2
         self.scores: dict[int, np.ndarray] = {}
         self.near: dict[int, float] = {}
@@ -138,12 +141,14 @@ class Query:
             self.near[node] = self.distance(int(self.tree.points[node] @ self.q))
         return self.near[node]
 
-    def rows(self, low: int | None, high: int | None, same: bool, label: int) -> Iterator[tuple[int, int]]:
-        """``(score, row)`` of the rows with scores in the window and a label that is ``label`` (or is not), highest first."""
+    def rows(self, k: int, low: int | None, high: int | None, same: bool, label: int) -> Iterator[tuple[int, int]]:
+        """``(score, row)`` of the rows with scores in the window and a label that is ``label`` (or is not), highest first: the
+        first ``k`` and all that tie with the last of them."""
         t, slack = self.tree, self.tree.slack
         start = 0.0 if high is None else self.distance(high)
         end = np.inf if low is None else self.distance(low)
         heap: list[tuple] = [(0.0, 0, 0, 0)]
+        seen: list[int] = []  # the k best scores so far, as a heap
         while heap:
             _, kind, minus, at = heapq.heappop(heap)
             if kind:
@@ -165,15 +170,25 @@ class Query:
                 ok &= s <= high
             if low is not None:
                 ok &= s >= low
-            for i in np.flatnonzero(ok).tolist():
+            if len(seen) == k:
+                ok &= s >= seen[0]
+            found = np.flatnonzero(ok)
+            if len(found) > k:
+                found = found[s[found] >= np.partition(s[found], -k)[-k]]
+            for i in found.tolist():
                 score = int(s[i])
                 heapq.heappush(heap, (self.distance(score) + slack, 1, -score, a + i))
+                if len(seen) < k:
+                    heapq.heappush(seen, score)
+                elif score > seen[0]:
+                    heapq.heapreplace(seen, score)
 
     def first(self, k: int, low: int | None, high: int | None, same: bool, label: int, but: int | None = None) -> list[tuple[int, int]]:
         """The first ``k`` of ``(score, id)``, and all rows that tie with the last; one row of id ``but`` with the vector of
         the query is left out."""
         out: list[tuple[int, int]] = []
-        for score, row in self.rows(low, high, same, label):
+        # a row may be the query's own, which is left out
+        for score, row in self.rows(k + (but is not None), low, high, same, label):
             if len(out) >= k and score < out[k - 1][0]:
                 break
             ids = self.tree.ids[row]

@@ -49,6 +49,10 @@ def folder(spark, tmp_path_factory):
     pages = [(i, f"http://h{i % 3}.example/a/{i // 3:02}?x={i}", f"<nav>menu</nav><article><h1>T{i}</h1><p>Share this</p><p>Body &amp; {i}</p></article><p>Foot of {i % 3}</p>") for i in range(36)]
     pages += [(36, pages[0][1], pages[0][2]), (36, pages[0][1], pages[0][2]), (37, None, None), (38, "http://h0.example/", ""), (None, "http://h1.example/z", "<p>alone"), (39, "not a url", "<p>x" * 20_000)]
     spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("host", F.lit(1)).write.parquet(f"{to}/pages.parquet")
+    rng = np.random.Generator(np.random.PCG64(2))
+    vectors = [(i, i % 5, rng.normal(0, 0.2, 8).tolist()) for i in range(250)] + [(i, 2, [0.25] * 8) for i in range(250, 420)]
+    vectors += [(500, None, [0.1] * 8), (600, 1, None), (700, 1, [0.5, None]), (800, 1, [float("nan")] * 8)]
+    spark.createDataFrame(vectors, "vec_id long, label int, embedding array<float>").withColumns({"q": F.lit(1), "score": F.lit(2)}).write.parquet(f"{to}/embeddings.parquet")
     return to
 
 
@@ -77,13 +81,16 @@ def test_one_row_a_document(frames, results):
         "op7_secrets": "doc_id:bigint n_assign:bigint n_access:bigint n_hex:bigint base_sha256:string spans:string", "op8_pii": "doc_id:bigint n_email:bigint n_ip:bigint n_card:bigint n_phone:bigint base_sha256:string spans:string",
         "op9_toxicity": "doc_id:bigint held_out:boolean score:double predicted:int", "op10_decontamination": "doc_id:bigint n_words:bigint n_hit:bigint n_items:bigint items_sha256:string contaminated:boolean",
         "op4_packing": "doc_id:bigint start:bigint length:bigint ids_crc32:bigint doc_tokens:bigint sequence_id:bigint offset:bigint", "op5_main_text": "page_id:bigint url:string text:string n_chars:bigint",
+        "op11_license_scan": "doc_id:bigint n_words:bigint n_base:bigint first_word:bigint last_word:bigint base_labels:string labels:string score:double",
+        "op12_token_alignment": "doc_id:bigint n_a:bigint n_b:bigint n_groups:bigint n_links:bigint n_best:bigint count_sum:bigint groups_sha256:string",
+        "op13_hard_negatives": "anchor_id:bigint positive_id:bigint rank:int negative_id:bigint positive_score:bigint negative_score:bigint",
     }
     for name, f in frames.items():
         schema = {x.name: x.dataType.simpleString() for x in f.schema}
         for column in kinds[name].split():
             c, kind = column.split(":")
             assert schema[c] == kind, (name, c)
-        if name not in ("op4_packing", "op5_main_text"):
+        if name not in ("op4_packing", "op5_main_text", "op13_hard_negatives"):
             assert sorted(results[name]["doc_id"].fillna(-1)) == sorted(-1 if i is None else i for i, *_ in documents()), name
 
 
@@ -230,17 +237,18 @@ def test_toxicity(results):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_sql(folder, results, name):
     c = duckdb.connect()
-    for table in ("documents", "benchmark"):
+    for table in ("documents", "benchmark", "embeddings"):
         c.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{folder}/{table}.parquet/*.parquet')")
     theirs = c.execute(queries.ORACLE_SQL[name]).df()
     columns = sorted(theirs.columns)
     # the SQL tells documents by their ids alone, so that repeated and null ids are left to the brute-force tests
-    both = [f[f["doc_id"].notna() & (f["doc_id"] != 405)][columns].sort_values(["doc_id", *columns]).reset_index(drop=True) for f in (results[name], theirs)]
+    known = lambda f: f[f["doc_id"].notna() & (f["doc_id"] != 405)] if "doc_id" in f else f
+    both = [known(f)[columns].sort_values(columns).reset_index(drop=True) for f in (results[name], theirs)]
     pd.testing.assert_frame_equal(*both, check_dtype=False)
 
 
 def test_empty_tables(spark, folder, tmp_path):
-    for table in ("documents", "labels", "benchmark", "pages"):
+    for table in ("documents", "labels", "benchmark", "pages", "embeddings"):
         spark.read.parquet(f"{folder}/{table}.parquet").limit(0).write.parquet(f"{tmp_path}/{table}.parquet")
     for name, f in queries.QUERIES.items():
         assert f(spark, str(tmp_path)).isEmpty(), name
