@@ -6,8 +6,8 @@ as their rare terms overlap. Sorted by these keys, neighbours in the corpus are
 ``shard_docs`` documents in a row are a shard; a key that very many documents have, as a group of copies, fills as many
 shards as it takes. Each shard builds a BM25 inverted index of its documents. A window starts with a seed (what is left of
 a cut document, else the next unused one); the seed's terms query the index, and its unused neighbours fill the window in
-the order of their scores, the last one cut where the window ends. What a shard has left at its end is cut into sequences
-of powers of two, which need no padding; all other sequences are full.
+the order of their scores, the last one cut where the window ends. A window that a shard leaves open goes on in the next
+one of the task; the last one is cut into sequences of powers of two, which need no padding. All other sequences are full.
 
 Defined results: a null or empty text is a document of the end token alone. Repeated rows are packed each for itself; ties
 go by id, then by tokens. An empty table gives no sequence. A document longer than a window, however long, fills windows by
@@ -17,11 +17,12 @@ itself first. Only id and text are read, whatever other columns are named.
 from __future__ import annotations
 
 import base64
+import bisect
 import json
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -136,15 +137,19 @@ class Index:
         return np.bincount(self.rows[at], self.weights[at], self.n)
 
 
-def pack(docs: list[np.ndarray], window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
-    """Pieces (document, start, length, sequence, offset) that hold every id of the documents once."""
+def pack(docs: list[np.ndarray], window: int = WINDOW, carried: list[tuple[int, int, int]] | None = None, last: bool = True) -> tuple[list[tuple[int, int, int, int, int]], list[tuple[int, int, int]]]:
+    """Pieces (document, start, length, sequence, offset) that hold every id of the documents once, and the pieces (document,
+    start, length) of a window that is still open (none at the ``last`` call). ``carried`` are those of the call before."""
     if not docs:
-        return []
+        return [], []
     index = Index(docs)
     used = np.zeros(len(docs), bool)
     sizes = [len(x) for x in docs]
     out: list[tuple[int, int, int, int, int]] = []
     sequence, filled, open_pieces = 0, 0, []
+    for doc, start, length in carried or []:
+        open_pieces.append((doc, start, length, 0, filled))
+        filled += length
     cut: tuple[int, int] | None = None  # a document and where it goes on
     nxt = 0
 
@@ -169,7 +174,7 @@ def pack(docs: list[np.ndarray], window: int = WINDOW) -> list[tuple[int, int, i
                 break
             doc, start = nxt, 0
             used[doc] = True
-        while start is not None and (sizes[doc] - start >= window or filled == 0):
+        while start is not None:
             start = put(doc, start)
             if filled:
                 break
@@ -185,6 +190,8 @@ def pack(docs: list[np.ndarray], window: int = WINDOW) -> list[tuple[int, int, i
                 if filled == 0:
                     cut = None if rest is None else (int(other), rest)
                     break
+    if not last:
+        return out, [p[:3] for p in open_pieces]
     # what is left goes to sequences of powers of two
     total = filled
     for doc, start, length, _, _ in open_pieces:
@@ -195,7 +202,7 @@ def pack(docs: list[np.ndarray], window: int = WINDOW) -> list[tuple[int, int, i
             start, length, filled = start + take, length - take, filled + take
             if filled - total == part:
                 sequence, total, filled = sequence + 1, total - part, total - part
-    return out
+    return out, []
 
 
 KEYS = 3
@@ -222,40 +229,67 @@ def _least(terms: np.ndarray, draw: np.ndarray) -> list[int]:
     return terms[some[np.argsort(w[some], kind="stable")]].tolist()
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, pattern: str, text: str = "text", key: str = "doc_id", shard_docs: int = 512, end: int = END, added: dict[str, int] | None = None, salt_docs: int = 250_000) -> DataFrame:
-    """``key`` and the columns of SCHEMA, a row a piece. A task streams shards of ``shard_docs`` documents; keys are dealt to
-    one set of tasks for every ``salt_docs`` documents, so that no key has to go through one task."""
+def ranges(docs: DataFrame, encode: Callable[[DataFrame, list], DataFrame], sample_rows: int, range_docs: int) -> list[tuple]:
+    """The bounds that cut the order of keys into ranges of about ``range_docs`` documents, five sampled rows each at least."""
+    n = docs.count()
+    if n <= range_docs:
+        return []
+    rows = encode(docs.sample(min(1.0, sample_rows / n), 7).limit(2 * sample_rows), []).select(*PLACES, "_c", "_u")
+    keys = sorted(map(tuple, rows.collect()))
+    parts = min(-(-n // range_docs), max(1, len(keys) // 5))
+    return sorted({keys[i * len(keys) // parts] for i in range(1, parts)})
+
+
+PLACES = [f"_a{i}" for i in range(KEYS)]
+
+
+def dealt(docs: DataFrame, tokenizer: str, pattern: str, text: str, key: str, end: int, added: dict[str, int] | None, sample_rows: int, range_docs: int) -> DataFrame:
+    """``range`` (its number), PLACES, ``_c, _u`` (the rest of the order), ``_k`` and ``ids``."""
     kind = docs.schema[key].dataType.simpleString()
-    salts = docs.select(key).count() // salt_docs + 1
-    salt = F.pmod(F.xxhash64(F.col(key), F.col(text)), F.lit(salts))
 
-    def encoder():
-        encode = PieceTokenizer.of(tokenizer, pattern, added)
-        last, draw = np.uint16(end).tobytes(), draws()
+    def encode(rows: DataFrame, bounds: list[tuple]) -> DataFrame:
+        def encoder():
+            encode = PieceTokenizer.of(tokenizer, pattern, added)
+            last, draw = np.uint16(end).tobytes(), draws()
+
+            def run(batch: pa.RecordBatch):
+                ids = [encode(t) + last for t in batch.column("_t").to_pylist()]
+                keys = np.array([affinity(np.frombuffer(x, np.uint16), draw) for x in ids], np.int32).reshape(-1, KEYS)
+                crc = list(map(zlib.crc32, ids))
+                at = [bisect.bisect_right(bounds, k) for k in zip(*keys.T.tolist(), crc, batch.column("_u").to_pylist(), strict=True)]
+                return [at, *keys.T, crc, batch.column("_u"), batch.column("_k"), ids]
+
+            return run
 
-        def run(batch: pa.RecordBatch):
-            ids = [encode(t) + last for t in batch.column("_t").to_pylist()]
-            keys = np.array([affinity(np.frombuffer(x, np.uint16), draw) for x in ids], np.int32).reshape(-1, KEYS)
-            return [batch.column("_k"), batch.column("salt"), *keys.T, ids]
+        rows = rows.select(F.col(key).alias("_k"), F.xxhash64(F.col(key)).alias("_u"), F.col(text).alias("_t"))
+        return map_batches(rows, encoder, f"range int, {', '.join(f'{c} int' for c in PLACES)}, _c long, _u long, _k {kind}, ids binary")
 
-        return run
+    return encode(docs, ranges(docs.select(key, text), encode, sample_rows, range_docs))
 
-    places = [f"_a{i}" for i in range(KEYS)]
-    ids = map_batches(docs.select(F.col(key).alias("_k"), salt.alias("salt"), F.col(text).alias("_t")), encoder, f"_k {kind}, salt long, {', '.join(f'{c} int' for c in places)}, ids binary")
-    dealt = ids.repartition("salt", places[0]).sortWithinPartitions("salt", *places, "_k", F.crc32("ids")).select("_k", "ids")
+
+def pack_documents(docs: DataFrame, tokenizer: str, pattern: str, text: str = "text", key: str = "doc_id", shard_docs: int = 512, end: int = END, added: dict[str, int] | None = None, sample_rows: int = 20_000, range_docs: int = 4096) -> DataFrame:
+    """``key`` and the columns of SCHEMA, a row a piece. A task streams the shards of its ranges."""
+    kind = docs.schema[key].dataType.simpleString()
+    rows = dealt(docs, tokenizer, pattern, text, key, end, added, sample_rows, range_docs)
+    rows = rows.repartition("range").sortWithinPartitions("range", *PLACES, "_c", "_u", "_k").select("_k", "ids")
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 20
         held: list[tuple] = []
+        open_rows: list[tuple] = []
+        open_pieces: list[tuple[int, int]] = []
 
-        def packed(rows: list[tuple]) -> pa.RecordBatch:
+        def packed(rows: list[tuple], last: bool) -> pa.RecordBatch:
+            nonlocal open_rows, open_pieces
             rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+            n, rows = len(rows), rows + open_rows
             arrays = [np.frombuffer(x, np.uint16) for _, x in rows]
-            pieces = pack(arrays)
+            pieces, left = pack(arrays[:n], carried=[(n + i, s, size) for i, (s, size) in enumerate(open_pieces)], last=last)
+            open_rows, open_pieces = [rows[d] for d, _, _ in left], [(s, size) for _, s, size in left]
             crc = [zlib.crc32(arrays[d][s : s + n].astype("<u4").tobytes()) for d, s, n, _, _ in pieces]
-            d, s, n, q, o = zip(*pieces, strict=True)
+            d, s, n, q, o = zip(*pieces, strict=True) if pieces else [()] * 5
             columns = [[rows[i][0] for i in d], s, n, crc, [len(arrays[i]) for i in d], [(number << 20) + x for x in q], o]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [kind_of] + [pa.int64()] * 6, strict=True)], names=["_k", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
@@ -263,15 +297,15 @@ def pack_documents(docs: DataFrame, tokenizer: str, pattern: str, text: str = "t
             kind_of = batch.schema.field("_k").type
             held += zip(batch.column("_k").to_pylist(), batch.column("ids").to_pylist(), strict=True)
             while len(held) >= 2 * shard_docs:
-                yield packed(held[:shard_docs])
+                yield packed(held[:shard_docs], False)
                 held, number = held[shard_docs:], number + 1
         while held:
             size = len(held) if len(held) <= shard_docs + shard_docs // 2 else shard_docs
-            yield packed(held[:size])
+            yield packed(held[:size], size == len(held))
             held, number = held[size:], number + 1
         released()
 
-    return dealt.mapInArrow(shards, f"_k {kind}, {SCHEMA}").withColumnRenamed("_k", key)
+    return rows.mapInArrow(shards, f"_k {kind}, {SCHEMA}").withColumnRenamed("_k", key)
 
 
 def public_tokenizer() -> tuple[str, str]:

@@ -241,11 +241,23 @@ def test_packing():
     for most in (50, 3000, 9000):
         for _ in range(8):
             docs = [rng.integers(0, 300, rng.integers(1, most)).astype(np.uint16) for _ in range(rng.integers(1, 30))]
-            check_pieces(docs, packing.pack(docs))
+            check_pieces(docs, packing.pack(docs)[0])
     a, b = (np.arange(k, k + 1000, dtype=np.uint16) for k in (0, 5000))
-    first = [d for d, _, _, q, _ in packing.pack([a, b, b + 1, a + 1]) if q == 0]
+    first = [d for d, _, _, q, _ in packing.pack([a, b, b + 1, a + 1])[0] if q == 0]
     assert first[:2] == [0, 3]  # the neighbour comes before the next in order
-    assert packing.pack([]) == []
+    assert packing.pack([]) == ([], [])
+    # windows that go on in the next shard: nothing is cut to powers of two before the last
+    docs, pieces, rest = [rng.integers(0, 300, rng.integers(1, 900)).astype(np.uint16) for _ in range(60)], [], []
+    for i in range(0, 60, 20):
+        names = [*range(i, i + 20), *(d for d, _, _ in rest)]
+        found, left = packing.pack(docs[i : i + 20], carried=[(20 + j, s, n) for j, (_, s, n) in enumerate(rest)], last=i == 40)
+        pieces += [(names[d], s, n, (i, q), o) for d, s, n, q, o in found]
+        rest = [(names[d], s, n) for d, s, n in left]
+    check_pieces(docs, pieces)
+    ends = {}
+    for _, _, n, q, o in pieces:
+        ends[q] = max(ends.get(q, 0), o + n)
+    assert all(n == 2048 for (i, _), n in ends.items() if i < 40)
 
 
 def test_tokens_and_packed_documents(spark):
@@ -258,7 +270,7 @@ def test_tokens_and_packed_documents(spark):
     for text, e in zip(texts, t.encode_batch(texts, add_special_tokens=False), strict=True):
         assert np.frombuffer(own(text), np.uint16).tolist() == e.ids
     rows = [(i, x) for i, x in enumerate(texts[:300])] + [(400, None), (401, "word " * 30_000), (401, "word " * 30_000), (None, "x")]
-    got = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string").withColumn("shard", F.lit(1)), *packing.public_tokenizer(), shard_docs=50, added=packing.public_added(), salt_docs=100).toPandas()
+    got = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string").withColumn("shard", F.lit(1)), *packing.public_tokenizer(), shard_docs=50, added=packing.public_added(), range_docs=40, sample_rows=100).toPandas()
     assert got.groupby("doc_id", dropna=False)["length"].sum()[401.0] == 2 * (len(own("word " * 30_000)) // 2 + 1)
     assert got["length"].sum() == sum(len(own(x)) // 2 + 1 for _, x in rows)
     assert packing.pack_documents(spark.createDataFrame([], "doc_id long, text string"), *packing.public_tokenizer()).isEmpty()
@@ -314,3 +326,19 @@ def test_deep_shallow_sort():
 def test_registered():
     assert sorted(queries.QUERIES, key=lambda n: int(n[2:].split("_")[0])) == [n for k in range(1, 11) for n in queries.QUERIES if n.startswith(f"op{k}_")]
     assert len(queries.QUERIES) == 10
+
+
+@pytest.mark.parametrize("range_docs", [10**6, 200, 40])
+def test_copies_share_a_shard(spark, range_docs):
+    """However many ranges the order is cut into, equal texts stay together; a range holds its shards alone."""
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(400)]
+    texts = ["the " * 5 + " ".join(rng.choice(words) for _ in range(40)) for _ in range(700)]
+    rows = [(i, texts[i % 700]) for i in range(1400)] + [(2000 + i, "a hot copy of many") for i in range(700)]
+    got = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), *packing.public_tokenizer(), shard_docs=100, range_docs=range_docs, sample_rows=2000).toPandas()
+    assert got["length"].sum() == got.drop_duplicates("doc_id")["doc_tokens"].sum()
+    shards = got.assign(shard=got["sequence_id"] // (1 << 20)).groupby("doc_id")["shard"].agg(set)
+    assert np.mean([any(abs(a - b) <= 1 for a in shards[i] for b in shards[i + 700]) for i in range(700)]) > 0.95
+    if range_docs == 40:
+        ranges = packing.dealt(spark.createDataFrame(rows, "doc_id long, text string"), *packing.public_tokenizer(), "text", "doc_id", 1, None, 2000, 40).groupBy("range").count().toPandas()
+        assert len(ranges) > 20 and ranges["count"].max() < 300
