@@ -43,7 +43,7 @@ class PieceTokenizer:
     split off first, wherever they stand; without them, their strings are ordinary text.
     """
 
-    def __init__(self, path: str, pattern: str, most: int = 400_000, added: dict[str, int] | None = None):
+    def __init__(self, path: str, pattern: str, most: int = 1_000_000, added: dict[str, int] | None = None):
         import tiktoken
 
         with open(path, "rb") as f:
@@ -184,7 +184,7 @@ def pack(docs: list[np.ndarray], window: int = WINDOW, carried: list[tuple[int,
         left = np.flatnonzero(~used)
         if len(left):
             s = index.scores(doc)[left]
-            for other in left[np.lexsort((left, -s))]:
+            for other in left[np.argsort(-s, kind="stable")]:
                 used[other] = True
                 rest = put(int(other), 0)
                 if filled == 0:
@@ -234,7 +234,7 @@ def ranges(docs: DataFrame, encode: Callable[[DataFrame, list], DataFrame], samp
     n = docs.count()
     if n <= range_docs:
         return []
-    rows = encode(docs.sample(min(1.0, sample_rows / n), 7).limit(2 * sample_rows), []).select(*PLACES, "_c", "_u")
+    rows = encode(docs.sample(min(1.0, sample_rows / n), 7), []).select(*PLACES, "_c", "_u")
     keys = sorted(map(tuple, rows.collect()))
     parts = min(-(-n // range_docs), max(1, len(keys) // 5))
     return sorted({keys[i * len(keys) // parts] for i in range(1, parts)})
@@ -267,7 +267,7 @@ def dealt(docs: DataFrame, tokenizer: str, pattern: str, text: str, key: str, en
     return encode(docs, ranges(docs.select(key, text), encode, sample_rows, range_docs))
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, pattern: str, text: str = "text", key: str = "doc_id", shard_docs: int = 512, end: int = END, added: dict[str, int] | None = None, sample_rows: int = 20_000, range_docs: int = 4096) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, pattern: str, text: str = "text", key: str = "doc_id", shard_docs: int = 512, end: int = END, added: dict[str, int] | None = None, sample_rows: int = 5_000, range_docs: int = 4096) -> DataFrame:
     """``key`` and the columns of SCHEMA, a row a piece. A task streams the shards of its ranges."""
     kind = docs.schema[key].dataType.simpleString()
     rows = dealt(docs, tokenizer, pattern, text, key, end, added, sample_rows, range_docs)
