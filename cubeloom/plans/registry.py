@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cubeloom.plans import assembly, assembly_sql, queries, sql
+from cubeloom.plans import assembly, assembly_sql, queries, rasters, rasters_sql, sql
 
-QUERIES = queries.QUERIES | assembly.QUERIES
-SQL = sql.SQL | assembly_sql.SQL
+QUERIES = queries.QUERIES | assembly.QUERIES | rasters.QUERIES
+SQL = sql.SQL | assembly_sql.SQL | rasters_sql.SQL
