@@ -64,16 +64,25 @@ def window_of_bounds(bounds: DataFrame, x0: float, y0: float, dx: float, dy: flo
     )
 
 
-def in_ring(x: Column, y: Column, ring: list[tuple[float, float]]) -> Column:
-    """Whether a point is in a closed ring, by counting the edges a ray to the right crosses."""
-    crossed = F.lit(0)
+def crossed(x: Column, y: Column, ring: list[tuple[float, float]]) -> Column:
+    """How many edges of a closed ring a ray to the right crosses."""
+    n = F.lit(0)
     for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1], strict=True):
         if y1 != y2:
             meets = (F.lit(y1) > y) != (F.lit(y2) > y)
-            crossed = crossed + F.when(meets & (x < (y - y1) * (x2 - x1) / (y2 - y1) + x1), 1).otherwise(0)
-    return crossed % 2 == 1
+            n = n + F.when(meets & (x < (y - y1) * (x2 - x1) / (y2 - y1) + x1), 1).otherwise(0)
+    return n
+
+
+def in_ring(x: Column, y: Column, ring: list[tuple[float, float]]) -> Column:
+    return crossed(x, y, ring) % 2 == 1
+
+
+def in_polygon(x: Column, y: Column, rings: list[list[tuple[float, float]]]) -> Column:
+    """In the outer ring and in no hole: the crossings of all rings together are odd."""
+    return reduce(lambda a, b: a + b, [crossed(x, y, r) for r in rings]) % 2 == 1
 
 
 def in_region(x: Column, y: Column, rings: list[list[tuple[float, float]]]) -> Column:
-    """In the union of the rings."""
+    """In the union of the rings, each a polygon without holes."""
     return reduce(lambda a, b: a | b, [in_ring(x, y, r) for r in rings])

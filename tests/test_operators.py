@@ -157,10 +157,15 @@ def test_catalog(spark):
 
 def test_regions(spark, tmp_path):
     ring = [[0, 0], [2, 0], [2, 3], [0, 0]]
-    collection = {"type": "FeatureCollection", "features": [{"type": "Feature", "geometry": {"type": "Polygon", "coordinates": [ring]}}, {"type": "Feature", "geometry": {"type": "MultiPolygon", "coordinates": [[ring], [ring]]}}]}
+    collection = {"type": "FeatureCollection", "features": [{"type": "Feature", "geometry": {"type": "Polygon", "coordinates": [ring, [[1, 0.5], [1.5, 0.5], [1.5, 1], [1, 0.5]]]}}, {"type": "Feature", "geometry": {"type": "MultiPolygon", "coordinates": [[ring], [ring]]}}]}
     (tmp_path / "r.geojson").write_text(json.dumps(collection))
     points = regions.read_regions(spark, str(tmp_path / "r.geojson"))
-    assert regions.rings(points) == [[(0.0, 0.0), (2.0, 0.0), (2.0, 3.0)]] * 3
+    outer = [(0.0, 0.0), (2.0, 0.0), (2.0, 3.0)]
+    assert regions.polygons(points) == [[outer, [(1.0, 0.5), (1.5, 0.5), (1.5, 1.0)]], [outer], [outer]]
+    with pytest.raises(ValueError):
+        regions.polygons(points, 5)
+    spots = spark.createDataFrame([(1.4, 0.6), (1.9, 0.1), (0.1, 2.0)], "x double, y double")
+    assert [r[0] for r in spots.select(pixel.in_polygon(F.col("x"), F.col("y"), regions.polygons(points)[0])).collect()] == [False, True, False]
     assert tuple(regions.bounds(points).first()) == (0.0, 2.0, 0.0, 3.0)
 
 
