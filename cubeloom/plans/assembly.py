@@ -114,23 +114,6 @@ def rarity_weights_sampled(s, d):
     return base.rounded(metrics.rarity(metrics.histogram(x, col("dt"), ["h"]), ["h"]).drop("n"), "weight")
 
 
-def assembled(s, d, samples: DataFrame) -> DataFrame:
-    """``sample, x``: the pixels of each sample's chip in order, dynamic years before static layers, ready for a model.
-    Pixels find their samples by the rows of chips that they are in, not by a range join."""
-    rows = samples.select("sample", "r0", "c0", F.explode(F.sequence(col("r0"), col("r0") + CHIP - 1)).alias("r"))
-    x = wide(s, d).join(statics(s, d), "pid", "left").select("r", "c", F.array(*INPUTS).alias("v"))
-    both = rows.join(x, "r").filter((col("c") >= col("c0")) & (col("c") < col("c0") + CHIP))
-    cell = F.struct((col("r") - col("r0")).alias("i"), (col("c") - col("c0")).alias("j"), "v")
-    return both.groupBy("sample").agg(F.array_sort(F.collect_list(cell)).alias("x"))
-
-
-def batch_assembly(s, d):
-    """The assembled chips of random samples, as what a model gets of each channel."""
-    x = assembled(s, d, random_samples(s, d)).select((col("sample") / BATCH).cast("long").alias("batch"), "sample", "x")
-    total = lambda k: r9(F.aggregate("x", F.lit(0.0), lambda a, e: a + F.coalesce(F.element_at(e["v"], k + 1), F.lit(0.0))))
-    return x.select("batch", "sample", F.size("x").alias("pixels"), *[F.round(total(k), 5).alias(f"sum_{c}") for k, c in enumerate(INPUTS)])
-
-
 def tile_crop(s, d):
     """Padded edge tiles, cut back to the grid."""
     p = base.tile_pad(s, d).crossJoin(F.broadcast(height(s, d)))
@@ -215,7 +198,7 @@ def predictor_predict(s, d):
 
 PLAIN = [
     raster_metadata, input_invalid_mask, horizon_index, first_statics, static_stats, stack_all_layers, channel_concat, panel_histogram,
-    random_samples, tile_batches, first_batches, first_batch, rarity_weights_sampled, batch_assembly, tile_crop, overview,
+    random_samples, tile_batches, first_batches, first_batch, rarity_weights_sampled, tile_crop, overview,
     binary_metrics, location_siren, location_fcnet, predictor_pixelwise, predictor_predict,
 ]
 QUERIES = {f.__name__: f for f in PLAIN}

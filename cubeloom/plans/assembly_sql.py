@@ -10,7 +10,6 @@ TILES = """tg AS (SELECT ti.v AS ti, tj.v AS tj, ((ti.v - r0) // 4) * ((c1 - c0
 tb AS (SELECT ti, tj, CAST(place // 16 AS BIGINT) AS batch FROM tg)"""
 PICK = lambda salt, n: f"CAST('0x' || substr(md5('{salt}_' || sample), 1, 7) AS BIGINT) % {n}"
 SAMPLES = f"""sm AS (SELECT sample, {PICK("row", "(height - 15)")} AS r0, {PICK("col", "49")} AS c0, CAST([2000, 2005, 2010, 2015][{PICK("year", "4")} + 1] AS INTEGER) AS end_year FROM (SELECT unnest(range(200)) AS sample), hh WHERE height >= 16)"""
-INPUTS = ("y1990", "y1995", "y2000", "ele", "tas")
 
 
 def weight(name: str, i: int, j: int) -> str:
@@ -92,7 +91,6 @@ SQL = {
     "first_batches": q("SELECT * FROM tb WHERE batch < 10", TILES),
     "first_batch": q("SELECT ti, tj FROM tb WHERE batch = (SELECT min(batch) FROM tb)", TILES),
     "rarity_weights_sampled": q("SELECT h, bin, round((1 / (n + 0.001::DOUBLE)) * 8 / sum(1 / (n + 0.001::DOUBLE)) OVER (PARTITION BY h), 9) AS weight FROM ha", f"{CHIPPED}, c10 AS (SELECT * FROM cc WHERE (ci * 4 + cj) // 2 < 10), ha AS ({hist('c10', 'dt', 'h')})"),
-    "batch_assembly": q(f"SELECT CAST(sample // 16 AS BIGINT) AS batch, sample, CAST(count(*) AS INTEGER) AS pixels, {', '.join(f'round(sum(coalesce({c}, 0)), 5) AS sum_{c}' for c in INPUTS)} FROM sm JOIN wide ON r BETWEEN r0 AND r0 + 15 AND c BETWEEN c0 AND c0 + 15 LEFT JOIN st USING (pid) GROUP BY sample", SAMPLES),
     "tile_crop": q("""SELECT ti + a.v AS r, tj + b.v AS c, round(coalesce(y2020, 0), 9) AS v FROM (SELECT DISTINCT r // 8 * 8 AS ti, c // 8 * 8 AS tj FROM wide WHERE y2020 IS NOT NULL)
       CROSS JOIN (SELECT unnest(range(8)) AS v) a CROSS JOIN (SELECT unnest(range(8)) AS v) b CROSS JOIN hh LEFT JOIN wide ON r = ti + a.v AND c = tj + b.v WHERE ti + a.v < height"""),
     "overview": q("SELECT r // k AS r, c // k AS c, round(y2020, 9) AS v FROM wide, (SELECT greatest(1, CAST(ceil(greatest(height, 64) / 32.0::DOUBLE) AS BIGINT)) AS k FROM hh) WHERE r % k = 0 AND c % k = 0"),
