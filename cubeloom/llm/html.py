@@ -6,7 +6,10 @@ subsequence of the two pages' lines is what they share. A line goes if at least
 an ``article`` or ``main`` element if more than half and at least two do: an article published twice, or a paragraph that one
 neighbour quotes, is no page furniture. Partners with nothing but the page's own lines, or nearly so, are copies and
 don't count. Markup settles what no neighbour can show: lines of menus, headers, footers, sidebars, notices, adverts,
-forms, scripts and reader comments go on every page.
+forms, scripts and reader comments go on every page. Of class, id and role, a name rules an element out only if it is such a
+word or starts with one (``sidebar-left``, not ``no-sidebar``); never a heading by its id, and inside the article no element
+by its id and no paragraph, quote or item by a word that prose uses too (``share``, ``notice``). Nor does a name rule out
+what holds ``main``, the first ``article`` or ``h1``, or over half of the page's text: that is a layout's name.
 
 Pages are dealt to ranges of (host, path), so that neither a hot host nor any other has to fit one task; each range is
 also sent the nearest paths of the ranges before and after it, so that partners are the same however pages are dealt.
@@ -35,19 +38,24 @@ from cubeloom.llm.common import by_group, map_batches, read, stored
 
 #: Comments and what browsers never show; any other tag. A quoted value with a "<" in it is left to ``_tag_end``.
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|title|textarea|svg|iframe)\b[^<>]*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)(?:((?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*+)>)?|<[!?][^<>]*+>", re.S | re.I)
-_NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _SPACE = re.compile(r"\s+")
 _STOP = re.compile("[>\"']")
 INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements that hold others and are always closed.
 HOLDERS = frozenset("article main nav header footer aside form section div ul ol dl table tbody thead tfoot tr td th figure blockquote fieldset dialog menu select button details body center span".split())
 CHROME = frozenset("nav footer aside form menu select button dialog fieldset".split())
-#: Words of class, id and role that mark what is not the article (fixed values).
+#: Words of class, id and role that mark what is not the article, those of them that prose has too, and the words that stand
+#: before them in names of a page's parts (fixed values).
 CHROME_WORDS = frozenset(
-    "ad ads advert adverts advertisement banner promo sponsor sponsored nav navbar navigation menu sidebar breadcrumb breadcrumbs footer header masthead "
-    "cookie cookies consent notice alert popup modal overlay newsletter subscribe signup login share sharing social related recommended "
-    "comment comments reply replies disqus respond copyright pagination pager widget toolbar skip search complementary contentinfo".split()
+    "ad ads advert adverts advertisement banner promo sponsor sponsored nav navbar navigation menu sidebar breadcrumb breadcrumbs footer masthead cookie cookies "
+    "consent popup modal overlay newsletter subscribe signup login comment comments reply replies disqus respond pagination pager skip complementary contentinfo".split()
 )
+WEAK_WORDS = frozenset("header notice alert share sharing social related recommended copyright widget toolbar search".split())
+PART_WORDS = frozenset("site page main top bottom left right global primary secondary post article".split())
+#: Elements of running text.
+TEXT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote li pre dd dt td figcaption".split())
+WEAK, STRONG = 1, 2
 OPEN, KEEP, DROP = 0, 1, 2
 
 
@@ -86,12 +94,14 @@ def _tags(page: str) -> Iterator[tuple[int, int, str, str, str]]:
 def lines(page: str | None) -> list[tuple[int, str]]:
     """The page's blocks in order: what markup says of them (OPEN, KEEP or DROP) and their text."""
     page = page or ""
-    out: list[tuple[int, str]] = []
+    out: list[tuple[int, tuple[int, ...], str]] = []
     parts: list[str] = []
-    stack: list[tuple[str, int]] = [("", OPEN)]
+    # elements that names rule out: how much text each holds, and whether it holds the article; 0 is one that is always out
+    sizes, core = [0], [False]
+    stack: list[tuple[str, int, tuple[int, ...]]] = [("", OPEN, ())]
     depth: dict[str, int] = {}
-    block = OPEN  # DROP: within a block that its own attributes rule out
-    at = 0
+    block = False  # within a block that its own attributes rule out
+    at, articles = 0, 0
 
     def end_block() -> None:
         if parts:
@@ -99,7 +109,10 @@ def lines(page: str | None) -> list[tuple[int, str]]:
             parts.clear()
             text = _SPACE.sub(" ", entities.unescape(text) if "&" in text else text).strip()
             if text:
-                out.append((max(stack[-1][1], block), text))
+                _, mark, within = stack[-1]
+                for k in within:
+                    sizes[k] += len(text)
+                out.append((mark, (0,) if block else within, text))
 
     for start, end, slash, tag, attributes in _tags(page):
         if start > at:
@@ -111,11 +124,17 @@ def lines(page: str | None) -> list[tuple[int, str]]:
             if tag == "br":
                 parts.append(" ")
             continue
-        marked = tag == "span" and attributes and _chrome(attributes)
-        if tag != "span" or marked or (slash and stack[-1] == ("span", DROP)):
+        _, mark, within = stack[-1]
+        named = bool(attributes) and not slash and _chrome(attributes, tag, mark == KEEP)
+        if tag != "span" or named or (slash and stack[-1][0] == "span" and within):
             end_block()
         elif tag == "span":
             continue
+        if not slash and tag in ("article", "main", "h1"):
+            articles += tag == "article"
+            if tag != "article" or articles == 1:
+                for k in within:
+                    core[k] = True
         if tag in HOLDERS:
             if slash:
                 if depth.get(tag):
@@ -125,21 +144,40 @@ def lines(page: str | None) -> list[tuple[int, str]]:
                         if closed == tag:
                             break
             elif not attributes.endswith("/"):
-                within = stack[-1][1]
-                dropped = within == DROP or tag in CHROME or (tag == "header" and within != KEEP) or _chrome(attributes)
-                stack.append((tag, DROP if dropped and tag != "body" else KEEP if tag in ("article", "main") else within))
+                if tag in CHROME or (tag == "header" and mark != KEEP):
+                    within = (0,)
+                elif named and tag not in ("body", "main") and 0 not in within:
+                    within = (*within, len(sizes))
+                    sizes.append(0)
+                    core.append(tag == "article" and articles == 1)
+                stack.append((tag, KEEP if tag in ("article", "main") else mark, within))
                 depth[tag] = depth.get(tag, 0) + 1
-            block = OPEN
+            block = False
         else:
-            block = DROP if not slash and attributes and _chrome(attributes) else OPEN
+            block = bool(named)
     parts.append(page[at:])
     end_block()
-    return out
+    whole = sum(len(t) for _, _, t in out)
+    gone = {k for k in range(1, len(sizes)) if not core[k] and 2 * sizes[k] <= whole} | {0}
+    return [(DROP if not gone.isdisjoint(within) else mark, t) for mark, within, t in out]
 
 
 @lru_cache(maxsize=4096)
-def _chrome(attributes: str) -> bool:
-    return any(w in CHROME_WORDS for m in _NAMED.finditer(attributes) for w in re.split(r"[\s_-]+", (m[1] or m[2] or m[3] or "").lower()))
+def _chrome(attributes: str, tag: str, inside: bool) -> bool:
+    """Whether names rule an element out; ``inside``: within the article."""
+    for kind, *values in _NAMED.findall(attributes):
+        if kind.lower() == "id" and (inside or tag in TEXT and tag[0] == "h"):
+            continue
+        for name in "".join(values).lower().split():
+            words = re.split("[_-]+", name)
+            strength = max(_strength(words[0]), _strength(words[1]) if len(words) == 2 and words[0] in PART_WORDS else 0)
+            if strength == STRONG or strength == WEAK and not (inside and tag in TEXT):
+                return True
+    return False
+
+
+def _strength(word: str) -> int:
+    return STRONG if word in CHROME_WORDS else WEAK if word in WEAK_WORDS else 0
 
 
 def common(a: list[int], b: list[int]) -> set[int]:

@@ -342,3 +342,21 @@ def test_copies_share_a_shard(spark, range_docs):
     if range_docs == 40:
         ranges = packing.dealt(spark.createDataFrame(rows, "doc_id long, text string"), *packing.public_tokenizer(), "text", "doc_id", 1, None, 2000, 40).groupBy("range").count().toPandas()
         assert len(ranges) > 20 and ranges["count"].max() < 300
+
+
+def test_names_of_layouts_do_not_drop_the_article():
+    """Hand-written pages and texts: class, id and role names rule out parts of a page, not what holds the article."""
+    cases = [
+        ('<div class="post-with-sidebar"><p>Whole text here</p></div>', "Whole text here"),
+        ('<div class="page no-sidebar has-menu"><main>a</main></div>', "a"),
+        ('<article>x<h2 id="search-results">Search results</h2><section id="social-history">b</section><p class="lead share">c</p><blockquote class="notice">d</blockquote></article>', "x\nSearch results\nb\nc\nd"),
+        ('<article><p>One body line of text.</p><div class="share-buttons">Share</div><div class="post-comments"><p>first!</p></div></article>', "One body line of text."),
+        ('<div class="cookie-banner">We use cookies</div><div class="main-menu">Home</div><div role="navigation">Up</div><p>The text of the page itself.</p><div id="comments">No</div><div class="sidebar_left">s</div>', "The text of the page itself."),
+        ('<div class="related"><article class="card">Another</article></div><p>What the page says, at some length.</p>', "Another\nWhat the page says, at some length."),
+        ('<article><h1>T</h1><p>Text of it, long enough.</p></article><div class="related"><article class="card">Another</article></div>', "T\nText of it, long enough."),
+        ('<div class="sidebar">all of this page stands in one element</div>', "all of this page stands in one element"),
+        ('<div id="menu"><h1>Menu of the day</h1><p>Soup</p></div>', "Menu of the day\nSoup"),
+        ('<nav class="x">n</nav><body class="sidebar"><p class="comment">c</p><p>kept text</p></body>', "kept text"),
+    ]
+    for page, text in cases:
+        assert html.text_of(html.lines(page), set(), set()) == text, page
