@@ -22,6 +22,7 @@ import json
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -69,7 +70,7 @@ class PieceTokenizer:
         self.first, self.later = _Pieces(self, ""), _Pieces(self, " ")
 
     def raw(self, text: str) -> bytes:
-        return np.array(self.encoding.encode_ordinary(text), np.uint16).tobytes()
+        return array("H", self.encoding.encode_ordinary(text)).tobytes()
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
@@ -127,7 +128,17 @@ class Index:
         df = np.diff(self.starts)
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
         norm = k1 * (1 - b + b * length / length.mean())
-        self.rows, self.weights, self.n = row, (idf[term] * tf * (k1 + 1) / (tf + norm[row])).astype(np.float32), n
+        self.rows, self.weights, self.n = row, idf[term] * tf * (k1 + 1) / (tf + norm[row]), n
+        self.kept = n
+
+    def drop(self, used: np.ndarray) -> None:
+        """Take out the postings of ``used`` documents once they are half of those there: no other score changes."""
+        left = len(used) - int(used.sum())
+        if 2 * left > self.kept:
+            return
+        stay = ~used[self.rows]
+        self.starts = np.concatenate([[0], np.cumsum(stay)])[self.starts]
+        self.rows, self.weights, self.kept = self.rows[stay], self.weights[stay], left
 
     def scores(self, seed: int) -> np.ndarray:
         """Every document's score for the terms of document ``seed``."""
@@ -183,6 +194,7 @@ def pack(docs: list[np.ndarray], window: int = WINDOW, carried: list[tuple[int,
             continue
         left = np.flatnonzero(~used)
         if len(left):
+            index.drop(used)
             s = index.scores(doc)[left]
             for other in left[np.argsort(-s, kind="stable")]:
                 used[other] = True
