@@ -325,7 +325,7 @@ def test_deep_shallow_sort():
 
 def test_registered():
     assert sorted(queries.QUERIES, key=lambda n: int(n[2:].split("_")[0])) == [n for k in range(1, 14) for n in queries.QUERIES if n.startswith(f"op{k}_")]
-    assert len(queries.QUERIES) == 10
+    assert len(queries.QUERIES) == 13
 
 
 @pytest.mark.parametrize("range_docs", [10**6, 200, 40])
