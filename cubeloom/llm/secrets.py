@@ -1,8 +1,8 @@
 """Secret scans: three base patterns, and strings that dictionary-primed zstandard finds novel in a sensitive context.
 
 Base kinds, leftmost and non-overlapping each for itself: ``assign``, ``access`` and ``hex``. The method adds ``novel``:
-a candidate (a run of credential characters that mixes letters and digits, shortly after a word such as *key* or
-*bearer*) is compressed after its surrounding text with a dictionary of common identifiers and of that surrounding text;
+a candidate (a run of credential characters, shortly after a word such as *key* or *bearer*, that does not read as words:
+see ``reads_as_words``) is compressed after its surrounding text with a dictionary of common identifiers and of that surrounding text;
 if its marginal bytes come near those of a random string of its alphabet and length (or of its own length, if that is
 less), nothing there predicts it, and it is reported unless a base span overlaps it. Copies of it that stand in a
 sensitive context or a base span don't count as surroundings; copies elsewhere do.
@@ -38,6 +38,7 @@ _IS_HEX = bytes(49 if chr(i) in "0123456789abcdef" else 32 for i in range(256))
 _SENSITIVE = re.compile(r"key|secret|token|passw|passphrase|pwd|auth|bearer|credential|private|signature", re.I | re.A)
 _SENSITIVE_WORDS = ("key", "secret", "token", "passw", "passphrase", "pwd", "auth", "bearer", "credential", "private", "signature")
 _CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
+_PIECE, _CONSONANTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])"), re.compile(r"[bcdfghjklmnpqrstvwxz]{5}")
 #: Identifiers that code and configuration repeat; a candidate made of them is no secret.
 IDENTIFIERS = (
     "access_key_id secret_access_key client_secret client_id private_key public_key api_key auth_token bearer_token refresh_token session_token "
@@ -47,7 +48,7 @@ IDENTIFIERS = (
     "0123456789 1234567890 xxxxxxxxxxxxxxxx 0000000000000000 XXXXXXXXXXXXXXXX ---------------- ================ deadbeefdeadbeef changeme placeholder"
 )
 #: What a candidate may be drawn from, the first that holds all its characters.
-_ALPHABETS = tuple(map(frozenset, ("0123456789abcdef", "0123456789ABCDEF", string.digits + string.ascii_lowercase, string.digits + string.ascii_uppercase, string.digits + string.ascii_letters, string.digits + string.ascii_letters + "+/_=-")))
+_ALPHABETS = tuple(map(frozenset, (string.digits, "0123456789abcdef", "0123456789ABCDEF", string.digits + string.ascii_lowercase, string.digits + string.ascii_uppercase, string.digits + string.ascii_letters, string.digits + string.ascii_letters + "+/_=-")))
 
 
 def alike(it: str) -> str:
@@ -56,6 +57,17 @@ def alike(it: str) -> str:
     return "".join(random.Random(len(it)).choices(sorted(alphabet), k=len(it)))
 
 
+def reads_as_words(it: str) -> bool:
+    """Whether a candidate with less than two digits is made of words, which nothing near has to predict: its pieces (split at
+    signs and at capitals) have four letters on average, and those of four or more have a vowel in every five letters and no
+    five consonants in a row (compounds of some languages do, and are reported when nothing near predicts them). Random letters of both cases have shorter pieces, of one case seldom enough vowels."""
+    if sum(c in string.digits for c in it) > 1:
+        return False
+    pieces = _PIECE.findall(it)
+    long = [p.lower() for p in pieces if len(p) > 3]
+    return sum(map(len, pieces)) >= 4 * len(pieces) and all(5 * sum(c in "aeiouy" for c in p) >= len(p) and not _CONSONANTS.search(p) for p in long)
+
+
 def base_spans(text: str) -> list[Span]:
     out: list[Span] = []
     lower = text.lower()
@@ -98,7 +110,7 @@ class Novelty:
         for m in _CANDIDATE.finditer(text):
             k = bisect_right(ends, m.start())
             it = m.group()
-            if k and m.start() <= ends[k - 1] + self.near and 2 <= sum(c in string.digits for c in it) <= len(it) - 4 and not meeting(covered, m.start(), m.end()):
+            if k and m.start() <= ends[k - 1] + self.near and not meeting(covered, m.start(), m.end()) and not reads_as_words(it):
                 found.append((m.start(), m.end(), it))
         same: dict[str, list[tuple[int, int]]] = {}
         for s, e, it in found:

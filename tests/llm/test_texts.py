@@ -56,6 +56,30 @@ def test_novel_secrets_of_any_length_alphabet_and_number():
         assert n.spans("private key: " + t.strip("-"), []) == [], t
 
 
+def test_planted_secrets():
+    """Recall of random strings of several alphabets in a sensitive sentence, and words and placeholders left alone."""
+    n, rng = secrets.Novelty(), random.Random(21)
+    low, up, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    sentence = "As agreed, the private key is {} and should be rotated soon."
+
+    def recall(alphabet, size):
+        planted = ["".join(rng.choices(alphabet, k=size)) for _ in range(100)]
+        return sum(n.spans(sentence.format(it), []) == [(30, 3, 30 + size)] for it in planted) / 100
+
+    for size in (16, 20, 28, 40):
+        for alphabet in (low + up, digits, low + digits, low + up + digits, low + up + digits + "+/"):
+            assert recall(alphabet, size) >= 0.94, (alphabet, size)
+        for alphabet in (low, up):  # some random strings of one case can be read as words
+            assert recall(alphabet, size) >= 0.75, (alphabet, size)
+    assert n.spans("the private key is QWxhZGRpbjpvcGVuIHNlc2FtZQ", []) == [(19, 3, 45)]
+    plain = """internationalization responsibilities-of-the-owner application/x-www-form-urlencoded AbstractSingletonProxyFactoryBean getUserAuthenticationDetails
+        telecommunications counterrevolutionary /usr/share/doc/packages user_account_settings_page state-of-the-art-technology MAXIMUM_CONNECTION_POOL_SIZE
+        electroencephalographically 0000000000000000 1234567890123456 ---------------- ================ org/apache/spark/sql/functions
+        uncharacteristically anticonstitutionnellement straightforwardness""".split()
+    assert [it for it in plain if n.spans(sentence.format(it), [])] == []
+    assert n.spans(sentence.format("Donaudampfschifffahrtsgesellschaft"), []) != []  # known false alarm: six consonants in a row
+
+
 def test_secret_scan_of_long_texts():
     n, rng = secrets.Novelty(), random.Random(4)
     many = " ".join(f"key {''.join(rng.choices('abcdefghijkmnpqrstuvwxyz23456789', k=20))}" for _ in range(1000))
