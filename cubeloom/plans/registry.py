@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cubeloom.plans import assembly, assembly_sql, loader, loader_sql, queries, rasters, rasters_sql, sql
+from cubeloom.plans import assembly, assembly_sql, loader, loader_sql, queries, rasters, rasters_sql, sampling, sampling_sql, sql
 
-QUERIES = queries.QUERIES | assembly.QUERIES | rasters.QUERIES | loader.QUERIES
-SQL = sql.SQL | assembly_sql.SQL | rasters_sql.SQL | loader_sql.SQL
+QUERIES = queries.QUERIES | assembly.QUERIES | rasters.QUERIES | loader.QUERIES | sampling.QUERIES
+SQL = sql.SQL | assembly_sql.SQL | rasters_sql.SQL | loader_sql.SQL | sampling_sql.SQL
