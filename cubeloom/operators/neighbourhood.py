@@ -1,60 +1,13 @@
-"""Neighbourhood operators on dense tiles: blur, pyramid, similarity, distance."""
+"""Neighbourhood operators on cells: they build array tiles (``arrays``) and open them again."""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def gaussian(size: int, sigma: float) -> list[float]:
-    g = [math.exp(-((i - (size - 1) / 2) ** 2) / (2 * sigma**2)) for i in range(size)]
-    return [x / sum(g) for x in g]
-
-
-def slide(df: DataFrame, columns: list[str], kernel: list[float], part: list[str], along: str) -> DataFrame:
-    """Each column convolved with ``kernel`` along one axis, with zeros outside. Tiles must be dense."""
-    w, half = Window.partitionBy(*part).orderBy(along), len(kernel) // 2
-
-    def total(c):
-        out = None
-        for k, weight in enumerate(kernel):
-            shift = k - half
-            v = F.col(c) if shift == 0 else F.lag(c, -shift, 0.0).over(w) if shift < 0 else F.lead(c, shift, 0.0).over(w)
-            out = v * weight if out is None else out + v * weight
-        return out
-
-    return df.withColumns({c: total(c) for c in columns})
-
-
-def blur(df: DataFrame, columns: list[str], tile: list[str], size: int = 5, sigma: float = 1.0) -> DataFrame:
-    k = gaussian(size, sigma)
-    return slide(slide(df, columns, k, [*tile, "r"], "c"), columns, k, [*tile, "c"], "r")
-
-
-def downsample(df: DataFrame, columns: list[str], tile: list[str]) -> DataFrame:
-    """Half the resolution by means of two by two."""
-    half = lambda c: F.floor(F.col(c) / 2).cast("long").alias(c)
-    return df.groupBy(*tile, half("r"), half("c")).agg(*[F.avg(c).alias(c) for c in columns])
-
-
-def upsample(df: DataFrame, columns: list[str], tile: list[str], size: int, to: int) -> DataFrame:
-    """Bilinear to ``to`` by ``to`` from ``size`` by ``size``; corners are not aligned. Each source cell is sent to the few
-    targets that it reaches, so no join is needed."""
-    reach = lambda c: F.sequence(F.greatest(F.lit(0), F.ceil((F.col(c) - 1 + 0.5) * (to / size) - 0.5)).cast("long"), F.least(F.lit(to - 1), F.floor((F.col(c) + 1 + 0.5) * (to / size) - 0.5)).cast("long"))
-
-    def weight(target, cell):
-        place = F.greatest(F.lit(0.0), (target + 0.5) * (size / to) - 0.5)
-        low = F.floor(place)
-        high = F.least(low + 1, F.lit(size - 1))
-        part = place - low
-        return F.when(F.col(cell) == low, 1 - part).otherwise(0.0) + F.when(F.col(cell) == high, part).otherwise(0.0)
-
-    ends = lambda c: F.when(F.col(c) == 0, F.sequence(F.lit(0).cast("long"), F.lit(to - 1).cast("long"))).when(F.col(c) == size - 1, F.sequence(F.lit(0).cast("long"), F.lit(to - 1).cast("long"))).otherwise(reach(c))
-    sent = df.withColumn("tr", F.explode(ends("r"))).withColumn("_wr", weight(F.col("tr"), "r")).filter("_wr > 0")
-    sent = sent.withColumn("tc", F.explode(ends("c"))).withColumn("_wc", weight(F.col("tc"), "c")).filter("_wc > 0")
-    return sent.groupBy(*tile, F.col("tr").alias("r"), F.col("tc").alias("c")).agg(*[F.sum(F.col(c) * F.col("_wr") * F.col("_wc")).alias(c) for c in columns])
+from cubeloom.operators import arrays
 
 
 def mask_downsample(df: DataFrame, tile: list[str], mask: str = "m") -> DataFrame:
@@ -67,46 +20,30 @@ def pyramid_loss(df: DataFrame, tile: list[str], size: int, levels: int = 3, by:
     """``level, loss`` of masked mean absolute differences of two images' Laplacian bands (columns ``p, t, m``) in square
     tiles; the last level is the coarsest image itself. Levels without a valid cell lose 0. ``by``: columns of ``tile`` whose
     values are scored apart."""
-    images, masks = [df.select(*tile, "r", "c", "p", "t")], [df.select(*tile, "r", "c", "m")]
-    for _ in range(levels - 1):
-        images.append(downsample(blur(images[-1], ["p", "t"], tile), ["p", "t"], tile))
-        masks.append(mask_downsample(masks[-1], tile))
-    out = None
-    for i in range(levels):
-        band = images[i]
-        if i < levels - 1:
-            up = upsample(images[i + 1], ["p", "t"], tile, size >> (i + 1), size >> i).withColumnsRenamed({"p": "up", "ut": "ut", "t": "ut"})
-            band = band.join(up, [*tile, "r", "c"]).select(*tile, "r", "c", (F.col("p") - F.col("up")).alias("p"), (F.col("t") - F.col("ut")).alias("t"))
-        part = band.join(masks[i], [*tile, "r", "c"]).groupBy(*by).agg(F.coalesce(F.avg(F.when(F.col("m"), F.abs(F.col("p") - F.col("t")))), F.lit(0.0)).alias("loss")).withColumn("level", F.lit(i))
-        out = part if out is None else out.unionByName(part)
-    return out.select(*by, "level", "loss")
+    x = arrays.pyramid_parts(images(df, tile, size), size, levels).groupBy(*by).agg(*arrays.pyramid_levels(levels))
+    return x.select(*by, F.posexplode(F.array(*[f"level{i}" for i in range(levels)])).alias("level", "loss"))
+
+
+def images(df: DataFrame, tile: list[str], size: int) -> DataFrame:
+    """``tile, p, t, m`` as arrays of rows; missing values are 0, missing masks false."""
+    flat = arrays.packed(df, tile, size, {"p": 0.0, "t": 0.0, "m": False})
+    return flat.withColumns({c: arrays.as_rows(F.col(c), size) for c in "ptm"})
 
 
 def ssim(df: DataFrame, tile: list[str], size: int, kernel: int = 11, sigma: float = 1.5, data_range: float = 1.0) -> DataFrame:
     """Structural similarity of columns ``p, t`` a tile: the mean over the places whose window is within the tile."""
-    m = df.withColumns({"pp": F.col("p") * F.col("p"), "tt": F.col("t") * F.col("t"), "pt": F.col("p") * F.col("t")})
-    m = blur(m, ["p", "t", "pp", "tt", "pt"], tile, kernel, sigma)
-    c1, c2 = (0.01 * data_range) ** 2, (0.03 * data_range) ** 2
-    p, t = F.col("p"), F.col("t")
-    top = (2 * p * t + c1) * (2 * (F.col("pt") - p * t) + c2)
-    below = (p * p + t * t + c1) * (F.col("pp") - p * p + F.col("tt") - t * t + c2)
-    half = kernel // 2
-    inner = F.col("r").between(half, size - 1 - half) & F.col("c").between(half, size - 1 - half)
-    return m.filter(inner).groupBy(*tile).agg(F.avg(top / below).alias("ssim"))
+    flat = arrays.packed(df, tile, size, {"p": 0.0, "t": 0.0})
+    rows = flat.withColumns({c: arrays.as_rows(F.col(c), size) for c in "pt"})
+    return rows.select(*tile, arrays.similarity(F.col("p"), F.col("t"), size, kernel, sigma, data_range).alias("ssim"))
 
 
 def edge_distance(df: DataFrame, tile: list[str], size: int, valid: str = "m") -> DataFrame:
-    """``weight``: the exact distance of each valid cell to the nearest that is invalid or on the tile's border. Two
-    passes: to the nearest such cell in the column, then over the row's columns."""
-    edge = ~F.col(valid) | F.col("r").isin(0, size - 1) | F.col("c").isin(0, size - 1)
-    down = Window.partitionBy(*tile, "c").orderBy("r").rowsBetween(Window.unboundedPreceding, 0)
-    up = Window.partitionBy(*tile, "c").orderBy("r").rowsBetween(0, Window.unboundedFollowing)
-    at = F.when(edge, F.col("r"))
-    g = F.least(F.col("r") - F.last(at, ignorenulls=True).over(down), F.first(at, ignorenulls=True).over(up) - F.col("r"))
-    row = Window.partitionBy(*tile, "r")
-    d = df.withColumn("_g", g).withColumn("_row", F.collect_list(F.struct("c", "_g")).over(row))
-    best = F.array_min(F.transform("_row", lambda x: (x["c"] - F.col("c")) * (x["c"] - F.col("c")) + x["_g"] * x["_g"]))
-    return d.withColumn("weight", F.when(F.col(valid), F.sqrt(best.cast("double"))).otherwise(0.0)).drop("_g", "_row")
+    """``weight`` of each cell of each tile: the exact distance of a valid cell to the nearest that is invalid, missing or on
+    the tile's border, else 0. Other columns are kept; those of missing cells are null."""
+    kept = [c for c in df.columns if c not in (*tile, "r", "c")]
+    flat = arrays.packed(df, tile, size, {c: False if c == valid else None for c in kept})
+    cells = arrays.edge_weights(flat, size, valid).select(*tile, F.posexplode(F.arrays_zip(*kept, "weight")).alias("_at", "_cell"))
+    return cells.select(*tile, F.expr(f"cast(_at div {size} as bigint)").alias("r"), (F.col("_at") % size).cast("long").alias("c"), *[F.col("_cell")[c].alias(c) for c in (*kept, "weight")])
 
 
 def hexagon(x, y, size: float):

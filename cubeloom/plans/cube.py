@@ -88,9 +88,3 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = tensor(spark, sf_dir).filter(F.col("t").isNotNull()).select("tile", F.posexplode(F.arrays_zip("p", "t")).alias("pos", "v"))
     place = (F.expr("cast(pos div 8 as bigint)").alias("r"), (F.col("pos") % 8).cast("long").alias("c"))
     return e.select("tile", *place, F.col("v.p").cast("double").alias("p"), F.col("v.t").cast("double").alias("t"))
-
-
-def single_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``tile, r, c, p`` of every embedding."""
-    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("tile"), F.posexplode("embedding").alias("pos", "v"))
-    return e.select("tile", F.expr("cast(pos div 8 as bigint)").alias("r"), (F.col("pos") % 8).cast("long").alias("c"), F.col("v").cast("double").alias("p"))

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from cubeloom.functions import encoders
 from cubeloom.functions.histogram import REPORT_EDGES
-from cubeloom.operators import convlstm, metrics, neighbourhood, pixel, tiles
-from cubeloom.plans.cube import CHIP, WIDTH, YEARS, cube, height, horizons, images, long_layers, placed, scored, single_images, statics, table, wide
-from cubeloom.session import cut
+from cubeloom.operators import arrays, convlstm, metrics, neighbourhood, pixel, tiles
+from cubeloom.plans.cube import CHIP, WIDTH, YEARS, cube, height, horizons, images, long_layers, placed, scored, statics, table, tensor, wide
+from cubeloom.session import stored
 
 col = F.col
 X0, Y0, DX = -180.0, 90.0, 360.0 / WIDTH
@@ -308,10 +308,10 @@ def fallback_stats(s, d):
     return e.select(F.coalesce("m", F.lit(0.0)).alias("mean"), F.coalesce("x", F.lit(1.0)).alias("std"))
 
 
-def changes(s, d):
-    h = F.broadcast(height(s, d))
-    x = tiles.with_chip(scored(s, d).crossJoin(h), CHIP, col("height"), WIDTH)
-    return x.withColumns({"dp": F.round(col("pred") - col("last"), 6), "dt": F.round(col("target") - col("last"), 6)})
+def changes(s, d, every=None):
+    """The changes in whole chips, of ``every`` change if they are at hand."""
+    x = all_changes(s, d) if every is None else every
+    return tiles.with_chip(x.crossJoin(F.broadcast(height(s, d))), CHIP, col("height"), WIDTH)
 
 
 def change_histogram(s, d):
@@ -340,11 +340,11 @@ def rarity_weights(s, d):
     return rounded(metrics.rarity(metrics.histogram(all_changes(s, d), col("dt"), ["h"]), ["h"]).drop("n"), "weight")
 
 
-def chip_wasserstein(s, d):
+def chip_wasserstein(s, d, every=None):
     """``ci, cj, h, w2``: the distance of each chip's two histograms of changes."""
     keys = ["ci", "cj", "h"]
-    both = metrics.paired_proportions(changes(s, d), col("dt"), col("dp"), keys)
-    weights = F.broadcast(metrics.rarity(metrics.histogram(all_changes(s, d), col("dt"), ["h"]), ["h"]).select("h", "bin", "weight"))
+    both = metrics.paired_proportions(changes(s, d, every), col("dt"), col("dp"), keys)
+    weights = F.broadcast(metrics.rarity(metrics.histogram(all_changes(s, d) if every is None else every, col("dt"), ["h"]), ["h"]).select("h", "bin", "weight"))
     return metrics.wasserstein_of(both, keys, weights, ["h"])
 
 
@@ -369,30 +369,35 @@ def interval_coverage(s, d):
     return x.groupBy("h").agg(r9(metrics.coverage(col("lower"), col("target"), col("upper"))).alias("coverage"), F.count("*").alias("n"))
 
 
+def losses_of(x):
+    return x.groupBy("h").agg(metrics.mse(col("pred"), col("target")).alias("mse"), metrics.mae(col("pred"), col("target")).alias("mae"), metrics.pinball(col("lower"), col("target"), 0.025).alias("pin_l"), metrics.pinball(col("upper"), col("target"), 0.975).alias("pin_u"))
+
+
 def horizon_losses(s, d):
-    return scored(s, d).groupBy("h").agg(metrics.mse(col("pred"), col("target")).alias("mse"), metrics.mae(col("pred"), col("target")).alias("mae"), metrics.pinball(col("lower"), col("target"), 0.025).alias("pin_l"), metrics.pinball(col("upper"), col("target"), 0.975).alias("pin_u"))
+    return losses_of(scored(s, d))
 
 
 def macro_average_losses(s, d):
     return rounded(metrics.macro(horizon_losses(s, d), 4, ["mse", "mae", "pin_l", "pin_u"]), "mse", "mae", "pin_l", "pin_u")
 
 
-def spatial_losses(s, d):
-    """``h, ssim, lap``: losses of the whole chips that have a scored cell, with 0 where a horizon has none."""
-    x = changes(s, d).select("h", "ci", "cj", (col("r") % CHIP).alias("r"), (col("c") % CHIP).alias("c"), col("pred").alias("p"), col("target").alias("t"), F.lit(True).alias("m"))
-    side = F.sequence(F.lit(0).cast("long"), F.lit(CHIP - 1).cast("long"))
-    cells = x.select("h", "ci", "cj").distinct().withColumn("r", F.explode(side)).withColumn("c", F.explode(side))
-    # cut, as ten branches read it and each would plan all layers anew
-    dense = cut(cells.join(x, ["h", "ci", "cj", "r", "c"], "left").fillna(0.0, ["p", "t"]).fillna(False, ["m"]))
-    chip = ["h", "ci", "cj"]
-    alike = neighbourhood.ssim(dense, chip, CHIP).groupBy("h").agg((1 - F.avg("ssim")).alias("ssim"))
-    return alike.join(neighbourhood.pyramid_loss(dense, chip, CHIP, by=("h",)).groupBy("h").agg(F.avg("loss").alias("lap")), "h")
+def spatial_losses(s, d, every=None):
+    """``h, ssim, lap``: losses of the whole chips that have a scored cell, with 0 where a horizon has none. A chip is built
+    once, and both losses come from its row."""
+    x = changes(s, d, every).select("h", "ci", "cj", (col("r") % CHIP).alias("r"), (col("c") % CHIP).alias("c"), col("pred").alias("p"), col("target").alias("t"), F.lit(True).alias("m"))
+    chips = neighbourhood.images(x, ["h", "ci", "cj"], CHIP)
+    each = arrays.pyramid_parts(chips.withColumn("ssim", arrays.similarity(col("p"), col("t"), CHIP)), CHIP)
+    both = each.groupBy("h").agg((1 - F.avg("ssim")).alias("ssim"), *arrays.pyramid_levels())
+    return both.select("h", "ssim", ((col("level0") + col("level1") + col("level2")) / 3).alias("lap"))
 
 
 def weighted_losses(s, d):
-    """The losses of each horizon, and ``spatial``: SSIM, Laplacian and histogram losses by the reference's weights."""
+    """The losses of each horizon, and ``spatial``: SSIM, Laplacian and histogram losses by the reference's weights. All of
+    them read the changes, which are stored once."""
+    every = stored(all_changes(s, d))
     spatial = 2.0 * col("ssim") + 1.0 * col("lap") + 0.67 * col("w2")
-    return horizon_losses(s, d).join(wasserstein_histogram(s, d), "h").join(spatial_losses(s, d), "h").withColumn("spatial", spatial)
+    wasserstein = chip_wasserstein(s, d, every).groupBy("h").agg(F.round(F.avg("w2"), 8).alias("w2"))
+    return losses_of(every).join(wasserstein, "h").join(spatial_losses(s, d, every), "h").withColumn("spatial", spatial)
 
 
 def composite_loss(s, d):
@@ -469,16 +474,22 @@ def linear_head(s, d):
 
 # neighbourhoods
 
+def embedded(s, d):
+    """``tile, p``: each embedding as an image of eight by eight, in rows."""
+    flat = F.transform("embedding", lambda v: v.cast("double"))
+    return table(s, d, "embeddings").select(col("vec_id").alias("tile"), arrays.as_rows(flat, 8).alias("p"))
+
+
 def gaussian_blur(s, d):
-    return rounded(neighbourhood.blur(single_images(s, d), ["p"], ["tile"]), "p")
+    return rounded(arrays.opened(embedded(s, d).withColumn("p", arrays.blurred(col("p"), 8)), ["tile"], "p", 8), "p")
 
 
 def downsample2x(s, d):
-    return rounded(neighbourhood.downsample(single_images(s, d), ["p"], ["tile"]), "p")
+    return rounded(arrays.opened(embedded(s, d).withColumn("p", arrays.halved(col("p"), 8)), ["tile"], "p", 4), "p")
 
 
 def upsample_bilinear(s, d):
-    return rounded(neighbourhood.upsample(neighbourhood.downsample(single_images(s, d), ["p"], ["tile"]), ["p"], ["tile"], 4, 8), "p")
+    return rounded(arrays.opened(embedded(s, d).withColumn("p", arrays.enlarged(arrays.halved(col("p"), 8), 4, 8)), ["tile"], "p", 8), "p")
 
 
 def mask_downsample(s, d):
@@ -486,8 +497,11 @@ def mask_downsample(s, d):
 
 
 def laplacian_pyramid(s, d):
-    x = images(s, d).withColumn("m", col("p") + col("t") > -0.1)
-    return neighbourhood.pyramid_loss(x, ["tile"], 8).agg(r9(F.avg("loss")).alias("loss"))
+    # the images are arrays as they are read: nothing is shuffled to build a tile
+    x = tensor(s, d).filter("t is not null").withColumns({c: arrays.as_rows(F.transform(c, lambda v: v.cast("double")), 8) for c in "pt"})
+    x = x.withColumn("m", arrays.paired(col("p"), col("t"), lambda a, b: a + b > -0.1))
+    each = arrays.pyramid_parts(x, 8).agg(*arrays.pyramid_levels())
+    return each.select(r9((col("level0") + col("level1") + col("level2")) / 3).alias("loss"))
 
 
 def dense_chips(s, d):
@@ -510,11 +524,8 @@ def tile_weights(s, d):
     """Overlapping tiles with the exact distance of their valid cells to the nearest invalid or border cell: at a border 0,
     inwards more. A cell is valid if its first and its last year are."""
     x = tiles.explode_tiles(wide(s, d).select("pid", "r", "c", "y1990", "y2020"), TILE, STRIDE)
-    side = F.sequence(F.lit(0).cast("long"), F.lit(TILE - 1).cast("long"))
-    cells = x.select("ti", "tj").distinct().withColumn("r", F.explode(side)).withColumn("c", F.explode(side))
     own = x.select("pid", "ti", "tj", (col("r") - col("ti")).alias("r"), (col("c") - col("tj")).alias("c"), col("y2020").alias("v"), pixel.all_finite([col("y1990"), col("y2020")]).alias("m"))
-    dense = cells.join(own, ["ti", "tj", "r", "c"], "left").fillna(False, ["m"])
-    return neighbourhood.edge_distance(dense, ["ti", "tj"], TILE).filter(col("pid").isNotNull()).withColumnRenamed("weight", "w")
+    return neighbourhood.edge_distance(own, ["ti", "tj"], TILE).filter(col("pid").isNotNull()).withColumnRenamed("weight", "w")
 
 
 def weighted_blend(s, d):

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cubeloom.functions import encoders
 from cubeloom.functions.histogram import bin_of, midpoints, widths
-from cubeloom.operators import convlstm, metrics, neighbourhood, networks, pixel, predictor, tiles
+from cubeloom.operators import arrays, convlstm, metrics, neighbourhood, networks, pixel, predictor, tiles
 from cubeloom.plans import queries
 from cubeloom.sources import catalog, layers, options, raster, regions, weights
 from cubeloom.streaming import incremental
@@ -56,7 +56,7 @@ def test_rarity(spark):
 
 
 def test_kernel():
-    assert neighbourhood.gaussian(5, 1.0) == pytest.approx([0.05448868, 0.24420134, 0.40261995, 0.24420134, 0.05448868], abs=1e-8)
+    assert arrays.gaussian(5, 1.0) == pytest.approx([0.05448868, 0.24420134, 0.40261995, 0.24420134, 0.05448868], abs=1e-8)
 
 
 def grid(spark, n, p, t, m=lambda r, c: True):
