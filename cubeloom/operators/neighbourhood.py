@@ -20,21 +20,18 @@ def pyramid_loss(df: DataFrame, tile: list[str], size: int, levels: int = 3, by:
     """``level, loss`` of masked mean absolute differences of two images' Laplacian bands (columns ``p, t, m``) in square
     tiles; the last level is the coarsest image itself. Levels without a valid cell lose 0. ``by``: columns of ``tile`` whose
     values are scored apart."""
-    x = arrays.pyramid_parts(images(df, tile, size), size, levels).groupBy(*by).agg(*arrays.pyramid_levels(levels))
+    x = arrays.with_pyramid(images(df, tile, size), size, levels).groupBy(*by).agg(*arrays.pyramid_levels(levels))
     return x.select(*by, F.posexplode(F.array(*[f"level{i}" for i in range(levels)])).alias("level", "loss"))
 
 
 def images(df: DataFrame, tile: list[str], size: int) -> DataFrame:
-    """``tile, p, t, m`` as arrays of rows; missing values are 0, missing masks false."""
-    flat = arrays.packed(df, tile, size, {"p": 0.0, "t": 0.0, "m": False})
-    return flat.withColumns({c: arrays.as_rows(F.col(c), size) for c in "ptm"})
+    """``tile, p, t, m`` as flat arrays; missing values are 0, missing masks false."""
+    return arrays.packed(df, tile, size, {"p": 0.0, "t": 0.0, "m": False})
 
 
 def ssim(df: DataFrame, tile: list[str], size: int, kernel: int = 11, sigma: float = 1.5, data_range: float = 1.0) -> DataFrame:
     """Structural similarity of columns ``p, t`` a tile: the mean over the places whose window is within the tile."""
-    flat = arrays.packed(df, tile, size, {"p": 0.0, "t": 0.0})
-    rows = flat.withColumns({c: arrays.as_rows(F.col(c), size) for c in "pt"})
-    return rows.select(*tile, arrays.similarity(F.col("p"), F.col("t"), size, kernel, sigma, data_range).alias("ssim"))
+    return arrays.with_similarity(arrays.packed(df, tile, size, {"p": 0.0, "t": 0.0}), size, kernel, sigma, data_range).select(*tile, "ssim")
 
 
 def edge_distance(df: DataFrame, tile: list[str], size: int, valid: str = "m") -> DataFrame:

@@ -386,7 +386,7 @@ def spatial_losses(s, d, every=None):
     once, and both losses come from its row."""
     x = changes(s, d, every).select("h", "ci", "cj", (col("r") % CHIP).alias("r"), (col("c") % CHIP).alias("c"), col("pred").alias("p"), col("target").alias("t"), F.lit(True).alias("m"))
     chips = neighbourhood.images(x, ["h", "ci", "cj"], CHIP)
-    each = arrays.pyramid_parts(chips.withColumn("ssim", arrays.similarity(col("p"), col("t"), CHIP)), CHIP)
+    each = arrays.with_pyramid(arrays.with_similarity(chips, CHIP), CHIP)
     both = each.groupBy("h").agg((1 - F.avg("ssim")).alias("ssim"), *arrays.pyramid_levels())
     return both.select("h", "ssim", ((col("level0") + col("level1") + col("level2")) / 3).alias("lap"))
 
@@ -474,22 +474,22 @@ def linear_head(s, d):
 
 # neighbourhoods
 
-def embedded(s, d):
-    """``tile, p``: each embedding as an image of eight by eight, in rows."""
-    flat = F.transform("embedding", lambda v: v.cast("double"))
-    return table(s, d, "embeddings").select(col("vec_id").alias("tile"), arrays.as_rows(flat, 8).alias("p"))
+def filtered_images(s, d, of, size):
+    """Each embedding, an image of eight by eight, after a filter. Nothing is shuffled: a row is a tile."""
+    e = table(s, d, "embeddings").filter("embedding is not null").select(col("vec_id").alias("tile"), F.transform("embedding", lambda v: v.cast("double")).alias("x"))
+    return rounded(arrays.opened(arrays.on_images(e, 8, of, ["x"], "p"), ["tile"], "p", size), "p")
 
 
 def gaussian_blur(s, d):
-    return rounded(arrays.opened(embedded(s, d).withColumn("p", arrays.blurred(col("p"), 8)), ["tile"], "p", 8), "p")
+    return filtered_images(s, d, arrays.blurred, 8)
 
 
 def downsample2x(s, d):
-    return rounded(arrays.opened(embedded(s, d).withColumn("p", arrays.halved(col("p"), 8)), ["tile"], "p", 4), "p")
+    return filtered_images(s, d, arrays.halved, 4)
 
 
 def upsample_bilinear(s, d):
-    return rounded(arrays.opened(embedded(s, d).withColumn("p", arrays.enlarged(arrays.halved(col("p"), 8), 4, 8)), ["tile"], "p", 8), "p")
+    return filtered_images(s, d, lambda x: arrays.enlarged(arrays.halved(x)), 8)
 
 
 def mask_downsample(s, d):
@@ -498,9 +498,9 @@ def mask_downsample(s, d):
 
 def laplacian_pyramid(s, d):
     # the images are arrays as they are read: nothing is shuffled to build a tile
-    x = tensor(s, d).filter("t is not null").withColumns({c: arrays.as_rows(F.transform(c, lambda v: v.cast("double")), 8) for c in "pt"})
-    x = x.withColumn("m", arrays.paired(col("p"), col("t"), lambda a, b: a + b > -0.1))
-    each = arrays.pyramid_parts(x, 8).agg(*arrays.pyramid_levels())
+    x = tensor(s, d).filter("p is not null and t is not null").withColumns({c: F.transform(c, lambda v: v.cast("double")) for c in "pt"})
+    x = x.withColumn("m", F.zip_with("p", "t", lambda a, b: a + b > -0.1))
+    each = arrays.with_pyramid(x, 8).agg(*arrays.pyramid_levels())
     return each.select(r9((col("level0") + col("level1") + col("level2")) / 3).alias("loss"))
 
 
