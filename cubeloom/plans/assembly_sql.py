@@ -52,7 +52,13 @@ round(-180.0::DOUBLE + (b.v * 16 + j.v + 0.5::DOUBLE) * 5.625::DOUBLE, 9) AS lon
 FROM hh CROSS JOIN (SELECT unnest(range(0, 100000)) AS v) a CROSS JOIN (SELECT unnest(range(4)) AS v) b CROSS JOIN (SELECT unnest(range(16)) AS v) i CROSS JOIN (SELECT unnest(range(16)) AS v) j
 LEFT JOIN wide w ON w.r = a.v * 16 + i.v AND w.c = b.v * 16 + j.v LEFT JOIN st USING (pid) WHERE a.v < height // 16),
 k0 AS (SELECT *, {place[0]} AS lo, {place[1]} AS la, 0.0::DOUBLE AS z FROM mc)"""
-    steps, source = [cells], "k0"
+    steps, source, values = unrolled("k0")
+    return q(f"SELECT ci, cj, r, c, unnest(range(12)) AS channel, unnest([{', '.join(fix(v, 6) for v in values)}]) AS pred FROM {source}", ", ".join([cells, *steps]))
+
+
+def unrolled(source: str) -> tuple[list[str], str, list[str]]:
+    """Steps, the last one's name and its twelve outputs, from columns ``x0, x1, x2, e, t, lo, la`` and ``z``, a zero."""
+    steps = []
     sigmoid = lambda x: f"(1 / (1 + exp(-{x})))"
     for k in range(2):
         for t in range(3):
@@ -69,8 +75,8 @@ k0 AS (SELECT *, {place[0]} AS lo, {place[1]} AS la, 0.0::DOUBLE AS z FROM mc)""
         for name in ("lower", "central", "upper"):
             width = 2 if name == "central" else 1
             inner = [f"greatest({product(f'{name}{h}_a', i, last, f'{name}{h}_a_bias')}, 0.0::DOUBLE)" for i in range(width)]
-            values.append(fix(product(f"{name}{h}_b", 0, inner, f"{name}{h}_b_bias"), 6))
-    return q(f"SELECT ci, cj, r, c, unnest(range(12)) AS channel, unnest([{', '.join(values)}]) AS pred FROM {source}", ", ".join(steps))
+            values.append(product(f"{name}{h}_b", 0, inner, f"{name}{h}_b_bias"))
+    return steps, source, values
 
 
 LAYER_YEARS = ", ".join(f"round(max({v}) FILTER (yr = {y}), 9) AS {v}_{y}" for v in ("hm", "ag", "ti", "gdp") for y in (1990, 1995, 2000))
