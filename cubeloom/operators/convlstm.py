@@ -30,12 +30,22 @@ class Weights:
         return Weights(rng.normal(0, 0.2, (4 * hidden, channels + hidden, 3, 3)), rng.normal(0, 0.1, 4 * hidden), rng.normal(0, 0.2, (outputs, hidden, 3, 3)), rng.normal(0, 0.1, outputs))
 
 
+def dense(column: pa.ChunkedArray, depth: int) -> np.ndarray:
+    """Nested lists of equal lengths as an array of ``depth`` more dimensions, without a Python object a number."""
+    flat, sizes = column.combine_chunks(), [len(column)]
+    for _ in range(depth):
+        before, flat = len(flat), flat.flatten()
+        sizes.append(len(flat) // max(before, 1))
+    return flat.to_numpy(zero_copy_only=False).reshape(sizes)
+
+
 def conv(x: np.ndarray, kernel: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    """A convolution (channels first) with zeros outside, as one product over shifted views."""
+    """A convolution (channels, rows, columns; any axes before them are tiles) with zeros outside, as one product over shifted
+    views."""
     half = kernel.shape[-1] // 2
-    padded = np.pad(x, ((0, 0), (half, half), (half, half)))
-    views = np.lib.stride_tricks.sliding_window_view(padded, kernel.shape[-2:], axis=(1, 2))
-    return np.einsum("chwij,ocij->ohw", views, kernel, optimize=True) + bias[:, None, None]
+    padded = np.pad(x, (*[(0, 0)] * (x.ndim - 2), (half, half), (half, half)))
+    views = np.lib.stride_tricks.sliding_window_view(padded, kernel.shape[-2:], axis=(-2, -1))
+    return np.einsum("...chwij,ocij->...ohw", views, kernel, optimize=True) + bias[:, None, None]
 
 
 def step(x: np.ndarray, h: np.ndarray, c: np.ndarray, w: Weights) -> tuple[np.ndarray, np.ndarray]:
@@ -60,7 +70,7 @@ def predict(cells: DataFrame, tile: list[str], size: int, weights: Weights) -> D
     kinds = [cells.schema[c].dataType.simpleString() for c in tile]
 
     def run(table: pa.Table) -> pa.Table:
-        x = np.array(table.column("x").to_pylist())
+        x = dense(table.column("x"), 2)
         r, c = table.column("r").to_numpy(), table.column("c").to_numpy()
         image = np.zeros((x.shape[1], x.shape[2], size, size))
         image[:, :, r, c] = x.transpose(1, 2, 0)

@@ -13,13 +13,15 @@ from cubeloom.operators.arrays import bound, count_to, edge_distances, on_images
 from cubeloom.operators.tiles import explode_tiles
 
 Weights = dict[str, np.ndarray]
+#: About how many cells the model sees at once: its memory is bounded by them.
+CELLS = 1 << 15
 
 
 def predict_region(pixels: DataFrame, window: DataFrame, size: int, stride: int, dynamic: list[list[str]], static: list[str], weights: Weights, run_model: Callable[[np.ndarray, Weights], np.ndarray], outputs: int) -> DataFrame:
     """``r, c, v, weight``: the ``outputs`` values of each pixel that a tile reaches with a weight above 0.
 
     ``pixels``: ``r, c, valid, complete``, scaled channels ``dynamic`` (a list a time) and ``static``; missing channels are 0 to
-    the model. ``window`` is one row ``r0, r1, c0, c1``: tiles start at its corner, those at its far edges are shortened and
+    the model, which takes images by time, tile, channel, row and column. ``window`` is one row ``r0, r1, c0, c1``: tiles start at its corner, those at its far edges are shortened and
     padded with 0, and pixels outside are left out. Only valid pixels have weights; those that are not ``complete`` have null
     values. Tiles without a valid pixel are dropped before the model. A tile is one row, so that one exchange feeds model and
     weights and a second one blends.
@@ -36,13 +38,15 @@ def predict_region(pixels: DataFrame, window: DataFrame, size: int, stride: int,
     tiles = packed(x, ["ti", "tj", "r0", "c0"], size, {"_inner": 0.0, "_complete": 0.0, **{n: 0.0 for n in names}})
     tiles = tiles.filter(F.array_contains("_inner", 1.0))
 
+    together = max(1, CELLS // size**2)
+
     def run(inner: np.ndarray, complete: np.ndarray, *channels: np.ndarray) -> np.ndarray:
         of = dict(zip(names, channels, strict=True))
         away = edge_distances(inner > 0)
         out = np.empty((len(inner), size, size, outputs + 1))
-        for k in range(len(inner)):
-            image = np.stack([np.stack([of[n][k] for n in (*step, *static)]) for step in dynamic])
-            out[k, ..., :outputs] = np.moveaxis(run_model(image, weights), 0, -1)
+        for k in range(0, len(inner), together):
+            image = np.stack([np.stack([of[n][k : k + together] for n in (*step, *static)], axis=1) for step in dynamic])
+            out[k : k + together, ..., :outputs] = np.moveaxis(run_model(image, weights), -3, -1)
         out[complete == 0, :outputs] = np.nan
         out[..., outputs] = away
         return out

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from cubeloom.operators.convlstm import conv
+from cubeloom.operators.convlstm import conv, dense
 from cubeloom.session import ship
 
 HEADS = ("lower", "central", "upper")
@@ -36,16 +36,16 @@ def drawn(seed: int, **sizes: int) -> Weights:
 
 
 def forward(x: np.ndarray, w: Weights) -> np.ndarray:
-    """``x``: time, channels, rows, columns. Lower, central and upper of each horizon, in this order, from the last state of
+    """``x``: time, channels, rows, columns, or time, tiles, channels, rows, columns. Lower, central and upper of each horizon, in this order, from the last state of
     the last layer; all first states are zero."""
     sigmoid = lambda v: 1 / (1 + np.exp(-v))
     k = 0
     while f"gates{k}" in w:
         gates, bias = w[f"gates{k}"], w[f"gates{k}_bias"]
-        h = c = np.zeros((len(bias) // 4, *x.shape[-2:]))
+        h = c = np.zeros((*x.shape[1:-3], len(bias) // 4, *x.shape[-2:]))
         states = []
         for t in x:
-            i, f, o, g = np.split(conv(np.concatenate([t, h]), gates, bias), 4)
+            i, f, o, g = np.split(conv(np.concatenate([t, h], axis=-3), gates, bias), 4, axis=-3)
             c = sigmoid(f) * c + sigmoid(i) * np.tanh(g)
             h = sigmoid(o) * np.tanh(c)
             states.append(h)
@@ -54,9 +54,9 @@ def forward(x: np.ndarray, w: Weights) -> np.ndarray:
     while f"central{horizon}_a" in w:
         for name in (f"{n}{horizon}" for n in HEADS):
             inner = np.maximum(conv(x[-1], w[f"{name}_a"], w[f"{name}_a_bias"]), 0)
-            out.append(conv(inner, w[f"{name}_b"], w[f"{name}_b_bias"])[0])
+            out.append(conv(inner, w[f"{name}_b"], w[f"{name}_b_bias"])[..., 0, :, :])
         horizon += 1
-    return np.stack(out)
+    return np.stack(out, axis=-3)
 
 
 def predict(cells: DataFrame, tile: list[str], size: int, weights: Weights, run_model: Callable[[np.ndarray, Weights], np.ndarray] = forward) -> DataFrame:
@@ -67,7 +67,7 @@ def predict(cells: DataFrame, tile: list[str], size: int, weights: Weights, run_
     kinds = [cells.schema[c].dataType.simpleString() for c in tile]
 
     def run(table: pa.Table) -> pa.Table:
-        x, s = np.array(table.column("x").to_pylist()), np.array(table.column("s").to_pylist())
+        x, s = dense(table.column("x"), 2), dense(table.column("s"), 1)
         x = np.concatenate([x, np.repeat(s[:, None], x.shape[1], axis=1)], axis=2)
         r, c = table.column("r").to_numpy(), table.column("c").to_numpy()
         image = np.zeros((x.shape[1], x.shape[2], size, size))
