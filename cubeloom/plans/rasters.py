@@ -63,9 +63,10 @@ def supplier_points(s, d):
 def region_scanline(s, d):
     """The pixels inside every supplier's polygon and outside its hole."""
     h = F.broadcast(height(s, d).withColumn("dy", -180.0 / col("height")))
-    sides = regions.edges(supplier_points(s, d), ["region"]).crossJoin(h)
-    runs = regions.spans(regions.crossings(sides, ["region"], regions.Grid(X0, Y0, DX, "dy"), col("height")), ["region"], regions.Grid(X0, Y0, DX, "dy"), WIDTH)
-    return regions.inside(placed(cube(s, d).select("pid").distinct()), runs, ["region"], 16).select("pid", "region")
+    # a supplier's edges are made and dealt to bands of rows where its points are
+    sides = regions.edges(supplier_points(s, d).repartition(64, "region"), ["region"]).crossJoin(h)
+    pixels = placed(cube(s, d).select("pid").distinct()).crossJoin(h)
+    return regions.within(pixels, sides, ["region"], ["pid"], regions.Grid(X0, Y0, DX, "dy"), col("height"), WIDTH)
 
 
 def region_holes(s, d):

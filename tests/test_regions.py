@@ -73,3 +73,41 @@ def test_scan_lines(spark):
     want = {(k, int(r), int(c)) for k in [*range(0, 1500, 10), 1500, 1501] for r, c in np.argwhere(inside(shapes[k], x, y))}
     assert {g for g in got if g[0] % 10 == 0 or g[0] >= 1500} == want and len(want) > 3000
     assert regions.inside(pixels, runs.limit(0), ["region"]).isEmpty()
+
+
+def test_polygons_meet_pixels_by_bands(spark):
+    """The same pairs as by scan lines, of pixels that are missing, doubled or outside the grid too."""
+    rng = np.random.default_rng(5)
+    h, w = 50, 40
+    rings = [(k, j, i, float(x), float(y)) for k in range(60) for j in range(1 + k % 2) for i, (x, y) in enumerate(rng.uniform((-25, -18), (25, 18), 2) + rng.uniform(-15, 15, (3 + k % 5, 2)))]
+    points = spark.createDataFrame(rings, "region long, ring int, point int, x double, y double")
+    cells = [(i, int(r), int(c)) for i, (r, c) in enumerate(rng.integers((-2, -2), (h + 2, w + 2), (1500, 2)))]
+    pixels = spark.createDataFrame(cells, "pid long, r long, c long")
+    sides = regions.edges(points, ["region"])
+    grid = regions.Grid(-20.0, 15.0, 1.0, -0.6)
+    runs = regions.spans(regions.crossings(sides, ["region"], grid, F.lit(h)), ["region"], grid, w)
+    want = sorted(tuple(x) for x in regions.inside(pixels, runs, ["region"], 16).select("pid", "region").collect())
+    for block, bands, parts in ((16, 256, 4), (7, 2, 1), (64, 1, 3)):
+        got = regions.within(pixels, sides, ["region"], ["pid"], grid, F.lit(h), w, block, bands, parts, 5)
+        assert sorted(tuple(x) for x in got.collect()) == want and len(want) > 3000
+    assert regions.within(pixels, sides.limit(0), ["region"], ["pid"], grid, F.lit(h), w).isEmpty()
+    assert regions.within(pixels.limit(0), sides, ["region"], ["pid"], grid, F.lit(h), w).isEmpty()
+
+
+def shuffled_rows(spark) -> int:
+    """Rows written to all shuffles of this session so far."""
+    jvm, store = spark._jvm, spark.sparkContext._jsc.sc().statusStore()
+    stages = store.stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_tall_grids_shuffle_no_crossings(spark, sf, tmp_path):
+    """Two pixels far apart, on a grid of 50,001 rows: a polygon's rows are not shuffled."""
+    from cubeloom.plans.rasters import region_scanline
+
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").limit(1)
+    lines.crossJoin(spark.createDataFrame([(0,), (4 * 64 * 50_000,)], "k long")).withColumn("l_orderkey", F.col("k")).drop("k").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.read.parquet(f"{sf}/supplier.parquet").limit(10).write.parquet(f"{tmp_path}/supplier.parquet")
+    before = shuffled_rows(spark)
+    assert {r["pid"] for r in region_scanline(spark, str(tmp_path)).collect()} <= {0, 64 * 50_000}
+    assert shuffled_rows(spark) - before < 20_000
