@@ -348,3 +348,10 @@ def test_losses_hold_all_terms(spark):
     for h in got:
         assert got[h] == pytest.approx(each[h]["mse"] + each[h]["pin_l"] + each[h]["pin_u"] + 0.67 * w2[h] + spatial[h], abs=1e-6)
     assert queries.sweep_objective(spark, sf).first()[0] == pytest.approx(np.mean([each[h]["mse"] + 0.67 * w2[h] + spatial[h] for h in got]), abs=1e-6)
+
+
+def test_sweep_grid_is_one_task(spark):
+    from cubeloom.plans.queries import sweep_grid
+
+    grid = sweep_grid(spark, "/nowhere")
+    assert grid.rdd.getNumPartitions() == 1 and len({tuple(r) for r in grid.collect()}) == 36
