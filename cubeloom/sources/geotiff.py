@@ -32,6 +32,8 @@ PIXELS = "file string, layer string, yr int, r long, c long, v double"
 NAMES = [r"HM_(?P<yr>[0-9]{4})_(?P<layer>.+)_1000\.tiff?", r"hm_static_(?P<layer>.+)_1000\.tiff?", r"prediction_(?P<yr>[0-9]{4})_(?P<layer>[^_]+)_blended\.tiff?"]
 COMPRESSIONS = {"none": blocks.NONE, "lzw": blocks.LZW, "deflate": blocks.DEFLATE}
 EVERY = (0, 1 << 62)
+#: Pixels of the blocks that one task reads, unless their number is given.
+TASK_PIXELS = 1 << 18
 
 
 def system(path: str) -> tuple[fs.FileSystem, str]:
@@ -57,7 +59,7 @@ class Blocks(InputPartition):
 
 class Reader(DataSourceReader):
     def __init__(self, options: dict):
-        self.path, self.most = options["path"], int(options.get("blocks", "16"))
+        self.path, self.most = options["path"], int(options.get("blocks", "0"))
         self.window = {"r": EVERY, "c": EVERY}
         self.chosen: list[tuple[str, set]] = []
         self.years = EVERY
@@ -99,8 +101,9 @@ class Reader(DataSourceReader):
             with files.open_input_file(p) as f:
                 h = blocks.header(lambda at, size, f=f: f.read_at(size, at))
             numbers = h.meeting(self.window["r"], self.window["c"])
-            for i in range(0, len(numbers), self.most):
-                part = numbers[i : i + self.most]
+            most = self.most or max(1, TASK_PIXELS // (h.block[0] * h.block[1]))
+            for i in range(0, len(numbers), most):
+                part = numbers[i : i + most]
                 # a partition carries the offsets of its own blocks only
                 offsets, sizes = ({k: x[k] for k in part} for x in (h.offsets, h.sizes))
                 out.append(Blocks(p, blocks.Header(**{**h.__dict__, "offsets": offsets, "sizes": sizes}), part))
@@ -133,7 +136,7 @@ class Written(WriterCommitMessage):
 
 
 class Writer(DataSourceArrowWriter):
-    """Rows ``file, k, raw, sizes``, each file's together and in order."""
+    """Rows ``file, k, raw, sizes``, each file's together and in order; the first of a file has the sizes of all its blocks."""
 
     def __init__(self, options: dict):
         self.path, self.run = options["path"], options["run"]
@@ -211,8 +214,8 @@ def register(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def read(spark: SparkSession, path: str, blocks_a_task: int = 16) -> DataFrame:
-    """``file, layer, yr, r, c, v`` of every raster of a folder, or of one file."""
+def read(spark: SparkSession, path: str, blocks_a_task: int = 0) -> DataFrame:
+    """``file, layer, yr, r, c, v`` of every raster of a folder, or of one file; 0 blocks a task: as many as ``TASK_PIXELS`` hold."""
     return register(spark).read.format("geotiff").option("blocks", blocks_a_task).load(path)
 
 
@@ -235,9 +238,9 @@ def write(pixels: DataFrame, path: str, height: int, width: int, dtype: str = "f
     k = F.expr(f"cast((r div {block}) * {across} + c div {block} as long)").alias("k")
     inside = pixels.filter((F.col("r") >= 0) & (F.col("r") < height) & (F.col("c") >= 0) & (F.col("c") < width))
     found = stored(inside.select("file", k, "r", "c", "v").groupBy("file", "k").applyInArrow(encode, "file string, k long, raw binary, size long"))
-    # no more than the blocks of one file
-    sizes = found.groupBy("file").agg(F.collect_list(F.struct("k", "size")).alias("sizes"))
-    rows = found.drop("size").join(sizes, "file").repartition("file").sortWithinPartitions("file", "k")
+    # no more than the blocks of one file, beside its first block alone
+    sizes = found.groupBy("file").agg(F.min("k").alias("k"), F.collect_list(F.struct("k", "size")).alias("sizes"))
+    rows = found.drop("size").join(sizes, ["file", "k"], "left").repartition("file").sortWithinPartitions("file", "k")
     options = {"run": uuid.uuid4().hex, "rows": height, "columns": width, "dtype": dtype, "block": block, "compression": compression, "predictor": predictor, "scalex": scale[0], "scaley": scale[1], "originx": origin[0], "originy": origin[1]}
     if nodata is not None:
         options["nodata"] = nodata

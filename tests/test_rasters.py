@@ -117,3 +117,16 @@ def test_a_failed_write_leaves_nothing(spark, tmp_path):
     assert not [p for p in Path(path).rglob("*") if p.is_file()]
     with pytest.raises(ValueError):
         geotiff.write(pixels(spark, np.ones((2, 2))), path, 2, 2, block=10)
+
+
+def test_sizes_stand_once_a_file(spark, tmp_path, monkeypatch):
+    """A file's list of sizes goes with its first block, not with every block; a task reads many small blocks."""
+    image = np.arange(160 * 64).reshape(160, 64) % 251
+    path, kind = str(tmp_path / "a"), type(spark.range(1))
+    sort, rows = kind.sortWithinPartitions, []
+    monkeypatch.setattr(kind, "sortWithinPartitions", lambda df, *c: rows.append(df) or sort(df, *c))
+    geotiff.write(pixels(spark, image), path, 160, 64, "u1", "lzw", 1, 16)
+    assert sorted(len(r["sizes"] or ()) for r in rows[0].collect()) == [0] * 39 + [40]
+    df = geotiff.read(spark, path)
+    assert df.rdd.getNumPartitions() == 1 and geotiff.read(spark, path, 16).rdd.getNumPartitions() == 3
+    assert {(r["r"], r["c"]): r["v"] for r in df.collect()} == {at: float(v) for at, v in np.ndenumerate(image)}
