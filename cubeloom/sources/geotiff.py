@@ -157,7 +157,8 @@ class Writer(DataSourceArrowWriter):
 
         try:
             for batch in iterator:
-                for row in batch.to_pylist():
+                for i in range(batch.num_rows):
+                    row = batch.slice(i, 1).to_pylist()[0]  # a batch's blocks are not copied all at once
                     if row["file"] != name:
                         close()
                         name = row["file"]
