@@ -59,3 +59,15 @@ def window_sums(areas: DataFrame, windows: DataFrame, by: list[str], key: list[s
     # corners before the first row or column have blocks of -1, which nothing matches: their sums are 0
     found = w.join(areas, [*by, "bi", "bj"], "left").select(*key, *by, (F.coalesce(F.get("area", F.when(place >= 0, place)), F.lit(0).cast("long")) * F.col("_at.sign")).alias("_v"))
     return found.groupBy(*key, *by).agg(F.sum("_v").alias("total"))
+
+
+def window_cells(cells: DataFrame, windows: DataFrame, by: list[str], block: int = BLOCK) -> DataFrame:
+    """``cells`` (``by, r, c``) once for each of the ``windows`` (``by, r0, c0, r1, c1``, ends are not within) that holds them. For
+    so few windows that each task can have them: cells are not shuffled, and no prefix sums are built."""
+    of = lambda c: F.floor(F.col(c) / block).cast("long")
+    span = lambda a, b: F.explode(F.sequence(of(a), F.floor((F.col(b) - 1) / block).cast("long")))
+    w = windows.filter((F.col("r0") < F.col("r1")) & (F.col("c0") < F.col("c1"))).select(*by, "r0", "c0", "r1", "c1", span("r0", "r1").alias("_bi"))
+    w = w.withColumn("_bj", span("c0", "c1"))
+    x = cells.withColumns({"_bi": of("r"), "_bj": of("c")}).join(F.broadcast(w), [*by, "_bi", "_bj"])
+    held = (F.col("r") >= F.col("r0")) & (F.col("r") < F.col("r1")) & (F.col("c") >= F.col("c0")) & (F.col("c") < F.col("c1"))
+    return x.filter(held).select(*cells.columns)

@@ -1,11 +1,11 @@
-"""Statistics over windows drawn at random, and chips drawn again until they hold targets, by summed-area tables."""
+"""Statistics over a few windows drawn at random, and chips drawn again until they hold targets, by summed-area tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cubeloom.operators.areas import summed_area, window_sums
+from cubeloom.operators.areas import summed_area, window_cells, window_sums
 from cubeloom.plans.assembly import END_YEARS, picked
 from cubeloom.plans.cube import CHIP, WIDTH, YEARS, cube, height, long_layers, placed
 from cubeloom.plans.queries import r9
@@ -27,16 +27,13 @@ def sampled_stats(s, d):
     """Mean and standard deviation of each layer over windows drawn in each year; cells of several windows count each time, as
     they do in the stacked windows of a loader."""
     v = F.floor(col("v") * F.element_at(F.create_map(*[F.lit(k) for e in UNITS.items() for k in e]), col("layer")) + 0.5).cast("long")
-    x = placed(long_layers(s, d)).filter("v IS NOT NULL").withColumn("u", v)
-    x = x.select("layer", "yr", "r", "c", F.explode(F.array(*[F.struct(F.lit(k).alias("what"), e.cast("long").alias("v")) for k, e in (("n", F.lit(1)), ("s", col("u")), ("q", col("u") * col("u")))])).alias("x"))
-    by = ["layer", "yr", "what"]
+    x = placed(long_layers(s, d)).filter("v IS NOT NULL").select("layer", "yr", "r", "c", v.alias("u"))
     few = lambda name, values: F.explode(F.array(*map(F.lit, values))).alias(name)
-    names = s.range(1).select(few("layer", UNITS)).select("*", few("yr", YEARS)).select("*", few("what", ("n", "s", "q")))
-    areas = summed_area(x.select("layer", "yr", "x.*", "r", "c"), names, height(s, d), WIDTH)
-    w = names.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(DRAWN - 1))))
+    w = s.range(1).select(few("layer", UNITS)).select("*", few("yr", YEARS)).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(DRAWN - 1))))
     w = drawn(w, s, d, "st", F.concat_ws("_", "layer", "yr", "draw"))
-    total = lambda k: F.sum(F.when(col("what") == k, col("total"))).cast("double")
-    x = window_sums(areas, w, by, ["draw"]).groupBy("layer").agg(total("n").alias("n"), total("s").alias("t"), total("q").alias("q"))
+    # a fixed number of windows goes to the cells
+    total = lambda c: F.sum(c).cast("double")
+    x = window_cells(x, w, ["layer", "yr"]).groupBy("layer").agg(F.count("*").cast("double").alias("n"), total("u").alias("t"), total(col("u") * col("u")).alias("q"))
     unit = F.element_at(F.create_map(*[F.lit(k) for e in UNITS.items() for k in e]), col("layer"))
     mean = col("t") / col("n")
     return x.filter("n > 0").select("layer", col("n").cast("long").alias("cells"), F.round(mean / unit, 6).alias("mean"), F.round(F.sqrt(F.greatest(F.lit(0.0), col("q") / col("n") - mean * mean)) / unit, 6).alias("std"))

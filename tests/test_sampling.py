@@ -8,7 +8,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from cubeloom.operators.areas import summed_area, window_sums
+from cubeloom.operators.areas import summed_area, window_cells, window_sums
 from cubeloom.plans import sampling, sampling_sql
 
 SF = "/root/testdata/sf0.01"
@@ -65,3 +65,18 @@ def test_query_on_a_grid_of_several_chips(spark, name):
     theirs = con.execute(sampling_sql.SQL[name]).df()[ours.columns]
     got, want = (sorted(map(tuple, x.values.tolist())) for x in (ours.toPandas(), theirs))
     assert got and got == want
+
+
+def test_few_windows_go_to_the_cells(spark):
+    rng = random.Random(3)
+    cells = [(rng.choice("ab"), rng.randrange(30), rng.randrange(50), k) for k in range(900)]
+    windows = [(k, rng.choice("abz"), r, c, r + rng.randrange(20), c + rng.randrange(20)) for k, (r, c) in enumerate((rng.randrange(-5, 30), rng.randrange(-5, 50)) for _ in range(40))]
+    got = sorted(tuple(r) for r in window_cells(spark.createDataFrame(cells, CELLS), spark.createDataFrame(windows, WINDOWS), ["g"], 8).collect())
+    assert got and got == sorted(x for x in cells for _, g, r0, c0, r1, c1 in windows if x[0] == g and r0 <= x[1] < r1 and c0 <= x[2] < c1)
+
+
+def test_sampled_stats_shuffles_pixels_only(spark, capsys):
+    """The cells of layers, kinds of sums and blocks are not shuffled: exchanges are the cube's and that of four layers."""
+    sampling.sampled_stats(spark, SF).explain()
+    shuffles = [x for x in capsys.readouterr().out.splitlines() if "hashpartitioning(" in x]
+    assert len(shuffles) == 2 and not [x for x in shuffles if "bi#" in x or "yr#" in x and "pid#" not in x]
