@@ -355,3 +355,16 @@ def test_sweep_grid_is_one_task(spark):
 
     grid = sweep_grid(spark, "/nowhere")
     assert grid.rdd.getNumPartitions() == 1 and len({tuple(r) for r in grid.collect()}) == 36
+
+
+def test_channels_of_a_pixel_are_one_group(spark, sf, capsys):
+    from cubeloom.operators import metrics
+    from cubeloom.plans.queries import weighted_blend
+
+    parts = spark.createDataFrame([(1, 1.0, 5.0, 0.5), (1, 3.0, None, 0.25), (2, 1.0, 2.0, 0.0), (3, None, 4.0, 2.0)], "pid long, a double, b double, w double")
+    got = {r["pid"]: r for r in metrics.blend_columns(parts, ["pid"], ["a", "b"]).collect()}
+    for name in "ab":
+        assert {p: (r[name], r["w"]) for p, r in got.items()} == {r["pid"]: (r[name], r["w"]) for r in metrics.blend(parts, ["pid"], name).collect()}
+    weighted_blend(spark, sf).explain()
+    shuffles = [x for x in capsys.readouterr().out.splitlines() if "hashpartitioning(" in x]
+    assert shuffles and not [x for x in shuffles if "channel#" in x]
