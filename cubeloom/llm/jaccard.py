@@ -35,12 +35,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard as zs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cubeloom.llm.cells import Cell, Sketches, sketch
-from cubeloom.llm.common import by_group, map_batches, pieces, read, stored
+from cubeloom.llm.common import by_group, folded, map_batches, packed, pieces, read, stored
 from cubeloom.llm.shingles import shingle_sets
 from cubeloom.session import ship
 
@@ -54,7 +53,7 @@ def _sig(s: np.ndarray) -> int:
 
 def class_rows(docs: DataFrame, text: str, key: str, k: int) -> tuple[DataFrame, np.ndarray]:
     """``_k, n, sig, th, f`` of every row: the set's size, its hash, the text's hash and the set's sketch; and a count
-    sketch: in how many sets the shingles of each cell are. Count sketches are summed pairwise in tasks; their size is fixed."""
+    sketch: in how many sets the shingles of each cell are. Count sketches are summed by blocks in tasks; their size is fixed."""
     kind = docs.schema[key].dataType.simpleString()
     arrow, raw = pa.int64(), pa.binary()
 
@@ -68,16 +67,12 @@ def class_rows(docs: DataFrame, text: str, key: str, k: int) -> tuple[DataFrame,
                 columns = [[len(s) for s in sets], [_sig(s) for s in sets], b.column("th"), [sketch(s) if len(s) else None for s in sets]]
                 yield pa.RecordBatch.from_arrays([b.column("_k"), *[c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:], strict=True)]], schema=schema)
         if schema is not None:
-            packed = zs.ZstdCompressor(level=3).compress(cells.astype(np.uint32).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, schema.field("_k").type), pa.array([-1], arrow), pa.array([0], arrow), pa.array([0], arrow), pa.array([packed], raw)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, schema.field("_k").type), pa.array([-1], arrow), pa.array([0], arrow), pa.array([0], arrow), pa.array([packed(cells)], raw)], schema=schema)
 
     ship(docs.sparkSession)
     source = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t"), F.xxhash64(F.col(text)).alias("th"))
     both = stored(source.mapInArrow(run, f"_k {kind}, n long, sig long, th long, f binary"))
-    unpack = lambda r: np.frombuffer(zs.ZstdDecompressor().decompress(r[0]), np.uint32).astype(np.int64)
-    sketches = both.filter(F.col("n") == -1).select("f").rdd.map(unpack)
-    total = sketches.treeReduce(np.add, depth=3) if not both.isEmpty() else np.zeros(CELLS, np.int64)
-    return both.filter(F.col("n") >= 0), total
+    return both.filter(F.col("n") >= 0), folded(both.filter(F.col("n") == -1).select("f"), CELLS, np.int64, np.add)
 
 
 def ordered(s: np.ndarray, heat: np.ndarray) -> np.ndarray:
@@ -169,17 +164,15 @@ def close_groups(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def marked(values: DataFrame, bits: int) -> np.ndarray:
-    """A bit map of fixed size with the low bits of the numbers of a column, joined pairwise in tasks."""
+    """A bit map of fixed size with the low bits of the numbers of a column, joined by blocks in tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros(bits, bool)
         for batch in batches:
             out[batch.column(0).to_numpy() & (bits - 1)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([zs.ZstdCompressor(level=1).compress(np.packbits(out).tobytes())], pa.binary())], names=["m"])
+        yield pa.RecordBatch.from_arrays([pa.array([packed(np.packbits(out))], pa.binary())], names=["m"])
 
-    unpack = lambda r: np.frombuffer(zs.ZstdDecompressor().decompress(r[0]), np.uint8)
-    maps = values.mapInArrow(run, "m binary").rdd.map(unpack)
-    return maps.treeReduce(np.bitwise_or, depth=3) if not values.isEmpty() else np.zeros(bits // 8, np.uint8)
+    return folded(values.mapInArrow(run, "m binary"), bits // 8, np.uint8, np.bitwise_or)
 
 
 def group_links(docs: DataFrame, members: DataFrame, words: int, percent: int, bits: int = 1 << 24) -> DataFrame:
@@ -243,7 +236,8 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int =
 
     # 1. pivots and cells. Rare: no more than a cell's share of all sets and its noise
     usual = counts.mean() + 4 * np.sqrt(counts.mean()) + 16
-    heat = np.log2(np.maximum(1, counts / usual)).astype(np.int8)
+    heat = np.concatenate([np.log2(np.maximum(1, c / usual)).astype(np.int8) for c in np.split(counts, 64)])
+    del counts
     hot = int(np.ceil(np.log2(max(2, hot_sets / usual))))
     any_hot = bool((heat >= hot).any())
     heat = docs.sparkSession.sparkContext.broadcast(heat)  # one byte a cell

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cubeloom.llm import decontam, jaccard, secrets
-from cubeloom.llm.common import read
+from cubeloom.llm.common import folded, packed, read
 from tests.llm.test_words import components
 
 STAGES = dict(corpus_pipeline.STAGES)
@@ -74,3 +75,24 @@ def test_empty(spark, edges, tmp_path):
     for table in ("documents", "labels", "benchmark"):
         read(spark, edges, table).limit(0).write.parquet(f"{tmp_path}/{table}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).isEmpty()
+
+
+def test_driver_gets_packed_blocks(spark, sf):
+    """What near_duplicates sends to the driver is held to 4 MB a stage: a count sketch unpacked has 8 MB."""
+    docs = read(spark, sf, "documents").repartition(12).cache()
+    want = sorted((r["doc_id"], r["text"]) for r in STAGES["near_duplicates"](spark, docs, sf).collect())
+    conf = spark.sparkContext._jsc.sc().conf()  # the application's own, which each stage reads
+    conf.set("spark.driver.maxResultSize", "4m")
+    try:
+        assert sorted((r["doc_id"], r["text"]) for r in STAGES["near_duplicates"](spark, docs, sf).collect()) == want
+    finally:
+        conf.remove("spark.driver.maxResultSize")
+
+
+def test_folded(spark):
+    rng = np.random.default_rng(3)
+    arrays = [rng.integers(0, 1 << 40, 1000) for _ in range(30)]
+    parts = spark.createDataFrame([(bytearray(packed(a)),) for a in arrays], "m binary").repartition(7)
+    assert (folded(parts, 1000, np.int64, np.add) == sum(arrays)).all()
+    assert (folded(parts, 1000, np.int64, np.bitwise_or) == np.bitwise_or.reduce(arrays)).all()
+    assert not folded(parts.limit(0), 1000, np.int64, np.add).any()
